@@ -5,6 +5,11 @@ from __future__ import annotations
 from gaugeworks.llm.common import table
 from gaugeworks.llm.exact_dedup import exact_dedup
 from gaugeworks.llm.mixing import mix
+from gaugeworks.llm.packing import pack
+
+
+def op2_best_fit_packing(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"))
 
 
 def op5_exact_dedup(spark, sf_dir):
@@ -16,6 +21,7 @@ def op10_source_mixing(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op5_exact_dedup": op5_exact_dedup,
     "op10_source_mixing": op10_source_mixing,
 }
