@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from gaugeworks.llm.common import table
 from gaugeworks.llm.exact_dedup import exact_dedup
+from gaugeworks.llm.language import held_out, identify, train_model
 from gaugeworks.llm.mixing import mix
 from gaugeworks.llm.packing import pack
 
 
+def op1_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    judged = identify(docs.select("doc_id", "text"), train_model(docs))
+    return judged.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op2_best_fit_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
 
@@ -21,6 +30,7 @@ def op10_source_mixing(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op5_exact_dedup": op5_exact_dedup,
     "op10_source_mixing": op10_source_mixing,
