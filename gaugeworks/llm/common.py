@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -57,3 +58,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def id_hash(col) -> F.Column:
     """A hash of an id column for salts and samples; null ids hash too."""
     return F.xxhash64(F.coalesce(col.cast("string"), F.lit("")))
+
+
+def row_keys(docs: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` with ``_key``, which names one row: the id, or, only where ids repeat, the
+    id and a number among its rows."""
+    repeated = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
+    if not repeated:
+        return docs.withColumn("_key", F.col(id_col))
+    number = F.row_number().over(W.partitionBy(id_col).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))
+    return docs.withColumn("_key", F.struct(F.col(id_col), number.alias("row")))
+
+
+def keep_rows(docs: DataFrame, id_col: str, decide) -> DataFrame:
+    """The rows of ``docs`` that ``decide`` (a function of the keyed table that gives
+    doc_id and kept) keeps, columns as they were."""
+    keyed = row_keys(docs, id_col)
+    kept = settle(decide(keyed).filter("kept").select(F.col("doc_id").alias("_keep")))
+    return keyed.join(kept, keyed["_key"].eqNullSafe(kept["_keep"]), "left_semi").drop("_key")

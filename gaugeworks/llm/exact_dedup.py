@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import discard, id_hash, partitions, settle
+from gaugeworks.llm.common import id_hash, keep_rows, partitions, settle
 
 #: At least 384 characters, then up to the next boundary; 8192 at most.
 CHUNK = r"(?s).{384,8192}?(?:[nst] [a-h]|\z)|.{8192}|.+"
@@ -93,10 +93,4 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``exact_dedup`` keeps, all columns as they were."""
-    kept = settle(exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_keep")))
-    out = docs.join(kept, docs[id_col].eqNullSafe(kept["_keep"]), "left_semi")
-    repeated = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
-    return out.dropDuplicates([id_col]) if repeated else out
-
-
-__all__ = ["clashing", "discard", "exact_dedup", "keep_first", "recipes"]
+    return keep_rows(docs, id_col, lambda keyed: exact_dedup(keyed, "_key", text_col))

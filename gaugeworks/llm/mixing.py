@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import settle
+from gaugeworks.llm.common import row_keys, settle
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights and schedule slopes by the source's rank, repeating.
@@ -55,7 +55,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP, slopes=SLOP
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """One row per input row: doc_id, size, source_size, target, taken, position, position_again.
+    """One row per input row: doc_id, size, source_size, target, taken, taken_again
+    (of ``taken``, by the second copy), position, position_again.
 
     Words are taken from a source's documents in order until its target is met to the
     word, so the last document may be taken in part; ``position`` is the training time of
@@ -101,8 +102,30 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
             "source_size",
             "target",
             (F.col("first") + F.col("second")).alias("taken"),
+            F.col("second").alias("taken_again"),
             F.round(F.when(F.col("first") > 0, at(x(start))), 9).alias("position"),
             F.round(F.when(F.col("second") > 0, at(x(again))), 9).alias("position_again"),
         )
         .orderBy(F.col("position").asc_nulls_last(), "doc_id")
     )
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """``docs`` as the mix reads them: a row per copy taken, range-sorted by position, the
+    columns as they were. The copy at which a source meets its target holds the words
+    taken; where it is cut, ``n_chars``, if there is such a column, is counted anew."""
+    keyed = row_keys(docs, id_col)
+    plan = mix(keyed, "_key", text_col, source_col, **options).filter("taken > 0")
+    copies = F.array(
+        F.struct(F.col("position").alias("at"), (F.col("taken") - F.col("taken_again")).alias("words")),
+        F.struct(F.col("position_again").alias("at"), F.col("taken_again").alias("words")),
+    )
+    plan = settle(plan.select(F.col("doc_id").alias("_of"), F.col("size").alias("_size"), F.inline(copies)).filter("words > 0"))
+    joined = keyed.join(plan, keyed["_key"].eqNullSafe(plan["_of"]))
+    part = F.col("words") < F.col("_size")
+    words = F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    cut = F.array_join(F.slice(words, F.lit(1), F.col("words").cast("int")), "")
+    out = joined.withColumn(text_col, F.when(part, cut).otherwise(F.col(text_col)))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(part, F.length(text_col)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.orderBy("at", "_of").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -8,6 +8,7 @@ from gaugeworks.llm.common import table
 from gaugeworks.llm.exact_dedup import exact_dedup
 from gaugeworks.llm.language import held_out, identify, train_model
 from gaugeworks.llm.mixing import mix
+from gaugeworks.llm.near_dedup import near_dedup
 from gaugeworks.llm.packing import pack
 
 
@@ -25,6 +26,10 @@ def op5_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_minhash_near_dedup(spark, sf_dir):
+    return near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_source_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents"))
 
@@ -33,6 +38,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op5_exact_dedup": op5_exact_dedup,
+    "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op10_source_mixing": op10_source_mixing,
 }
 
@@ -61,7 +67,7 @@ ORACLES = {
               FROM d JOIN t USING (source)),
         q AS (SELECT *, greatest(0, least(size, words - start)) AS one, greatest(0, least(size, words - start - source_size)) AS two,
                      start / words::DOUBLE AS x, (start + source_size) / words::DOUBLE AS y FROM p)
-        SELECT doc_id, size, source_size, target, one + two AS taken,
+        SELECT doc_id, size, source_size, target, one + two AS taken, two AS taken_again,
                CASE WHEN one > 0 THEN round(2 * x / (1 + slope + sqrt(pow(1 + slope, 2) - 4 * slope * x)), 9) END AS position,
                CASE WHEN two > 0 THEN round(2 * y / (1 + slope + sqrt(pow(1 + slope, 2) - 4 * slope * y)), 9) END AS position_again
         FROM q""",
