@@ -6,10 +6,13 @@ from pyspark.sql import functions as F
 
 from gaugeworks.llm.common import table
 from gaugeworks.llm.exact_dedup import exact_dedup
+from gaugeworks.llm.html_text import extract_text
 from gaugeworks.llm.language import held_out, identify, train_model
+from gaugeworks.llm.licenses import scan_licenses, summary
 from gaugeworks.llm.mixing import mix
 from gaugeworks.llm.near_dedup import near_dedup
 from gaugeworks.llm.packing import pack
+from gaugeworks.llm.url_filter import GLOBS, RULES, glob_regex, judge_urls
 
 
 def op1_language_id(spark, sf_dir):
@@ -22,27 +25,59 @@ def op2_best_fit_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op4_url_filter(spark, sf_dir):
+    judged = judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op5_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark, sf_dir):
+    return summary(scan_licenses(table(spark, sf_dir, "documents")))
+
+
 def op8_minhash_near_dedup(spark, sf_dir):
     return near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_html_extraction(spark, sf_dir):
+    pages = extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op10_source_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents"))
 
 
+def _url_oracle() -> str:
+    """Base rules as conditions, longest first; globs as regular expressions on .host/path."""
+    ordered = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
+    fits = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, v) for v, h, p in ordered]
+    rule = " ".join(f"WHEN {test} THEN '{name}'" for test, name, _ in fits)
+    verdict = " ".join(f"WHEN {test} THEN '{v}'" for test, _, v in fits)
+    globs = " OR ".join(f"regexp_matches('.' || host || path, '{glob_regex(g)}')" for g in GLOBS)
+    return rf"""
+        WITH r AS (SELECT page_id, coalesce(regexp_extract(url, '(?s)^.*?://(.*)$', 1), '') AS rest FROM pages),
+        p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r)
+        SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} WHEN {globs} THEN 'block' ELSE 'allow' END AS verdict FROM p"""
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op4_url_filter": op4_url_filter,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_license_scan": op7_license_scan,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op9_html_extraction": op9_html_extraction,
     "op10_source_mixing": op10_source_mixing,
 }
 
 ORACLES = {
+    "op4_url_filter": _url_oracle(),
     "op5_exact_dedup": r"""
         WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256,
                           regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
