@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.common import table
+from gaugeworks.llm.embedding_join import near_vectors
 from gaugeworks.llm.exact_dedup import exact_dedup
 from gaugeworks.llm.html_text import extract_text
 from gaugeworks.llm.language import held_out, identify, train_model
@@ -34,6 +35,10 @@ def op5_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_embedding_near_dedup(spark, sf_dir):
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_license_scan(spark, sf_dir):
     return summary(scan_licenses(table(spark, sf_dir, "documents")))
 
@@ -70,6 +75,7 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_url_filter": op4_url_filter,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_license_scan": op7_license_scan,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_html_extraction": op9_html_extraction,
