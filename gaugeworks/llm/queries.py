@@ -13,8 +13,12 @@ from gaugeworks.llm.licenses import scan_licenses, summary
 from gaugeworks.llm.mixing import mix
 from gaugeworks.llm.near_dedup import near_dedup
 from gaugeworks.llm.packing import pack
+from gaugeworks.llm.pseudonyms import mask_personal_data
 from gaugeworks.llm.url_filter import GLOBS, RULES, glob_regex, judge_urls
 
+#: The key of the registered query; a production run passes a secret of its own.
+PSEUDONYM_KEY = "gaugeworks example key"
+
 
 def op1_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
@@ -26,6 +30,11 @@ def op2_best_fit_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op3_pii_pseudonyms(spark, sf_dir):
+    masked = mask_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"), key=PSEUDONYM_KEY)
+    return masked.select("doc_id", "text", F.size("pii").alias("n_pii"), F.to_json("pii").alias("pii"))
+
+
 def op4_url_filter(spark, sf_dir):
     judged = judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -73,6 +82,7 @@ def _url_oracle() -> str:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_pii_pseudonyms": op3_pii_pseudonyms,
     "op4_url_filter": op4_url_filter,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
