@@ -1,6 +1,6 @@
 """All queries of the engine."""
 
-from gaugeworks.plans import profiles, signals  # noqa: F401
+from gaugeworks.plans import experiments, production, profiles, signals  # noqa: F401
 from gaugeworks.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
