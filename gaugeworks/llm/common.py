@@ -24,14 +24,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, rows_per_batch: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs the tasks it ran, not the steps before.
+    ``rows_per_batch`` bounds the rows that a Python function of ``df`` gets at once, where
+    they are large; it holds for this write alone.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gw-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        if rows_per_batch:
+            spark.conf.set(name, str(rows_per_batch))
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(name, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._gw_path = path
     return out

@@ -205,7 +205,8 @@ def near_vectors(
 
     boxes = cut.select("grp", "block", "data").mapInArrow(box, "grp string, block long, lo array<double>, hi array<double>")
     number = F.row_number().over(W.partitionBy("grp").orderBy("block")) - 1
-    boxes = settle(boxes.withColumn("seq", number.cast("long")))
+    # a row is a block here, and two blocks in the comparison
+    boxes = settle(boxes.withColumn("seq", number.cast("long")), rows_per_batch=16)
     pairs = _interval_pairs(boxes, eps, axes)
     full = cut.join(boxes.select("grp", "block", "seq"), ["grp", "block"])
     left, right = (full.select("grp", F.col("seq").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("fp", "data", "weight")]) for k in ("i", "j"))
@@ -232,7 +233,7 @@ def near_vectors(
                     names=["a", "b", "n"],
                 )
 
-    found = settle(joined.mapInArrow(compare, "a binary, b binary, n long"))
+    found = settle(joined.mapInArrow(compare, "a binary, b binary, n long"), rows_per_batch=8)
     counts = found.groupBy(F.col("a").alias("fp")).agg(F.sum("n").alias("far"))
     nodes = components(found.filter("b is not null").select("a", "b"))
     linked = counts.join(nodes.withColumnRenamed("node", "fp"), "fp", "full")

@@ -2,12 +2,13 @@
 
 1. Every text's bag of five-word shingles gives a fingerprint, band keys and a sketch.
    Texts with equal bags are one class; classes are the nodes from here on.
-2. In each band bucket a hub, drawn by a hash of its own, is paired with each other member;
-   the pairs are verified exactly, and components of the links found.
-3. Buckets that still hold several components are cut into blocks, and blocks of one bucket
-   compared in numpy: pairs across components whose sketches agree well enough are
-   verified too. So every pair that a bucket brings together is linked, joined by other
-   links already, or found too far apart.
+2. In each band bucket hubs, drawn by hashes, are paired with each other member; the pairs
+   are verified on the bags, and components of the links found.
+3. Buckets that still hold several components are cut into blocks by component, and blocks
+   of one bucket compared in numpy: pairs across components whose sketches agree well
+   enough are verified too, unless links found in the task have joined them already. So
+   every pair that a bucket brings together is linked, joined by other links, or found too
+   far apart, and what leaves a task is a forest of links, never pairs.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ BANDS, ROWS = 26, 5
 #: Share of equal sketch bytes under which a pair is not verified: five deviations below the threshold.
 SKETCH = 0.62
 BLOCK = 64
+#: Hubs that each bucket's members are compared with.
+HUBS = 2
 #: Texts that are hashed at a time.
 BATCH = 64
 
@@ -65,9 +68,10 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(fp, bag) of the wanted classes (fp, doc_id), read off one text each."""
+    """(fp, bag) of the wanted classes (fp, doc_id), read off one text each. Texts are
+    always joined by a shuffle, at any size, for the wanted ids grow with the corpus."""
     here = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    texts = here.join(wanted, here["_id"].eqNullSafe(wanted["doc_id"])).select("fp", "_text")
+    texts = here.join(wanted.hint("merge"), here["_id"].eqNullSafe(wanted["doc_id"])).select("fp", "_text")
 
     def hash_(batches):
         for batch in batches:
@@ -77,69 +81,86 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str,
                 # an id that repeats may bring other texts along
                 same = [(f, b) for f, b in zip(names, found) if len(b[0]) and bag.fingerprint(b) == f]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([f for f, _ in same], pa.binary()),
-                        pa.array([x.tobytes() for _, (x, _) in same], pa.binary()),
-                        pa.array([c.astype("<u4").tobytes() for _, (_, c) in same], pa.binary()),
-                    ],
-                    names=["fp", "bag", "counts"],
+                    [pa.array([f for f, _ in same], pa.binary()), pa.array([bag.pack_bag(b) for _, b in same], pa.binary())], names=["fp", "bag"]
                 )
 
-    return texts.mapInArrow(hash_, "fp binary, bag binary, counts binary").dropDuplicates(["fp"])
+    return texts.mapInArrow(hash_, "fp binary, bag binary").dropDuplicates(["fp"])
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, width: int, threshold: float) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The links among ``pairs`` (a, b): those whose bags overlap by the threshold."""
-    nodes = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
-    wanted = settle(nodes.join(classes.select("fp", "doc_id"), "fp"))
-    sets = settle(shingle_sets(docs, wanted, id_col, text_col, width))
-    left = sets.select(F.col("fp").alias("a"), F.col("bag").alias("bag_a"), F.col("counts").alias("counts_a"))
-    right = sets.select(F.col("fp").alias("b"), F.col("bag").alias("bag_b"), F.col("counts").alias("counts_b"))
+    left, right = (sets.select(F.col("fp").alias(k), F.col("bag").alias(f"bag_{k}")) for k in ("a", "b"))
 
     def check(batches):
         for batch in batches:
-            a, b, *data = batch.columns
-            fits = []
-            for i in range(batch.num_rows):
-                x, c, y, d = (np.frombuffer(v[i].as_py(), t) for v, t in zip(data, (np.uint64, "<u4") * 2))
-                fits.append(bag.similarity((x, c), (y, d)) >= threshold)
-            keep = pa.array(fits, pa.bool_())
-            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(keep)
+            a, b, x, y = batch.columns
+            fits = [bag.packed_similarity(x[i].as_py(), y[i].as_py()) >= threshold for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(fits, pa.bool_()))
 
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "bag_a", "counts_a", "bag_b", "counts_b")
-    return settle(joined.mapInArrow(check, "a binary, b binary"))
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "bag_a", "bag_b")
+    return joined.mapInArrow(check, "a binary, b binary")
 
 
 def _hub_pairs(buckets: DataFrame) -> DataFrame:
-    """(a, b), a < b: each member of a bucket with the bucket's hub, each pair once."""
-    drawn = buckets.withColumn("me", F.struct(F.xxhash64("key", "fp").alias("draw"), "fp"))
-    hubs = with_group(drawn, ["key"], hub=(F.min, F.min, "me"))
-    pairs = hubs.select(F.least("fp", "hub.fp").alias("a"), F.greatest("fp", "hub.fp").alias("b"))
+    """(a, b), a < b: each member of a bucket with the bucket's hubs, each pair once."""
+    draws = {f"hub{k}": F.xxhash64(F.lit(k), "key", "fp") for k in range(HUBS)}
+    drawn = buckets.select("key", "fp", *[F.struct(d.alias("draw"), "fp").alias(name) for name, d in draws.items()])
+    found = with_group(drawn, ["key"], **{f"of_{name}": (F.min, F.min, name) for name in draws})
+    hub = F.explode(F.array(*[F.col(f"of_{name}.fp") for name in draws]))
+    pairs = found.select("fp", hub.alias("hub")).select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b"))
     return pairs.filter("a <> b").distinct()
 
 
-def _cross_pairs(buckets: DataFrame, nodes: DataFrame, classes: DataFrame, sketch: float) -> DataFrame:
-    """(a, b), a < b, of one bucket but of different components, with like sketches."""
+def _cross_links(buckets: DataFrame, nodes: DataFrame, classes: DataFrame, sets: DataFrame, sketch: float, threshold: float) -> DataFrame:
+    """Links (a, b) between components that share a bucket."""
     rows = settle(buckets.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root")))
     spread = with_group(rows, ["key"], low=(F.min, F.min, "root"), high=(F.max, F.max, "root"))
-    rest = spread.filter("low <> high").select("key", "fp", "root").join(classes.select("fp", "sketch"), "fp")
-    blocks = settle(blocks_of(rest.select("key", "fp", "root", "sketch"), ["key"], ["fp"], BLOCK))
-    other = blocks.select("key", *[F.col(c).alias(f"{c}_2") for c in ("block", "fp", "root", "sketch")])
-    two = blocks.join(other, "key").filter("block <= block_2")
+    rest = spread.filter("low <> high").select("key", "fp", "root")
+    rest = rest.join(classes.select("fp", "sketch", "bands"), "fp").join(sets, "fp").select("key", "root", "fp", "sketch", "bands", "bag")
+    # blocks of one component stand apart: they need no comparison with each other
+    blocks = settle(blocks_of(rest, ["key"], ["root", "fp"], BLOCK).withColumn("ends", F.array(F.array_min("root"), F.array_max("root"))))
+    columns = ["block", "ends", "root", "fp", "sketch", "bands", "bag"]
+    other = blocks.select("key", *[F.col(c).alias(f"{c}_2") for c in columns])
+    alike = (F.col("ends") == F.col("ends_2")) & (F.col("ends")[0] == F.col("ends")[1])
+    two = blocks.join(other, "key").filter((F.col("block") <= F.col("block_2")) & ~alike)
 
     def compare(batches):
         for batch in batches:
-            found = set()
-            for r in batch.to_pylist():
-                x, y = (np.frombuffer(b"".join(r[c]), np.uint8).reshape(len(r[c]), -1) for c in ("sketch", "sketch_2"))
-                alike = (x[:, None, :] == y[None, :, :]).mean(2) >= sketch
-                for i, j in zip(*np.nonzero(alike)):
-                    a, b = r["fp"][i], r["fp_2"][j]
-                    if a != b and r["root"][i] != r["root_2"][j]:
-                        found.add((min(a, b), max(a, b)))
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
-
-    return two.mapInArrow(compare, "a binary, b binary").distinct()
+            links = [x for at in range(batch.num_rows) for x in _links_of(batch.slice(at, 1).to_pylist()[0], sketch, threshold)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    return two.mapInArrow(compare, "a binary, b binary")
+
+
+def _links_of(r: dict, sketch: float, threshold: float) -> list[tuple]:
+    """A forest of links between the components of two blocks of a bucket. A pair that an
+    earlier band brings together is left to that band."""
+    x, y = (np.frombuffer(b"".join(r[c]), np.uint8).reshape(len(r[c]), -1) for c in ("sketch", "sketch_2"))
+    p, q = np.array(r["bands"]), np.array(r["bands_2"])
+    roots = {v: k for k, v in enumerate(dict.fromkeys(r["root"] + r["root_2"]))}
+    of_x, of_y = (np.array([roots[v] for v in r[c]]) for c in ("root", "root_2"))
+    agree = (x[:, None, :] == y[None, :, :]).mean(2)
+    here = int(np.argmax(p[0] == r["key"]))
+    earlier = (p[:, None, :here] == q[None, :, :here]).any(2)
+    i, j = np.nonzero((agree >= sketch) & ~earlier & (of_x[:, None] != of_y[None, :]))
+    order = np.argsort(-agree[i, j], kind="stable")
+    joined = list(range(len(roots)))
+
+    def top(k):
+        while joined[k] != k:
+            joined[k] = joined[joined[k]]
+            k = joined[k]
+        return k
+
+    bags: dict = {}
+    unpack = lambda c, k: bags.setdefault((c, k), np.frombuffer(r[c][k], "<u4"))
+    links = []
+    for a, b in zip(i[order].tolist(), j[order].tolist()):
+        u, v = top(of_x[a]), top(of_y[b])
+        if u != v and bag.overlap(unpack("bag", a), unpack("bag_2", b)) >= threshold:
+            joined[v] = u
+            links.append((r["fp"][a], r["fp_2"][b]))
+    return links
 
 
 def near_dedup(docs: DataFrame, id_col="doc_id", text_col="text", width=WIDTH, threshold=THRESHOLD, sketch=SKETCH) -> DataFrame:
@@ -155,14 +176,16 @@ def near_dedup(docs: DataFrame, id_col="doc_id", text_col="text", width=WIDTH, t
     some = rows.filter(F.col("fp").isNotNull())
     classes = settle(some.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
     every = classes.select("fp", F.explode("bands").alias("key"))
-    full = with_group(every, ["key"], n=(F.count, F.sum, "fp")).filter("n > 1")
-    buckets = settle(full.select("key", "fp"))
-
-    pairs = settle(_hub_pairs(buckets))
-    links = verified(pairs, docs, classes, id_col, text_col, width, threshold)
-    nodes = components(links)
-    more = settle(_cross_pairs(buckets, nodes, classes, sketch).join(pairs, ["a", "b"], "left_anti"))
-    nodes = components(links.union(verified(more, docs, classes, id_col, text_col, width, threshold)))
+    shared = settle(every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"))
+    buckets = settle(every.join(shared, "key").select("key", "fp"))
+
+    # every text that a bucket holds is read again once, for its bag
+    members = settle(buckets.select("fp").distinct().join(classes.select("fp", "doc_id"), "fp"))
+    sets = settle(shingle_sets(docs, members, id_col, text_col, width))
+    links = settle(verified(_hub_pairs(buckets), sets, threshold))
+    # a row of the comparison holds two blocks
+    more = settle(_cross_links(buckets, components(links), classes, sets, sketch, threshold), rows_per_batch=64)
+    nodes = components(links.union(more))
 
     grouped = some.select("doc_id", "fp").join(nodes.withColumnRenamed("node", "fp"), "fp", "left")
     grouped = settle(grouped.select("doc_id", F.coalesce("root", "fp").alias("root")))
