@@ -39,7 +39,7 @@ def eq_gains(train: DataFrame) -> DataFrame:
     near = lambda done, x: F.when(F.size(done) == 0, x["raw_db"]).otherwise(F.greatest(F.element_at(done, -1) - STEP_LIMIT, F.least(F.element_at(done, -1) + STEP_LIMIT, x["raw_db"])))
     empty = F.array().cast("array<double>")
     gains = F.aggregate("all", empty, lambda done, x: F.concat(done, F.array(near(done, x))))
-    return row.select("all", gains.alias("gain")).select(F.inline(F.arrays_zip("all", "gain"))).select("all.node", "all.spans", tidy(F.col("all.raw_db")).alias("raw_db"), tidy(F.col("gain")).alias("gain_db"))
+    return row.select("all", gains.alias("gain")).select(F.inline(F.arrays_zip("all", "gain"))).select(F.col("all.node").cast("long").alias("node"), "all.spans", tidy(F.col("all.raw_db")).alias("raw_db"), tidy(F.col("gain")).alias("gain_db"))
 
 
 def dynamics(points: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 
 #: K-weighting, a high shelf and a high pass.
 SHELF_HZ, SHELF_DB, SHELF_SLOPE = 1681.974450955533, 3.99984385397, 1.0
-HIGH_PASS_HZ, HIGH_PASS_Q = 38.13547087602444, 0.5003270373238773
+HIGH_PASS_HZ, HIGH_PASS_Q = 38.13547087602444, 0.5003270373
 #: Pitch range and least confidence, vibrato range and least correlation.
 PITCH_LOW, PITCH_HIGH, PITCH_ACCEPT = 40.0, 2000.0, 0.30
 VIBRATO_LOW, VIBRATO_HIGH, VIBRATO_ACCEPT = 3.0, 9.0, 0.25
@@ -106,7 +106,9 @@ def high_pass(rate: float, hz=HIGH_PASS_HZ, q=HIGH_PASS_Q) -> tuple[np.ndarray,
 
 
 def k_weighted(x: np.ndarray, rate: float) -> np.ndarray:
-    return _biquad(_biquad(np.asarray(x, float), *high_shelf(rate)), *high_pass(rate))
+    """At low rates the shelf moves down to stay within what the rate can hold."""
+    shelf = SHELF_HZ if SHELF_HZ < 0.45 * rate else 0.40 * rate
+    return _biquad(_biquad(np.asarray(x, float), *high_shelf(rate, shelf)), *high_pass(rate))
 
 
 def true_peak(x: np.ndarray, factor: int = 4, reach: int = 16) -> float:

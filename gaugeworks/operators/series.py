@@ -136,7 +136,7 @@ def lagged_correlation(df: DataFrame, key: list[str], reach: int, a: str = "a",
     """(key, lag, pairs, correlation) of a at n with b at n + lag. Rows meet by equal
     (key, n) after each is dealt to its lags, so the join's size is rows times lags."""
     left = df.filter(F.col(a).isNotNull()).select(*key, F.col("n"), F.col(a).alias("_a"))
-    right = df.filter(F.col(b).isNotNull()).select(*key, F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("lag"), F.col("n").alias("m"), F.col(b).alias("_b"))
+    right = df.filter(F.col(b).isNotNull()).select(*key, F.explode(F.sequence(F.lit(-reach).cast("long"), F.lit(reach).cast("long"))).alias("lag"), F.col("n").alias("m"), F.col(b).alias("_b"))
     right = right.select(*key, "lag", (F.col("m") - F.col("lag")).alias("n"), "_b")
     return left.join(right, [*key, "n"]).groupBy(*key, "lag").agg(F.count(F.lit(1)).alias("pairs"), tidy(F.corr("_a", "_b")).alias("correlation"))
 

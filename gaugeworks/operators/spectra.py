@@ -76,7 +76,7 @@ def modes(df: DataFrame, key: list[str], step: float, most: int) -> DataFrame:
     rows = bins.select(*key, "k", "p", tidy(F.col("db") - base).alias("prominence_db"), F.lag("p").over(w).alias("a"), F.lead("p").over(w).alias("b"))
     tops = rows.filter("p > a and p >= b and prominence_db >= 3")
     strength = F.row_number().over(W.partitionBy(*key).orderBy(F.desc("p"), "k"))
-    return tops.withColumn("strength", strength).filter(F.col("strength") <= most).select(*key, F.col("k").alias("bin"), (F.col("k") * step).alias("frequency_hz"), "prominence_db", "strength")
+    return tops.withColumn("strength", strength).filter(F.col("strength") <= most).select(*key, F.col("k").cast("long").alias("bin"), (F.col("k") * step).alias("frequency_hz"), "prominence_db", F.col("strength").cast("long").alias("strength"))
 
 
 def _with_prior(df: DataFrame, part: list[str], order: str, vector: str) -> DataFrame:

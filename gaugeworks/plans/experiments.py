@@ -41,7 +41,7 @@ def grid_plan(spark, sf_dir):
 
 @query(
     "oat_plan",
-    """SELECT * FROM (VALUES (1, 1.0::DOUBLE, 2.0::DOUBLE, 0.5::DOUBLE), (2, 0.0, 2.0, 0.5), (3, 2.0, 2.0, 0.5), (4, 1.0, 1.0, 0.5), (5, 1.0, 4.0, 0.5), (6, 1.0, 8.0, 0.5), (7, 1.0, 2.0, 1.5)) t(point, gain, size, tone)""",
+    """SELECT * FROM (VALUES (1::BIGINT, 1.0::DOUBLE, 2.0::DOUBLE, 0.5::DOUBLE), (2, 0.0, 2.0, 0.5), (3, 2.0, 2.0, 0.5), (4, 1.0, 1.0, 0.5), (5, 1.0, 4.0, 0.5), (6, 1.0, 8.0, 0.5), (7, 1.0, 2.0, 1.5)) t(point, gain, size, tone)""",
 )
 def oat_plan(spark, sf_dir):
     return X.one_at_a_time_plan(spark, LEVELS, HOME)

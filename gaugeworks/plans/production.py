@@ -63,7 +63,7 @@ def eq_fit(spark, sf_dir):
     "dynamics_fit",
     f"""WITH {_SPANS}, pt AS (SELECT span, avg(ref) AS ref, avg(model) AS model FROM sp WHERE split = 'train' GROUP BY span
         QUALIFY row_number() OVER (ORDER BY sha256(CAST(span AS VARCHAR)), span) <= 64),
-        grid AS (SELECT -48.0 + t AS threshold, r AS ratio FROM range(43) a(t), (VALUES (1.0::DOUBLE), (1.25), (1.5), (2.0), (3.0), (4.0), (6.0), (10.0), (20.0)) b(r)),
+        grid AS (SELECT -48.0::DOUBLE + t AS threshold, r AS ratio FROM range(43) a(t), (VALUES (1.0::DOUBLE), (1.25), (1.5), (2.0), (3.0), (4.0), (6.0), (10.0), (20.0)) b(r)),
         res AS (SELECT threshold, ratio, ref - CASE WHEN model <= threshold THEN model ELSE threshold + (model - threshold) / ratio END AS residual FROM pt, grid),
         mk AS (SELECT threshold, ratio, least(12.0, greatest(-12.0, quantile_cont(residual, 0.5))) AS makeup FROM res GROUP BY ALL),
         sse AS (SELECT threshold, ratio, round(max(makeup), 6) + 0.0 AS makeup_db, round(sum((residual - makeup) ** 2), 6) AS sse FROM res JOIN mk USING (threshold, ratio) GROUP BY ALL)

@@ -84,7 +84,7 @@ _CANDIDATES = f"""{_GAPS[_GAPS.index('base AS'):]}, {_RUN},
     cv AS (SELECT source, candidate, 'c' || case_id AS case_id, confidence, round(raw_value * (case_id + 1) / 4, 6) + 0.0 AS value, round(abs(raw_value * (case_id + 1) / 4) * confidence, 6) + 0.0 AS case_score FROM cases),
     occ AS (SELECT source, candidate, avg(CASE WHEN abs(value) >= 1.0 / 12 THEN 1.0 ELSE 0.0 END) AS occurrence FROM cv GROUP BY ALL),
     aud AS (SELECT c.*, o.occurrence, least(abs(raw_value), 1.0) AS size, confidence / (1 + bit_count(flags)) AS confidence_factor,
-            CASE metric WHEN 'level' THEN 0.85 WHEN 'crest' THEN 0.75 WHEN 'pitch' THEN 1.0 WHEN 'timing' THEN 1.0 WHEN 'other' THEN 0.7
+            CASE metric WHEN 'level' THEN 0.85::DOUBLE WHEN 'crest' THEN 0.75 WHEN 'pitch' THEN 1.0 WHEN 'timing' THEN 1.0 WHEN 'other' THEN 0.7
             ELSE [0.25, 0.35, 0.55, 0.75, 0.90, 1.0, 1.0, 0.90, 0.70, 0.45][CAST(split_part(metric, ':', 2) AS INT) + 1] END AS audibility FROM cand c LEFT JOIN occ o USING (source, candidate)),
     sc AS (SELECT *, round(size * audibility * coalesce(occurrence, 0) * confidence_factor, 6) + 0.0 AS score FROM aud),
     pr AS (SELECT *, row_number() OVER (PARTITION BY source, family ORDER BY score IS NULL, score DESC, kind, candidate) = 1 AS "primary" FROM sc)"""

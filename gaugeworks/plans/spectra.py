@@ -9,7 +9,7 @@ from gaugeworks.functions.expr import tidy
 from gaugeworks.operators import spectra as S
 from gaugeworks.plans.registry import query, table
 
-_P = """p AS (SELECT vec_id, label, unnest(embedding)::DOUBLE ** 2 AS p, unnest(range(64)) AS k FROM embeddings), f AS (SELECT *, k * 187.5 AS hz FROM p WHERE k > 0)"""
+_P = """p AS (SELECT vec_id, label, unnest(embedding)::DOUBLE ** 2 AS p, unnest(range(64)) AS k FROM embeddings), f AS (SELECT *, k * 187.5::DOUBLE AS hz FROM p WHERE k > 0)"""
 
 
 def spectrum(spark, sf_dir):
@@ -58,7 +58,7 @@ def chroma(spark, sf_dir):
               / nullif(count(*) OVER (PARTITION BY vec_id ORDER BY k ROWS BETWEEN 16 PRECEDING AND 16 FOLLOWING) - count(*) OVER (PARTITION BY vec_id ORDER BY k ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 0) AS base
               FROM d WINDOW w AS (PARTITION BY vec_id ORDER BY k)),
         m AS (SELECT vec_id, k, p, round(db - base, 6) + 0.0 AS prominence_db FROM w WHERE p > left_p AND p >= right_p AND round(db - base, 6) >= 3)
-        SELECT vec_id, k AS bin, k * 187.5 AS frequency_hz, prominence_db, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, k) AS strength FROM m
+        SELECT vec_id, k AS bin, k * 187.5::DOUBLE AS frequency_hz, prominence_db, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, k) AS strength FROM m
         QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, k) <= 4""",
 )
 def mode_extraction(spark, sf_dir):
