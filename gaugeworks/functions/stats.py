@@ -37,6 +37,14 @@ def statistics(value: str = "value", confidence: str = "confidence") -> list[Col
 STATISTICS = ("total_count", "valid_count", "missing_count", "minimum", *QUANTILES, "maximum", "mean", "population_sd", "confidence")
 
 
+def correlation(a: str, b: str) -> Column:
+    """Pearson's r over rows that have both; null where either is constant."""
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
+    spread = F.round(F.stddev_pop(x) * F.stddev_pop(y), 12)
+    return F.covar_pop(x, y) / F.when(spread != 0, spread)
+
+
 def saturate(x: Column) -> Column:
     return x / (1 + x)
 

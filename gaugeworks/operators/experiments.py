@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.expr import tidy
+from gaugeworks.functions.stats import correlation
 
 #: Fixed value: a change of means up to this is flat.
 FLAT = 1e-6
@@ -97,7 +98,7 @@ def sensitivity(points: DataFrame, parameters: list[str], scale: dict[str, float
     where either does not vary."""
     scale = scale or {}
     long = points.unpivot(["mean_gap"], [(F.col(p).cast("double") / float(scale.get(p, 1.0))).alias(p) for p in parameters], "parameter", "x")
-    r = F.corr("x", "mean_gap")
+    r = correlation("x", "mean_gap")
     varies = (F.stddev_pop("x") > 1e-12) & (F.stddev_pop("mean_gap") > 1e-12)
     when = lambda v: tidy(F.when(varies, v))
     return long.groupBy("parameter").agg(

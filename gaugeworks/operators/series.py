@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.expr import amplitude_db, loudness, power_db, tidy
+from gaugeworks.functions.stats import correlation
 
 
 def numbered(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -138,7 +139,7 @@ def lagged_correlation(df: DataFrame, key: list[str], reach: int, a: str = "a",
     left = df.filter(F.col(a).isNotNull()).select(*key, F.col("n"), F.col(a).alias("_a"))
     right = df.filter(F.col(b).isNotNull()).select(*key, F.explode(F.sequence(F.lit(-reach).cast("long"), F.lit(reach).cast("long"))).alias("lag"), F.col("n").alias("m"), F.col(b).alias("_b"))
     right = right.select(*key, "lag", (F.col("m") - F.col("lag")).alias("n"), "_b")
-    return left.join(right, [*key, "n"]).groupBy(*key, "lag").agg(F.count(F.lit(1)).alias("pairs"), tidy(F.corr("_a", "_b")).alias("correlation"))
+    return left.join(right, [*key, "n"]).groupBy(*key, "lag").agg(F.count(F.lit(1)).alias("pairs"), tidy(correlation("_a", "_b")).alias("correlation"))
 
 
 def best_lag(lags: DataFrame, key: list[str], total: str, least: int = 3) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions import expr as E
 from gaugeworks.functions.expr import tidy
+from gaugeworks.functions.stats import correlation
 from gaugeworks.operators import series as S
 from gaugeworks.plans.registry import query, table
 
@@ -284,7 +285,7 @@ def stereo_facts(spark, sf_dir):
         tidy(wide).alias("side_rms"),
         tidy(E.power_db(F.avg(right * right)) - E.power_db(F.avg(left * left))).alias("balance_db"),
         tidy(wide / mid).alias("width"),
-        tidy(F.corr("l", "r")).alias("correlation"),
+        tidy(correlation("l", "r")).alias("correlation"),
     )
     return facts.filter("frames >= 3")
 
