@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -52,3 +52,12 @@ def expand(entities: DataFrame, kinds: list[int], facts: DataFrame, key: list[st
     every = entities.withColumn("kind", F.explode(F.array(*[F.lit(k).cast("long") for k in kinds])))
     rows = every.join(facts, [*key, "kind"], "left")
     return rows.select(*key, "kind", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n").isNull(), "UNAVAILABLE").otherwise("AVAILABLE").alias("availability"))
+
+
+def probe_index(sample: Column, start: int, numerator: int, denominator: int, rate: int) -> Column:
+    """floor((sample - start) * numerator / (rate * denominator)) in whole numbers: a probe
+    of numerator / denominator values a second, read at a sample of a clock of ``rate``."""
+    n = (sample.cast("decimal(20,0)") - F.lit(start)) * F.lit(numerator).cast("decimal(10,0)")
+    d = F.lit(rate * denominator).cast("decimal(20,0)")
+    rest = ((n % d) + d) % d
+    return ((n - rest) / d).cast("long")

@@ -105,3 +105,10 @@ def frame_costs(df: DataFrame, part: list[str], order: str, vector: str) -> Data
     onset = F.abs(F.array_max("x") - F.array_max("y"))
     cost = 0.5 * (1 - cosine(F.col("x"), F.col("y"))) + 0.2 * F.least(onset, F.lit(1.0)) + 0.1 * F.least(F.abs(level("x") - level("y")) / 24, F.lit(1.0))
     return rows.select(order, "prior_id", tidy(cost / 0.8).alias("cost"))
+
+
+def density(df: DataFrame, key: list[str], step: float) -> DataFrame:
+    """Local maxima of each spectrum, and their number per kHz of its range."""
+    inner = F.transform(F.sequence(F.lit(2), F.size("power") - 1), lambda k: F.slice("power", k - 1, F.lit(3)))
+    tops = F.size(F.filter(inner, lambda t: (t[1] > t[0]) & (t[1] >= t[2]))).cast("long")
+    return df.select(*key, tops.alias("maxima"), tidy(tops / (F.size("power") * step / 1000)).alias("body_mode_density_per_khz"))

@@ -163,3 +163,39 @@ def catalog_expansion(spark, sf_dir):
 )
 def text_keys(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", F.hex("c_name").alias("hex_key"), F.concat_ws("|", "c_mktsegment", "c_name").alias("joined"), F.sha2("c_name", 256).alias("digest"))
+
+
+@query(
+    "probe_sample",
+    """WITH s AS (SELECT o_orderkey, CAST(floor((o_orderkey * 44100::HUGEINT - 22050) * 3 / (44100 * 7::HUGEINT)) AS BIGINT) AS idx FROM orders WHERE o_orderkey >= 1)
+       SELECT o_orderkey, idx, p_retailprice AS value FROM s LEFT JOIN part ON p_partkey = idx""",
+)
+def probe_sample(spark, sf_dir):
+    """The probe value at each note's sample: the index is exact in whole numbers."""
+    notes = table(spark, sf_dir, "orders").filter("o_orderkey >= 1").select("o_orderkey")
+    index = I.probe_index(F.col("o_orderkey") * 44100, 22050, 3, 7, 44100)
+    probe = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("idx"), F.col("p_retailprice").alias("value"))
+    return notes.withColumn("idx", index).join(probe, "idx", "left").select("o_orderkey", "idx", "value")
+
+
+@query(
+    "probe_statistics",
+    """SELECT event_type AS probe, count(*) AS n, min(value) AS low, max(value) AS high, round(avg(value), 6) + 0.0 AS mean, round(stddev_pop(value), 6) + 0.0 AS population_sd FROM events GROUP BY event_type""",
+)
+def probe_statistics(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("probe")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), tidy(F.avg("value")).alias("mean"), tidy(F.stddev_pop("value")).alias("population_sd")
+    )
+
+
+@query(
+    "channel_weights",
+    """WITH c AS (SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'lfe' WHEN 1 THEN 'left_surround' WHEN 2 THEN 'right_surround' ELSE 'left' END AS pos, abs(s_acctbal) / 1e4 AS p FROM supplier)
+       SELECT pos AS position, count(*) AS channels, round(-0.691 + CASE WHEN sum(p * CASE pos WHEN 'lfe' THEN 0 WHEN 'left' THEN 1 ELSE 1.41 END) > 1e-30
+              THEN 10 * log10(sum(p * CASE pos WHEN 'lfe' THEN 0 WHEN 'left' THEN 1 ELSE 1.41 END)) ELSE -300.0 END, 6)::DOUBLE AS lufs FROM c GROUP BY pos""",
+)
+def channel_weights(spark, sf_dir):
+    k = F.col("s_suppkey") % 4
+    position = F.when(k == 0, "lfe").when(k == 1, "left_surround").when(k == 2, "right_surround").otherwise("left")
+    rows = table(spark, sf_dir, "supplier").select(position.alias("position"), (F.abs("s_acctbal") / 1e4).alias("p"))
+    return rows.groupBy("position").agg(F.count(F.lit(1)).alias("channels"), tidy(E.loudness(F.sum(F.col("p") * E.channel_weight(F.col("position"))))).alias("lufs"))

@@ -96,3 +96,12 @@ def spectral_flux(spark, sf_dir):
 def frame_cost(spark, sf_dir):
     """Weighted mean of the evidence that both frames have: chroma, onset, level."""
     return S.frame_costs(table(spark, sf_dir, "embeddings"), ["label"], "vec_id", "embedding")
+
+
+@query(
+    "mode_density",
+    f"""WITH {_P}, w AS (SELECT vec_id, k, p, lag(p) OVER w AS a, lead(p) OVER w AS b FROM p WINDOW w AS (PARTITION BY vec_id ORDER BY k))
+        SELECT vec_id, count(*) FILTER (p > a AND p >= b) AS maxima, round(count(*) FILTER (p > a AND p >= b) / 12.0, 6)::DOUBLE AS body_mode_density_per_khz FROM w GROUP BY vec_id""",
+)
+def mode_density(spark, sf_dir):
+    return S.density(spectrum(spark, sf_dir), ["vec_id"], 187.5)
