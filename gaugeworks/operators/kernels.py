@@ -183,12 +183,15 @@ def harmonics(power: np.ndarray, hz: float, step: float, partials: int = 12, cen
     return out
 
 
-def align(cost: np.ndarray, skip: float = 0.45, repeat: float = 0.45, band: int | None = None) -> tuple[list[tuple[int, int]], float]:
+def align(cost: np.ndarray, skip: float = 0.45, repeat: float = 0.45, band: int | None = None, step: float = 0.05) -> tuple[list[tuple[int, int]], float]:
     """Cheapest monotone path through a cost matrix (reference by target): diagonal steps,
     reference frames skipped, target frames repeated, and 1x2 and 2x1 steps at a little
-    extra. A gap that goes on costs a share of its first step. Raises if no path exists."""
+    extra. For its first 0.4 s a gap that goes on costs a share of its first step, then the
+    whole. Raises if no path exists."""
     n, m = cost.shape
     inf = math.inf
+    cheap = round(GAP_FREE / step)
+    run = np.zeros((n + 1, m + 1, 3), np.int64)  # steps of the gap that a cell ends
     best = np.full((n + 1, m + 1, 3), inf)  # how a cell was entered: 0 match, 1 skip, 2 repeat
     came: dict = {}
     best[0, 0, 0] = 0.0
@@ -212,9 +215,12 @@ def align(cost: np.ndarray, skip: float = 0.45, repeat: float = 0.45, band: int
                 for prior in range(3):
                     if best[a, b, prior] == inf:
                         continue
-                    total = best[a, b, prior] + (price * GAP_SHARE if kind and prior == kind else price)
+                    going_on = kind and prior == kind
+                    share = GAP_SHARE if going_on and run[a, b, prior] < cheap else 1.0
+                    total = best[a, b, prior] + price * share
                     if total < best[i, j, kind] - 1e-15:
                         best[i, j, kind] = total
+                        run[i, j, kind] = run[a, b, prior] + 1 if going_on else int(kind > 0)
                         came[i, j, kind] = (a, b, prior)
     kind = int(np.argmin(best[n, m]))
     if best[n, m, kind] == inf:
