@@ -2,7 +2,7 @@
 
 1. Every text's bag of five-word shingles gives a fingerprint, band keys and a sketch.
    Texts with equal bags are one class; classes are the nodes from here on.
-2. In each band bucket hubs, drawn by hashes, are paired with each other member; the pairs
+2. In each band bucket a hub, drawn by a hash, is paired with each other member; the pairs
    are verified on the bags, and components of the links found.
 3. Buckets that still hold several components are cut into blocks by component, and blocks
    of one bucket compared in numpy: pairs across components whose sketches agree well
@@ -29,8 +29,6 @@ BANDS, ROWS = 26, 5
 #: Share of equal sketch bytes under which a pair is not verified: five deviations below the threshold.
 SKETCH = 0.62
 BLOCK = 64
-#: Hubs that each bucket's members are compared with.
-HUBS = 2
 #: Texts that are hashed at a time.
 BATCH = 64
 
@@ -102,17 +100,15 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def _hub_pairs(buckets: DataFrame) -> DataFrame:
-    """(a, b), a < b: each member of a bucket with the bucket's hubs, each pair once."""
-    draws = {f"hub{k}": F.xxhash64(F.lit(k), "key", "fp") for k in range(HUBS)}
-    drawn = buckets.select("key", "fp", *[F.struct(d.alias("draw"), "fp").alias(name) for name, d in draws.items()])
-    found = with_group(drawn, ["key"], **{f"of_{name}": (F.min, F.min, name) for name in draws})
-    hub = F.explode(F.array(*[F.col(f"of_{name}.fp") for name in draws]))
-    pairs = found.select("fp", hub.alias("hub")).select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b"))
+    """(a, b), a < b: each member of a bucket with the bucket's hub, each pair once."""
+    drawn = buckets.select("key", "fp", F.struct(F.xxhash64("key", "fp").alias("draw"), "fp").alias("me"))
+    found = with_group(drawn, ["key"], hub=(F.min, F.min, "me"))
+    pairs = found.select(F.least("fp", "hub.fp").alias("a"), F.greatest("fp", "hub.fp").alias("b"))
     return pairs.filter("a <> b").distinct()
 
 
 def _cross_links(buckets: DataFrame, nodes: DataFrame, classes: DataFrame, sets: DataFrame, sketch: float, threshold: float) -> DataFrame:
-    """Links (a, b) between components that share a bucket."""
+    """Links (a, b) between the roots of components that share a bucket."""
     rows = settle(buckets.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root")))
     spread = with_group(rows, ["key"], low=(F.min, F.min, "root"), high=(F.max, F.max, "root"))
     rest = spread.filter("low <> high").select("key", "fp", "root")
@@ -159,7 +155,7 @@ def _links_of(r: dict, sketch: float, threshold: float) -> list[tuple]:
         u, v = top(of_x[a]), top(of_y[b])
         if u != v and bag.overlap(unpack("bag", a), unpack("bag_2", b)) >= threshold:
             joined[v] = u
-            links.append((r["fp"][a], r["fp_2"][b]))
+            links.append((r["root"][a], r["root_2"][b]))
     return links
 
 
@@ -183,12 +179,14 @@ def near_dedup(docs: DataFrame, id_col="doc_id", text_col="text", width=WIDTH, t
     members = settle(buckets.select("fp").distinct().join(classes.select("fp", "doc_id"), "fp"))
     sets = settle(shingle_sets(docs, members, id_col, text_col, width))
     links = settle(verified(_hub_pairs(buckets), sets, threshold))
+    nodes = components(links)
     # a row of the comparison holds two blocks
-    more = settle(_cross_links(buckets, components(links), classes, sets, sketch, threshold), rows_per_batch=64)
-    nodes = components(links.union(more))
+    more = settle(_cross_links(buckets, nodes, classes, sets, sketch, threshold), rows_per_batch=64)
+    above = components(more).select(F.col("node").alias("root"), F.col("root").alias("top"))
 
     grouped = some.select("doc_id", "fp").join(nodes.withColumnRenamed("node", "fp"), "fp", "left")
     grouped = settle(grouped.select("doc_id", F.coalesce("root", "fp").alias("root")))
+    grouped = settle(grouped.join(above, "root", "left").select("doc_id", F.coalesce("top", "root").alias("root")))
     placed = with_group(grouped, ["root"], group_id=(F.min, F.min, "doc_id"), group_size=(F.count, F.sum, "root"))
     salt = F.pmod(id_hash(F.col("doc_id")), F.lit(partitions(docs.sparkSession)))
     copy = F.row_number().over(W.partitionBy("root", salt, "doc_id").orderBy("doc_id"))
