@@ -84,4 +84,5 @@ def keep_rows(docs: DataFrame, id_col: str, decide) -> DataFrame:
     doc_id and kept) keeps, columns as they were."""
     keyed = row_keys(docs, id_col)
     kept = settle(decide(keyed).filter("kept").select(F.col("doc_id").alias("_keep")))
-    return keyed.join(kept, keyed["_key"].eqNullSafe(kept["_keep"]), "left_semi").drop("_key")
+    # the kept ids grow with the corpus: never broadcast, whatever their size here
+    return keyed.join(kept.hint("merge"), keyed["_key"].eqNullSafe(kept["_keep"]), "left_semi").drop("_key")
