@@ -49,6 +49,9 @@ PARTS = frozenset(
     "footer gdpr header masthead menu modal nav navbar navigation newsletter notice notification pagination popup promo promoted promotion related "
     "replies reply search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+#: Components of names that speak of a part elsewhere, and of the heads of articles.
+ELSEWHERE = frozenset("has have with without no not show hide layout open opened closed collapsed expanded enabled disabled".split())
+HEADED = frozenset("article post entry story content news blog page section title".split())
 LENGTH_LOW, LENGTH_HIGH, STOP_LOW, STOP_HIGH, LINKS = 70, 200, 0.15, 0.30, 0.33
 
 _TOKEN = re.compile(
@@ -59,8 +62,8 @@ _TOKEN = re.compile(
     r"|(?P<text>[^<]++|<)",
     re.S | re.I,
 )
-_NAMES = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"(?<![\w-])hidden(?![\w-])|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)(?![\w-])", re.I)
 _PART = re.compile(r"[a-z]+|\d+")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -72,23 +75,38 @@ class Block:
     framed: bool
     main: int
     heading: bool
+    parts: tuple = ()
     label: str = ""
 
 
-def _outside(tag: str, attributes: str, main: int) -> bool:
-    """Whether an element and all in it is no part of an article."""
-    if tag in FRAME:
-        return tag != "header" or not main
-    if not attributes or tag in ("html", "body", *MAIN) and not re.search("comment", attributes, re.I):
+def _names_part(name: str, main: int) -> bool:
+    """Whether a class, id or role name is that of a part which is not the article; a name
+    that says where such a part is or how it looks (has-sidebar, layout--sidebar), or that
+    of an article's head, is not."""
+    parts = _PART.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name.partition("--")[0] or name).lower())
+    found = PARTS.intersection(parts)
+    if not found or not ELSEWHERE.isdisjoint(parts):
         return False
-    if _HIDDEN.search(attributes):
-        return True
-    for found in _NAMES.findall(attributes):
-        for name in "".join(found).split():
-            parts = _PART.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower())
-            if not PARTS.isdisjoint(parts):
-                return True
-    return False
+    return found != {"header"} or not main and HEADED.isdisjoint(parts)
+
+
+def _outside(tag: str, attributes: str, main: int) -> str:
+    """Why an element and all in it is no part of an article: frame, part (by its name
+    alone), or nothing."""
+    if tag in FRAME:
+        return "frame" if tag != "header" or not main else ""
+    if not attributes or tag in ("html", "body") or tag in MAIN and not re.search("comment", attributes, re.I):
+        return ""
+    part = ""
+    for found in _ATTRIBUTE.findall(attributes):
+        key, value = found[0].lower(), found[1] or found[2] or found[3]
+        if key == "hidden" and value.lower() != "until-found" or key == "aria-hidden" and value.lower() == "true" or key == "style" and _HIDDEN.search(value):
+            return "frame"
+        if key in ("class", "id", "role") and not part:
+            # classes like md:hidden and group/nav are rules of layout, not names
+            names = [n for n in value.split() if key != "class" or not re.search(r"[:/\[(]", n)]
+            part = "part" if any(_names_part(n, main) for n in names) else ""
+    return part
 
 
 def blocks(page: str) -> list[Block]:
@@ -96,14 +114,24 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
     linked = 0
-    stack: list[tuple] = []  # (tag, frames, mains, links, headings) of what is open
+    stack: list[tuple] = []  # (tag, frames, mains, links, headings, named parts, articles) of what is open
     frames = links = headings = main = mains = 0
+    named: tuple = ()  # numbers of the open elements that are outside by their name alone
+    count = free = 0
+    articles: list[list] = []  # [size, named parts around it] of each article
+    held: set[int] = set()  # named parts that hold the page's article after all
 
     def close():
-        nonlocal linked
+        nonlocal linked, free
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            out.append(Block(text, min(linked, len(text)), frames > 0, main, headings > 0))
+            out.append(Block(text, min(linked, len(text)), frames > 0, main, headings > 0, named))
+            if not frames:
+                size = len(text) - out[-1].links
+                free += 0 if named else size
+                for x in stack if articles else ():
+                    if x[6] is not None and x[6][1] == named:
+                        x[6][0] += size
         parts.clear()
         linked = 0
 
@@ -123,8 +151,9 @@ def blocks(page: str) -> list[Block]:
         if m["end"]:
             if any(x[0] == tag for x in stack):
                 while True:
-                    name, f, a, l, h = stack.pop()
+                    name, f, a, l, h, n, _ = stack.pop()
                     frames, links, headings = frames - f, links - l, headings - h
+                    named = named[:-1] if n else named
                     if a:
                         main = next((x[2] for x in reversed(stack) if x[2]), 0)
                     if name == tag:
@@ -132,17 +161,32 @@ def blocks(page: str) -> list[Block]:
         elif tag not in VOID and not (m["more"] or "").endswith("/"):
             # an open p ends where the next begins; li, dt, dd, td, th, tr and option likewise
             if tag in ("p", "li", "dt", "dd", "td", "th", "tr", "option") and stack and stack[-1][0] == tag:
-                _, f, a, l, h = stack.pop()
+                _, f, a, l, h, n, _ = stack.pop()
                 frames, links, headings = frames - f, links - l, headings - h
-            f = int(_outside(tag, m["more"] or "", main))
-            a = 0
+                named = named[:-1] if n else named
+            why = _outside(tag, m["more"] or "", main)
+            f, n = int(why == "frame"), int(why == "part")
+            if n:
+                count += 1
+                named += (count,)
+            a, article = 0, None
+            if tag in MAIN and not (frames or f or n) and named:
+                if tag == "main":
+                    held.update(named)
+                else:
+                    articles.append(article := [0, named])
             if tag in MAIN and not main:
                 mains += 1
                 a = main = mains
             l, h = int(tag == "a"), int(tag in ("h1", "h2", "h3", "h4", "h5", "h6"))
             frames, links, headings = frames + f, links + l, headings + h
-            stack.append((tag, f, a, l, h))
+            stack.append((tag, f, a, l, h, n, article))
     close()
+    # a named part also holds the page's article if an article in it has more text than stands free
+    if articles and (most := max(articles, key=lambda x: x[0]))[0] > free:
+        held.update(most[1])
+    for b in out:
+        b.framed = b.framed or not held.issuperset(b.parts)
     return out
 
 

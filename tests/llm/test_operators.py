@@ -385,6 +385,22 @@ def test_html_keeps_every_article_block():
         assert html_text.extract(page) == "\n\n".join(parts)
 
 
+def test_html_names_that_only_sound_like_parts():
+    body = "words of the article that go on and on for a good while " * 6
+    whole = f"Head of it\n\n{body.strip()}"
+    inner = f"<article><h1>Head of it</h1><p>{body}</p></article>"
+    for attribute in ("style='overflow:hidden'", "style=overflow:hidden", 'class="md:hidden"', 'title="a hidden gem"', "class=has-sidebar", "class='layout--sidebar'", "id=page-widget", "class='group/nav'", "hidden=until-found"):
+        for page in (f"<body><nav>x</nav><div {attribute}>{inner}</div></body>", f"<div {attribute}><div>{inner}</div><aside>{body}</aside></div>"):
+            assert html_text.extract(page) == whole, attribute
+    for name in ("article-header", "post-header", "header"):
+        assert html_text.extract(f"<article><div class={name}><h1>Head of it</h1></div><p>{body}</article>") == whole
+    assert html_text.extract(f"<div class=sidebar-wrap><main><p>{body}</main></div>") == body.strip()
+    cards = "<article>" + "one of the other ones that you may like to read on " * 3 + "</article>"
+    for attribute in ("hidden", "aria-hidden=true", "style='color:red; display : none'", "style=visibility:hidden", "class=related", "class=sidebar-left", "id=comments", "role=complementary"):
+        assert html_text.extract(f"<body>{inner}<div {attribute}>{cards * 2}</div></body>") == whole, attribute
+        assert html_text.extract(f"<body><p>{body}</p><div {attribute}>{cards * 2}</div></body>") == body.strip(), attribute
+
+
 @pytest.mark.parametrize("name", ["exact", "near", "mix", "pack", "license", "language", "pii"])
 def test_empty_tables(spark, name):
     none = frame(spark, [(1, "a", "b")]).filter("false")
