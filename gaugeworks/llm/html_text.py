@@ -35,7 +35,7 @@ STOP = frozenset(
     """.split()
 )
 #: Elements whose text is none, that frame a page, that hold its article, and that break a block.
-RAW = ("script", "style", "noscript", "template", "iframe", "object", "svg", "math", "textarea", "select", "head", "title", "canvas", "audio", "video")
+RAW = ("script", "style", "noscript", "template", "iframe", "object", "svg", "math", "textarea", "select", "title", "canvas", "audio", "video")
 FRAME = frozenset("nav header footer aside form menu dialog button fieldset".split())
 MAIN = frozenset("article main".split())
 BREAK = frozenset(
@@ -144,6 +144,9 @@ def blocks(page: str) -> list[Block]:
         if m["tag"] is None:
             continue
         tag = m["tag"].lower()
+        if tag == "head":
+            # what a head may hold is skipped by itself; anything else ends it, as </head> may be left out
+            continue
         if tag in BREAK:
             close()
         elif tag == "br":

@@ -401,6 +401,14 @@ def test_html_names_that_only_sound_like_parts():
         assert html_text.extract(f"<body><p>{body}</p><div {attribute}>{cards * 2}</div></body>") == body.strip(), attribute
 
 
+def test_html_head_without_an_end():
+    body = "words of the article that go on and on for a good while " * 6
+    head = "<title>t of the page</title><meta charset=utf-8><link rel=x href=y><base href=/><style>p{a:b}</style><script>var a='<p>no'</script><noscript><img></noscript>"
+    for start in ("<html><head>" + head, "<!DOCTYPE html><HEAD lang=en>" + head, "<head>" + head + "</head>", head, "<head><!-- c -->"):
+        for page in (f"{start}<body><article><p>{body}</article></body></html>", f"{start}<p>{body}", f"{start}{body}", f"{start}<main>{body}</main></html>"):
+            assert html_text.extract(page) == body.strip(), page
+
+
 @pytest.mark.parametrize("name", ["exact", "near", "mix", "pack", "license", "language", "pii"])
 def test_empty_tables(spark, name):
     none = frame(spark, [(1, "a", "b")]).filter("false")
