@@ -1,7 +1,8 @@
 """Main text of web pages by two passes of block rules.
 
 A page is cut into blocks of text. The first pass judges each block by itself: by what it
-stands in, its share of link text, its share of stop words and its length. It leaves short
+stands in, its share of link text, its share of stop words and its length; where the stop
+words' languages are not those of the page, by the others alone. It leaves short
 blocks, and those with few stop words inside an article, undecided; the second pass gives
 these the label of the nearest decided neighbours in the same part of the page.
 """
@@ -17,7 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Frequent function words of English, German, French, Spanish, Italian, Portuguese and Dutch.
+#: Frequent function words of English, German, French, Spanish, Italian, Portuguese, Dutch,
+#: Danish, Norwegian and Swedish; in any other language a page has few of them.
 STOP = frozenset(
     """
     a about after all also an and any are as at be been but by can could do for from had has have he her his how i if in into is it its
@@ -32,6 +34,8 @@ STOP = frozenset(
     che da della di gli ha il non per più questo sono una
     ao das dos em foi mais não na nas no nos os pela pelo seu uma
     dat de een het niet op te van voor zijn
+    af alle at att av blev blir ble da det efter eller enn ett fra från før för ha han hade har hun ikke inte jag jeg kan man med meg mig mot nå når något noe noget
+    nu och og også om på så sig skal ska som till til under ut vara var ved vi vid ville är
     """.split()
 )
 #: Elements whose text is none, that frame a page, that hold its article, and that break a block.
@@ -53,6 +57,8 @@ PARTS = frozenset(
 ELSEWHERE = frozenset("has have with without no not show hide layout open opened closed collapsed expanded enabled disabled".split())
 HEADED = frozenset("article post entry story content news blog page section title".split())
 LENGTH_LOW, LENGTH_HIGH, STOP_LOW, STOP_HIGH, LINKS = 70, 200, 0.15, 0.30, 0.33
+#: A page's share of stop words below which its language is none of theirs, and the letters that a wide one counts as.
+STOP_KNOWN, WIDE = 0.20, 3
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -66,6 +72,8 @@ _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 _HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)(?![\w-])", re.I)
 _PART = re.compile(r"[a-z]+|\d+")
 _LETTERS = re.compile(r"[^\W\d_]+")
+_OTHER = re.compile(r"[^\W\d_\u0000-\u024f\u1e00-\u1eff\uff21-\uff5a]")
+_WIDE = re.compile(r"[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 @dataclass
@@ -193,20 +201,38 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def judge(block: Block, has_main: bool) -> str:
-    """The first pass: good, bad, or near or short (undecided)."""
+def _size(text: str) -> int:
+    return len(text) if text.isascii() else len(text) + (WIDE - 1) * len(_WIDE.findall(text))
+
+
+def _other_script(text: str) -> bool:
+    """Whether most letters are of a script that no list of stop words is in."""
+    return not text.isascii() and 2 * len(_OTHER.findall(text)) > sum(map(len, _LETTERS.findall(text)))
+
+
+def _stops(text: str) -> tuple[int, int]:
+    """The stop words and all words."""
+    words = _LETTERS.findall(text.lower())
+    return sum(w in STOP for w in words), len(words)
+
+
+def judge(block: Block, has_main: bool, known: bool = True) -> str:
+    """The first pass: good, bad, or near or short (undecided). ``known``: whether the page
+    is in one of the stop words' languages."""
     if block.framed or (has_main and not block.main):
         return "bad"
-    size = len(block.text)
-    density = block.links / size
+    size = _size(block.text)
+    density = block.links / len(block.text)
     if density > LINKS:
         return "short" if block.main and size < LENGTH_LOW and density < 0.9 else "bad"
     if "©" in block.text and size < LENGTH_HIGH and not block.main:
         return "bad"
-    words = _LETTERS.findall(block.text.lower())
-    share = sum(w in STOP for w in words) / len(words) if words else 0.0
     if size < LENGTH_LOW or block.heading:
         return "bad" if density > 0 and not block.main else "short"
+    hits, words = _stops(block.text)
+    share = hits / words if words else 0.0
+    if words and (not known or _other_script(block.text)):
+        share = STOP_HIGH
     if share >= STOP_HIGH:
         return "good" if size > LENGTH_HIGH or block.main else "near"
     if share >= STOP_LOW:
@@ -214,11 +240,22 @@ def judge(block: Block, has_main: bool) -> str:
     return "short" if block.main else "bad"
 
 
+def _known(found: list[Block], has_main: bool) -> bool:
+    """Whether the page's long blocks of text hold the stop words of any list."""
+    hits = words = 0
+    for b in found:
+        if not b.framed and (b.main or not has_main) and len(b.text) >= LENGTH_LOW and b.links <= LINKS * len(b.text) and not _other_script(b.text):
+            h, n = _stops(b.text)
+            hits, words = hits + h, words + n
+    return not words or hits >= STOP_KNOWN * words
+
+
 def extract(page: str) -> str:
     """The article's blocks, joined by an empty line."""
     found = blocks(page)
     has_main = any(b.main and not b.framed for b in found)
-    labels = [judge(b, has_main) for b in found]
+    known = _known(found, has_main)
+    labels = [judge(b, has_main, known) for b in found]
     final = list(labels)
     # the nearest decided block of the same part before and behind each
     nearest = []

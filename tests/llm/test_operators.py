@@ -409,6 +409,35 @@ def test_html_head_without_an_end():
             assert html_text.extract(page) == body.strip(), page
 
 
+#: Paragraphs in languages with few words of the first seven lists.
+ELSEWHERE = {
+    "pl": "Wczoraj wieczorem mieszkańcy miasta spotkali się w ratuszu, żeby porozmawiać o nowym planie zagospodarowania terenów nad rzeką. Burmistrz zapewnił, że prace rozpoczną się dopiero po zakończeniu konsultacji.",
+    "ru": "Вчера вечером жители города собрались в ратуше, чтобы обсудить новый план застройки набережной. Мэр заверил, что работы начнутся только после завершения общественных слушаний и утверждения городского бюджета.",
+    "sv": "I går kväll samlades invånarna i stadshuset för att diskutera den nya planen för området vid floden. Borgmästaren lovade att arbetet skulle börja först när samrådet var avslutat och alla hade fått säga sitt.",
+    "da": "I går aftes mødtes byens borgere på rådhuset for at drøfte den nye plan for området ved floden. Borgmesteren lovede, at arbejdet først ville begynde, når høringen var afsluttet, og alle havde haft mulighed for at svare.",
+    "fi": "Eilen illalla kaupungin asukkaat kokoontuivat kaupungintalolle keskustelemaan joenrannan uudesta kaavasta. Pormestari vakuutti, että työt alkaisivat vasta kuulemisen päätyttyä ja talousarvion hyväksymisen jälkeen.",
+    "tr": "Dün akşam kent sakinleri nehir kıyısı için hazırlanan yeni planı görüşmek üzere belediye binasında toplandı. Belediye başkanı, çalışmaların ancak danışma süreci tamamlandıktan sonra başlayacağını söyledi.",
+    "zh": "昨天晚上,市民们聚集在市政厅,讨论河岸地区的新规划方案。市长保证说,工程要等到公众咨询结束并且预算获得批准之后才会开始,届时还会再次征求大家的意见。",
+    "ja": "昨夜、市民たちは市役所に集まり、川沿いの地区の新しい計画について話し合いました。市長は、意見の募集が終わり予算が認められてから工事を始めると約束しました。",
+}
+
+
+@pytest.mark.parametrize("lang", ELSEWHERE)
+def test_html_in_languages_beyond_the_lists(lang):
+    text = ELSEWHERE[lang]
+    first = re.split("(?<=[.。])", text)[0]
+    links = "".join(f"<a href=/{k}>{w}</a> " for k, w in enumerate((text[:60], text[20:90], text[50:])))
+    page = f"<head><title>x</title></head><body><nav>{links}</nav><div>{links}</div><div><p>{text}</p><p>{first}</p><p>{text}</p></div><div>{links}</div><footer>{text}</footer>"
+    assert html_text.extract(page) == "\n\n".join((text, first.strip(), text))
+    assert html_text.extract("<p>We use cookies on this site so that it works for you and to see how it is used by all of us.</p><div>" + f"<p>{text}</p>" * 4 + "</div>").endswith("\n\n".join([text] * 4))
+
+
+def test_html_lists_of_words_beside_prose_stay_out():
+    body = "words of the article that go on and on for a good while " * 6
+    tags = "Nike Adidas Puma Reebok Asics Converse Vans Fila Diadora Lotto Umbro Kappa Mizuno Saucony Brooks " * 3
+    assert html_text.extract(f"<div>{tags}</div><p>{body}</p><div>{tags}</div>") == body.strip()
+
+
 @pytest.mark.parametrize("name", ["exact", "near", "mix", "pack", "license", "language", "pii"])
 def test_empty_tables(spark, name):
     none = frame(spark, [(1, "a", "b")]).filter("false")
