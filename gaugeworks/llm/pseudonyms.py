@@ -28,18 +28,28 @@ _FOUND = re.compile(
     r"|(?P<date>(?<![\w.-])(?:[0-9]{4}[-/.][0-9]{2}[-/.][0-9]{2}|[0-9]{2}[-/.][0-9]{2}[-/.][0-9]{4})(?![\w-]|[./][0-9]))"
     r"|(?P<iban>(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
     r"|(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"
-    r"|(?P<phone>(?<![\w+])\+[0-9]{1,3}[ .-]?\([0-9]{1,5}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{4}(?!\w)"
-    r"|(?<![\w(])\([0-9]{3}\) ?[0-9]{3}[-. ][0-9]{4}(?!\w)"
-    r"|(?<![\w+])\+[0-9]{1,3}([ .-])[0-9]{2,5}(?:\7[0-9]{2,5}){1,3}(?!\w|[.-][0-9])"
-    r"|(?<![\w+])\+[0-9]{7,15}(?!\w))"
+    # international: country code and an area in parentheses; then groups of digits
+    r"|(?P<phone>(?<![\w+])\+[0-9]{1,3}[ .-]?\([0-9]{1,5}\)[ ./-]?[0-9]{1,8}(?:[ ./-][0-9]{1,8}){0,5}(?!\w)"
+    r"|(?<![\w+])\+[0-9]{1,3}(?:[ /-][0-9]{1,12}(?:[ ./-][0-9]{1,8}){0,6}|(?:\.[0-9]{1,8}){2,6}(?:-[0-9]{1,8})?|\.(?:[0-9]{2,5}|[0-9]{9,12}))(?!\w|[.-][0-9])"
+    r"|(?<![\w+])\+[0-9]{7,15}(?!\w)"
+    r"|(?<![\w+.,/-])00[1-9][0-9]{0,2}[ ./-]\(?[0-9]{1,8}\)?(?:[ ./-][0-9]{1,8}){1,6}(?!\w|[.-][0-9])"
+    # national: (ddd) ddd-dddd and the like, behind 1 or not; groups behind a leading 0
+    r"|(?:(?<![\w+.,/-])1[ .-]?|(?<![\w(]))\([0-9]{3}\)[ ./-]?[0-9]{3}[-. ]?[0-9]{4}(?!\w)"
+    r"|(?<![\w+.,/-])(?:1[ ./-])?[0-9]{3}(?:[./-][0-9]{3}[ .-]|(?<=[2-9][0-9]{2})[ ][2-9][0-9]{2}[ .-])[0-9]{4}(?!\w|[.-][0-9])"
+    r"|(?<![\w+.,/-])(?:0[1-9][0-9]{0,4}|\(0[1-9][0-9]{0,4}\))[ ./-][0-9]{1,8}(?:[ ./-][0-9]{1,8}){0,5}(?!\w|[.-][0-9]))"
     r"|(?P<card>(?<![\w-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2,3}(?:[ -]?[0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![\w-]))"
     r"|(?P<secret>(?<!\w)(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?!\w))"
 )
+#: Digits of a whole number behind these country codes, and of a national number with its leading 0.
+_PHONE_SIZES = {"1": 11, "7": 11, "33": 11, "34": 11, "44": 12}
+LEADING_0 = (9, 12)
+_BORDER = re.compile(r"[ ./-]")
 #: Every kind holds one of these; what they stand in is searched, up to white space.
 _HINT = re.compile(r"[0-9@]+")
 #: Characters that one value may have between its hints.
 _BRIDGE = 12
 _DIGITS = re.compile(r"[0-9]")
+_DDD = re.compile(r"\(?[0-9]{3}(?:\)[ ./-]?|[ ./-])[0-9]{3}[ .-]?[0-9]{4}")
 #: The date domain, both ends within.
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1), datetime.date(2099, 12, 31)
 
@@ -181,29 +191,49 @@ def pseudonym(kind: str, text: str, key: bytes, back: bool = False) -> str | Non
         out = f"{value:0{len(text)}x}"
         return out.upper() if text.upper() == text else out
     if kind == "phone":
-        if not 7 <= len(digits) <= 15:
+        trunk = not text.startswith("+") and digits[0] == "0" and digits[1] != "0" and not _DDD.fullmatch(text)
+        low, high = LEADING_0 if trunk else (7, 15)
+        if not low <= len(digits) - 2 * text.startswith("00") <= high:
             return None
-        # the country code stays
-        country = re.match(r"\+\d{1,3}(?=[ .(-])|\+\d", text)
-        keep = len(country[0]) - 1 if country else 0
+        # the country code stays, and what is dialled before a national number
+        country = re.match(r"\+\d{1,3}(?=[ ./(-])|\+\d|00\d{1,3}(?=[ ./(-])", text)
+        keep = len(_DIGITS.findall(country[0])) if country else int(trunk or len(digits) == 11 and text[0] == "1")
         rest = digits[keep:]
         return _refill(text, digits[:keep] + str(permute(int(rest), key, f"phone{len(rest)}", 10 ** len(rest), back)).zfill(len(rest)))
     return _refill(text, str(permute(int(digits), key, kind, 10 ** len(digits), back)).zfill(len(digits)))
 
 
+def _ends(kind: str, text: str) -> list[int]:
+    """The ends up to which a match may be a value, the likeliest first: where digits or
+    words behind a value fit its pattern too, it ends at a border between groups."""
+    if kind != "phone":
+        return [len(text)]
+    ends = [len(text), *(m.start() for m in reversed(list(_BORDER.finditer(text))))]
+    return sorted(ends, key=lambda e: not _exact_phone(text[:e]))
+
+
+def _exact_phone(text: str) -> bool:
+    country = re.match(r"(?:\+|00)(\d{1,3})[ ./(-]", text)
+    return bool(country) and len(_DIGITS.findall(text)) - 2 * text.startswith("00") == _PHONE_SIZES.get(country[1])
+
+
 def pseudonymise(text: str, key: bytes) -> tuple[str, list[tuple]]:
     """The text with pseudonyms, and (kind, start, end, pseudonym) of each in the result."""
     out, spans, at, size = [], [], 0, 0
     for start, end in _places(text):
         while m := _FOUND.search(text, max(start, at), end):
-            new = pseudonym(m.lastgroup, m[0], key)
+            found = m[0]
+            new = None
+            for stop in _ends(m.lastgroup, found):
+                if (new := pseudonym(m.lastgroup, found[:stop], key)) is not None:
+                    break
             start = m.start() + 1
             if new is None:
                 continue
             out += [text[at : m.start()], new]
             size += m.start() - at + len(new)
             spans.append((m.lastgroup, size - len(new), size, new))
-            at = m.end()
+            at = m.start() + stop
     out.append(text[at:])
     return "".join(out), spans
 
@@ -233,7 +263,8 @@ def mask_personal_data(docs: DataFrame, key: str, text_col: str = "text") -> Dat
     the new text) of each pseudonym. ``pii`` replaces a column of that name.
 
     Emails, IPv4 addresses, dates, IBANs, social security, phone, card and other long
-    account numbers, and hexadecimal secrets count; what fails its kind's validation is
+    account numbers, and hexadecimal secrets count; phone numbers are international ones
+    behind + or 00, ddd-ddd-dddd and its like, and national ones in groups behind a 0; what fails its kind's validation is
     left alone. A null text stays null, with no spans; each row is treated for itself, so
     rows that repeat stay alike; an empty table gives an empty result.
     """

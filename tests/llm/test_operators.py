@@ -298,6 +298,27 @@ def test_pseudonyms_keep_format_and_links():
         assert pseudonyms.pseudonymise(plain, key) == (plain, [])
 
 
+PHONES = """415-555-0132|415.555.0132|1-800-555-0132|+1 415 5550132|+49 30 1234567|+33 1 23 45 67 89|030 1234567|+1 415-555-0132|+1-415-555-0132|415 555 0132
+1 (415) 555-0132|(415)555-0132|+44 (0)20 7946 0958|+44 20 7946 0958|01 23 45 67 89|01.23.45.67.89|030/1234567|0171-1234567|(030) 1234567|0049 30 1234567|+1.4155550132
++1.415.555-0132|415/555-0132|+49 (0)30/123 45-67|+49-30-1234-5678|+14155550132|(017) 555-7713""".replace("\n", "|").split("|")
+
+
+def test_phones_of_many_forms():
+    key = b"k" * 32
+    for phone in PHONES:
+        text, spans = pseudonyms.pseudonymise(f"tel.: {phone}, or {phone}.", key)
+        assert [s[0] for s in spans] == ["phone", "phone"] and text == f"tel.: {spans[0][3]}, or {spans[0][3]}.", phone
+        assert spans[0][3] != phone and re.sub(r"\d", "9", spans[0][3]) == re.sub(r"\d", "9", phone)
+        assert pseudonyms.pseudonym("phone", spans[0][3], key, back=True) == phone
+    same = [re.sub(r"\D", "", pseudonyms.pseudonym("phone", p, key))[-10:] for p in ("415-555-0132", "1-415-555-0132", "+1 415 5550132", "(415) 555-0132")]
+    assert len(set(same)) == 1
+    # numbers behind a phone number stay where its own digits are all there, or too many would be
+    for phone, more in (("+1 415 555 0132", " 12 items"), ("+33 1 23 45 67 89", " 10"), ("+49 30 1234567", " 99999 88888")):
+        assert pseudonyms.pseudonymise(phone + more, key)[0] == pseudonyms.pseudonym("phone", phone, key) + more
+    for plain in ("0.5 1234567", "+5 10 20", "+40.712776-74.005974", "978-3-16-148410-0", "page 100-200-300", "05 12", "$100 200 3000", "123-456-78901", "ISO 8601-2004"):
+        assert pseudonyms.pseudonymise(plain, key) == (plain, [])
+
+
 def test_pseudonyms_on_a_table(spark):
     table = spark.createDataFrame([(1, None, 5), (2, "call +1 (017) 555-7713", 6), (2, "call +1 (017) 555-7713", 6)], "doc_id long, text string, pii int")
     rows = pseudonyms.mask_personal_data(table, "key").orderBy("doc_id").collect()
