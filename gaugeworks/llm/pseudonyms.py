@@ -43,6 +43,15 @@ _FOUND = re.compile(
 #: Digits of a whole number behind these country codes, and of a national number with its leading 0.
 _PHONE_SIZES = {"1": 11, "7": 11, "33": 11, "34": 11, "44": 12}
 LEADING_0 = (9, 12)
+#: Lengths of IBANs by country, as registered; others are tried at every length.
+_IBAN_SIZES = {
+    c[:2]: int(c[2:])
+    for c in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 "
+        "GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 "
+        "PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
+    ).split()
+}
 _BORDER = re.compile(r"[ ./-]")
 #: Every kind holds one of these; what they stand in is searched, up to white space.
 _HINT = re.compile(r"[0-9@]+")
@@ -206,9 +215,11 @@ def pseudonym(kind: str, text: str, key: bytes, back: bool = False) -> str | Non
 def _ends(kind: str, text: str) -> list[int]:
     """The ends up to which a match may be a value, the likeliest first: where digits or
     words behind a value fit its pattern too, it ends at a border between groups."""
-    if kind != "phone":
+    if kind not in ("phone", "iban"):
         return [len(text)]
     ends = [len(text), *(m.start() for m in reversed(list(_BORDER.finditer(text))))]
+    if kind == "iban":
+        return sorted(ends, key=lambda e: len(text[:e].replace(" ", "")) != _IBAN_SIZES.get(text[:2]))
     return sorted(ends, key=lambda e: not _exact_phone(text[:e]))
 
 

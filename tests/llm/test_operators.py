@@ -319,6 +319,22 @@ def test_phones_of_many_forms():
         assert pseudonyms.pseudonymise(plain, key) == (plain, [])
 
 
+def test_ibans_before_words_in_capitals():
+    key = b"k" * 32
+    ibans = ("AT61 1904 3002 3457 3201", "ES91 2100 0418 4502 0005 1332", "ES9121000418450200051332", "BE68 5390 0754 7034", "SE4550000000058398257466", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947")
+    for iban in ibans:
+        want = pseudonyms.pseudonym("iban", iban, key)
+        assert want and want != iban and pseudonyms.pseudonym("iban", want, key, back=True) == iban
+        for more in ("", " BIC", " EUR", " IBAN", " BIC GIBA ATWW", " 100 EUR", " EUR 100", " BIC X1", " IBAN 2", " AND A 3", f" {iban}", f" OR {iban} EUR"):
+            text, spans = pseudonyms.pseudonymise(f"IBAN {iban}{more}, or", key)
+            assert text == f"IBAN {want}{more.replace(iban, want)}, or" and {s[0] for s in spans} == {"iban"}, (iban, more)
+    # the length of its country counts even where the check fits with a word behind it as well
+    chance = next(w for w in (a + b + c for a in "ABCDEFGH" for b in "ABCDEFGHIJ" for c in "ABCDEFGHIJ") if int("".join(str(int(x, 36)) for x in "1904300234573201" + w + "AT61")) % 97 == 1)
+    text, _ = pseudonyms.pseudonymise(f"{ibans[0]} {chance} 1", key)
+    assert text == f"{pseudonyms.pseudonym('iban', ibans[0], key)} {chance} 1"
+    assert pseudonyms.pseudonymise("ATE1 A904 B002 C457 3202 BIC 1", key)[1] == []
+
+
 def test_pseudonyms_on_a_table(spark):
     table = spark.createDataFrame([(1, None, 5), (2, "call +1 (017) 555-7713", 6), (2, "call +1 (017) 555-7713", 6)], "doc_id long, text string, pii int")
     rows = pseudonyms.mask_personal_data(table, "key").orderBy("doc_id").collect()
