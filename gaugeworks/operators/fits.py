@@ -55,6 +55,68 @@ def dynamics(points: DataFrame) -> DataFrame:
     return makeup.select("threshold", "ratio", tidy(F.col("makeup")).alias("makeup_db"), F.round(error, 6).alias("sse")).orderBy("sse", "threshold", "ratio").limit(1)
 
 
+def dynamics_interval(points: DataFrame) -> DataFrame:
+    """(fit, spans, estimate, q05, q95) of the compressor: the fit of all ``points`` (span,
+    ref, model), and the spread of the fits that each leave one span out (jack-knife),
+    widened to include it. ``points`` are a bounded sample of LEAST_TRAIN spans or more."""
+    numbers = lambda v: F.array(*[F.lit(float(x)) for x in v])
+    none = points.select(F.lit(None).cast(points.schema["span"].dataType).alias("out"))
+    outs = points.select(F.col("span").alias("out")).distinct().unionByName(none.limit(1))
+    kept = points.join(F.broadcast(outs), F.col("out").isNull() | (F.col("out") != F.col("span")))
+    sets = kept.groupBy("out").agg(F.collect_list(F.struct("ref", "model")).alias("all"), F.countDistinct("span").alias("spans"))
+    grid = sets.select("out", "spans", "all", F.explode(numbers(THRESHOLDS)).alias("threshold")).select("*", F.explode(numbers(RATIOS)).alias("ratio"))
+    squeezed = lambda x, t: F.when(x <= t, x).otherwise(t + (x - t) / F.col("ratio"))
+    rows = grid.select("out", "spans", "threshold", "ratio", F.array_sort(F.transform("all", lambda p: p["ref"] - squeezed(p["model"], F.col("threshold")))).alias("r"))
+    half = lambda k: F.element_at("r", k.cast("int"))
+    n = F.size("r")
+    makeup = E.clamp((half(F.floor((n + 1) / 2)) + half(F.floor(n / 2) + 1)) / 2, -MAKEUP_LIMIT, MAKEUP_LIMIT)
+    rows = rows.withColumn("makeup", makeup)
+    error = F.aggregate("r", F.lit(0.0), lambda s, x: s + (x - F.col("makeup")) * (x - F.col("makeup")))
+    best = rows.groupBy("out").agg(F.min(F.struct(F.round(error, 6).alias("sse"), "threshold", "ratio", "makeup", "spans")).alias("b")).select("out", "b.*")
+    left, base = best.filter("out is not null"), best.filter("out is null").select("spans", *[F.col(c).alias(f"_{c}") for c in ("threshold", "ratio", "makeup")])
+    sorts = [F.array_sort(F.collect_list(c)).alias(c) for c in ("threshold", "ratio")]
+    ends = left.agg(F.count(F.lit(1)).alias("n"), *sorts, F.percentile("makeup", F.array(F.lit(0.05), F.lit(0.95))).alias("makeup")).filter(F.col("n") >= LEAST_TRAIN)
+    at = lambda c, k: F.element_at(c, (k + 1).cast("int"))
+    low, high = F.floor((F.col("n") - 1) * 0.05), F.ceil((F.col("n") - 1) * 0.95)
+    fit = lambda name, c, lo, hi: F.struct(F.lit(name).alias("fit"), tidy(F.col(f"_{c}")).alias("estimate"), tidy(F.least(lo, F.col(f"_{c}"))).alias("q05"), tidy(F.greatest(hi, F.col(f"_{c}"))).alias("q95"))
+    fits = [fit(c, c, at(c, low), at(c, high)) for c in ("threshold", "ratio")] + [fit("makeup_db", "makeup", F.col("makeup")[0], F.col("makeup")[1])]
+    return ends.crossJoin(base).select("spans", F.explode(F.array(*fits)).alias("f")).select("f.fit", "spans", "f.estimate", "f.q05", "f.q95")
+
+
+#: Limits of the stereo corrections.
+BALANCE_LIMIT, WIDTH_LIMIT, DELAY_SECONDS = 12.0, 4.0, 0.002
+
+
+def stereo(train: DataFrame, rate: float) -> DataFrame:
+    """(scope, kind, spans, estimate, q05, q95): medians of delay_samples, balance_db,
+    width_ratio and correlation over spans (span, kind, ref, model), of either side and of
+    the correction, within limits; and the polarity, the sign of the median correlation."""
+    ref, model, kind = F.col("ref"), F.col("model"), F.col("kind")
+    both = train.filter("ref is not null and model is not null")
+    sign = lambda c: F.when(F.percentile(c, 0.5) < 0, -1.0).otherwise(1.0)
+    signs = both.filter(kind == "correlation").agg(F.count(F.lit(1)).alias("spans"), sign("ref").alias("reference"), sign("model").alias("model_"))
+    signs = signs.withColumn("enough", F.col("spans") >= LEAST_TRAIN).withColumn("polarity", F.when(F.col("enough"), F.col("reference") * F.col("model_")).otherwise(1.0))
+    reach = float(int(DELAY_SECONDS * rate))
+    # the quotient's smallest divisor is the smallest normal number
+    ratio = E.clamp(F.when(model > 2.2250738585072014e-308, F.try_divide(ref, model)).otherwise(WIDTH_LIMIT), 1 / WIDTH_LIMIT, WIDTH_LIMIT)
+    change = (
+        F.when(kind == "width_ratio", ratio)
+        .when(kind == "correlation", E.clamp(ref - F.col("polarity") * model, -1.0, 1.0))
+        .when(kind == "delay_samples", E.clamp(ref - model, -reach, reach))
+        .otherwise(E.clamp(ref - model, -BALANCE_LIMIT, BALANCE_LIMIT))
+    )
+    sides = [("reference", ref), ("model", model), ("correction", change)]
+    long = both.crossJoin(F.broadcast(signs.select("polarity"))).select("kind", F.explode(F.array(*[F.struct(F.lit(s).alias("scope"), v.alias("v")) for s, v in sides])).alias("s")).select("kind", "s.*")
+    q = F.percentile("v", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
+    rows = long.groupBy("scope", "kind").agg(F.count(F.lit(1)).alias("spans"), q.alias("q")).filter(F.col("spans") >= LEAST_TRAIN)
+    q = F.col("q")
+    rows = rows.select("scope", "kind", "spans", tidy(q[1]).alias("estimate"), tidy(F.least(q[0], q[1])).alias("q05"), tidy(F.greatest(q[2], q[1])).alias("q95"))
+    none = F.lit(None).cast("double")
+    polar = [F.struct(F.lit(s).alias("scope"), F.col(c).alias("estimate")) for s, c in (("reference", "reference"), ("model", "model_"), ("correction", "polarity"))]
+    signs = signs.filter("enough").select("spans", F.explode(F.array(*polar)).alias("p"))
+    return rows.unionByName(signs.select("p.scope", F.lit("polarity").alias("kind"), "spans", "p.estimate", none.alias("q05"), none.alias("q95")))
+
+
 def views(rows: DataFrame, gains: DataFrame) -> DataFrame:
     """Gap of each (split, view, node): as it is, with the gain taken off the reference,
     with it put on the model. A gap survives where the check split shows it in both the raw

@@ -87,6 +87,37 @@ def never(cases: DataFrame) -> DataFrame:
     return _check(rows.select("case", "kind", none.alias("reference_value"), none.alias("model_value"), none.alias("delta")), "declared")
 
 
+def element_checks(distances: DataFrame, levels: DataFrame, carryovers: DataFrame) -> DataFrame:
+    """Distinctness and gain-only score of each pair of elements (left_element,
+    right_element, reference_distance, model_distance) that both sides have, with levels
+    (side, element, db), and the carryover, the median over transitions (side, db)."""
+    side = lambda s, c="db": F.max(F.when(F.col("side") == s, F.col(c)))
+    level = levels.groupBy("element").agg(side("reference").alias("r"), side("model").alias("m"))
+    named = lambda end: level.select(F.col("element").alias(f"{end}_element"), F.col("r").alias(f"{end}_r"), F.col("m").alias(f"{end}_m"))
+    pairs = distances.filter("reference_distance is not null and model_distance is not null")
+    pairs = pairs.join(named("left"), "left_element", "left").join(named("right"), "right_element", "left").withColumn("case", F.concat_ws("|", "left_element", "right_element"))
+    score = lambda s, distance: F.least(F.lit(1.0), F.abs(F.col(f"right_{s}") - F.col(f"left_{s}")) / 6) / (1 + F.col(distance))
+    # least() passes over nulls: a score needs the four levels
+    leveled = pairs.filter("left_r is not null and left_m is not null and right_r is not null and right_m is not null")
+    value = lambda df, kind, r, m: df.select("case", F.lit(kind).alias("kind"), tidy(r).alias("reference_value"), tidy(m).alias("model_value"))
+    rows = value(pairs, "element_distinctness_ratio", F.col("reference_distance"), F.col("model_distance"))
+    rows = rows.unionByName(value(leveled, "element_gain_only_score", score("r", "reference_distance"), score("m", "model_distance")))
+    middle = carryovers.groupBy("side").agg(F.percentile("db", 0.5).alias("db")).agg(side("reference").alias("r"), side("model").alias("m"))
+    rows = rows.unionByName(value(middle.withColumn("case", F.lit("")), "element_carryover_db", F.col("r"), F.col("m")))
+    return _check(rows.withColumn("delta", tidy(F.col("model_value") - F.col("reference_value"))), "element")
+
+
+def shift_checks(lags: DataFrame, peaks: DataFrame) -> DataFrame:
+    """Best lag (case, lag) of the model behind the reference, and cents between their
+    strongest frequencies (side, case, hz), which must be above 0 on both sides."""
+    none = F.lit(None).cast("double")
+    side = lambda s: F.max(F.when((F.col("side") == s) & (F.col("hz") > 0), F.col("hz")))
+    cents = peaks.groupBy("case").agg(tidy(1200 * F.log2(side("model") / side("reference"))).alias("delta"))
+    rows = lags.select("case", F.lit("render_lag_samples").alias("kind"), F.col("lag").cast("double").alias("delta"))
+    rows = rows.unionByName(cents.select("case", F.lit("render_pitch_delta_cents").alias("kind"), "delta"))
+    return _check(rows.withColumn("reference_value", none).withColumn("model_value", none), "render")
+
+
 def findings(checks: DataFrame, most: int | None = None) -> DataFrame:
     """Checks with a score of at most 1 by their kind's scale, scored ones first."""
     from gaugeworks.operators.profiles import ranked

@@ -6,9 +6,12 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gaugeworks.operators import items as I
 from gaugeworks.operators import physical as P
+from gaugeworks.operators import series as S
+from gaugeworks.plans.items import _TRAITS, traits
 from gaugeworks.plans.registry import query, table
-from gaugeworks.plans.signals import _X, samples
+from gaugeworks.plans.signals import _LAGS, _X, samples
 
 _SCAN = f"""{_X}, s0 AS (SELECT CASE event_type WHEN 'view' THEN 'reference' ELSE 'model' END AS side, CAST(user_id AS VARCHAR) AS "case", round(x, 2) AS x,
         row_number() OVER (PARTITION BY user_id, event_type ORDER BY n) - 1 AS n FROM x WHERE event_type IN ('view', 'click')),
@@ -111,3 +114,50 @@ def body_modes(spark, sf_dir):
     rows = rows.withColumn("rest", (F.sum("p").over(w) - F.col("p")) / 63).filter("k = peak")
     modes = rows.select("side", "case", (F.greatest("k", F.lit(1)) * 187.5).alias("hz"), "p", "left", "right", (10 * F.log10(F.col("p") / F.col("rest"))).alias("prominence"))
     return P.mode_facts(modes, 187.5)
+
+
+@query(
+    "element_checks",
+    f"""WITH {_TRAITS}, {_SCAN.strip()}, d AS (SELECT a.element AS l, b.element AS r, a.side, sqrt(avg((a.v - b.v) ** 2)) AS distance FROM tr a JOIN tr b ON a.trait = b.trait AND a.side = b.side AND a.element < b.element
+             GROUP BY ALL HAVING count(*) >= 4),
+        p AS (SELECT l, r, round(max(distance) FILTER (side = 'A'), 6) AS rd, round(max(distance) FILTER (side = 'R'), 6) AS md FROM d GROUP BY l, r HAVING count(*) = 2),
+        lv AS (SELECT p_brand AS element, 20 * log10(avg(l_extendedprice) FILTER (l_returnflag = 'A')) - 100 AS r, 20 * log10(avg(l_extendedprice) FILTER (l_returnflag = 'R')) - 100 AS m
+               FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand),
+        co AS (SELECT side, "case", 10 * log10(greatest(max(x * x) FILTER (n = 0), 1e-30) / greatest(max(x * x) FILTER (n = of - 1), 1e-30)) AS db FROM s1 GROUP BY side, "case"),
+        cm AS (SELECT quantile_cont(db, 0.5) FILTER (side = 'reference') AS rv, quantile_cont(db, 0.5) FILTER (side = 'model') AS mv FROM co),
+        u AS (SELECT l || '|' || r AS "case", 'element_distinctness_ratio' AS kind, rd AS rv, md AS mv FROM p
+              UNION ALL SELECT p.l || '|' || p.r, 'element_gain_only_score', least(1.0, abs(b.r - a.r) / 6) / (1 + rd), least(1.0, abs(b.m - a.m) / 6) / (1 + md) FROM p JOIN lv a ON a.element = p.l JOIN lv b ON b.element = p.r
+              UNION ALL SELECT '', 'element_carryover_db', rv, mv FROM cm)
+        SELECT 'element' AS scope, "case", kind, round(rv, 6) + 0.0 AS reference_value, round(mv, 6) + 0.0 AS model_value, round(round(mv, 6) - round(rv, 6), 6) + 0.0 AS delta,
+               CASE WHEN mv - rv IS NULL THEN 'UNAVAILABLE' ELSE 'AVAILABLE' END AS availability FROM u""",
+)
+def element_checks(spark, sf_dir):
+    """Brands are elements; a user's views or clicks, from the first to the last, a transition."""
+    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("element"))
+    side = F.when(F.col("l_returnflag") == "A", "reference").otherwise("model").alias("side")
+    lines = table(spark, sf_dir, "lineitem").filter(F.col("l_returnflag").isin("A", "R")).join(part, F.col("l_partkey") == F.col("p_partkey"))
+    levels = lines.groupBy("element", side).agg((20 * F.log10(F.avg("l_extendedprice")) - 100).alias("db"))
+    power = lambda at: F.greatest(F.max(F.when(F.col("n") == at, F.col("x") * F.col("x"))), F.lit(1e-30))
+    carry = sides(spark, sf_dir).groupBy("side", "case").agg((10 * F.log10(power(0) / power(F.col("of") - 1))).alias("db"))
+    return P.element_checks(I.element_distances(traits(spark, sf_dir), "A", "R"), levels, carry)
+
+
+@query(
+    "render_shift_checks",
+    f"""WITH {_SCAN}, {_BINS}, al AS (SELECT a."case", a.n, a.x AS a, b.x AS b FROM s1 a JOIN s1 b ON a."case" = b."case" AND a.n = b.n AND a.side = 'reference' AND b.side = 'model'),
+        g AS ({_LAGS.format(key='"case"', left='al', right='al', r=8)}), k AS (SELECT "case", count(*) AS total FROM al GROUP BY "case"),
+        s AS (SELECT g.*, round(abs(correlation) * pairs / total, 6) + 0.0 AS score FROM g JOIN k USING ("case") WHERE pairs >= 3 AND correlation IS NOT NULL AND NOT isnan(correlation)),
+        best AS (SELECT "case", lag FROM s QUALIFY row_number() OVER (PARTITION BY "case" ORDER BY score DESC, abs(lag), lag DESC) = 1),
+        pk AS (SELECT "case", max(peak * 187.5::DOUBLE) FILTER (side = 'reference' AND peak > 0) AS r, max(peak * 187.5::DOUBLE) FILTER (side = 'model' AND peak > 0) AS m FROM e2 GROUP BY "case"),
+        u AS (SELECT k."case", 'render_lag_samples' AS kind, CAST(lag AS DOUBLE) AS delta FROM k LEFT JOIN best USING ("case") UNION ALL SELECT "case", 'render_pitch_delta_cents', round(1200 * log2(m / r), 6) + 0.0 FROM pk)
+        SELECT 'render' AS scope, "case", kind, NULL::DOUBLE AS reference_value, NULL::DOUBLE AS model_value, delta, CASE WHEN delta IS NULL THEN 'UNAVAILABLE' ELSE 'AVAILABLE' END AS availability FROM u""",
+)
+def render_shift_checks(spark, sf_dir):
+    rows = sides(spark, sf_dir)
+    r = rows.filter("side = 'reference'").select("case", "n", F.col("x").alias("a"))
+    m = rows.filter("side = 'model'").select("case", "n", F.col("x").alias("b"))
+    both = r.join(m, ["case", "n"])
+    total = both.groupBy("case").agg(F.count(F.lit(1)).alias("total"))
+    best = S.best_lag(S.lagged_correlation(both, ["case"], 8).join(total, ["case"]), ["case"], "total").select("case", "lag")
+    peaks = spectra(spark, sf_dir).select("side", "case", (F.col("peak") * 187.5).alias("hz")).distinct()
+    return P.shift_checks(total.select("case").join(best, "case", "left"), peaks)

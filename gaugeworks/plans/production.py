@@ -75,6 +75,53 @@ def dynamics_fit(spark, sf_dir):
     return fits.dynamics(kept)
 
 
+@query(
+    "dynamics_interval",
+    f"""WITH {_SPANS}, pt AS (SELECT span, avg(ref) AS ref, avg(model) AS model FROM sp WHERE split = 'train' GROUP BY span
+        QUALIFY row_number() OVER (ORDER BY sha256(CAST(span AS VARCHAR)), span) <= 64),
+        grid AS (SELECT -48.0::DOUBLE + t AS threshold, r AS ratio FROM range(43) a(t), (VALUES (1.0::DOUBLE), (1.25), (1.5), (2.0), (3.0), (4.0), (6.0), (10.0), (20.0)) b(r)),
+        po AS (SELECT out, pt.* FROM pt, (SELECT span AS out FROM pt UNION ALL SELECT -1) WHERE out <> span),
+        res AS (SELECT out, threshold, ratio, ref - CASE WHEN model <= threshold THEN model ELSE threshold + (model - threshold) / ratio END AS residual FROM po, grid),
+        mk AS (SELECT out, threshold, ratio, least(12.0, greatest(-12.0, quantile_cont(residual, 0.5))) AS makeup FROM res GROUP BY ALL),
+        sse AS (SELECT out, threshold, ratio, max(makeup) AS makeup, round(sum((residual - makeup) ** 2), 6) AS sse FROM res JOIN mk USING (out, threshold, ratio) GROUP BY ALL),
+        best AS (SELECT * FROM sse QUALIFY row_number() OVER (PARTITION BY out ORDER BY sse, threshold, ratio) = 1),
+        l AS (SELECT count(*) AS n, list_sort(list(threshold)) AS t, list_sort(list(ratio)) AS r, quantile_cont(makeup, 0.05) AS m05, quantile_cont(makeup, 0.95) AS m95 FROM best WHERE out <> -1),
+        b AS (SELECT l.*, best.*, CAST(floor((n - 1) * 0.05) AS INT) + 1 AS lo, CAST(ceil((n - 1) * 0.95) AS INT) + 1 AS hi FROM l, best WHERE out = -1 AND n >= 8)
+        SELECT 'threshold' AS fit, n AS spans, threshold AS estimate, least(t[lo], threshold) AS q05, greatest(t[hi], threshold) AS q95 FROM b
+        UNION ALL SELECT 'ratio', n, ratio, least(r[lo], ratio), greatest(r[hi], ratio) FROM b
+        UNION ALL SELECT 'makeup_db', n, round(makeup, 6) + 0.0, round(least(m05, makeup), 6) + 0.0, round(greatest(m95, makeup), 6) + 0.0 FROM b""",
+)
+def dynamics_interval(spark, sf_dir):
+    points = spans(spark, sf_dir).filter("split = 'train'").groupBy("span").agg(F.avg("ref").alias("ref"), F.avg("model").alias("model"))
+    return fits.dynamics_interval(points.orderBy(F.sha2(F.col("span").cast("string"), 256), "span").limit(64))
+
+
+_STEREO = ("avg(l_linenumber) * 8", "20 * log10(avg(l_extendedprice)) - 100", "avg(l_discount) * 20", "avg(l_tax) * 25 - 1")
+_STEREO_KINDS = ("delay_samples", "balance_db", "width_ratio", "correlation")
+
+
+@query(
+    "stereo_fits",
+    f"""WITH sv AS (SELECT l_partkey AS span, l_returnflag AS side, {_MOD5.format(x="CAST(l_partkey AS VARCHAR)")} = 0 AS held, [{', '.join(_STEREO)}] AS vs FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY ALL),
+        st AS (SELECT span, side, unnest([{', '.join(f"'{k}'" for k in _STEREO_KINDS)}]) AS kind, unnest(vs) AS v FROM sv WHERE NOT held),
+        sb AS (SELECT a.kind, a.v AS ref, b.v AS model FROM st a JOIN st b ON a.span = b.span AND a.kind = b.kind AND a.side = 'A' AND b.side = 'R'),
+        sg AS (SELECT count(*) AS spans, CASE WHEN quantile_cont(ref, 0.5) < 0 THEN -1.0 ELSE 1.0 END::DOUBLE AS r, CASE WHEN quantile_cont(model, 0.5) < 0 THEN -1.0 ELSE 1.0 END::DOUBLE AS m FROM sb WHERE kind = 'correlation'),
+        lg AS (SELECT kind, unnest(['reference', 'model', 'correction']) AS scope, unnest([ref, model, CASE kind
+                 WHEN 'width_ratio' THEN CASE WHEN model > 2.2250738585072014e-308 THEN least(4.0, greatest(0.25, ref / model)) ELSE 4.0 END
+                 WHEN 'correlation' THEN least(1.0, greatest(-1.0, ref - CASE WHEN spans >= 8 THEN r * m ELSE 1 END * model))
+                 WHEN 'delay_samples' THEN least(96.0, greatest(-96.0, ref - model)) ELSE least(12.0, greatest(-12.0, ref - model)) END]) AS v FROM sb, sg),
+        q AS (SELECT scope, kind, count(*) AS spans, quantile_cont(v, 0.5) AS e, quantile_cont(v, 0.05) AS lo, quantile_cont(v, 0.95) AS hi FROM lg GROUP BY scope, kind HAVING count(*) >= 8)
+        SELECT scope, kind, spans, round(e, 6) + 0.0 AS estimate, round(least(lo, e), 6) + 0.0 AS q05, round(greatest(hi, e), 6) + 0.0 AS q95 FROM q
+        UNION ALL SELECT unnest(['reference', 'model', 'correction']), 'polarity', spans, unnest([r, m, r * m]), NULL, NULL FROM sg WHERE spans >= 8""",
+)
+def stereo_fits(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").filter(F.col("l_returnflag").isin("A", "R"))
+    wide = lines.groupBy(F.col("l_partkey").alias("span"), "l_returnflag").agg(*[F.expr(text).alias(k) for k, text in zip(_STEREO_KINDS, _STEREO)])
+    long = wide.unpivot(["span", "l_returnflag"], list(_STEREO_KINDS), "kind", "v").groupBy("span", "kind").pivot("l_returnflag", ["A", "R"]).agg(F.max("v"))
+    both = fits.split(long.select("span", "kind", F.col("A").alias("ref"), F.col("R").alias("model"), F.col("span").cast("string").alias("_key")), "_key").drop("_key")
+    return fits.stereo(both.filter("split = 'train'"), 48000.0)
+
+
 @query(
     "fit_summary",
     f"""WITH {_SPANS}, s AS (SELECT node, count(*) AS spans, quantile_cont(ref - model, 0.5) AS med, quantile_cont(ref - model, 0.05) AS lo, quantile_cont(ref - model, 0.95) AS hi

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from gaugeworks.operators import fits, physical
 from gaugeworks.operators import profiles as P
 from gaugeworks.plans.catalog import ORACLES, QUERIES
 
@@ -67,3 +68,31 @@ def test_unmatched_groups_are_kept_without_rank(spark):
 def test_counts_add_up(spark):
     for r in QUERIES["profile_statistics"](spark, DIR).collect():
         assert r["total_count"] == r["valid_count"] + r["missing_count"]
+
+
+def test_element_and_shift_checks_in_closed_form(spark):
+    far = spark.createDataFrame([("a", "b", 1.0, 3.0), ("a", "c", 1.0, None)], "left_element string, right_element string, reference_distance double, model_distance double")
+    level = spark.createDataFrame([(s, e, d) for s, e, d in (("reference", "a", -20.0), ("reference", "b", -17.0), ("model", "a", -30.0), ("model", "b", -10.0))], "side string, element string, db double")
+    carry = spark.createDataFrame([("reference", 1.0), ("reference", 4.0), ("reference", 90.0), ("model", -2.0)], "side string, db double")
+    rows = {(r["case"], r["kind"]): (r["reference_value"], r["model_value"], r["delta"]) for r in physical.element_checks(far, level, carry).collect()}
+    assert rows == {("a|b", "element_distinctness_ratio"): (1.0, 3.0, 2.0), ("a|b", "element_gain_only_score"): (0.25, 0.25, 0.0), ("", "element_carryover_db"): (4.0, -2.0, -6.0)}
+    lone = physical.element_checks(far.filter("false"), level, carry.filter("side = 'model'")).collect()
+    assert [(r["kind"], r["delta"], r["availability"]) for r in lone] == [("element_carryover_db", None, "UNAVAILABLE")]
+    lags = spark.createDataFrame([("p", -3), ("q", None)], "case string, lag long")
+    peaks = spark.createDataFrame([("reference", "p", 200.0), ("model", "p", 400.0), ("reference", "q", 0.0), ("model", "q", 100.0)], "side string, case string, hz double")
+    rows = {(r["case"], r["kind"]): r["delta"] for r in physical.shift_checks(lags, peaks).collect()}
+    assert rows == {("p", "render_lag_samples"): -3.0, ("q", "render_lag_samples"): None, ("p", "render_pitch_delta_cents"): 1200.0, ("q", "render_pitch_delta_cents"): None}
+
+
+def test_dynamics_interval_and_stereo_in_closed_form(spark):
+    squeezed = lambda x: x if x <= -30 else -30 + (x + 30) / 4
+    points = spark.createDataFrame([(k, squeezed(-60.0 + 3 * k) + 5, -60.0 + 3 * k) for k in range(20)], "span long, ref double, model double")
+    rows = {r["fit"]: (r["estimate"], r["q05"], r["q95"]) for r in fits.dynamics_interval(points).collect()}
+    assert rows == {"threshold": (-30.0,) * 3, "ratio": (4.0,) * 3, "makeup_db": (5.0,) * 3}
+    assert fits.dynamics_interval(points.filter("span < 7")).count() == 0
+    spans = [(k, kind, r, m) for k in range(9) for kind, r, m in (("delay_samples", 500.0, 1.0), ("balance_db", 1.0, 3.0), ("width_ratio", 1.0, 0.0), ("correlation", 0.5, -0.25))]
+    spans = spark.createDataFrame(spans, "span long, kind string, ref double, model double")
+    rows = {(r["scope"], r["kind"]): r["estimate"] for r in fits.stereo(spans, 48000.0).collect()}
+    assert {k: v for k, v in rows.items() if k[0] == "correction"} == {("correction", k): v for k, v in (("delay_samples", 96.0), ("balance_db", -2.0), ("width_ratio", 4.0), ("correlation", 0.25), ("polarity", -1.0))}
+    assert rows["model", "polarity"] == -1.0 and rows["reference", "polarity"] == 1.0 and len(rows) == 15
+    assert fits.stereo(spans.filter("span < 7"), 48000.0).count() == 0
