@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import math
 import re
 from functools import lru_cache
 
@@ -71,9 +72,7 @@ def _round_key(key: bytes, domain: int, turn: int) -> bytes:
 def _feistel(value: int, key: bytes, domain: int, back: bool) -> int:
     """A permutation of range(domain): an unbalanced Feistel network on range(a * b), a * b
     being the next product at or above the domain, walked until it ends within."""
-    a = max(2, int(domain**0.5))
-    while a * a < domain:
-        a += 1
+    a = max(2, math.isqrt(domain - 1) + 1)
     while True:
         left, right = divmod(value, a)
         for turn in reversed(range(ROUNDS)) if back else range(ROUNDS):
@@ -88,15 +87,21 @@ def _feistel(value: int, key: bytes, domain: int, back: bool) -> int:
 
 
 def _mask(half: int, key: bytes, size: int) -> int:
-    n = (half.bit_length() + 7) // 8 or 1
-    return int.from_bytes(hashlib.blake2b(half.to_bytes(n, "big"), key=key, digest_size=24).digest(), "big") % size
+    data = half.to_bytes((half.bit_length() + 7) // 8 or 1, "big")
+    if size < 1 << 128:
+        return int.from_bytes(hashlib.blake2b(data, key=key, digest_size=24).digest(), "big") % size
+    # 64 bits more than the size has, so that no residue is favoured
+    return int.from_bytes(hashlib.shake_256(key + data).digest(size.bit_length() // 8 + 9), "big") % size
 
 
 def permute(value: int, key: bytes, kind: str, domain: int, back: bool = False) -> int:
     """``value`` of range(domain) under the kind's own key; ``back`` undoes it."""
-    if domain < 2:
-        return value
-    return _feistel(value, hashlib.blake2b(kind.encode(), key=key, digest_size=32).digest(), domain, back)
+    return _feistel(value, _kind_key(key, kind), domain, back) if domain > 1 else value
+
+
+@lru_cache(maxsize=4096)
+def _kind_key(key: bytes, kind: str) -> bytes:
+    return hashlib.blake2b(kind.encode(), key=key, digest_size=32).digest()
 
 
 def luhn(digits: str) -> int:
@@ -115,9 +120,9 @@ def _refill(form: str, digits: str) -> str:
 
 
 def _date(text: str) -> tuple[datetime.date, str] | None:
-    form = f"%Y{text[4]}%m{text[7]}%d" if not text[4].isdigit() else None
-    if form:
-        forms = [form] if text[4] == text[7] else []
+    """The day and the form it is written in: year first, else day first, else month first."""
+    if not text[4].isdigit():
+        forms = [f"%Y{text[4]}%m{text[7]}%d"] if text[4] == text[7] else []
     else:
         forms = [f"%d{text[2]}%m{text[5]}%Y", f"%m{text[2]}%d{text[5]}%Y"] if text[2] == text[5] else []
     for form in forms:
@@ -130,6 +135,18 @@ def _date(text: str) -> tuple[datetime.date, str] | None:
     return None
 
 
+@lru_cache(maxsize=1 << 17)
+def _other_day(day: datetime.date, key: bytes, month_first: bool, back: bool) -> datetime.date:
+    """The day that stands for ``day``, in every form the same. What is read month first has
+    a day above 12, or it would be read day first; there the permutation goes on until it
+    comes to such a day again, so the forms' images are as distinct as the forms."""
+    while True:
+        n = permute((day - FIRST_DAY).days, key, "date", (LAST_DAY - FIRST_DAY).days + 1, back)
+        day = FIRST_DAY + datetime.timedelta(n)
+        if not month_first or day.day > 12:
+            return day
+
+
 #: Alphabets within which a character of a name is replaced.
 _ALPHABETS = (
     "0123456789",
@@ -178,8 +195,7 @@ def pseudonym(kind: str, text: str, key: bytes, back: bool = False) -> str | Non
         if not found:
             return None
         day, form = found
-        span = (LAST_DAY - FIRST_DAY).days + 1
-        return (FIRST_DAY + datetime.timedelta(permute((day - FIRST_DAY).days, key, kind, span, back))).strftime(form)
+        return _other_day(day, key, form.startswith("%m"), back).strftime(form)
     if kind == "iban":
         plain = text.replace(" ", "")
         number = lambda s: int("".join(str(int(c, 36)) for c in s))
@@ -190,11 +206,12 @@ def pseudonym(kind: str, text: str, key: bytes, back: bool = False) -> str | Non
         it = iter(f"{plain[:2]}{check:02d}{body}")
         return "".join(c if c == " " else next(it) for c in text)
     if kind == "card":
-        # all but the check digit is permuted; a valid check digit stays valid, any other keeps its distance
+        # all but the check digit is permuted, which follows from the others
         body = digits[:-1]
-        off = (int(digits[-1]) - luhn(body)) % 10
+        if luhn(body) != int(digits[-1]):
+            return None
         body = str(permute(int(body), key, f"card{len(digits)}", 10 ** len(body), back)).zfill(len(body))
-        return _refill(text, body + str((luhn(body) + off) % 10))
+        return _refill(text, f"{body}{luhn(body)}")
     if kind == "secret":
         value = permute(int(text, 16), key, f"hex{len(text)}", 16 ** len(text), back)
         out = f"{value:0{len(text)}x}"
@@ -209,7 +226,18 @@ def pseudonym(kind: str, text: str, key: bytes, back: bool = False) -> str | Non
         keep = len(_DIGITS.findall(country[0])) if country else int(trunk or len(digits) == 11 and text[0] == "1")
         rest = digits[keep:]
         return _refill(text, digits[:keep] + str(permute(int(rest), key, f"phone{len(rest)}", 10 ** len(rest), back)).zfill(len(rest)))
-    return _refill(text, str(permute(int(digits), key, kind, 10 ** len(digits), back)).zfill(len(digits)))
+    return _ssn(text, digits, key, back)
+
+
+def _ssn(text: str, digits: str, key: bytes, back: bool) -> str | None:
+    """Areas 000, 666 and 900 to 999, group 00 and serial 0000 are never given out."""
+    area, group, serial = int(digits[:3]), int(digits[3:5]), int(digits[5:])
+    if area in (0, 666) or area > 899 or not group or not serial:
+        return None
+    place = area - 1 - (area > 666)
+    value = permute((place * 99 + group - 1) * 9999 + serial - 1, key, "ssn", 898 * 99 * 9999, back)
+    place, group, serial = value // (99 * 9999), value // 9999 % 99, value % 9999
+    return _refill(text, f"{place + 1 + (place > 664):03d}{group + 1:02d}{serial + 1:04d}")
 
 
 def _ends(kind: str, text: str) -> list[int]:
@@ -273,10 +301,10 @@ def mask_personal_data(docs: DataFrame, key: str, text_col: str = "text") -> Dat
     """``docs`` with the text pseudonymised and ``pii``: kind, start, end (code points of
     the new text) of each pseudonym. ``pii`` replaces a column of that name.
 
-    Emails, IPv4 addresses, dates, IBANs, social security, phone, card and other long
-    account numbers, and hexadecimal secrets count; phone numbers are international ones
-    behind + or 00, ddd-ddd-dddd and its like, and national ones in groups behind a 0; what fails its kind's validation is
-    left alone. A null text stays null, with no spans; each row is treated for itself, so
+    Emails, IPv4 addresses, dates, IBANs, social security, phone and card numbers, and
+    hexadecimal secrets count; phone numbers are international ones behind + or 00,
+    ddd-ddd-dddd and its like, and national ones in groups behind a 0; what fails its
+    kind's validation (the check digits of cards and IBANs among it) is left alone. A null text stays null, with no spans; each row is treated for itself, so
     rows that repeat stay alike; an empty table gives an empty result.
     """
     span = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
