@@ -326,7 +326,7 @@ def test_dates_of_every_form_are_a_permutation():
 
 def test_numbers_that_fail_their_check_stay():
     key = b"k" * 32
-    plain = ("4111 1111 1111 1112", "9807915762804490", "000-00-0000", "000-12-3456", "666-12-3456", "900-12-3456", "999-99-9999", "123-00-4567", "123-45-0000", "DE88 3704 0044 9532 9130 00")
+    plain = ("4111 1111 1111 1112", "9807915762804490", "000-00-0000", "000-12-3456", "666-12-3456", "900-12-3456", "999-99-9999", "123-00-4567", "123-45-0000", "DE88370400440532013000")
     for text in plain:
         assert pseudonyms.pseudonymise(text, key) == (text, [])
     r = random.Random(4)
