@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,21 +55,27 @@ PARTS = frozenset(
     "footer gdpr header masthead menu modal nav navbar navigation newsletter notice notification pagination popup promo promoted promotion related "
     "replies reply search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split()
 )
-#: Components of names that speak of a part elsewhere, and of the heads of articles.
-ELSEWHERE = frozenset("has have with without no not show hide layout open opened closed collapsed expanded enabled disabled".split())
+#: Words that may stand beside these in such a name, and in names of the heads of articles.
+BESIDE = frozenset(
+    "all area articles bar block blocks body bottom box btn button buttons column container content count desktop entries entry feed fixed floating form global "
+    "grid group holder icon icons inline inner item items js large left link links list main media mobile module news outer overlay page panel policy post posts "
+    "primary right row secondary section side signup site slot small sticky stories story text thread title top unit up web widgets wrap wrapper".split()
+)
 HEADED = frozenset("article post entry story content news blog page section title".split())
 LENGTH_LOW, LENGTH_HIGH, STOP_LOW, STOP_HIGH, LINKS = 70, 200, 0.15, 0.30, 0.33
 #: A page's share of stop words below which its language is none of theirs, and the letters that a wide one counts as.
 STOP_KNOWN, WIDE = 0.20, 3
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"(?P<text>[^<]++)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<more>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<[/!?a-zA-Z][^>]*+>"
-    r"|(?P<text>[^<]++|<)",
-    re.S | re.I,
+    r"|(?P<lone><)"
 )
+_START = {tag: re.compile(rf"<{tag}[\s/>]", re.I) for tag in RAW}
+_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
+#: Where code ends that has no end tag.
+_AFTER_CODE = re.compile(r"</?(?:html|head|body|main|article|section|div|p|h[1-6]|ul|ol|table|nav|header|footer|aside)\b", re.I)
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)(?![\w-])", re.I)
 _PART = re.compile(r"[a-z]+|\d+")
@@ -83,19 +91,20 @@ class Block:
     framed: bool
     main: int
     heading: bool
-    parts: tuple = ()
+    part: int = 0
     label: str = ""
 
 
+@lru_cache(maxsize=1 << 16)
 def _names_part(name: str, main: int) -> bool:
-    """Whether a class, id or role name is that of a part which is not the article; a name
-    that says where such a part is or how it looks (has-sidebar, layout--sidebar), or that
-    of an article's head, is not."""
-    parts = _PART.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name.partition("--")[0] or name).lower())
-    found = PARTS.intersection(parts)
-    if not found or not ELSEWHERE.isdisjoint(parts):
+    """Whether a class, id or role name is, as a whole, that of a part which is not the
+    article: such a word and at most words of place and form beside it (sidebar-left,
+    related-posts); not has-sidebar, ad-free or related-work, nor the head of an article."""
+    words = set(_PART.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name.partition("--")[0] or name).lower()))
+    found = PARTS & words
+    if not found or not all(w in PARTS or w in BESIDE or w in HEADED or w.isdigit() for w in words):
         return False
-    return found != {"header"} or not main and HEADED.isdisjoint(parts)
+    return found != {"header"} or not main and HEADED.isdisjoint(words)
 
 
 def _outside(tag: str, attributes: str, main: int) -> str:
@@ -117,87 +126,139 @@ def _outside(tag: str, attributes: str, main: int) -> str:
     return part
 
 
+def _tokens(page: str):
+    """(text, "", "") and ("", tag, attributes) in order, an end tag as /tag. What comments
+    and elements without text hold is passed over. Such an element without an end tag, or
+    one that closes itself, holds nothing: no page is lost to it."""
+    at, last = 0, page.rfind(">")
+    gone: set = set()  # what does not come again from here on, so each is looked for once
+
+    def ahead(pattern, what):
+        found = None if what in gone else pattern.search(page, at)
+        if not found:
+            gone.add(what)
+        return found
+
+    while at < len(page):
+        if at > last:
+            yield page[at:], "", ""
+            return
+        if page.startswith("<!--", at):
+            end = -1 if "-->" in gone else page.find("-->", at + 2)
+            if end < 0:
+                gone.add("-->")
+            at = end + 3 if end >= 0 else page.find(">", at) + 1
+            continue
+        m = _TOKEN.match(page, at)
+        at = m.end()
+        if m["tag"] is None:
+            if m["text"] or m["lone"]:
+                yield m[0], "", ""
+            continue
+        tag, more = m["tag"].lower(), m["more"]
+        if tag not in _END:
+            yield "", m["end"] + tag, more
+            continue
+        if m["end"]:
+            continue
+        end = ahead(_END[tag], "/" + tag)
+        if more.endswith("/"):
+            # script and style may go on all the same
+            if tag not in ("script", "style") or not end or (again := ahead(_START[tag], tag)) and again.start() < end.start():
+                continue
+        if end:
+            at = end.end()
+        elif tag in ("script", "style"):
+            found = _AFTER_CODE.search(page, at)
+            at = found.start() if found else len(page)
+
+
 def blocks(page: str) -> list[Block]:
     """The page's blocks of text, in order; references decoded, white space folded."""
     out: list[Block] = []
     parts: list[str] = []
     linked = 0
-    stack: list[tuple] = []  # (tag, frames, mains, links, headings, named parts, articles) of what is open
+    stack: list[tuple] = []  # (tag, frames, mains, links, headings, named part, article) of what is open
+    opened: Counter = Counter()
     frames = links = headings = main = mains = 0
-    named: tuple = ()  # numbers of the open elements that are outside by their name alone
-    count = free = 0
-    articles: list[list] = []  # [size, named parts around it] of each article
+    named, above = 0, [0]  # the innermost open element that is outside by its name alone, and what each stands in
+    sizes: Counter = Counter()  # characters without links directly in each of these
+    articles: list[list] = []  # [size, named part around it] of each article
     held: set[int] = set()  # named parts that hold the page's article after all
 
     def close():
-        nonlocal linked, free
+        nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
             out.append(Block(text, min(linked, len(text)), frames > 0, main, headings > 0, named))
             if not frames:
-                size = len(text) - out[-1].links
-                free += 0 if named else size
-                for x in stack if articles else ():
-                    if x[6] is not None and x[6][1] == named:
-                        x[6][0] += size
+                sizes[named] += len(text) - out[-1].links
         parts.clear()
         linked = 0
 
-    for m in _TOKEN.finditer(page):
-        if (text := m["text"]) is not None:
+    def leave():
+        nonlocal frames, links, headings, main, named
+        name, f, a, l, h, n, article = stack.pop()
+        opened[name] -= 1
+        frames, links, headings = frames - f, links - l, headings - h
+        named = above[named] if n else named
+        main = 0 if a else main
+        if article:
+            article[0] = sizes[article[1]] - article[0]
+        return name
+
+    def hold(part):
+        while part and part not in held:
+            held.add(part)
+            part = above[part]
+
+    for text, tag, more in _tokens(page):
+        if not tag:
             parts.append(text)
             if links:
                 linked += len("".join(html.unescape(text).split()))
             continue
-        if m["tag"] is None:
-            continue
-        tag = m["tag"].lower()
-        if tag == "head":
+        name = tag.lstrip("/")
+        if name == "head":
             # what a head may hold is skipped by itself; anything else ends it, as </head> may be left out
             continue
-        if tag in BREAK:
+        if name in BREAK:
             close()
-        elif tag == "br":
+        elif name == "br":
             parts.append(" ")
-        if m["end"]:
-            if any(x[0] == tag for x in stack):
-                while True:
-                    name, f, a, l, h, n, _ = stack.pop()
-                    frames, links, headings = frames - f, links - l, headings - h
-                    named = named[:-1] if n else named
-                    if a:
-                        main = next((x[2] for x in reversed(stack) if x[2]), 0)
-                    if name == tag:
-                        break
-        elif tag not in VOID and not (m["more"] or "").endswith("/"):
+        if tag != name:
+            while opened[name] and leave() != name:
+                pass
+        elif name not in VOID and not more.endswith("/"):
             # an open p ends where the next begins; li, dt, dd, td, th, tr and option likewise
-            if tag in ("p", "li", "dt", "dd", "td", "th", "tr", "option") and stack and stack[-1][0] == tag:
-                _, f, a, l, h, n, _ = stack.pop()
-                frames, links, headings = frames - f, links - l, headings - h
-                named = named[:-1] if n else named
-            why = _outside(tag, m["more"] or "", main)
+            if name in ("p", "li", "dt", "dd", "td", "th", "tr", "option") and stack and stack[-1][0] == name:
+                leave()
+            why = _outside(name, more, main)
             f, n = int(why == "frame"), int(why == "part")
             if n:
-                count += 1
-                named += (count,)
+                above.append(named)
+                named = len(above) - 1
             a, article = 0, None
-            if tag in MAIN and not (frames or f or n) and named:
-                if tag == "main":
-                    held.update(named)
+            if name in MAIN and not (frames or f or n) and named:
+                if name == "main":
+                    hold(named)
                 else:
-                    articles.append(article := [0, named])
-            if tag in MAIN and not main:
+                    articles.append(article := [sizes[named], named])
+            if name in MAIN and not main:
                 mains += 1
                 a = main = mains
-            l, h = int(tag == "a"), int(tag in ("h1", "h2", "h3", "h4", "h5", "h6"))
+            l, h = int(name == "a"), int(name in ("h1", "h2", "h3", "h4", "h5", "h6"))
             frames, links, headings = frames + f, links + l, headings + h
-            stack.append((tag, f, a, l, h, n, article))
+            opened[name] += 1
+            stack.append((name, f, a, l, h, n, article))
     close()
+    while stack:
+        leave()
     # a named part also holds the page's article if an article in it has more text than stands free
-    if articles and (most := max(articles, key=lambda x: x[0]))[0] > free:
-        held.update(most[1])
+    if articles and (most := max(articles, key=lambda x: x[0]))[0] > sizes[0]:
+        hold(most[1])
     for b in out:
-        b.framed = b.framed or not held.issuperset(b.parts)
+        b.framed = b.framed or b.part > 0 and b.part not in held
     return out
 
 

@@ -485,6 +485,62 @@ def test_html_head_without_an_end():
             assert html_text.extract(page) == body.strip(), page
 
 
+def test_html_elements_that_never_end():
+    body = "words of the article that go on and on for a good while " * 6
+    for start in ("<svg class=i/>", "<iframe src=x>", "<script src=x />", "<script>var a = 1;", "<select>", "<!-- open", "<template>", "<audio controls>", "<object data=x>", "<!-->", "<!--->", "<title>t", "<textarea>"):
+        assert html_text.extract(f"<html><body>{start}<article><p>{body}</article></body>").endswith(body.strip()), start
+    assert html_text.extract(f"<article><p>{body}<section id=related-work><p>{body}</section></article>") == f"{body.strip()}\n\n{body.strip()}"
+    assert html_text.extract(f"<div class='ad-free content'><p>{body}</div>") == body.strip()
+    for name in ("related-posts", "commentList", "ad-slot-2", "cookie-banner", "site-header", "share-buttons", "newsletter-signup"):
+        assert html_text.extract(f"<body><p>{body}<div class={name}><p>{body}</div></body>") == body.strip(), name
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100000, "<i>" * 100000 + "</b>" * 100000, "<div><i>" * 50000 + "</b></div>" * 50000, "<div class=ad>x " * 30000, "<a" * 100000, "<!-- x " * 100000, "<svg>" * 100000, '<p "' * 100000])
+def test_html_takes_linear_time(page):
+    began = time.monotonic()
+    html_text.extract(page)
+    assert time.monotonic() - began < 3
+
+
+def test_html_second_pass_against_brute_force():
+    """Each undecided block by a search of all others."""
+    r = random.Random(11)
+
+    def some():
+        n = r.choice([1, 2, 4, 12, 40, 90])
+        words = " ".join(r.choice(WORDS if r.random() < 0.6 else ["zorb", "quilt", "mango"]) for _ in range(n))
+        tag = r.choice(["p", "p", "p", "h2", "div", "nav", "li"])
+        return f"<{tag}>{'<a href=x>' + words + '</a>' if r.random() < 0.2 else words}</{tag}>"
+
+    for _ in range(400):
+        page = "".join(r.choice([some, some, some, lambda: f"<article>{''.join(some() for _ in range(r.randint(1, 6)))}</article>"])() for _ in range(r.randint(1, 9)))
+        found = html_text.blocks(page)
+        has_main = any(b.main and not b.framed for b in found)
+        known = html_text._known(found, has_main)
+        first = [html_text.judge(b, has_main, known) for b in found]
+        want = []
+        for k, (b, label) in enumerate(zip(found, first)):
+            if label in ("near", "short"):
+                decided = [j for j, x in enumerate(found) if x.main == b.main and first[j] in ("good", "bad") and not (x.framed and x.main)]
+                sides = [max((j for j in decided if j < k), default=None), min((j for j in decided if j > k), default=None)]
+                sides = [(abs(j - k), first[j]) for j in sides if j is not None]
+                labels = {x for _, x in sides}
+                if b.main and "good" not in labels:
+                    good = True
+                elif not sides or label == "near":
+                    good = label == "near" and (len(sides) < 2 or "good" in labels)
+                elif len(labels) == 1:
+                    good = labels == {"good"}
+                else:
+                    # of two as near the good one counts
+                    good = min(sides)[1] == "good" or sides[0][0] == sides[1][0]
+            else:
+                good = label == "good"
+            if good:
+                want.append(b.text)
+        assert html_text.extract(page) == "\n\n".join(want)
+
+
 #: Paragraphs in languages with few words of the first seven lists.
 ELSEWHERE = {
     "pl": "Wczoraj wieczorem mieszkańcy miasta spotkali się w ratuszu, żeby porozmawiać o nowym planie zagospodarowania terenów nad rzeką. Burmistrz zapewnił, że prace rozpoczną się dopiero po zakończeniu konsultacji.",
