@@ -23,6 +23,8 @@ _RATES = [1 / math.factorial(k) for k in range(16)]
 #: Cumulated Poisson(1) probabilities, scaled to 64 bits.
 _CDF = np.array([min(2**64 - 1, int(2**64 * sum(_RATES[: k + 1]) / math.e)) for k in range(16)], U)
 _WORD = np.zeros(256, bool)
+#: Words whose bytes are hashed at a time.
+WORDS = 1 << 17
 _WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 
 
@@ -45,6 +47,13 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+def _word_hashes(flat: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    up, down = _powers(len(flat))
+    total = np.zeros(len(flat) + 1, U)
+    np.cumsum((flat.astype(U) + U(1)) * up, out=total[1:])
+    return mix((total[end] - total[start]) * down[start] + (end - start).astype(U))
+
+
 def shingles(texts: list, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(text number, 64-bit hash) of every shingle, in order. Words are runs of ASCII
     letters, digits and non-ASCII characters of the lower-cased text; a text of fewer than
@@ -58,10 +67,10 @@ def shingles(texts: list, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
         edge = np.concatenate([[0], edge])
     start, end = edge[::2], edge[1::2]
     doc = np.repeat(np.arange(len(texts)), lengths)[start]
-    up, down = _powers(len(flat))
-    total = np.zeros(len(flat) + 1, U)
-    np.cumsum((flat.astype(U) + U(1)) * up, out=total[1:])
-    words = mix((total[end] - total[start]) * down[start] + (end - start).astype(U))
+    words = np.empty(len(start), U)
+    for k in range(0, len(start), WORDS):
+        first, last = start[k : k + WORDS], end[k : k + WORDS]
+        words[k : k + WORDS] = _word_hashes(flat[first[0] : last[-1]], first - first[0], last - first[0])
     n = len(words)
     h = np.zeros(n, U)
     for k in range(width):

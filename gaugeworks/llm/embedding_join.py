@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugeworks.llm.common import settle
+from gaugeworks.llm.common import column, discard, settle
 from gaugeworks.llm.groups import blocks_of, components, with_group
 
 THRESHOLD = 0.98
@@ -48,8 +48,7 @@ def _vectors(rows: DataFrame, id_col: str, vector_col: str, label_col: str) -> D
                 values = vector.values
                 if label is not None and values is not None and len(values) and values.null_count == 0:
                     v = values.to_numpy(zero_copy_only=False).astype(wide) + 0.0
-                    norm = float(np.linalg.norm(v.astype(np.float64)))
-                    if np.isfinite(v).all() and norm > 0 and math.isfinite(norm):
+                    if np.isfinite(v).all() and v.any():
                         kept, grp = v.astype(wide).tobytes(), f"{label}:{len(v)}"
                         fp = hashlib.blake2b(grp.encode() + b"|" + kept, digest_size=16).digest()
                 fps.append(fp)
@@ -59,11 +58,15 @@ def _vectors(rows: DataFrame, id_col: str, vector_col: str, label_col: str) -> D
                 [batch.column(0), pa.array(fps, pa.binary()), pa.array(groups, pa.string()), pa.array(data, pa.binary())], names=schema.names
             )
 
-    return rows.select(F.col(id_col), F.col(vector_col), F.col(label_col).cast("string")).mapInArrow(read, schema), wide
+    return rows.select(column(id_col), column(vector_col), column(label_col).cast("string")).mapInArrow(read, schema), wide
 
 
 def unit(data: list, wide: str) -> np.ndarray:
+    """Unit vectors, scaled by their largest component first, so that no square over- or underflows."""
     v = np.frombuffer(b"".join(data), wide).reshape(len(data), -1).astype(np.float64)
+    # by a power of two, which rounds nothing; in two halves, as the whole may not be a number
+    power = -np.frexp(np.abs(v).max(1, keepdims=True))[1]
+    v = np.ldexp(np.ldexp(v, power // 2), power - power // 2)
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
@@ -160,7 +163,10 @@ def _interval_pairs(boxes: DataFrame, eps: float, axes: int) -> DataFrame:
     for level in range(levels - 1, -1, -1):
         halves = F.array(*[F.struct((F.col("i") * 2 + a).alias("i"), (F.col("j") * 2 + b).alias("j")) for a in (0, 1) for b in (0, 1)])
         split = pairs.select("grp", F.inline(halves)).filter("i <= j")
-        pairs = settle(split.join(side(level, "i"), ["grp", "i"]).join(side(level, "j"), ["grp", "j"]).filter(gap <= eps * eps).select("grp", "i", "j"))
+        fewer = settle(split.join(side(level, "i"), ["grp", "i"]).join(side(level, "j"), ["grp", "j"]).filter(gap <= eps * eps).select("grp", "i", "j"))
+        discard(pairs)
+        pairs = fewer
+    discard(tree)
     return pairs
 
 
@@ -198,15 +204,14 @@ def near_vectors(
 
     def box(batches):
         for batch in batches:
-            ends = [(p.min(0).tolist(), p.max(0).tolist()) for p in (project(unit(d, wide), main) for d in batch.column(2).to_pylist())]
+            ends = [(p.min(0).tolist(), p.max(0).tolist()) for p in (project(unit(d.as_py(), wide), main) for d in batch.column(2))]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:2], *[pa.array([e[k] for e in ends], pa.list_(pa.float64())) for k in (0, 1)]], names=["grp", "block", "lo", "hi"]
             )
 
     boxes = cut.select("grp", "block", "data").mapInArrow(box, "grp string, block long, lo array<double>, hi array<double>")
     number = F.row_number().over(W.partitionBy("grp").orderBy("block")) - 1
-    # a row is a block here, and two blocks in the comparison
-    boxes = settle(boxes.withColumn("seq", number.cast("long")), rows_per_batch=16)
+    boxes = settle(boxes.withColumn("seq", number.cast("long")))
     pairs = _interval_pairs(boxes, eps, axes)
     full = cut.join(boxes.select("grp", "block", "seq"), ["grp", "block"])
     left, right = (full.select("grp", F.col("seq").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("fp", "data", "weight")]) for k in ("i", "j"))
@@ -214,7 +219,7 @@ def near_vectors(
 
     def compare(batches):
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
                 same = r["i"] == r["j"]
                 x, y = (unit(r[f"data_{k}"], wide) for k in ("i", "j"))
                 wx, wy = (np.array(r[f"weight_{k}"]) for k in ("i", "j"))
@@ -233,11 +238,12 @@ def near_vectors(
                     names=["a", "b", "n"],
                 )
 
-    found = settle(joined.mapInArrow(compare, "a binary, b binary, n long"), rows_per_batch=8)
+    found = settle(joined.mapInArrow(compare, "a binary, b binary, n long"))
     counts = found.groupBy(F.col("a").alias("fp")).agg(F.sum("n").alias("far"))
     nodes = components(found.filter("b is not null").select("a", "b"))
     linked = counts.join(nodes.withColumnRenamed("node", "fp"), "fp", "full")
     linked = settle(classes.select("fp", "weight").join(linked, "fp", "left").select("fp", (F.col("weight") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"), F.coalesce("root", "fp").alias("root")))
+    discard(cut, boxes, pairs, found, nodes, classes)
     placed = settle(some.select("vec_id", "fp").join(linked, "fp").select("vec_id", "n_links", "root"))
     placed = with_group(placed, ["root"], component_id=(F.min, F.min, "vec_id"))
     alone = read.filter(F.col("fp").isNull()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

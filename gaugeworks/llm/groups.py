@@ -44,7 +44,9 @@ def components(links: DataFrame) -> DataFrame:
         labels = new
         if not moved:
             discard(both)
-            return labels.select("node", "root")
+            out = labels.select("node", "root")
+            out._gw_path = labels._gw_path
+            return out
 
 
 def pa_types(schema) -> list:
@@ -54,9 +56,14 @@ def pa_types(schema) -> list:
     return [to_arrow_type(f.dataType) for f in schema.fields]
 
 
+#: Bytes of binary values at which a block is closed, and at which finished blocks are handed on.
+BLOCK_BYTES = 1 << 22
+
+
 def blocks_of(rows: DataFrame, keys: list[str], order: list[str], size: int) -> DataFrame:
     """``rows`` gathered into blocks of ``size`` rows at most with the same ``keys``:
-    the keys, ``block`` (a number of its own) and an array for each other column.
+    the keys, ``block`` (a number of its own) and an array for each other column. A block
+    ends sooner where its binary values reach ``BLOCK_BYTES``.
 
     Rows are range-sorted on keys and order, so a hot key spans many tasks.
     """
@@ -79,14 +86,18 @@ def blocks_of(rows: DataFrame, keys: list[str], order: list[str], size: int) ->
         done: list = []
         kept: list = []
         last = None
+        here = held = 0
 
         def flush():
+            nonlocal held
             columns = list(zip(*done))
             done.clear()
+            held = 0
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=schema.names)
 
         def close():
-            nonlocal number
+            nonlocal number, here, held
+            held, here = held + here, 0
             done.append((*last, number, *[list(c) for c in zip(*kept)]))
             number += 1
             kept.clear()
@@ -94,12 +105,13 @@ def blocks_of(rows: DataFrame, keys: list[str], order: list[str], size: int) ->
         for batch in batches:
             heads, rest = [batch.column(k).to_pylist() for k in keys], [batch.column(c).to_pylist() for c in others]
             for key, row in zip(zip(*heads), zip(*rest)):
-                if kept and (key != last or len(kept) == size):
+                if kept and (key != last or len(kept) == size or here >= BLOCK_BYTES):
                     close()
-                    if len(done) == 64:
+                    if len(done) == 64 or held >= BLOCK_BYTES:
                         yield flush()
                 last = key
                 kept.append(row)
+                here += sum(len(v) for v in row if isinstance(v, bytes))
         if kept:
             close()
         if done:

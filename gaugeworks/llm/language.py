@@ -17,27 +17,31 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugeworks.llm.common import id_hash
+from gaugeworks.llm.common import column, pieces
 
 DIM = 1 << 13
-#: Documents that are turned into vectors at a time.
-BLOCK = 128
+#: Documents, and characters, that are turned into vectors at a time; longer texts are counted in pieces.
+BLOCK, PIECE = 128, 1 << 20
 UNKNOWN = "und"
 
 
 @dataclass(frozen=True)
 class Fit:
-    """How the classifier is fitted; the sample's bounds are documents."""
+    """How the classifier is fitted; the sample's bounds are documents. Where there are more
+    than ``in_all`` languages, that many of those with most documents are learned."""
 
     per_language: int = 400
     in_all: int = 3000
     clusters: int = 4
     turns: int = 8
-    #: A text is rejected below this share of the least cosine of training texts of its length.
+    #: A text is rejected below ``margin`` times the cosine that all but a share of ``strays`` of the training
+    #: texts of its length reach.
     margin: float = 0.5
+    strays: float = 0.01
 
 
 @dataclass
@@ -56,8 +60,32 @@ def _letters() -> np.ndarray:
     return np.array([0xD800 <= c < 0xE000 or chr(c).isalpha() for c in range(0x110000)])
 
 
+def _cut(text: str):
+    """Pieces of a text, cut at white space where there is any near the end of a piece."""
+    at = 0
+    while at < len(text):
+        end = at + PIECE
+        if end < len(text):
+            end = max(text.rfind(" ", at + PIECE // 2, end), text.rfind("\n", at + PIECE // 2, end)) + 1 or end
+        yield text[at:end]
+        at = end
+
+
 def grams(texts: list) -> tuple[np.ndarray, np.ndarray]:
-    """Counts (len(texts), DIM) of hashed n-grams, and whether each text has a letter."""
+    """Counts (len(texts), DIM) of hashed n-grams, and whether each text has a letter. Of a
+    text above ``PIECE`` characters the n-grams across its cuts are not counted."""
+    if all(len(t) <= PIECE for t in texts):
+        return _grams(texts)
+    counts, has = np.zeros((len(texts), DIM), np.float32), np.zeros(len(texts), bool)
+    for k, text in enumerate(texts):
+        for part in _cut(text):
+            c, h = _grams([part])
+            counts[k] += c[0]
+            has[k] |= h[0]
+    return counts, has
+
+
+def _grams(texts: list) -> tuple[np.ndarray, np.ndarray]:
     rows = len(texts)
     has = np.zeros(rows, bool)
     lengths = np.zeros(rows, np.int64)
@@ -107,25 +135,20 @@ def held_out(id_col) -> F.Column:
     return F.coalesce(F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def _blocks(values: list):
-    for k in range(0, len(values), BLOCK):
-        yield values[k : k + BLOCK]
-
-
 def _frequencies(train: DataFrame, text_col: str) -> tuple[int, np.ndarray]:
     """Number of texts and, for each slot, of texts that hold it, over all rows."""
 
     def count(batches):
         df, n = np.zeros(DIM, np.int64), 0
         for batch in batches:
-            for texts in _blocks([t or "" for t in batch.column(0).to_pylist()]):
+            for _, texts in pieces([t or "" for t in batch.column(0).to_pylist()], BLOCK, PIECE):
                 counts, _ = grams(texts)
                 df += (counts > 0).sum(0)
                 n += len(texts)
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([*range(DIM), DIM], pa.int32()), pa.array([*df.tolist(), n], pa.int64())], names=["slot", "n"])
 
-    rows = train.select(text_col).mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
+    rows = train.select(column(text_col)).mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
     df = np.zeros(DIM + 1, np.int64)
     for r in rows:
         df[r["slot"]] = r["n"]
@@ -134,21 +157,24 @@ def _frequencies(train: DataFrame, text_col: str) -> tuple[int, np.ndarray]:
 
 def _sample(train: DataFrame, id_col: str, text_col: str, lang_col: str, fit: Fit) -> list:
     """(lang, slots, counts) of the sampled texts, at most ``fit.in_all`` of them."""
-    sizes = {r[lang_col]: r["n"] for r in train.groupBy(lang_col).agg(F.count(F.lit(1)).alias("n")).orderBy(lang_col).limit(fit.in_all).collect()}
+    named = train.select(column(lang_col).cast("string").alias("lang"), column(text_col).alias("text"), F.coalesce(column(id_col).cast("string"), F.lit("")).alias("id"))
+    most = named.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(fit.in_all).collect()
+    sizes = {r["lang"]: r["n"] for r in most}
     if not sizes:
         return []
     each = min(fit.per_language, max(1, fit.in_all // len(sizes)))
-    draw = F.pmod(id_hash(F.col(id_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     asked = {lang: min(1.0, 1.2 * each / n + 20 / n) for lang, n in sizes.items()}
     share = F.create_map(*[F.lit(x) for pair in asked.items() for x in pair])
-    picked = train.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), draw.alias("draw"))
-    picked = picked.filter(F.col("draw") < share[F.col("lang")])
+    draw = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    picked = named.select("lang", "text", draw.alias("draw")).filter((F.col("draw") < share[F.col("lang")]) & F.col("text").rlike(r"\p{L}"))
+    # rows alike have one draw and may pass in any number: tasks keep the first few of each language
+    place = F.row_number().over(W.partitionBy("lang").orderBy("draw"))
+    picked = picked.withColumn("place", place).filter(F.col("place") <= each).drop("place")
 
     def sparse(batches):
         for batch in batches:
             langs, draws = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            at = 0
-            for texts in _blocks([t or "" for t in batch.column(1).to_pylist()]):
+            for at, texts in pieces([t or "" for t in batch.column(1).to_pylist()], BLOCK, PIECE):
                 counts, has = grams(texts)
                 for k in np.flatnonzero(has):
                     slots = np.flatnonzero(counts[k])
@@ -156,15 +182,10 @@ def _sample(train: DataFrame, id_col: str, text_col: str, lang_col: str, fit: Fi
                         [pa.array([langs[at + k]]), pa.array([draws[at + k]]), pa.array([slots.astype("<u2").tobytes()]), pa.array([counts[k][slots].astype("<f4").tobytes()])],
                         names=["lang", "draw", "slots", "counts"],
                     )
-                at += len(texts)
 
     rows = picked.mapInArrow(sparse, "lang string, draw double, slots binary, counts binary").collect()
-    out, taken = [], dict.fromkeys(sizes, 0)
-    for r in sorted(rows, key=lambda r: (r["draw"], r["lang"], bytes(r["slots"]), bytes(r["counts"]))):
-        if taken[r["lang"]] < each:
-            taken[r["lang"]] += 1
-            out.append((r["lang"], np.frombuffer(r["slots"], "<u2"), np.frombuffer(r["counts"], "<f4")))
-    return out
+    rows = sorted(rows, key=lambda r: (r["draw"], r["lang"], bytes(r["slots"]), bytes(r["counts"])))
+    return [(r["lang"], np.frombuffer(r["slots"], "<u2"), np.frombuffer(r["counts"], "<f4")) for r in rows]
 
 
 def cluster(v: np.ndarray, k: int, turns: int) -> np.ndarray:
@@ -184,8 +205,11 @@ def cluster(v: np.ndarray, k: int, turns: int) -> np.ndarray:
 
 def train_model(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", fit: Fit = Fit()) -> Model:
     """Fit on the rows that are not held out and name a language; without any, the model
-    knows no language and calls every text unknown."""
-    train = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col)))
+    knows no language and calls every text unknown. Null texts and languages teach nothing,
+    letterless texts only how rare n-grams are; null ids are not held out; rows that repeat
+    count each for itself; ties of language go to the first by name; further columns, of
+    any name, are ignored."""
+    train = docs.filter(column(lang_col).isNotNull() & column(text_col).isNotNull() & ~held_out(column(id_col)))
     sample = _sample(train, id_col, text_col, lang_col, fit)
     if not sample:
         return Model()
@@ -208,7 +232,7 @@ def train_model(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lan
     floor, least = np.zeros(32), 0.0
     for b in range(32):
         mine = np.log2(np.maximum(size, 1)).astype(int) == b
-        least = max(least, float(cosine[mine].min())) if mine.sum() >= 20 else least
+        least = max(least, float(np.quantile(cosine[mine], fit.strays))) if mine.sum() >= 20 else least
         floor[b] = fit.margin * least
     return Model(languages, idf, np.concatenate(centroids), np.array(owner), floor)
 
@@ -217,7 +241,7 @@ def predict(model: Model, texts: list) -> tuple[list, list, list]:
     """(language, score, rejected) of each text; null and letterless texts are unknown and
     rejected, a text far from every centroid names the nearest language and is rejected."""
     langs, scores, rejected = [], [], []
-    for block in _blocks([t or "" for t in texts]):
+    for _, block in pieces([t or "" for t in texts], BLOCK, PIECE):
         counts, has = grams(block)
         if not model.languages:
             has[:] = False
@@ -257,4 +281,4 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep_only: b
             else:
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=schema.names)
 
-    return docs.select(*[f"`{f.name}`" for f in kept]).mapInArrow(judge, schema)
+    return docs.select(*[column(f.name) for f in kept]).mapInArrow(judge, schema)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import row_keys, settle
+from gaugeworks.llm.common import column, fresh, ids_repeat, row_keys, settle
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights and schedule slopes by the source's rank, repeating.
@@ -58,32 +58,36 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """One row per input row: doc_id, size, source_size, target, taken, taken_again
     (of ``taken``, by the second copy), position, position_again.
 
-    Words are taken from a source's documents in order until its target is met to the
-    word, so the last document may be taken in part; ``position`` is the training time of
-    a document's first copy and ``position_again`` that of its second (null: not taken).
-    The result is range-sorted by position, untaken documents last. Null texts have size 0,
-    a null source is a source of its own that comes last; rows that repeat are taken each
-    for itself. Empty tables give an empty result.
-
-    A source may hold any share of the rows: it is cut into 4096 buckets by its order key,
-    and only bucket sums are accumulated per source.
+    Whole documents are taken from a source in order until its target is met: the last one
+    if half of it at least lies within. ``position`` is the training time of a document's
+    first copy and ``position_again`` that of its second (null: not taken). The result is
+    range-sorted by position, untaken documents last. Null texts have size 0 and are not
+    taken, a null source is a source of its own that comes last; rows that repeat are taken
+    each for itself. Empty tables give an empty result; further columns are ignored.
+
+    The order is that of a hash of the id or, only where ids repeat, of id and row number,
+    so ties are broken alike in every run over the same files. A source may hold any share
+    of the rows: it is cut into 4096 buckets by its order key, and only bucket sums are
+    accumulated per source.
     """
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     rows = settle(
         docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("z")).alias("source"),
-            F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+            column(id_col).alias("doc_id"),
+            F.coalesce(F.concat(F.lit("s"), column(source_col).cast("string")), F.lit("z")).alias("source"),
+            F.coalesce(F.regexp_count(column(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+            F.monotonically_increasing_id().alias("row"),
         )
-        .withColumn("key", key)
-        .withColumn("bucket", F.substring("key", 1, DIGITS))
     )
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    if ids_repeat(rows, "doc_id"):
+        name = F.concat_ws("#", name, F.col("row").cast("string"))
+    rows = rows.withColumn("key", F.md5(name.cast("binary"))).withColumn("bucket", F.substring("key", 1, DIGITS))
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     before = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = sums.select("source", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("offset"))
     offsets = offsets.join(targets(rows, **options), "source")
-    within = W.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    taken = lambda start: F.greatest(F.lit(0), F.least(F.col("size"), F.col("words") - start))
+    within = W.partitionBy("source", "bucket").orderBy("key", "row").rowsBetween(W.unboundedPreceding, -1)
+    taken = lambda start: F.when(2 * start + F.col("size") <= 2 * F.col("words"), F.col("size")).otherwise(0)
     x = lambda start: start / F.col("words")
     at = lambda u: 2 * u / (1 + F.col("slope") + F.sqrt(F.pow(1 + F.col("slope"), F.lit(2)) - 4 * F.col("slope") * u))
     start, again = F.col("start"), F.col("start") + F.col("source_size")
@@ -111,21 +115,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """``docs`` as the mix reads them: a row per copy taken, range-sorted by position, the
-    columns as they were. The copy at which a source meets its target holds the words
-    taken; where it is cut, ``n_chars``, if there is such a column, is counted anew."""
-    keyed = row_keys(docs, id_col)
-    plan = mix(keyed, "_key", text_col, source_col, **options).filter("taken > 0")
-    copies = F.array(
-        F.struct(F.col("position").alias("at"), (F.col("taken") - F.col("taken_again")).alias("words")),
-        F.struct(F.col("position_again").alias("at"), F.col("taken_again").alias("words")),
-    )
-    plan = settle(plan.select(F.col("doc_id").alias("_of"), F.col("size").alias("_size"), F.inline(copies)).filter("words > 0"))
-    joined = keyed.join(plan, keyed["_key"].eqNullSafe(plan["_of"]))
-    part = F.col("words") < F.col("_size")
-    words = F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    cut = F.array_join(F.slice(words, F.lit(1), F.col("words").cast("int")), "")
-    out = joined.withColumn(text_col, F.when(part, cut).otherwise(F.col(text_col)))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(part, F.length(text_col)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.orderBy("at", "_of").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` as the mix reads them: a row per copy that ``mix`` takes, whole, range-sorted
+    by position, the columns as they were. Rows without words (null and empty texts among
+    them) are never taken; repeated rows, ties and empty tables are as in ``mix``."""
+    keyed, key = row_keys(docs, id_col)
+    at, of = fresh(keyed, "_at"), fresh(keyed, "_of")
+    plan = mix(keyed, key, text_col, source_col, **options)
+    plan = plan.select(F.col("doc_id").alias(of), F.explode(F.array("position", "position_again")).alias(at))
+    plan = settle(plan.filter(F.col(at).isNotNull()))
+    joined = keyed.join(plan.hint("merge"), keyed[key].eqNullSafe(plan[of]))
+    return joined.orderBy(at, of).select(*[column(c) for c in docs.columns])

@@ -4,9 +4,10 @@
    Texts with equal bags are one class; classes are the nodes from here on.
 2. In each band bucket a hub, drawn by a hash, is paired with each other member; the pairs
    are verified on the bags, and components of the links found.
-3. Buckets that still hold several components are cut into blocks by component, and blocks
-   of one bucket compared in numpy: pairs across components whose sketches agree well
-   enough are verified too, unless links found in the task have joined them already. So
+3. Buckets that still hold several components are cut into blocks by component, and a
+   block compared with itself and the bucket's other blocks in numpy: pairs across
+   components that a bound on their overlap doesn't rule out are verified too, the likeliest
+   by their sketches first, unless links found in the task have joined them already. So
    every pair that a bucket brings together is linked, joined by other links, or found too
    far apart, and what leaves a task is a forest of links, never pairs.
 """
@@ -16,27 +17,29 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugeworks.llm import bagminhash as bag
-from gaugeworks.llm.common import id_hash, keep_rows, partitions, settle
+from gaugeworks.llm.common import column, discard, keep_rows, pieces, row_keys, settle
 from gaugeworks.llm.groups import blocks_of, components, with_group
 
 WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 26, 5
-#: Share of equal sketch bytes under which a pair is not verified: five deviations below the threshold.
-SKETCH = 0.62
 BLOCK = 64
-#: Texts that are hashed at a time.
-BATCH = 64
+#: Orders in which hubs are drawn: of one cluster's buckets about so many draw another hub.
+DRAWS = 4
+#: Texts, and characters, that are hashed at a time.
+BATCH, CHARACTERS = 64, 1 << 20
+#: Bins of the histograms that bound an overlap.
+BINS = 1024
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(doc_id, fp, bands, sketch); the last three are null for texts without words."""
+def sketches(docs: DataFrame, key: str, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(key, doc_id, fp, bands, sketch); the last three are null for texts without words."""
     schema = T.StructType(
         [
+            T.StructField("key", docs.schema[key].dataType),
             T.StructField("doc_id", docs.schema[id_col].dataType),
             T.StructField("fp", T.BinaryType()),
             T.StructField("bands", T.ArrayType(T.LongType())),
@@ -46,15 +49,15 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
 
     def hash_(batches):
         for batch in batches:
-            texts = batch.column(1)
-            for at in range(0, batch.num_rows, BATCH):
-                found = bag.bags([t or "" for t in texts.slice(at, BATCH).to_pylist()], width)
+            for at, texts in pieces([t or "" for t in batch.column(2).to_pylist()], BATCH, CHARACTERS):
+                found = bag.bags(texts, width)
                 sig = bag.signatures(found, BANDS * ROWS)
                 keys, small = bag.bands(sig, ROWS), (sig & np.uint64(255)).astype(np.uint8)
                 some = [len(x) > 0 for x, _ in found]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(at, BATCH),
+                        batch.column(0).slice(at, len(texts)),
+                        batch.column(1).slice(at, len(texts)),
                         pa.array([bag.fingerprint(b) if s else None for b, s in zip(found, some)], pa.binary()),
                         pa.array([k if s else None for k, s in zip(keys, some)], pa.list_(pa.int64())),
                         pa.array([k.tobytes() if s else None for k, s in zip(small, some)], pa.binary()),
@@ -62,27 +65,22 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
                     names=schema.names,
                 )
 
-    return docs.select(id_col, text_col).mapInArrow(hash_, schema)
+    return docs.select(column(key).alias("key"), column(id_col).alias("doc_id"), column(text_col).alias("text")).mapInArrow(hash_, schema)
 
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(fp, bag) of the wanted classes (fp, doc_id), read off one text each. Texts are
-    always joined by a shuffle, at any size, for the wanted ids grow with the corpus."""
-    here = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    texts = here.join(wanted.hint("merge"), here["_id"].eqNullSafe(wanted["doc_id"])).select("fp", "_text")
+def shingle_sets(docs: DataFrame, wanted: DataFrame, key: str, text_col: str, width: int) -> DataFrame:
+    """(fp, bag) of the wanted classes (fp, key), read off one text each. Texts are always
+    joined by a shuffle, at any size, for the wanted keys grow with the corpus."""
+    here = docs.select(column(key).alias("_id"), column(text_col).alias("_text"))
+    texts = here.join(wanted.hint("merge"), here["_id"].eqNullSafe(wanted["key"])).select("fp", "_text")
 
     def hash_(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                found = bag.bags([t or "" for t in batch.column(1).slice(at, BATCH).to_pylist()], width)
-                names = batch.column(0).slice(at, BATCH).to_pylist()
-                # an id that repeats may bring other texts along
-                same = [(f, b) for f, b in zip(names, found) if len(b[0]) and bag.fingerprint(b) == f]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([f for f, _ in same], pa.binary()), pa.array([bag.pack_bag(b) for _, b in same], pa.binary())], names=["fp", "bag"]
-                )
+            for at, some in pieces([t or "" for t in batch.column(1).to_pylist()], BATCH, CHARACTERS):
+                packed = [bag.pack_bag(b) for b in bag.bags(some, width)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(some)), pa.array(packed, pa.binary())], names=["fp", "bag"])
 
-    return texts.mapInArrow(hash_, "fp binary, bag binary").dropDuplicates(["fp"])
+    return texts.mapInArrow(hash_, "fp binary, bag binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -101,45 +99,84 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 def _hub_pairs(buckets: DataFrame) -> DataFrame:
     """(a, b), a < b: each member of a bucket with the bucket's hub, each pair once."""
-    drawn = buckets.select("key", "fp", F.struct(F.xxhash64("key", "fp").alias("draw"), "fp").alias("me"))
+    draw = F.xxhash64(F.pmod("key", F.lit(DRAWS)), "fp")
+    drawn = buckets.select("key", "fp", F.struct(draw.alias("draw"), "fp").alias("me"))
     found = with_group(drawn, ["key"], hub=(F.min, F.min, "me"))
     pairs = found.select(F.least("fp", "hub.fp").alias("a"), F.greatest("fp", "hub.fp").alias("b"))
     return pairs.filter("a <> b").distinct()
 
 
-def _cross_links(buckets: DataFrame, nodes: DataFrame, classes: DataFrame, sets: DataFrame, sketch: float, threshold: float) -> DataFrame:
-    """Links (a, b) between the roots of components that share a bucket."""
+_SIDE = ["ends", "root", "fp", "sketch", "bands", "bag"]
+
+
+def _open_blocks(buckets: DataFrame, nodes: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """The buckets that hold several components, in blocks sorted by component."""
     rows = settle(buckets.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root")))
     spread = with_group(rows, ["key"], low=(F.min, F.min, "root"), high=(F.max, F.max, "root"))
     rest = spread.filter("low <> high").select("key", "fp", "root")
     rest = rest.join(classes.select("fp", "sketch", "bands"), "fp").join(sets, "fp").select("key", "root", "fp", "sketch", "bands", "bag")
-    # blocks of one component stand apart: they need no comparison with each other
-    blocks = settle(blocks_of(rest, ["key"], ["root", "fp"], BLOCK).withColumn("ends", F.array(F.array_min("root"), F.array_max("root"))))
-    columns = ["block", "ends", "root", "fp", "sketch", "bands", "bag"]
-    other = blocks.select("key", *[F.col(c).alias(f"{c}_2") for c in columns])
+    out = settle(blocks_of(rest, ["key"], ["root", "fp"], BLOCK).withColumn("ends", F.array(F.array_min("root"), F.array_max("root"))))
+    discard(rows)
+    return out
+
+
+def _cross_links(blocks: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between the roots of components that share a bucket. Most buckets are
+    one block, and only those of several blocks are joined."""
+    several = blocks.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    left = blocks.join(several, "key").select("key", "block", *_SIDE)
+    right = blocks.join(several, "key").select("key", *[F.col(c).alias(f"{c}_2") for c in ("block", *_SIDE)])
+    # blocks of one component, the same, need no comparison
     alike = (F.col("ends") == F.col("ends_2")) & (F.col("ends")[0] == F.col("ends")[1])
-    two = blocks.join(other, "key").filter((F.col("block") <= F.col("block_2")) & ~alike)
-
-    def compare(batches):
-        for batch in batches:
-            links = [x for at in range(batch.num_rows) for x in _links_of(batch.slice(at, 1).to_pylist()[0], sketch, threshold)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], names=["a", "b"])
-
-    return two.mapInArrow(compare, "a binary, b binary")
-
-
-def _links_of(r: dict, sketch: float, threshold: float) -> list[tuple]:
-    """A forest of links between the components of two blocks of a bucket. A pair that an
-    earlier band brings together is left to that band."""
-    x, y = (np.frombuffer(b"".join(r[c]), np.uint8).reshape(len(r[c]), -1) for c in ("sketch", "sketch_2"))
-    p, q = np.array(r["bands"]), np.array(r["bands_2"])
-    roots = {v: k for k, v in enumerate(dict.fromkeys(r["root"] + r["root_2"]))}
-    of_x, of_y = (np.array([roots[v] for v in r[c]]) for c in ("root", "root_2"))
-    agree = (x[:, None, :] == y[None, :, :]).mean(2)
-    here = int(np.argmax(p[0] == r["key"]))
-    earlier = (p[:, None, :here] == q[None, :, :here]).any(2)
-    i, j = np.nonzero((agree >= sketch) & ~earlier & (of_x[:, None] != of_y[None, :]))
-    order = np.argsort(-agree[i, j], kind="stable")
+    two = left.join(right, "key").filter((F.col("block") < F.col("block_2")) & ~alike)
+
+    def within(batches):
+        for row in _rows(batches):
+            yield _batch(_links_of(row["key"], row, row, threshold))
+
+    def across(batches):
+        for row in _rows(batches):
+            yield _batch(_links_of(row["key"], row, {c: row[f"{c}_2"] for c in _SIDE}, threshold))
+
+    one = blocks.filter(F.col("ends")[0] != F.col("ends")[1]).select("key", *_SIDE).mapInArrow(within, "a binary, b binary")
+    return one.unionByName(two.mapInArrow(across, "a binary, b binary"))
+
+
+def _rows(batches):
+    """A batch's rows one at a time: each holds one or two blocks."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1).to_pylist()[0]
+
+
+def _batch(links: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+
+def possible(left: list[np.ndarray], right: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Which pairs of packed bags may reach the threshold: the sum over bins of the lesser
+    count bounds what they share."""
+    count = lambda bags: np.stack([np.bincount(x >> np.uint32(22), minlength=BINS) for x in bags]).astype(np.int32)
+    p, q = count(left), count(right)
+    both = np.stack([np.minimum(row, q).sum(1) for row in p])
+    whole = p.sum(1)[:, None] + q.sum(1)[None, :] - both
+    return both >= threshold * whole - 1e-9
+
+
+def _links_of(key: int, x: dict, y: dict, threshold: float) -> list[tuple]:
+    """A forest of links between the components of two blocks of a bucket, or of one block
+    twice. A pair that an earlier band brings together is left to that band."""
+    sketch = [np.frombuffer(b"".join(s["sketch"]), np.uint8).reshape(len(s["sketch"]), -1) for s in (x, y)]
+    bands = [np.array(s["bands"]) for s in (x, y)]
+    bags = [[np.frombuffer(b, "<u4") for b in s["bag"]] for s in (x, y)]
+    roots = {v: k for k, v in enumerate(dict.fromkeys(x["root"] + y["root"]))}
+    of_x, of_y = (np.array([roots[v] for v in s["root"]]) for s in (x, y))
+    here = int(np.argmax(bands[0][0] == key))
+    earlier = (bands[0][:, None, :here] == bands[1][None, :, :here]).any(2)
+    ask = (of_x[:, None] != of_y[None, :]) & ~earlier & possible(*bags, threshold)
+    i, j = np.nonzero(np.triu(ask) if x is y else ask)
+    agree = (sketch[0][i] == sketch[1][j]).mean(1)
+    order = np.argsort(-agree, kind="stable")
     joined = list(range(len(roots)))
 
     def top(k):
@@ -148,55 +185,65 @@ def _links_of(r: dict, sketch: float, threshold: float) -> list[tuple]:
             k = joined[k]
         return k
 
-    bags: dict = {}
-    unpack = lambda c, k: bags.setdefault((c, k), np.frombuffer(r[c][k], "<u4"))
     links = []
     for a, b in zip(i[order].tolist(), j[order].tolist()):
         u, v = top(of_x[a]), top(of_y[b])
-        if u != v and bag.overlap(unpack("bag", a), unpack("bag_2", b)) >= threshold:
+        if u != v and bag.overlap(bags[0][a], bags[1][b]) >= threshold:
             joined[v] = u
-            links.append((r["root"][a], r["root_2"][b]))
+            links.append((x["root"][a], y["root"][b]))
     return links
 
 
-def near_dedup(docs: DataFrame, id_col="doc_id", text_col="text", width=WIDTH, threshold=THRESHOLD, sketch=SKETCH) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col="doc_id", text_col="text", width=WIDTH, threshold=THRESHOLD) -> DataFrame:
     """One row per input row: doc_id, group_id, group_size, kept.
 
     ``group_id`` is the least doc_id of the rows that links of similarity ``threshold`` or
-    more connect; the row with that id stays (one of them, where rows repeat). Similarity
-    is the weighted Jaccard similarity of the shingle multisets. Texts without words, null
-    and empty ones among them, link with nothing and stay, each a group of its own. An
-    empty table gives an empty result; further columns are ignored.
+    more connect (null ids count only where all are null); the row with that id stays (one
+    of them, where rows repeat). Similarity is the weighted Jaccard similarity of the
+    shingle multisets. Texts without words, null and empty ones among them, link with
+    nothing and stay, each a group of its own. An empty table gives an empty result;
+    further columns, of any name, are ignored.
     """
-    rows = settle(sketches(docs, id_col, text_col, width))
+    keyed, key = row_keys(docs.select(column(id_col).alias("doc_id"), column(text_col).alias("text")), "doc_id")
+    return _grouped(keyed, key, "doc_id", "text", width, threshold).drop("key")
+
+
+def _grouped(keyed: DataFrame, key: str, id_col: str, text_col: str, width: int, threshold: float) -> DataFrame:
+    """``near_dedup`` of rows that ``key`` names, with the key."""
+    rows = settle(sketches(keyed, key, id_col, text_col, width))
     some = rows.filter(F.col("fp").isNotNull())
-    classes = settle(some.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
+    classes = settle(some.groupBy("fp").agg(F.min("key").alias("key"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
     every = classes.select("fp", F.explode("bands").alias("key"))
     shared = settle(every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"))
     buckets = settle(every.join(shared, "key").select("key", "fp"))
+    discard(shared)
 
     # every text that a bucket holds is read again once, for its bag
-    members = settle(buckets.select("fp").distinct().join(classes.select("fp", "doc_id"), "fp"))
-    sets = settle(shingle_sets(docs, members, id_col, text_col, width))
+    members = settle(buckets.select("fp").distinct().join(classes.select("fp", "key"), "fp"))
+    sets = settle(shingle_sets(keyed, members, key, text_col, width))
     links = settle(verified(_hub_pairs(buckets), sets, threshold))
     nodes = components(links)
-    # a row of the comparison holds two blocks
-    more = settle(_cross_links(buckets, nodes, classes, sets, sketch, threshold), rows_per_batch=64)
-    above = components(more).select(F.col("node").alias("root"), F.col("root").alias("top"))
-
-    grouped = some.select("doc_id", "fp").join(nodes.withColumnRenamed("node", "fp"), "fp", "left")
-    grouped = settle(grouped.select("doc_id", F.coalesce("root", "fp").alias("root")))
-    grouped = settle(grouped.join(above, "root", "left").select("doc_id", F.coalesce("top", "root").alias("root")))
-    placed = with_group(grouped, ["root"], group_id=(F.min, F.min, "doc_id"), group_size=(F.count, F.sum, "root"))
-    salt = F.pmod(id_hash(F.col("doc_id")), F.lit(partitions(docs.sparkSession)))
-    copy = F.row_number().over(W.partitionBy("root", salt, "doc_id").orderBy("doc_id"))
-    linked = placed.withColumn("copy", copy).select(
-        "doc_id", "group_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("group_id")) & (F.col("copy") == 1)).alias("kept")
-    )
-    alone = rows.filter(F.col("fp").isNull())
-    return linked.unionByName(alone.select("doc_id", F.col("doc_id").alias("group_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept")))
+    blocks = _open_blocks(buckets, nodes, classes, sets)
+    discard(members, sets, buckets, classes, links)
+    more = settle(_cross_links(blocks, threshold))
+    above = components(more)
+    discard(blocks, more)
+
+    grouped = some.select("key", "doc_id", "fp").join(nodes.withColumnRenamed("node", "fp"), "fp", "left")
+    grouped = grouped.select("key", "doc_id", F.coalesce("root", "fp").alias("root"))
+    top = above.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    grouped = settle(grouped.join(top, "root", "left").select("key", "doc_id", F.coalesce("top", "root").alias("root")))
+    discard(nodes, above)
+    grouped = grouped.withColumn("me", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    placed = with_group(grouped, ["root"], low=(F.min, F.min, "me"), group_size=(F.count, F.sum, "root"))
+    linked = placed.select("key", "doc_id", F.col("low.doc_id").alias("group_id"), "group_size", (F.col("me") == F.col("low")).alias("kept"))
+    alone = rows.filter(F.col("fp").isNull()).select("key", "doc_id", F.col("doc_id").alias("group_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
+    return linked.unionByName(alone)
 
 
 def keep_near_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``near_dedup`` keeps, all columns as they were."""
-    return keep_rows(docs, id_col, lambda keyed: near_dedup(keyed, "_key", text_col))
+    """The rows of ``docs`` that ``near_dedup`` keeps, all columns as they were; ties, nulls,
+    repeated rows and empty tables as there."""
+    keyed, key = row_keys(docs, id_col)
+    decided = _grouped(keyed, key, id_col, text_col, WIDTH, THRESHOLD)
+    return keep_rows(keyed, key, decided.select(F.col("key").alias("doc_id"), "kept"))

@@ -113,10 +113,11 @@ ORACLES = {
         v AS (SELECT (asked - filled) / rest AS level FROM l WHERE (asked - filled) / rest <= fills ORDER BY fills, source LIMIT 1),
         t AS (SELECT source, source_size, slope, least(room, (SELECT level FROM v) * weight) AS target FROM l),
         p AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.slope, CAST(floor(t.target + 0.5) AS BIGINT) AS words,
-                     CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size
+                     CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key
                                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
               FROM d JOIN t USING (source)),
-        q AS (SELECT *, greatest(0, least(size, words - start)) AS one, greatest(0, least(size, words - start - source_size)) AS two,
+        q AS (SELECT *, CASE WHEN 2 * start + size <= 2 * words THEN size ELSE 0 END AS one,
+                     CASE WHEN 2 * (start + source_size) + size <= 2 * words THEN size ELSE 0 END AS two,
                      start / words::DOUBLE AS x, (start + source_size) / words::DOUBLE AS y FROM p)
         SELECT doc_id, size, source_size, target, one + two AS taken, two AS taken_again,
                CASE WHEN one > 0 THEN round(2 * x / (1 + slope + sqrt(pow(1 + slope, 2) - 4 * slope * x)), 9) END AS position,

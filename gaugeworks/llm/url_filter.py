@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gaugeworks.llm.common import column, fresh
+
 #: Verdict, host and path of each base rule.
 RULES = (
     ("allow", "org", "/"),
@@ -153,21 +155,22 @@ def judge_urls(pages: DataFrame, url_col: str = "url", rules=RULES, globs=GLOBS)
     auto = compile_globs([f"*.{host}{path}**" for _, host, path in ordered] + list(globs))
     names, verdicts = [host + path for _, host, path in ordered], [v for v, _, _ in ordered]
     added = ["host", "path", "rule", "verdict"]
-    host, path = canonical(F.col(url_col))
+    host, path = canonical(column(url_col))
     kept = [f for f in pages.schema.fields if f.name not in added]
     schema = T.StructType([*kept, *[T.StructField(c, T.StringType()) for c in added]])
-    ready = pages.withColumn("_host", host).withColumn("_path", path).select(*[f"`{f.name}`" for f in kept], "_host", "_path")
+    ready = pages.select(*[column(f.name) for f in kept], host.alias(fresh(pages, "_host")), path.alias(fresh(pages, "_path")))
 
     def judge(batches):
         for batch in batches:
-            hosts, paths = (batch.column(c).to_pylist() for c in ("_host", "_path"))
+            asked = batch.columns[len(kept) :]
+            hosts, paths = (c.to_pylist() for c in asked)
             fits = simulate(auto, [f".{h}{p}".encode("utf-8", "surrogatepass") for h, p in zip(hosts, paths)])
             base = fits[:, : len(names)]
             which = np.where(base.any(1), base.argmax(1), -1)
             bad = fits[:, len(names) :].any(1)
             rule = [names[k] if k >= 0 else None for k in which]
             verdict = [verdicts[k] if k >= 0 else "block" if b else "allow" for k, b in zip(which, bad)]
-            columns = batch.columns[: len(kept)] + [batch.column("_host"), batch.column("_path"), pa.array(rule, pa.string()), pa.array(verdict, pa.string())]
+            columns = batch.columns[: len(kept)] + [*asked, pa.array(rule, pa.string()), pa.array(verdict, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return ready.mapInArrow(judge, schema)

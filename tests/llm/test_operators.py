@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gaugeworks.llm import bagminhash as bag
 from gaugeworks.llm import exact_dedup as exact
@@ -66,9 +67,18 @@ def test_exact_dedup_redraws_clashing_identifiers(spark, docs):
 
 @pytest.mark.parametrize("text", ["", "a", "a" * 9000, prose(3, 5000), "é\n" * 4000])
 def test_chunks_join_to_the_text(spark, text):
-    df = spark.createDataFrame([(text,)], "text string").select(exact.normalised(__import__("pyspark.sql.functions", fromlist=["col"]).col("text")).alias("_norm"))
-    chunks = df.select("_norm", exact._chunks(df, "text").alias("c")).first()
-    assert "".join(chunks["c"]) == chunks["_norm"] and all(len(c) <= 8192 for c in chunks["c"])
+    df = spark.createDataFrame([(text,)], "text string").select(exact.normalised(F.col("text")).alias("norm"))
+    cut = df.select("norm", exact.chunks(F.col("norm")).alias("c")).first()
+    assert "".join(cut["c"]).encode("latin-1").decode() == cut["norm"] and all(len(c) <= 8192 for c in cut["c"])
+
+
+@pytest.mark.parametrize("letters", ["abcdefghinstuv      ", "абвгдежзиклмнопрстуфя   ", "的一是不了人我在有他这为之大来以个中上们", "กขคงจชซญดตถทนบปผพฟมยรลวสหอ", "אבגדהוזחטילמנסעפצקרשת   ", "あいうえおかきくけこさしすせそたちつてと"])
+def test_a_shift_moves_few_chunks_in_any_script(spark, letters):
+    r = random.Random(6)
+    text = "".join(r.choice(letters) for _ in range(30000))
+    rows = spark.createDataFrame([(0, text), (1, "x y z " + text)], "doc_id long, text string")
+    one, two = (set(r["c"]) for r in rows.select(exact.chunks(exact.normalised(F.col("text"))).alias("c")).collect())
+    assert len(one) > 20 and len(one & two) > 0.7 * len(one)
 
 
 def test_keep_first_returns_rows_as_they_were(spark, docs):
@@ -78,46 +88,66 @@ def test_keep_first_returns_rows_as_they_were(spark, docs):
     assert kept.count() == exact.exact_dedup(table).filter("kept").count()
 
 
-def test_mixing_against_a_loop(spark, docs):
-    got = [r.asDict() for r in mixing.mix(frame(spark, docs)).collect()]
-    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
-    by = defaultdict(list)
-    for i, t, s in docs:
-        by[s].append((hashlib.md5(("" if i is None else str(i)).encode()).hexdigest(), -1 if i is None else i, size(t)))
-    names = sorted((s for s in by if s is not None)) + ([None] if None in by else [])
-    total = {s: sum(x[2] for x in by[s]) for s in names}
+def size_of(text):
+    return len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+
+
+def targets_of(rows):
+    """The target of each source, by sharing again and again what capped ones leave."""
+    names = sorted({s for _, _, s in rows}, key=lambda s: (s is None, s))
+    total = {s: sum(size_of(t) for _, t, x in rows if x == s) for s in names}
     weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
     target, free, left = {}, set(names), 1.5 * sum(total.values())
     while True:
         level = left / sum(weight[s] for s in free)
         over = [s for s in free if level * weight[s] > 2 * total[s]]
         if not over:
-            target |= {s: level * weight[s] for s in free}
-            break
+            return total, target | {s: level * weight[s] for s in free}
         for s in over:
             target[s] = 2.0 * total[s]
             left -= target[s]
             free.discard(s)
-    assert sum(r["taken"] for r in got) == pytest.approx(1.5 * sum(total.values()), abs=len(names))
+
+
+def test_mixing_against_a_loop(spark, docs):
+    rows = [(k, t, s) for k, (_, t, s) in enumerate(docs)]
+    got = [r.asDict() for r in mixing.mix(frame(spark, rows)).collect()]
+    total, target = targets_of(rows)
     want = Counter()
-    for s in names:
+    for s in total:
         at, words = 0, math.floor(target[s] + 0.5)
-        for _, i, n in sorted(by[s]):
-            taken = sum(max(0, min(n, words - at - turn * total[s])) for turn in (0, 1))
-            want[(None if i == -1 else i, n, taken)] += 1
+        for i, t, _ in sorted((x for x in rows if x[2] == s), key=lambda x: hashlib.md5(str(x[0]).encode()).hexdigest()):
+            n = size_of(t)
+            want[i, n, sum(n for turn in (0, 1) if 2 * (at + turn * total[s]) + n <= 2 * words)] += 1
             at += n
     assert Counter((r["doc_id"], r["size"], r["taken"]) for r in got) == want
-    assert all(r["taken"] <= 2 * r["size"] for r in got)
+    assert all(r["taken"] in (0, r["size"], 2 * r["size"]) for r in got)
     at = [r["position"] for r in got if r["position"] is not None]
     assert at == sorted(at) and 0 <= at[0] and at[-1] <= 1
 
 
-def test_mixed_documents_hold_the_words_taken(spark, docs):
-    table = frame(spark, docs)
+def test_mixing_where_ids_repeat(spark, docs):
+    rows = docs + [(None, "null ids in bulk", "b")] * 300 + [(7, "one id in bulk", "a")] * 300
+    table = frame(spark, rows)
+    got = [tuple(r) for r in mixing.mix(table).collect()]
+    assert got == [tuple(r) for r in mixing.mix(table).collect()] and len(got) == len(rows)
+    total, target = targets_of(rows)
+    words, longest = Counter(), Counter()
+    source = {(i, size_of(t)): s for i, t, s in rows}
+    for i, size, _, _, taken, *_ in got:
+        words[source[i, size]] += taken
+        longest[source[i, size]] = max(longest[source[i, size]], size)
+    assert all(abs(words[s] - target[s]) <= longest[s] / 2 + 1 for s in total)
+
+
+def test_mixed_documents_are_whole(spark, docs):
+    table = frame(spark, [(k, t, s) for k, (_, t, s) in enumerate(docs)])
     out = mixing.mixed_documents(table)
     assert out.columns == table.columns
-    words = sum(len(re.findall(r"[^\x20\x09-\x0D]+", r["text"])) for r in out.collect())
-    assert words == mixing.mix(table).groupBy().sum("taken").first()[0]
+    texts = {t for _, t, _ in docs}
+    rows = out.collect()
+    assert all(r["text"] in texts for r in rows)
+    assert sum(size_of(r["text"]) for r in rows) == mixing.mix(table).groupBy().sum("taken").first()[0]
 
 
 def test_tokens_equal_the_library(spark):
@@ -223,6 +253,27 @@ def test_components_of_chains_and_stars(spark):
     assert {r["node"]: r["root"] for r in got.collect()} == {k: 0 for k in range(41)} | {k: 100 for k in range(100, 140)} | {200: 200}
 
 
+def test_overlap_bound_rules_out_no_link():
+    r = random.Random(9)
+    texts = []
+    for _ in range(12):
+        words = prose(r.randint(0, 99), r.choice([3, 40, 400, 3000])).split()
+        texts += [" ".join(w if r.random() > p else "new" for w in words) for p in (0, 0.01, 0.02, 0.04)]
+    found = bag.bags(texts)
+    packed = [np.frombuffer(bag.pack_bag(b), "<u4") for b in found]
+    may = near_dedup.possible(packed, packed, 0.8)
+    links = np.array([[bag.overlap(x, y) >= 0.8 for y in packed] for x in packed])
+    assert may[links].all() and links.sum() > len(texts) and may.sum() < 0.5 * may.size
+
+
+def test_vectors_of_any_magnitude(spark):
+    base = np.array([3.0, 4.0, 1.0])
+    rows = [(k, (base * s).tolist(), 1) for k, s in enumerate([1.0, 1e200, 1e-200, 1e307])] + [(9, [1e308] * 3, 2), (10, [1e-320] * 3, 2), (11, [5e-324, 0.0, 0.0], 3)]
+    got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    links = {r["vec_id"]: r["n_links"] for r in got}
+    assert [links[k] for k in range(4)] == [3, 3, 3, 3] and links[9] == links[10] == 1 and links[11] == 0
+
+
 def test_vectors_against_all_pairs(spark):
     r = np.random.default_rng(2)
     centre = r.normal(size=16)
