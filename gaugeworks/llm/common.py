@@ -68,6 +68,12 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)``; ``run`` finds its columns by place, so that they may
+    have any names."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))]).mapInArrow(run, schema)
+
+
 def pieces(texts: list, rows: int, characters: int):
     """(place, texts) of runs of at most ``rows`` texts that end where ``characters`` are
     reached, so that memory is bounded by them and the longest text."""

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from gaugeworks.llm.common import column
+from gaugeworks.llm.common import column, map_arrow
 
 #: Frequent function words of English, German, French, Spanish, Italian, Portuguese, Dutch,
 #: Danish, Norwegian and Swedish; in any other language a page has few of them.
@@ -362,4 +362,4 @@ def extract_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
             text = pa.array([extract(p.as_py() or "") for p in batch.column(len(kept))], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], text], names=schema.names)
 
-    return pages.select(*[column(f.name) for f in kept], column(html_col)).mapInArrow(run, schema)
+    return map_arrow(pages.select(*[column(f.name) for f in kept], column(html_col)), run, schema)

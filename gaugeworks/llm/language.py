@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugeworks.llm.common import column, pieces
+from gaugeworks.llm.common import column, map_arrow, pieces
 
 DIM = 1 << 13
 #: Documents, and characters, that are turned into vectors at a time; longer texts are counted in pieces.
@@ -277,8 +277,9 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep_only: b
         for batch in batches:
             lang, score, rejected = predict(share.value, batch.column(at).to_pylist())
             if keep_only:
-                yield batch.filter(pa.array([not r for r in rejected], pa.bool_()))
+                accepted = batch.filter(pa.array([not r for r in rejected], pa.bool_()))
+                yield pa.RecordBatch.from_arrays(accepted.columns, names=schema.names)
             else:
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=schema.names)
 
-    return docs.select(*[column(f.name) for f in kept]).mapInArrow(judge, schema)
+    return map_arrow(docs.select(*[column(f.name) for f in kept]), judge, schema)

@@ -1,11 +1,12 @@
 """License scans by a positional index of rare words.
 
-Each licence template is a run of words. Its rarest words, by document frequency in the
-scanned corpus, are posted with their places in the template. A text's occurrences of
-posted words vote for (template, place where it would begin); where enough agree on one
-place, the words around are compared and the template's mandatory key phrases verified.
-Phrases that are labels by themselves ("mit license") are posted by their own rarest word
-and verified word for word.
+Each licence template is a run of words, and every word of it is posted with its places. Of
+a text's licence words those with the highest IDF in the scanned corpus are looked up, for
+each template whose mandatory key phrases the text's words do not rule out: their places
+in the text less those in the template vote for where it would begin. Where enough agree
+on one place, the words around are compared and the key phrases verified. Phrases that are
+labels by themselves ("mit license") are looked up by their rarest word and verified word
+for word.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gaugeworks.llm.common import column
 from gaugeworks.llm.groups import pa_types
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -83,17 +85,28 @@ TEMPLATES = (
     ("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc",)),
     ("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license", ("creative commons attribution noncommercial",)),
 )
-#: Words a template posts, share of its words that must stand in place, places they may shift.
-POSTED, ENOUGH, SHIFT = 6, 0.6, 2
+#: Words of a text that are looked up for a template, how many must agree on a place, share of its words that must
+#: stand there, places they may shift.
+ASKED, VOTES, ENOUGH, SHIFT = 8, 3, 0.6, 2
 
 
 def words_of(text: str) -> list[bytes]:
     return WORD.findall(text.encode("utf-8", "surrogatepass").lower())
 
 
+@dataclass
+class Template:
+    words: list
+    label: str
+    keys: list
+    #: Words without which no key phrase can stand, and the places of each word.
+    needed: frozenset
+    places: dict
+
+
 @dataclass
 class Index:
-    postings: dict
+    idf: dict
     phrases: list
     templates: list
 
@@ -103,19 +116,32 @@ def vocabulary() -> set[bytes]:
 
 
 def build_index(df: dict[bytes, int], texts: int) -> Index:
-    """Posts each phrase's rarest word and each template's ``POSTED`` rarest."""
-    idf = lambda w: math.log((1 + texts) / (1 + df.get(w, 0)))
-    postings = defaultdict(list)
-    phrases = [(words_of(text), label) for text, label in PHRASES]
-    templates = [(words_of(text), label, [words_of(k) for k in keys]) for label, text, keys in TEMPLATES]
-    for n, (words, _) in enumerate(phrases):
-        at = max(range(len(words)), key=lambda k: (idf(words[k]), -k))
-        postings[words[at]].append((True, n, at))
-    for n, (words, _, _) in enumerate(templates):
-        rare = sorted(range(len(words)), key=lambda k: (-idf(words[k]), k))[:POSTED]
-        for at in rare:
-            postings[words[at]].append((False, n, at))
-    return Index(dict(postings), phrases, templates)
+    """The positional index of phrases and templates, and the IDF of their words."""
+    idf = {w: math.log((1 + texts) / (1 + df.get(w, 0))) for w in vocabulary()}
+    templates = []
+    for label, text, keys in TEMPLATES:
+        places = defaultdict(list)
+        for k, w in enumerate(words_of(text)):
+            places[w].append(k)
+        keys = [words_of(k) for k in keys]
+        templates.append(Template(words_of(text), label, keys, frozenset(w for k in keys for w in k), dict(places)))
+    return Index(idf, [(words_of(text), label) for text, label in PHRASES], templates)
+
+
+def lookups(index: Index, there: set) -> dict:
+    """What to look up of a text that has these licence words: word to (is a base phrase,
+    number, place) of each posting."""
+    asked = defaultdict(list)
+    for n, (words, _) in enumerate(index.phrases):
+        if there.issuperset(words):
+            at = max(range(len(words)), key=lambda k: (index.idf[words[k]], -k))
+            asked[words[at]].append((True, n, at))
+    for n, t in enumerate(index.templates):
+        if t.needed <= there:
+            rarest = sorted(there.intersection(t.places), key=lambda w: (-index.idf[w], w))[:ASKED]
+            for w in rarest:
+                asked[w] += [(False, n, place) for place in t.places[w]]
+    return asked
 
 
 def _holds(words: list, phrase: list, low: int, high: int) -> bool:
@@ -125,11 +151,12 @@ def _holds(words: list, phrase: list, low: int, high: int) -> bool:
 
 def scan(index: Index, words: list[bytes]) -> list[tuple]:
     """(label, first word, word behind the last, score, is a base phrase) of each find."""
-    if index.postings.keys().isdisjoint(words):
-        return []
+    asked = lookups(index, index.idf.keys() & set(words))
     found, votes = [], Counter()
+    if not asked:
+        return found
     for at, word in enumerate(words):
-        for base, n, place in index.postings.get(word, ()):
+        for base, n, place in asked.get(word, ()):
             start = at - place
             if base:
                 phrase, label = index.phrases[n]
@@ -138,16 +165,17 @@ def scan(index: Index, words: list[bytes]) -> list[tuple]:
             else:
                 votes[n, start] += 1
     last: dict = {}
-    for (n, start), count in sorted(votes.items()):
-        template, label, keys = index.templates[n]
+    for n, start in sorted(votes):
+        t = index.templates[n]
+        size = len(t.words)
         near = sum(votes.get((n, start + d), 0) for d in range(-SHIFT, SHIFT + 1))
-        if near < min(3, len(template) // 2) or start <= last.get(n, -1):
+        if near < min(VOTES, size // 2) or start <= last.get(n, -size):
             continue
-        inside = sum(w in words[max(start + k - SHIFT, 0) : start + k + SHIFT + 1] for k, w in enumerate(template))
-        score = inside / len(template)
-        low, high = start - SHIFT, start + len(template) + SHIFT
-        if score >= ENOUGH and all(_holds(words, key, low, high) for key in keys):
-            found.append((label, max(start, 0), min(start + len(template), len(words)), score, False))
+        inside = sum(w in words[max(start + k - SHIFT, 0) : max(start + k + SHIFT + 1, 0)] for k, w in enumerate(t.words))
+        score = inside / size
+        low, high = start - SHIFT, start + size + SHIFT
+        if score >= ENOUGH and all(_holds(words, key, low, high) for key in t.keys):
+            found.append((t.label, max(start, 0), min(start + size, len(words)), score, False))
             last[n] = start + SHIFT
     return found
 
@@ -167,7 +195,7 @@ def word_frequencies(docs: DataFrame, text_col: str) -> tuple[dict[bytes, int],
             df[b" "] = n
             yield pa.RecordBatch.from_arrays([pa.array(list(df), pa.binary()), pa.array(list(df.values()), pa.int64())], names=["word", "n"])
 
-    rows = docs.select(text_col).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select(column(text_col)).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     df = {bytes(r["word"]): r["n"] for r in rows}
     return df, df.pop(b" ", 0)
 
@@ -203,7 +231,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 finds.append([dict(zip(names, f)) for f in scan(index, words)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(finds, types[2])], names=schema.names)
 
-    return docs.select(id_col, text_col).mapInArrow(look, schema)
+    return docs.select(column(id_col), column(text_col)).mapInArrow(look, schema)
 
 
 def summary(scanned: DataFrame) -> DataFrame:

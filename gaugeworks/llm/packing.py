@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugeworks.llm.common import partitions, settle
+from gaugeworks.llm.common import column, partitions, settle
 
 CAPACITY, EOS = 1024, 2
 ISLANDS, ROUNDS, GENERATIONS, POPULATION = 6, 3, 8, 6
@@ -72,7 +72,7 @@ def pieces(docs: DataFrame, id_col="doc_id", text_col="text", path=None, capacit
                 names=schema.names,
             )
 
-    return docs.select(id_col, text_col).mapInArrow(cut, schema)
+    return docs.select(column(id_col), column(text_col)).mapInArrow(cut, schema)
 
 
 def best_fit(left: dict[int, int], plan: dict[tuple, int], capacity: int) -> dict[tuple, int]:

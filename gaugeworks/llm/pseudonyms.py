@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from gaugeworks.llm.common import column
+from gaugeworks.llm.common import column, map_arrow
 from gaugeworks.llm.groups import pa_types
 
 ROUNDS = 8
@@ -325,4 +325,4 @@ def mask_personal_data(docs: DataFrame, key: str, text_col: str = "text") -> Dat
             columns[at] = pa.array(texts, types[at])
             yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, types[-1])], names=schema.names)
 
-    return docs.select(*[column(f.name) for f in kept]).mapInArrow(mask, schema)
+    return map_arrow(docs.select(*[column(f.name) for f in kept]), mask, schema)

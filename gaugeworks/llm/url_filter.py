@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugeworks.llm.common import column, fresh
+from gaugeworks.llm.common import column, map_arrow
 
 #: Verdict, host and path of each base rule.
 RULES = (
@@ -158,7 +158,7 @@ def judge_urls(pages: DataFrame, url_col: str = "url", rules=RULES, globs=GLOBS)
     host, path = canonical(column(url_col))
     kept = [f for f in pages.schema.fields if f.name not in added]
     schema = T.StructType([*kept, *[T.StructField(c, T.StringType()) for c in added]])
-    ready = pages.select(*[column(f.name) for f in kept], host.alias(fresh(pages, "_host")), path.alias(fresh(pages, "_path")))
+    ready = pages.select(*[column(f.name) for f in kept], host, path)
 
     def judge(batches):
         for batch in batches:
@@ -173,7 +173,7 @@ def judge_urls(pages: DataFrame, url_col: str = "url", rules=RULES, globs=GLOBS)
             columns = batch.columns[: len(kept)] + [*asked, pa.array(rule, pa.string()), pa.array(verdict, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return ready.mapInArrow(judge, schema)
+    return map_arrow(ready, judge, schema)
 
 
 def glob_regex(glob: str) -> str:

@@ -11,6 +11,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,6 +160,22 @@ def test_tokens_equal_the_library(spark):
         assert np.frombuffer(words.packed(text), "<u4").tolist() == words.whole.encode(text, add_special_tokens=False).ids
 
 
+def test_tokens_equal_the_library_on_whole_documents():
+    words = tk.tokenizer(packing.vocabulary(None))
+    texts = [t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column("text").to_pylist() if t]
+    assert len(texts) >= 1000
+    ids = [e.ids for e in words.whole.encode_batch(texts, add_special_tokens=False)]
+    assert all(words.packed(t) == tk.pack_ids(i) for t, i in zip(texts, ids))
+    # words that leave the cache and come again
+    words.words.clear()
+    tk.CACHE, kept = 50, tk.CACHE
+    try:
+        assert all(words.packed(t) == tk.pack_ids(i) for t, i in zip(texts[:200], ids))
+        assert len(words.words) <= 50
+    finally:
+        tk.CACHE = kept
+
+
 def test_packing_round_trip(spark, docs):
     got = packing.pack(frame(spark, docs)).toPandas()
     words = tk.tokenizer(packing.vocabulary(None)).whole
@@ -490,6 +507,33 @@ def test_license_scan(spark):
     assert all(got[100 + k]["labels"] == "" and got[100 + k]["score"] == 0 for k in range(40))
 
 
+def test_license_labels_against_every_place():
+    """The method's labels and scores by a comparison of each template at each place."""
+    r = random.Random(12)
+    index = licenses.build_index({w: (900 if len(w) < 4 else 30) for w in licenses.vocabulary()}, 1000)
+    reach = range(-licenses.SHIFT, licenses.SHIFT + 1)
+    hits = 0
+    for _ in range(120):
+        words = [w.encode() for w in prose(r.randint(0, 999), r.randint(0, 60)).split()]
+        for label, text, _ in r.sample(licenses.TEMPLATES, r.randint(0, 2)):
+            notice = [w if r.random() > 0.06 else b"changed" for w in licenses.words_of(text)][: r.choice([12, 99, 99])]
+            words = [*words, *notice, *(w.encode() for w in prose(r.randint(0, 999), r.randint(0, 60)).split())]
+        best = {}
+        for t in index.templates:
+            for start in range(-len(t.words), len(words)):
+                inside = [any(0 <= start + k + d < len(words) and words[start + k + d] == w for d in reach) for k, w in enumerate(t.words)]
+                window = b" " + b" ".join(words[max(start - 2, 0) : start + len(t.words) + 2 + max(map(len, t.keys)) - 1]) + b" "
+                if sum(inside) >= licenses.ENOUGH * len(t.words) and all(b" " + b" ".join(key) + b" " in window for key in t.keys):
+                    best[t.label] = max(best.get(t.label, 0), sum(inside) / len(t.words))
+        got = {}
+        for label, _, _, score, base in licenses.scan(index, words):
+            if not base:
+                got[label] = max(got.get(label, 0), score)
+        assert got.keys() == best.keys() and all(best[x] - 0.35 <= got[x] <= best[x] + 1e-9 for x in got)
+        hits += len(got)
+    assert hits > 60
+
+
 PAGE = """<!DOCTYPE html><html><head><title>t &amp; u</title><style>p{}</style><script>var a="</p><p>no";</script></head><body>
 <nav><ul><li><a href=/a>menu of the site</a></ul></nav><div class="cookie-notice">We use cookies on this site for you.</div>
 <!-- no --><div class=ad>Buy the best of all for you and me.</div><aside>Side of the page</aside><article><h1>Head &eacute;</h1><p>One <b>of</b>
