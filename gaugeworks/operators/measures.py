@@ -5,9 +5,11 @@ an SQL expression over their columns; every item gets a row for each kind, with
 with the status that says why there is none.
 
 frames: item, t, x2 (mean square), top (peak), level, centroid, flatness, flux, pitch,
-target, fault, harmonic, residual and, from ``prepare``, cents, n, k (rank from the end),
-steady, calm3.
+target, fault, harmonic, residual, start_sample, end_sample, rate (of the item) and, from
+``prepare``, cents, n, k (rank from the end), steady, calm3.
 bands: item, t, band, level, residual. partials: item, t, partial, cents, level, power.
+context: item, x2 of what stands before the item. Every divisor that data can make zero is
+guarded, and gives no value.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 from gaugeworks.functions.expr import tidy
 
 _RMS = "10 * log10(greatest(avg(x2), 1e-30))"
-_SPAN = "nullif(max(t) - min(t), 0)"
+_SECONDS = "max(end_sample - start_sample) * 1.0e0 / nullif(max(rate), 0)"
 
 
 def _corr(a: str, b: str) -> str:
@@ -37,7 +39,7 @@ FRAME_KINDS = (
     ("flatness", "ratio", False, "signal", "avg(flatness)"),
     ("level_slope_db_per_second", "dB/s", False, "signal", "regr_slope(level, t)"),
     ("centroid_slope_hz_per_second", "Hz/s", False, "signal", "regr_slope(centroid, t)"),
-    ("transient_rate_hz", "Hz", False, "signal", f"count(*) FILTER (WHERE flux >= 0.20) / {_SPAN}"),
+    ("transient_rate_hz", "Hz", False, "signal", f"count(*) FILTER (WHERE flux >= 0.20) / nullif({_SECONDS}, 0)"),
     ("fixed_state_fraction", "ratio", False, "signal", "count(*) FILTER (WHERE steady) * 1.0e0 / nullif(count(*) - 1, 0)"),
     ("level_modulation_spread_db", "dB", False, "signal", "CASE WHEN count(level) >= 2 THEN stddev_pop(level) END"),
     ("centroid_modulation_spread_hz", "Hz", False, "signal", "CASE WHEN count(centroid) >= 2 THEN stddev_pop(centroid) END"),
@@ -57,8 +59,7 @@ FRAME_KINDS = (
     ("harmonic_decay_db_per_second", "dB/s", False, "signal", "regr_slope(harmonic, t)"),
     ("pitch_level_correlation", "ratio", False, "pitch", _corr("cents", "level")),
     ("pitch_tone_correlation", "ratio", False, "pitch", _corr("cents", "centroid")),
-    ("noise_burst_seconds", "s", False, "signal", "min_by(t, -residual * 1.0e6 + n) - min(t)"),
-    ("pre_note_residual_dbfs", "dBFS", True, "signal", "avg(residual) FILTER (WHERE n < 2)"),
+    ("noise_burst_seconds", "s", False, "signal", "min_by(t, struct(-residual, n)) - min(t)"),
     ("early_damping_db_per_second", "dB/s", False, "signal", "regr_slope(level, t) FILTER (WHERE k < 5)"),
     ("pitch_fall_cents", "cents", False, "pitch", "max_by(cents, n) FILTER (WHERE cents IS NOT NULL) - min_by(cents, n) FILTER (WHERE cents IS NOT NULL)"),
     ("decay_db", "dB", False, "signal", "min_by(level, n) - max_by(level, n)"),
@@ -67,8 +68,9 @@ FRAME_KINDS = (
     ("transition_pitch_change_cents", "cents", False, "pitch", "avg(cents) FILTER (WHERE k < 3) - avg(cents) FILTER (WHERE n < 3)"),
     ("transition_tone_change_hz", "Hz", False, "signal", "max_by(centroid, n) - min_by(centroid, n)"),
     ("attack_delay_seconds", "s", False, "any", "min(t) - min(source_start)"),
-    ("duration_seconds", "s", False, "any", "max(t) - min(t)"),
+    ("duration_seconds", "s", False, "any", _SECONDS),
 )
+CONTEXT_KINDS = (("pre_note_residual_dbfs", "dBFS", True, "any", _RMS),)
 ATTACK_KINDS = (
     ("rise_10_seconds", "s", False, "signal", "min(b) FILTER (WHERE rel >= 0.1) * max(width)"),
     ("rise_50_seconds", "s", False, "signal", "min(b) FILTER (WHERE rel >= 0.5) * max(width)"),
@@ -88,7 +90,7 @@ PARTIAL_KINDS = (
     ("partial_frequency_error_cents", "cents", False, "pitch", "avg(cents)"),
     ("partial_level_dbfs", "dBFS", True, "pitch", "avg(level)"),
     ("partial_balance_db", "dB", False, "pitch", "avg(level) - max(rms)"),
-    ("partial_presence_fraction", "ratio", False, "pitch", "count(level) * 1.0e0 / max(pitch_frames)"),
+    ("partial_presence_fraction", "ratio", False, "pitch", "count(level) * 1.0e0 / nullif(max(pitch_frames), 0)"),
     ("partial_birth_seconds", "s", False, "pitch", "min(t) FILTER (WHERE level IS NOT NULL) - max(item_start)"),
     ("partial_loss_seconds", "s", False, "pitch", "max(t) FILTER (WHERE level IS NOT NULL) - max(item_start)"),
     ("partial_level_slope_db_per_second", "dB/s", False, "pitch", "regr_slope(level, t)"),
@@ -138,7 +140,7 @@ def attack_bins(frames: DataFrame) -> DataFrame:
     return bins.withColumn("rel", F.round(F.col("v") / F.when(top > 0, top), 9))
 
 
-def measure(frames: DataFrame, bands: DataFrame, partials: DataFrame, floor_db: float = -100.0) -> DataFrame:
+def measure(frames: DataFrame, bands: DataFrame, partials: DataFrame, context: DataFrame, floor_db: float = -100.0) -> DataFrame:
     """(item, kind, index, unit, view, value, status, flags) of the whole catalogue.
 
     A level kind has a second row, LEVEL_RELATIVE, against the median level of all items.
@@ -152,6 +154,10 @@ def measure(frames: DataFrame, bands: DataFrame, partials: DataFrame, floor_db:
     none = F.lit(0)
     found = _long(rows, ["item"], FRAME_KINDS, none)
     found = found.unionByName(_long(attack_bins(frames), ["item"], ATTACK_KINDS, none))
+    # an item with nothing before it has its row as well
+    before = facts.select("item").join(context.select("item", "x2"), "item", "left")
+    before = before.groupBy("item").agg(F.expr(f"CASE WHEN count(x2) > 0 THEN {_RMS} END").alias("value"))
+    found = found.unionByName(before.select("item", F.lit(CONTEXT_KINDS[0][0]).alias("kind"), none.cast("long").alias("index"), tidy(F.col("value")).alias("value")))
     found = found.unionByName(_long(bands.join(facts, "item"), ["item", "band"], BAND_KINDS, F.col("band")))
     found = found.unionByName(_long(there, ["item", "partial"], PARTIAL_KINDS, F.col("partial")))
     found = found.unionByName(_long(there.withColumn("born", born), ["item"], HARMONIC_KINDS, none))
@@ -163,7 +169,7 @@ def measure(frames: DataFrame, bands: DataFrame, partials: DataFrame, floor_db:
 
 def _finish(found: DataFrame, facts: DataFrame, floor_db: float) -> DataFrame:
     spark = found.sparkSession
-    every = [*FRAME_KINDS, *ATTACK_KINDS, *BAND_KINDS, *PARTIAL_KINDS, *HARMONIC_KINDS, ("partial_onset_order", "rank", False, "pitch", "")]
+    every = [*FRAME_KINDS, *CONTEXT_KINDS, *ATTACK_KINDS, *BAND_KINDS, *PARTIAL_KINDS, *HARMONIC_KINDS, ("partial_onset_order", "rank", False, "pitch", "")]
     catalog = spark.createDataFrame([k[:4] for k in every], "kind string, unit string, is_level boolean, needs string")
     middle = facts.agg(F.percentile("rms", 0.5).alias("middle"))
     rows = found.join(F.broadcast(catalog), "kind").join(facts, "item").crossJoin(F.broadcast(middle))
@@ -197,7 +203,8 @@ def repeats(frames: DataFrame, part: list[str]) -> DataFrame:
     w = W.partitionBy(*part).orderBy("start", "item")
     rows = level.join(attacks, "item").withColumn("prior", F.lag("shape").over(w)).withColumn("contrast", F.col("level") - F.lag("level").over(w))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.coalesce(x, F.lit(0.0)) * F.coalesce(y, F.lit(0.0))), F.lit(0.0), lambda s, v: s + v)
-    likeness = dot("shape", "prior") / F.sqrt(dot("shape", "shape") * dot("prior", "prior"))
+    size = F.sqrt(dot("shape", "shape") * dot("prior", "prior"))
+    likeness = dot("shape", "prior") / F.when(size > 0, size)
     wide = rows.select(
         "item",
         tidy(likeness).alias("repeated_attack_similarity"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gaugeworks.operators import kernels as K
@@ -14,9 +15,10 @@ from gaugeworks.plans.signals import _X, samples
 _FRAMES = f"""{_X},
     fr AS (SELECT user_id * 100000 + n // 20 AS item, user_id, n AS m, t, x * x AS x2, abs(x) AS top, 10 * log10(greatest(x * x, 1e-30)) AS level, 500 + abs(x) * 1000 AS centroid,
            (event_id % 10) / 10.0::DOUBLE AS flatness, abs(x) / 2 AS flux, CASE WHEN event_id % 5 <> 0 THEN 440 * pow(2.0::DOUBLE, (event_id % 7) / 120.0) END AS pitch, 440.0::DOUBLE AS target,
-           event_id % 11 = 0 AS fault, 10 * log10(greatest(x * x, 1e-30)) - 1 AS harmonic, 10 * log10(greatest(x * x, 1e-30)) - 6 - event_id % 4 AS residual, t - 0.25 AS source_start, event_id FROM x),
+           event_id % 11 = 0 AS fault, 10 * log10(greatest(x * x, 1e-30)) - 1 AS harmonic, 10 * log10(greatest(x * x, 1e-30)) - 6 - event_id % 4 AS residual, t - 0.25 AS source_start, us, event_id FROM x),
+    fs AS (SELECT *, min(us) OVER (PARTITION BY item) AS start_sample, max(us) OVER (PARTITION BY item) + 900000000 AS end_sample, max(residual) OVER (PARTITION BY item) AS loudest FROM fr),
     p1 AS (SELECT *, row_number() OVER w - 1 AS n, row_number() OVER (PARTITION BY item ORDER BY t DESC) - 1 AS k, round(1200 * log2(pitch / target), 6) AS cents,
-           coalesce(round(abs(level - lag(level) OVER w), 9) <= 0.35 AND round(abs(centroid - lag(centroid) OVER w), 9) <= 20, false) AS steady FROM fr WINDOW w AS (PARTITION BY item ORDER BY t)),
+           coalesce(round(abs(level - lag(level) OVER w), 9) <= 0.35 AND round(abs(centroid - lag(centroid) OVER w), 9) <= 20, false) AS steady FROM fs WINDOW w AS (PARTITION BY item ORDER BY t)),
     p2 AS (SELECT *, round(abs(cents - avg(cents) OVER (PARTITION BY item)), 6) <= 15 AS near, first_value(cents IGNORE NULLS) OVER w AS c0, last_value(cents IGNORE NULLS) OVER w AS c1
            FROM p1 WINDOW w AS (PARTITION BY item ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
     rows_ AS (SELECT *, near AND lead(near) OVER w AND lead(near, 2) OVER w AS calm3, round((cents - c0) / nullif(c1 - c0, 0), 6) AS glide FROM p2 WINDOW w AS (PARTITION BY item ORDER BY t)),
@@ -30,21 +32,142 @@ _FRAMES = f"""{_X},
     pb AS (SELECT *, min(t) FILTER (level IS NOT NULL) OVER (PARTITION BY item, partial) AS born FROM pt)"""
 
 
-def _kinds(kinds, source: str, index: str | None) -> str:
+_DB20 = "20 * log10(greatest(sqrt(avg(x2)), 1e-15))"
+_MEAN = "sum({0}) / nullif(count({0}), 0)"
+
+
+def _slope(y: str, only: str = "true") -> str:
+    """A regression's slope by its definition."""
+    there = f"FILTER ({y} IS NOT NULL AND {only})"
+    return f"covar_pop({y}, t) {there} / nullif(var_pop(t) {there}, 0)"
+
+
+def _pearson(a: str, b: str) -> str:
+    both = f"FILTER ({a} IS NOT NULL AND {b} IS NOT NULL)"
+    return f"CASE WHEN round(sqrt(var_pop({a}) {both} * var_pop({b}) {both}), 12) > 0 THEN corr({a}, {b}) {both} END"
+
+
+def _spread(y: str) -> str:
+    return f"CASE WHEN count({y}) > 1 THEN sqrt(var_pop({y})) END"
+
+
+#: Every kind said anew for the oracle, from its definition: source, index, {kind: (unit, is a level, needs, expression)}.
+_SAID = (
+    (
+        "rows_",
+        None,
+        {
+            "rms_dbfs": ("dBFS", True, "signal", _DB20),
+            "peak_dbfs": ("dBFS", True, "signal", "10 * log10(greatest(max(x2), 1e-30))"),
+            "crest_db": ("dB", False, "signal", f"10 * log10(greatest(max(x2), 1e-30)) - {_DB20}"),
+            "centroid_hz": ("Hz", False, "signal", _MEAN.format("centroid")),
+            "flatness": ("ratio", False, "signal", _MEAN.format("flatness")),
+            "level_slope_db_per_second": ("dB/s", False, "signal", _slope("level")),
+            "centroid_slope_hz_per_second": ("Hz/s", False, "signal", _slope("centroid")),
+            "transient_rate_hz": ("Hz", False, "signal", "sum(CASE WHEN flux >= 0.2 THEN 1 ELSE 0 END) * 3.6e9 / nullif(any_value(end_sample - start_sample), 0)"),
+            "fixed_state_fraction": ("ratio", False, "signal", "sum(CAST(steady AS INT)) / nullif(count(*) - 1, 0)"),
+            "level_modulation_spread_db": ("dB", False, "signal", _spread("level")),
+            "centroid_modulation_spread_hz": ("Hz", False, "signal", _spread("centroid")),
+            "pitch_hz": ("Hz", False, "pitch", _MEAN.format("pitch")),
+            "tuning_offset_cents": ("cents", False, "pitch", _MEAN.format("cents")),
+            "pitch_spread_cents": ("cents", False, "pitch", "sqrt(var_pop(cents))"),
+            "pitch_overshoot_cents": ("cents", False, "pitch", "max(cents) - " + _MEAN.format("cents")),
+            "pitch_undershoot_cents": ("cents", False, "pitch", _MEAN.format("cents") + " - min(cents)"),
+            "pitch_drift_cents_per_second": ("cents/s", False, "pitch", _slope("cents")),
+            "pitch_settle_seconds": ("s", False, "pitch", "list_min(list(t) FILTER (calm3)) - min(t)"),
+            "octave_fault_fraction": ("ratio", False, "pitch", "count(*) FILTER (fault AND pitch IS NOT NULL) / nullif(count(pitch), 0)"),
+            "glide_time_seconds": ("s", False, "pitch", "list_min(list(t) FILTER (glide >= 0.9)) - list_min(list(t) FILTER (glide >= 0.1))"),
+            "portamento_linearity": (
+                "ratio",
+                False,
+                "pitch",
+                "CASE WHEN var_pop(t) FILTER (glide BETWEEN 0.1 AND 0.9) > 0 THEN CASE WHEN var_pop(cents) FILTER (glide BETWEEN 0.1 AND 0.9) > 0 THEN corr(cents, t) FILTER (glide BETWEEN 0.1 AND 0.9) ** 2 ELSE 1 END END",
+            ),
+            "harmonic_level_dbfs": ("dBFS", True, "signal", _MEAN.format("harmonic")),
+            "residual_level_dbfs": ("dBFS", True, "signal", _MEAN.format("residual")),
+            "hnr_db": ("dB", False, "signal", _MEAN.format("harmonic") + " - " + _MEAN.format("residual")),
+            "harmonic_decay_db_per_second": ("dB/s", False, "signal", _slope("harmonic")),
+            "pitch_level_correlation": ("ratio", False, "pitch", _pearson("cents", "level")),
+            "pitch_tone_correlation": ("ratio", False, "pitch", _pearson("cents", "centroid")),
+            "noise_burst_seconds": ("s", False, "signal", "min(t) FILTER (residual = loudest) - min(t)"),
+            "early_damping_db_per_second": ("dB/s", False, "signal", _slope("level", "k <= 4")),
+            "pitch_fall_cents": ("cents", False, "pitch", "(list(cents ORDER BY n) FILTER (cents IS NOT NULL))[-1] - (list(cents ORDER BY n) FILTER (cents IS NOT NULL))[1]"),
+            "decay_db": ("dB", False, "signal", "(list(level ORDER BY n))[1] - (list(level ORDER BY n))[-1]"),
+            "residual_excitation_dbfs": ("dBFS", True, "signal", "(list(residual ORDER BY n))[-1]"),
+            "carryover_db": ("dB", False, "signal", "first(level ORDER BY n) - last(level ORDER BY n)"),
+            "transition_pitch_change_cents": ("cents", False, "pitch", "list_avg((list(cents ORDER BY n))[-3:]) - list_avg((list(cents ORDER BY n))[1:3])"),
+            "transition_tone_change_hz": ("Hz", False, "signal", "last(centroid ORDER BY n) - first(centroid ORDER BY n)"),
+            "attack_delay_seconds": ("s", False, "any", "min(t) - min(source_start)"),
+            "duration_seconds": ("s", False, "any", "any_value(end_sample - start_sample) / 3.6e9"),
+        },
+    ),
+    ("before", None, {"pre_note_residual_dbfs": ("dBFS", True, "any", f"CASE WHEN count(x2) > 0 THEN {_DB20} END")}),
+    (
+        "at_",
+        None,
+        {
+            **{f"rise_{p}_seconds": ("s", False, "signal", f"list_min(list(b) FILTER (rel >= {p / 100})) * any_value(width)") for p in (10, 50, 90)},
+            "attack_slope_db_per_second": (
+                "dB/s",
+                False,
+                "signal",
+                "(20 * log10(0.9) - 20 * log10(0.1)) / nullif(list_min(list(b) FILTER (rel >= 0.9)) * any_value(width) - list_min(list(b) FILTER (rel >= 0.1)) * any_value(width), 0)",
+            ),
+            "attack_overshoot_db": ("dB", False, "signal", "20 * log10(greatest(max(v), 1e-15) / greatest(avg(v) FILTER (b IN (12, 13, 14, 15)), 1e-15))"),
+        },
+    ),
+    (
+        "bd",
+        "band",
+        {
+            "band_level_dbfs": ("dBFS", True, "signal", _MEAN.format("level")),
+            "band_balance_db": ("dB", False, "signal", "avg(level - rms)"),
+            "band_slope_db_per_second": ("dB/s", False, "signal", _slope("level")),
+            "band_modulation_spread_db": ("dB", False, "signal", _spread("level")),
+            "residual_band_level_dbfs": ("dBFS", True, "signal", _MEAN.format("residual")),
+            "residual_band_balance_db": ("dB", False, "signal", "avg(residual - rms)"),
+        },
+    ),
+    (
+        "pt",
+        "partial",
+        {
+            "partial_frequency_error_cents": ("cents", False, "pitch", _MEAN.format("cents")),
+            "partial_level_dbfs": ("dBFS", True, "pitch", _MEAN.format("level")),
+            "partial_balance_db": ("dB", False, "pitch", "avg(level - rms)"),
+            "partial_presence_fraction": ("ratio", False, "pitch", "sum(CASE WHEN level IS NULL THEN 0 ELSE 1 END) / nullif(any_value(pitch_frames), 0)"),
+            "partial_birth_seconds": ("s", False, "pitch", "min(CASE WHEN level IS NOT NULL THEN t - item_start END)"),
+            "partial_loss_seconds": ("s", False, "pitch", "max(CASE WHEN level IS NOT NULL THEN t - item_start END)"),
+            "partial_level_slope_db_per_second": ("dB/s", False, "pitch", _slope("level")),
+        },
+    ),
+    (
+        "pb",
+        None,
+        {
+            "inharmonicity_b": ("ratio", False, "pitch", "avg(CASE WHEN partial > 1 THEN (exp(ln(2) * cents / 1200) - 1) * 2 / partial ** 2 END)"),
+            "odd_even_balance_db": ("dB", False, "pitch", "10 * log10(greatest(sum(power) FILTER (partial % 2 <> 0), 1e-30)) - 10 * log10(greatest(sum(power) FILTER (partial % 2 = 0), 1e-30))"),
+            "harmonic_centroid": ("ratio", False, "pitch", "sum(power * partial) / nullif(sum(power), 0)"),
+            "partial_onset_spread_seconds": ("s", False, "pitch", "CASE WHEN count(DISTINCT partial) > 1 THEN max(born) - min(born) END"),
+        },
+    ),
+)
+
+
+def _kinds(source: str, index: str | None, kinds: dict) -> str:
     keys = f"item, {index}" if index else "item"
-    wide = ", ".join(f"CAST({text} AS DOUBLE) AS {name}" for name, _, _, _, text in kinds)
-    names, values = ", ".join(f"'{k[0]}'" for k in kinds), ", ".join(k[0] for k in kinds)
+    wide = ", ".join(f"CAST({text} AS DOUBLE) AS {name}" for name, (_, _, _, text) in kinds.items())
     return f"""SELECT item, kind, CAST({index or 0} AS BIGINT) AS "index", round(value, 6) + 0.0 AS value FROM
-        (SELECT {keys}, unnest([{names}]) AS kind, unnest([{values}]) AS value FROM (SELECT {keys}, {wide} FROM {source} GROUP BY {keys}))"""
+        (SELECT {keys}, unnest([{', '.join(f"'{k}'" for k in kinds)}]) AS kind, unnest([{', '.join(kinds)}]) AS value FROM (SELECT {keys}, {wide} FROM {source} GROUP BY {keys}))"""
 
 
-_EVERY = [*M.FRAME_KINDS, *M.ATTACK_KINDS, *M.BAND_KINDS, *M.PARTIAL_KINDS, *M.HARMONIC_KINDS, ("partial_onset_order", "rank", False, "pitch", "")]
+_CATALOG = [(k, *v[:3]) for _, _, kinds in _SAID for k, v in kinds.items()] + [("partial_onset_order", "rank", False, "pitch")]
 _ORACLE = f"""WITH {_FRAMES},
-    v0 AS ({_kinds(M.FRAME_KINDS, 'rows_', None)} UNION ALL {_kinds(M.ATTACK_KINDS, 'at_', None)} UNION ALL {_kinds(M.BAND_KINDS, 'bd', 'band')}
-           UNION ALL {_kinds(M.PARTIAL_KINDS, 'pt', 'partial')} UNION ALL {_kinds(M.HARMONIC_KINDS, 'pb', None)}),
+    before AS (SELECT f.item, c.x2 FROM facts f LEFT JOIN fr c ON c.user_id = f.item // 100000 AND c.m BETWEEN 20 * (f.item % 100000) - 3 AND 20 * (f.item % 100000) - 1),
+    v0 AS ({' UNION ALL '.join(_kinds(*said) for said in _SAID)}),
     v1 AS (SELECT * FROM v0 UNION ALL SELECT item, 'partial_onset_order', "index", CAST(row_number() OVER (PARTITION BY item ORDER BY value, "index") AS DOUBLE)
            FROM v0 WHERE kind = 'partial_birth_seconds' AND value IS NOT NULL),
-    cat AS (SELECT * FROM (VALUES {', '.join(f"('{k[0]}', '{k[1]}', {str(k[2]).lower()}, '{k[3]}')" for k in _EVERY)}) c(kind, unit, is_level, needs)),
+    cat AS (SELECT * FROM (VALUES {', '.join(f"('{k}', '{unit}', {str(level).lower()}, '{needs}')" for k, unit, level, needs in _CATALOG)}) c(kind, unit, is_level, needs)),
     v2 AS (SELECT v1.*, unit, is_level, needs, rms, frames, pitch_frames, (SELECT quantile_cont(rms, 0.5) FROM facts) AS middle,
            CASE WHEN needs <> 'any' AND rms <= -100 THEN 'BELOW_FLOOR' WHEN needs = 'pitch' AND frames < 3 THEN 'TOO_SHORT' WHEN needs = 'pitch' AND pitch_frames < 3 THEN 'NO_PITCH'
            WHEN value IS NULL OR isnan(value) THEN 'NO_DATA' ELSE 'VALID' END AS status FROM v1 JOIN cat USING (kind) JOIN facts USING (item)),
@@ -56,11 +179,18 @@ _ORACLE = f"""WITH {_FRAMES},
 def frames(spark, sf_dir):
     i, x = F.col("event_id"), F.col("x")
     db = 10 * F.log10(F.greatest(x * x, F.lit(1e-30)))
-    return samples(spark, sf_dir).select(
+    rows = samples(spark, sf_dir)
+    item = W.partitionBy("user_id", F.floor(F.col("n") / 20))
+    rows = rows.withColumn("start_sample", F.min("us").over(item)).withColumn("end_sample", F.max("us").over(item) + 900_000_000)
+    return rows.select(
         (F.col("user_id") * 100000 + F.floor(F.col("n") / 20)).alias("item"),
         "user_id",
         "event_id",
+        F.col("n").alias("m"),
         "t",
+        "start_sample",
+        "end_sample",
+        F.lit(3.6e9).alias("rate"),
         (x * x).alias("x2"),
         F.abs(x).alias("top"),
         db.alias("level"),
@@ -82,7 +212,9 @@ def catalog(spark, sf_dir):
     i = F.col("event_id")
     bands = rows.select("item", "t", (i % 10).alias("band"), "level", "residual")
     partials = rows.select("item", "t", (1 + i % 12).alias("partial"), (i % 9 - 4.0).alias("cents"), F.when(i % 3 > 0, F.col("level")).alias("level"), F.col("x2").alias("power"))
-    return M.measure(rows, bands, partials)
+    # the three frames before an item are its context
+    context = rows.filter("m % 20 >= 17").select((F.col("item") + 1).alias("item"), "x2")
+    return M.measure(rows, bands, partials, context)
 
 
 @query("measure_catalog", _ORACLE)
