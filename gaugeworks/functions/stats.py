@@ -13,27 +13,7 @@ QUANTILES = {"q05": 0.05, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q95": 0.95}
 NORMAL_IQR, OCCURS = 1.349, 1.0 / 12.0
 
 
-def statistics(value: str = "value", confidence: str = "confidence") -> list[Column]:
-    """Aggregates: counts, extremes, five quantiles, mean, population deviation, confidence.
-
-    Null values are missing; missing rows weigh down the confidence.
-    """
-    v = F.col(value)
-    q = F.percentile(v, F.array(*[F.lit(p) for p in QUANTILES.values()]))
-    return [
-        F.count(F.lit(1)).alias("total_count"),
-        F.count(v).alias("valid_count"),
-        (F.count(F.lit(1)) - F.count(v)).alias("missing_count"),
-        F.min(v).alias("minimum"),
-        *[q[k].alias(name) for k, name in enumerate(QUANTILES)],
-        F.max(v).alias("maximum"),
-        F.avg(v).alias("mean"),
-        F.stddev_pop(v).alias("population_sd"),
-        (F.sum(F.when(v.isNotNull(), F.col(confidence)).otherwise(0.0)) / F.count(F.lit(1))).alias("confidence"),
-    ]
-
-
-#: Names of what ``statistics`` gives.
+#: Names of the statistics of a distribution.
 STATISTICS = ("total_count", "valid_count", "missing_count", "minimum", *QUANTILES, "maximum", "mean", "population_sd", "confidence")
 
 

@@ -13,20 +13,20 @@ KINDS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 KEYS = ["selector", "group_value", "kind"]
 
 _OBS = """
-    base AS (SELECT l_returnflag AS side, p_brand, p_type, 1 - l_tax AS confidence, l_quantity, l_extendedprice, l_discount, l_tax
+    base AS (SELECT l_returnflag AS side, p_brand, p_type, l_linenumber AS line, 1 - l_tax AS confidence, l_quantity, l_extendedprice, l_discount, l_tax
              FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag IN ('A', 'R')),
-    long AS (SELECT side, p_brand, p_type, confidence, 'l_quantity' AS kind, l_quantity AS value FROM base
-             UNION ALL SELECT side, p_brand, p_type, confidence, 'l_extendedprice', l_extendedprice FROM base
-             UNION ALL SELECT side, p_brand, p_type, confidence, 'l_discount', nullif(l_discount, 0) FROM base
-             UNION ALL SELECT side, p_brand, p_type, confidence, 'l_tax', l_tax FROM base),
-    obs AS (SELECT side, 'ALL' AS selector, '' AS group_value, kind, value, confidence FROM long
-            UNION ALL SELECT side, 'p_brand', p_brand, kind, value, confidence FROM long
-            UNION ALL SELECT side, 'p_type', p_type, kind, value, confidence FROM long),
+    long AS (SELECT side, p_brand, p_type, line, confidence, 'l_quantity' AS kind, l_quantity AS value FROM base
+             UNION ALL SELECT side, p_brand, p_type, line, confidence, 'l_extendedprice', l_extendedprice FROM base
+             UNION ALL SELECT side, p_brand, p_type, line, confidence, 'l_discount', nullif(l_discount, 0) FROM base
+             UNION ALL SELECT side, p_brand, p_type, line, confidence, 'l_tax', l_tax FROM base),
+    obs AS (SELECT side, 'ALL' AS selector, '' AS group_value, line, kind, value, confidence FROM long
+            UNION ALL SELECT side, 'p_brand', p_brand, line, kind, value, confidence FROM long
+            UNION ALL SELECT side, 'p_type', p_type, line, kind, value, confidence FROM long),
     stat AS (SELECT side, selector, group_value, kind, count(*) AS total_count, count(value) AS valid_count, count(*) - count(value) AS missing_count,
              min(value) AS minimum, quantile_cont(value, 0.05) AS q05, quantile_cont(value, 0.25) AS q25, quantile_cont(value, 0.5) AS q50,
              quantile_cont(value, 0.75) AS q75, quantile_cont(value, 0.95) AS q95, max(value) AS maximum, avg(value) AS mean,
              stddev_pop(value) AS population_sd, sum(CASE WHEN value IS NOT NULL THEN confidence ELSE 0 END) / count(*) AS confidence
-             FROM obs GROUP BY ALL)"""
+             FROM obs GROUP BY side, selector, group_value, kind)"""
 
 _GAPS = f"""
     {_OBS},
@@ -40,25 +40,29 @@ _GAPS = f"""
     part2 AS (SELECT *, greatest(pooled, spread) AS scale, least(n1 / t1, n2 / t2) AS coverage,
               CASE WHEN pooled > 0 THEN abs(dm / pooled) / (1 + abs(dm / pooled)) WHEN dm = 0 THEN 0 ELSE 1 END AS mean_part FROM pair),
     gap AS (SELECT selector, group_value, kind, round(dm, 6) + 0.0 AS mean_delta, round(dq, 6) + 0.0 AS median_delta, round(qd, 6) + 0.0 AS quantile_distance,
-            round(coverage, 6) + 0.0 AS valid_coverage,
+            round(coverage, 6) + 0.0 AS valid_coverage, pooled,
             round(coverage * (mean_part + CASE WHEN scale > 0 THEN (qd / scale) / (1 + qd / scale) WHEN qd = 0 THEN 0 ELSE 1 END) / 2, 6) + 0.0 AS gap_score
             FROM part2)"""
 
 
+LABELS = ["p_brand", "p_type"]
+
+
 def observations(spark, sf_dir):
-    """(side, selector, group_value, kind, value, confidence); no discount counts as missing."""
+    """(side, p_brand, p_type, line, kind, value, confidence); no discount counts as missing."""
     items = table(spark, sf_dir, "lineitem").filter(F.col("l_returnflag").isin("A", "R"))
-    items = items.select("l_partkey", F.col("l_returnflag").alias("side"), (1 - F.col("l_tax")).alias("confidence"), *KINDS)
-    labelled = items.join(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
-    long = P.unpivot(labelled, ["side", "p_brand", "p_type", "confidence"], KINDS)
-    long = long.withColumn("value", F.when((F.col("kind") == "l_discount") & (F.col("value") == 0), None).otherwise(F.col("value")))
-    return P.selectors(long, ["p_brand", "p_type"]).select("side", *KEYS, "value", "confidence")
+    items = items.select("l_partkey", F.col("l_returnflag").alias("side"), F.col("l_linenumber").alias("line"), (1 - F.col("l_tax")).alias("confidence"), *KINDS)
+    labelled = items.join(table(spark, sf_dir, "part").select("p_partkey", *LABELS), F.col("l_partkey") == F.col("p_partkey"))
+    long = P.unpivot(labelled, ["side", *LABELS, "line", "confidence"], KINDS)
+    return long.withColumn("value", F.when((F.col("kind") == "l_discount") & (F.col("value") == 0), None).otherwise(F.col("value")))
+
+
+def statistics(spark, sf_dir):
+    return P.selector_distributions(observations(spark, sf_dir), ["side", "kind"], LABELS)
 
 
 def ranked_gaps(spark, sf_dir):
-    stats = P.distributions(observations(spark, sf_dir), ["side", *KEYS])
-    found = P.gaps(stats.filter("side = 'A'").drop("side"), stats.filter("side = 'R'").drop("side"), KEYS)
-    return P.rank_gaps(found, KEYS)
+    return P.rank_gaps(P.side_gaps(statistics(spark, sf_dir), KEYS, "A", "R"), KEYS)
 
 
 @query(
@@ -67,13 +71,13 @@ def ranked_gaps(spark, sf_dir):
         {', '.join(f'round({s}, 6) + 0.0 AS {s}' for s in STATISTICS[3:])} FROM stat""",
 )
 def profile_statistics(spark, sf_dir):
-    stats = P.distributions(observations(spark, sf_dir), ["side", *KEYS])
+    stats = statistics(spark, sf_dir)
     return stats.select("side", *KEYS, *STATISTICS[:3], *[tidy(F.col(s)).alias(s) for s in STATISTICS[3:]])
 
 
 @query(
     "profile_gap_rank",
-    f"""WITH {_GAPS} SELECT *, CASE WHEN gap_score IS NULL THEN 0 ELSE row_number() OVER (ORDER BY gap_score IS NULL, gap_score DESC,
+    f"""WITH {_GAPS} SELECT * EXCLUDE (pooled), CASE WHEN gap_score IS NULL THEN 0 ELSE row_number() OVER (ORDER BY gap_score IS NULL, gap_score DESC,
         quantile_distance DESC, abs(median_delta) DESC, selector, group_value, kind) END AS rank FROM gap""",
 )
 def profile_gap_rank(spark, sf_dir):
@@ -88,6 +92,5 @@ def profile_gap_rank(spark, sf_dir):
         FROM (SELECT * FROM fact WHERE side = 'A') r JOIN (SELECT * FROM fact WHERE side = 'R') m USING (selector, group_value, kind, fact)""",
 )
 def signed_compare(spark, sf_dir):
-    stats = P.distributions(observations(spark, sf_dir), ["side", *KEYS]).unpivot(["side", *KEYS], ["mean", "q50", "maximum"], "fact", "value")
-    stats = stats.withColumn("value", tidy(F.col("value")))
-    return P.compare_facts(stats.filter("side = 'A'").drop("side"), stats.filter("side = 'R'").drop("side"), [*KEYS, "fact"])
+    stats = statistics(spark, sf_dir).unpivot(["side", *KEYS], ["mean", "q50", "maximum"], "fact", "value")
+    return P.compare_sides(stats, [*KEYS, "fact"], "A", "R")
