@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions.expr import clamp, tidy
 from gaugeworks.functions.stats import OCCURS, candidate_score
-from gaugeworks.operators.profiles import ranked
 
 #: Audibility by metric class.
 AUDIBILITY = {"level": 0.85, "crest": 0.75, "pitch": 1.0, "timing": 1.0, "other": 0.70}
@@ -29,12 +28,25 @@ def union(sources: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, sources)
 
 
-def score_candidates(candidates: DataFrame, cases: DataFrame) -> DataFrame:
-    """Adds size, audibility, occurrence, confidence_factor and score to candidates
-    (source, candidate, metric, raw_value, confidence, flags). Occurrence is the share of a
-    candidate's cases (source, candidate, value) that reach one twelfth."""
-    share = cases.groupBy("source", "candidate").agg(F.avg(F.when(F.abs("value") >= OCCURS, 1.0).otherwise(0.0)).alias("occurrence"))
-    rows = candidates.join(share, ["source", "candidate"], "left")
+#: What a candidate has, and each of its cases carries.
+CANDIDATE = ("source", "candidate", "kind", "family", "metric", "raw_value", "confidence", "flags")
+
+
+def with_cases(candidates: DataFrame, cases: DataFrame, on: list[str], value: Column) -> DataFrame:
+    """Each candidate with each of its cases: ``cases`` tells, by ``on``, what reference and
+    model have in a case, ``value`` how far they are apart there (null where a side is
+    missing). A candidate without a case has one row with no case."""
+    rows = candidates.join(cases, on, "left").withColumn("value", tidy(value))
+    score = tidy(clamp(F.abs("value"), 0.0, 1.0) * F.col("confidence"))
+    return rows.select(*CANDIDATE, "case_id", "value", score.alias("case_score"))
+
+
+def score_candidates(cases: DataFrame) -> DataFrame:
+    """Size, audibility, occurrence, confidence_factor and score of the candidates in a table
+    of their cases. Occurrence is the share of a candidate's available cases that reach one
+    twelfth; none available: no occurrence."""
+    reached = F.when(F.col("value").isNotNull(), F.when(F.abs("value") >= OCCURS, 1.0).otherwise(0.0))
+    rows = cases.groupBy(*CANDIDATE).agg(tidy(F.avg(reached)).alias("occurrence"))
     rows = rows.withColumn("size", clamp(F.abs("raw_value"), 0.0, 1.0)).withColumn("audibility", audibility(F.col("metric")))
     rows = rows.withColumn("confidence_factor", F.col("confidence") / (1 + F.bit_count("flags")))
     return rows.withColumn("score", tidy(candidate_score(F.col("size"), F.col("audibility"), F.coalesce("occurrence", F.lit(0.0)), F.col("confidence_factor"))))
@@ -48,14 +60,14 @@ def primaries(scored: DataFrame) -> DataFrame:
     """``primary``: the best of its source and family; ``rank``: among primaries, else 0."""
     w = W.partitionBy("source", "family").orderBy(F.col("score").isNull(), F.desc("score"), "kind", "candidate")
     rows = scored.withColumn("primary", F.row_number().over(w) == 1)
-    # ranks are given among the primaries alone, which are few
-    top = ranked(rows.filter("primary"), _order(), "score")
-    return top.unionByName(rows.filter("not primary").withColumn("rank", F.lit(0).cast("long")))
+    # candidates are gaps between groups, far fewer than what was measured
+    number = F.row_number().over(W.orderBy(~F.col("primary"), F.col("score").isNull(), *_order()))
+    return rows.withColumn("rank", F.when(F.col("primary") & F.col("score").isNotNull(), number).otherwise(0).cast("long"))
 
 
 def label_cases(cases: DataFrame, labels: DataFrame, on: list[str]) -> DataFrame:
     """Cases with the six axis labels; what has none gets a word of its own."""
-    joined = cases.join(labels, on, "left")
+    joined = cases.filter("case_id is not null and value is not null").join(labels, on, "left")
     return joined.select(*cases.columns, *[F.coalesce(F.col(a), F.lit(MISSING)).alias(a) for a in AXES])
 
 
