@@ -96,7 +96,8 @@ def part_after_colon(text: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+    size = F.sqrt(dot(a, a) * dot(b, b))
+    return dot(a, b) / F.when(size > 0, size)
 
 
 #: Natural logarithm of 1000, for 60 dB decay from a bandwidth.

@@ -77,20 +77,35 @@ def random_plan(spark: SparkSession, ranges: dict[str, tuple[float, float]], bas
     return spark.range(count + 1).mapInArrow(draw, "point long, " + ", ".join(f"{n} double" for n in names))
 
 
-def candidates(obs: DataFrame, point: list[str], response: str = "y") -> DataFrame:
+def _cells(obs: DataFrame, point: list[str], response: str, replicates: int | None) -> DataFrame:
+    """(point, case, cell, weight, replicates): a cell that misses a replicate has no mean."""
+    n, whole = F.count(response), F.count(F.lit(1))
+    complete = (n == whole) if replicates is None else (n == whole) & (n == replicates)
+    return obs.groupBy(*point, "case").agg(F.when(complete, F.avg(response)).alias("cell"), F.max("weight").alias("weight"), n.alias("replicates"))
+
+
+def _with_cases(cells: DataFrame) -> DataFrame:
+    """``of``, the number of cases that any point has, on each cell."""
+    return cells.crossJoin(F.broadcast(cells.agg(F.count_distinct("case").alias("of"))))
+
+
+def candidates(obs: DataFrame, point: list[str], response: str = "y", replicates: int | None = None) -> DataFrame:
     """Per point: the weighted mean over cases of the mean over replicates. ``obs`` has
-    case, weight and the response; a point that misses a case has no mean."""
-    cells = obs.groupBy(*point, "case").agg(F.avg(response).alias("cell"), F.max("weight").alias("weight"), F.count(response).alias("replicates"))
-    return cells.groupBy(*point).agg(
-        F.sum("replicates").cast("long").alias("replicates"), (F.sum(F.col("weight") * F.col("cell")) / F.sum(F.when(F.col("cell").isNotNull(), F.col("weight")))).alias("mean_gap")
+    case, weight and the response; a point that misses a case, or a replicate of one
+    (a null response, or another number than ``replicates``), has no mean."""
+    mean = F.sum(F.col("weight") * F.col("cell")) / F.sum("weight")
+    return _with_cases(_cells(obs, point, response, replicates)).groupBy(*point).agg(
+        F.sum("replicates").cast("long").alias("replicates"), F.when((F.count("cell") == F.max("of")) & (F.sum("weight") > 0), mean).alias("mean_gap")
     )
 
 
-def harm(obs: DataFrame, point: list[str], at_baseline: Column, response: str = "y") -> DataFrame:
-    """Per point the largest rise of a case's mean over the baseline's."""
-    cells = obs.groupBy(*point, "case").agg(F.avg(response).alias("cell"))
+def harm(obs: DataFrame, point: list[str], at_baseline: Column, response: str = "y", replicates: int | None = None) -> DataFrame:
+    """Per point the largest rise of a case's mean over the baseline's; none where a case
+    misses at the point or at the baseline."""
+    cells = _with_cases(_cells(obs, point, response, replicates))
     base = cells.filter(at_baseline).select("case", F.col("cell").alias("home"))
-    return cells.join(base, "case").groupBy(*point).agg(tidy(F.max(F.col("cell") - F.col("home"))).alias("worst_harm"))
+    rise = F.col("cell") - F.col("home")
+    return cells.join(base, "case", "left").groupBy(*point).agg(tidy(F.when(F.count(rise) == F.max("of"), F.max(rise))).alias("worst_harm"))
 
 
 def sensitivity(points: DataFrame, parameters: list[str], scale: dict[str, float] | None = None) -> DataFrame:

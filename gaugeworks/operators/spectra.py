@@ -96,12 +96,13 @@ def flux(df: DataFrame, part: list[str], order: str, vector: str) -> DataFrame:
     """Rise of magnitudes over the prior frame, against this frame's sum and the prior's."""
     rows = _with_prior(df, part, order, vector).select(order, _magnitudes(vector).alias("x"), _magnitudes("prior").alias("y"))
     rise = _sum(F.zip_with("x", "y", lambda a, b: F.greatest(a - b, F.lit(0.0))))
-    return rows.select(order, tidy(rise / _sum(F.col("x"))).alias("flux"), tidy(rise / _sum(F.col("y"))).alias("flux_on_prior"))
+    share = lambda c: tidy(rise / F.when(_sum(F.col(c)) > 0, _sum(F.col(c))))
+    return rows.select(order, share("x").alias("flux"), share("y").alias("flux_on_prior"))
 
 
 def frame_costs(df: DataFrame, part: list[str], order: str, vector: str) -> DataFrame:
     rows = _with_prior(df, part, order, vector).select(order, "prior_id", _magnitudes(vector).alias("x"), _magnitudes("prior").alias("y"))
-    level = lambda c: 10 * F.log10(_sum(F.transform(c, lambda v: v * v)) / F.size(c))
+    level = lambda c: 10 * F.log10(F.greatest(_sum(F.transform(c, lambda v: v * v)) / F.size(c), F.lit(1e-30)))
     onset = F.abs(F.array_max("x") - F.array_max("y"))
     cost = 0.5 * (1 - cosine(F.col("x"), F.col("y"))) + 0.2 * F.least(onset, F.lit(1.0)) + 0.1 * F.least(F.abs(level("x") - level("y")) / 24, F.lit(1.0))
     return rows.select(order, "prior_id", tidy(cost / 0.8).alias("cost"))

@@ -14,15 +14,16 @@ HOME = {"gain": 1.0, "size": 2.0, "tone": 0.5}
 WEIGHTS = {"A": 1.0, "N": 2.0, "R": 3.0}
 
 _OBS = """obs AS (SELECT p_size % 5 AS size_class, l_linenumber AS line, l_returnflag AS "case",
-    CASE l_returnflag WHEN 'A' THEN 1.0 WHEN 'N' THEN 2.0 ELSE 3.0 END AS weight, l_discount * 100 AS y FROM lineitem JOIN part ON l_partkey = p_partkey)"""
-_PTS = f"""{_OBS}, cell AS (SELECT size_class, line, "case", avg(y) AS cell, max(weight) AS weight, count(y) AS replicates FROM obs GROUP BY ALL),
-    pt AS (SELECT size_class, line, CAST(sum(replicates) AS BIGINT) AS replicates, sum(weight * cell) / sum(weight) AS mean_gap FROM cell GROUP BY ALL)"""
+    CASE l_returnflag WHEN 'A' THEN 1.0 WHEN 'N' THEN 2.0 ELSE 3.0 END AS weight, CASE WHEN l_partkey % 997 <> 5 THEN l_discount * 100 END AS y FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+_PTS = f"""{_OBS}, cell AS (SELECT size_class, line, "case", CASE WHEN bool_and(y IS NOT NULL) THEN avg(y) END AS cell, max(weight) AS weight, count(y) AS replicates FROM obs GROUP BY ALL),
+    pt AS (SELECT size_class, line, CAST(sum(replicates) AS BIGINT) AS replicates, CASE WHEN count(cell) = (SELECT count(DISTINCT "case") FROM cell) THEN sum(weight * cell) / sum(weight) END AS mean_gap
+           FROM cell GROUP BY size_class, line)"""
 
 
 def observations(spark, sf_dir):
     parts = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") % 5).alias("size_class"))
     weight = F.coalesce(*[F.when(F.col("l_returnflag") == k, w) for k, w in WEIGHTS.items()])
-    lines = table(spark, sf_dir, "lineitem").select("l_partkey", F.col("l_linenumber").alias("line"), F.col("l_returnflag").alias("case"), weight.alias("weight"), (F.col("l_discount") * 100).alias("y"))
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", F.col("l_linenumber").alias("line"), F.col("l_returnflag").alias("case"), weight.alias("weight"), F.when(F.col("l_partkey") % 997 != 5, F.col("l_discount") * 100).alias("y"))
     return lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select("size_class", "line", "case", "weight", "y")
 
 
@@ -60,7 +61,8 @@ def experiment_candidates(spark, sf_dir):
 @query(
     "worst_harm",
     f"""WITH {_PTS}, h AS (SELECT "case", cell AS home FROM cell WHERE size_class = 0 AND line = 1)
-        SELECT size_class, line, round(max(cell - home), 6) + 0.0 AS worst_harm FROM cell JOIN h USING ("case") GROUP BY ALL""",
+        SELECT size_class, line, CASE WHEN count(cell - home) = (SELECT count(DISTINCT "case") FROM cell) THEN round(max(cell - home), 6) + 0.0 END AS worst_harm
+        FROM cell LEFT JOIN h USING ("case") GROUP BY size_class, line""",
 )
 def worst_harm(spark, sf_dir):
     return X.harm(observations(spark, sf_dir), ["size_class", "line"], (F.col("size_class") == 0) & (F.col("line") == 1))
@@ -90,7 +92,7 @@ def monotonicity(spark, sf_dir):
 
 def _effect(p: str) -> str:
     return f"""SELECT '{p}' AS parameter, CAST(sum(n) AS BIGINT) AS points, round(sum(n * (m - g) ** 2) / sum(n) / max(v), 6) + 0.0 AS effect
-        FROM (SELECT {p}, avg(mean_gap) AS m, count(*) AS n FROM pt GROUP BY {p}), (SELECT avg(mean_gap) AS g, var_pop(mean_gap) AS v FROM pt)"""
+        FROM (SELECT {p}, avg(mean_gap) AS m, count(*) AS n FROM pt WHERE mean_gap IS NOT NULL GROUP BY {p}), (SELECT avg(mean_gap) AS g, var_pop(mean_gap) AS v FROM pt)"""
 
 
 @query("main_effect", f"WITH {_PTS} {_effect('size_class')} UNION ALL {_effect('line')}")
@@ -102,7 +104,7 @@ def main_effect(spark, sf_dir):
 @query(
     "interaction",
     f"""WITH {_PTS}, i AS (SELECT size_class, line, mean_gap AS c, avg(mean_gap) OVER (PARTITION BY size_class) AS a, avg(mean_gap) OVER (PARTITION BY line) AS b,
-            avg(mean_gap) OVER () AS g FROM pt)
+            avg(mean_gap) OVER () AS g FROM pt WHERE mean_gap IS NOT NULL)
         SELECT 'size_class' AS "left", 'line' AS "right", count(*) AS points, round(avg((c - a - b + g) ** 2) / var_pop(c), 6) + 0.0 AS effect FROM i""",
 )
 def interaction(spark, sf_dir):

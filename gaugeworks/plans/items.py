@@ -143,6 +143,7 @@ def role_pivot(spark, sf_dir):
     roles = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("case")).pivot("l_returnflag", ["N", "A", "R"]).agg(F.sum("l_extendedprice"))
     joint, parts = F.col("N"), F.col("A") + F.col("R")
     rows = roles.filter("N is not null and A is not null and R is not null")
+    joint, parts = F.when(joint != 0, joint), F.when(parts != 0, parts)
     return rows.select("case", tidy(20 * F.log10(F.greatest(F.abs(joint - parts) / joint, F.lit(1e-15)))).alias("joint_residual_db"), tidy(20 * F.log10(joint / parts)).alias("shared_gain_db"))
 
 

@@ -284,7 +284,7 @@ def stereo_facts(spark, sf_dir):
         tidy(mid).alias("mid_rms"),
         tidy(wide).alias("side_rms"),
         tidy(E.power_db(F.avg(right * right)) - E.power_db(F.avg(left * left))).alias("balance_db"),
-        tidy(wide / mid).alias("width"),
+        tidy(wide / F.when(mid > 0, mid)).alias("width"),
         tidy(correlation("l", "r")).alias("correlation"),
     )
     return facts.filter("frames >= 3")
@@ -302,7 +302,8 @@ def rise_times(spark, sf_dir):
 
     item = F.floor(F.col("n") / 20)
     rows = samples(spark, sf_dir).select("user_id", item.alias("item"), (F.col("n") % 20).alias("k"), F.abs("x").alias("v"))
-    rows = rows.withColumn("rel", F.col("v") / F.max("v").over(W.partitionBy("user_id", "item")))
+    top = F.max("v").over(W.partitionBy("user_id", "item"))
+    rows = rows.withColumn("rel", F.col("v") / F.when(top > 0, top))
     first = lambda p: F.min(F.when(F.col("rel") >= p, F.col("k")))
     return rows.groupBy("user_id", "item").agg(
         first(0.1).alias("rise_10"), first(0.5).alias("rise_50"), first(0.9).alias("rise_90"), tidy(F.max("v") - F.avg(F.when(F.col("k") >= 16, F.col("v")))).alias("overshoot")
