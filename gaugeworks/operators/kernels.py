@@ -77,17 +77,32 @@ def pitch(frame: np.ndarray, rate: float, low=PITCH_LOW, high=PITCH_HIGH) -> tup
     return rate / lag, confidence
 
 
+#: Samples that a filter runs over at a time.
+FILTER_BLOCK = 64
+
+
 def _biquad(x: np.ndarray, b: np.ndarray, a: np.ndarray) -> np.ndarray:
-    """A second-order section, state carried from sample to sample."""
+    """A second-order section. Blocks are filtered together from rest, by their response to
+    impulses; what a block's two state values at its start add follows from their own
+    responses, and the states pass from block to block by a 2 by 2 matrix."""
     b, a = b / a[0], a / a[0]
-    out = np.empty(len(x))
-    s1 = s2 = 0.0
-    for k, v in enumerate(x.tolist()):
-        y = b[0] * v + s1
-        s1 = b[1] * v - a[1] * y + s2
-        s2 = b[2] * v - a[2] * y
-        out[k] = y
-    return out
+    size, n = FILTER_BLOCK, len(x)
+    blocks = np.pad(x, (0, -n % size)).reshape(-1, size)
+    step = np.array([[-a[1], 1.0], [-a[2], 0.0]])
+    gain = np.array([b[1] - a[1] * b[0], b[2] - a[2] * b[0]])
+    free = np.zeros((size + 1, 2, 2))  # the state after k samples without input
+    free[0] = np.eye(2)
+    for k in range(size):
+        free[k + 1] = step @ free[k]
+    impulse = np.concatenate([[b[0]], [(free[k] @ gain)[0] for k in range(size - 1)]])
+    lower = np.subtract.outer(np.arange(size), np.arange(size))
+    out = blocks @ np.where(lower >= 0, impulse[np.maximum(lower, 0)], 0.0).T
+    pushed = blocks @ np.stack([free[size - 1 - k] @ gain for k in range(size)])
+    state, starts = np.zeros(2), np.zeros((len(blocks), 2))
+    for k in range(len(blocks)):
+        starts[k] = state
+        state = free[size] @ state + pushed[k]
+    return (out + starts @ free[:size, 0, :].T).reshape(-1)[:n]
 
 
 def high_shelf(rate: float, hz=SHELF_HZ, db=SHELF_DB, slope=SHELF_SLOPE) -> tuple[np.ndarray, np.ndarray]:
@@ -183,54 +198,120 @@ def harmonics(power: np.ndarray, hz: float, step: float, partials: int = 12, cen
     return out
 
 
-def align(cost: np.ndarray, skip: float = 0.45, repeat: float = 0.45, band: int | None = None, step: float = 0.05) -> tuple[list[tuple[int, int]], float]:
+def corridor(path: list[tuple[int, int]], n: int, m: int, scale: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last column of each row of an (n + 1) by (m + 1) table that lie within
+    ``reach`` of a path found on every ``scale``-th frame."""
+    rows = np.arange(n + 1)
+    ends = np.array([(0, 0), *[(i * scale, j * scale) for i, j in path], (n, m)], float)
+    ends = ends[np.concatenate([[True], np.diff(ends[:, 0]) > 0])]
+    middle = np.interp(rows, ends[:, 0], ends[:, 1])
+    return np.clip(np.floor(middle - reach), 0, m).astype(int), np.clip(np.ceil(middle + reach), 0, m).astype(int)
+
+
+def align(
+    cost: np.ndarray, skip: float = 0.45, repeat: float = 0.45, band: int | None = None, step: float = 0.05, within: tuple[np.ndarray, np.ndarray] | None = None
+) -> tuple[list[tuple[int, int]], float]:
     """Cheapest monotone path through a cost matrix (reference by target): diagonal steps,
     reference frames skipped, target frames repeated, and 1x2 and 2x1 steps at a little
     extra. For its first 0.4 s a gap that goes on costs a share of its first step, then the
-    whole. Raises if no path exists."""
+    whole. ``band`` keeps the path near the diagonal, ``within`` (first and last column of
+    each row) in a corridor. Raises if no path exists.
+
+    A row's cells are done together; only repeated target frames depend on the cell before
+    in the row, and these are a plain scan over the band.
+    """
     n, m = cost.shape
-    inf = math.inf
+    if within is None:
+        at = np.arange(n + 1) * m // max(n, 1)
+        within = (np.zeros(n + 1, int), np.full(n + 1, m)) if band is None else (np.maximum(0, at - band), np.minimum(m, at + band))
+    first, last = within
     cheap = round(GAP_FREE / step)
-    run = np.zeros((n + 1, m + 1, 3), np.int64)  # steps of the gap that a cell ends
-    best = np.full((n + 1, m + 1, 3), inf)  # how a cell was entered: 0 match, 1 skip, 2 repeat
-    came: dict = {}
-    best[0, 0, 0] = 0.0
+    inf = math.inf
+    # how a cell was entered: 0 match, 1 skip, 2 repeat; only the last rows' costs are kept
+    best = [np.full((m + 1, 3), inf) for _ in range(3)]
+    runs = [np.zeros((m + 1, 3), np.int32) for _ in range(3)]
+    came = [np.zeros((0, 3), np.int8)] * (n + 1)
+    price = np.vstack([np.full((1, m + 1), inf), np.hstack([np.full((n, 1), inf), cost])])
     for i in range(n + 1):
-        low, high = (0, m) if band is None else (max(0, i * m // max(n, 1) - band), min(m, i * m // max(n, 1) + band))
-        for j in range(low, high + 1):
-            if i == j == 0:
-                continue
-            steps = []
-            if i and j:
-                steps.append((0, i - 1, j - 1, cost[i - 1, j - 1]))
-                if j > 1:
-                    steps.append((0, i - 1, j - 2, (cost[i - 1, j - 1] + cost[i - 1, j - 2]) / 2 + DIAGONAL_EXTRA))
-                if i > 1:
-                    steps.append((0, i - 2, j - 1, (cost[i - 1, j - 1] + cost[i - 2, j - 1]) / 2 + DIAGONAL_EXTRA))
-            if i:
-                steps.append((1, i - 1, j, skip))
-            if j:
-                steps.append((2, i, j - 1, repeat))
-            for kind, a, b, price in steps:
+        low, high = int(first[i]), int(last[i])
+        now, run = np.full((m + 1, 3), inf), np.zeros((m + 1, 3), np.int32)
+        how = np.zeros((high - low + 1, 3), np.int8)
+        if i == 0 and low == 0:
+            now[0, 0] = 0.0
+        cols = slice(low, high + 1)
+        if i:
+            one, one_run = best[-1], runs[-1]
+
+            def shifted(table, k):
+                return table[low - k : high + 1 - k] if low >= k else np.concatenate([np.full((k - low, 3), inf), table[: high + 1 - k]])
+
+            here, left = price[i, cols], np.concatenate([[inf], price[i]])[cols]
+            ways = [(shifted(one, 1), here, 1)]
+            if m > 1:
+                ways.append((shifted(one, 2), (here + left) / 2 + DIAGONAL_EXTRA, 2))
+            if i > 1:
+                ways.append((shifted(best[-2], 1), (here + price[i - 1, cols]) / 2 + DIAGONAL_EXTRA, 3))
+            for table, extra, way in ways:
                 for prior in range(3):
-                    if best[a, b, prior] == inf:
-                        continue
-                    going_on = kind and prior == kind
-                    share = GAP_SHARE if going_on and run[a, b, prior] < cheap else 1.0
-                    total = best[a, b, prior] + price * share
-                    if total < best[i, j, kind] - 1e-15:
-                        best[i, j, kind] = total
-                        run[i, j, kind] = run[a, b, prior] + 1 if going_on else int(kind > 0)
-                        came[i, j, kind] = (a, b, prior)
-    kind = int(np.argmin(best[n, m]))
-    if best[n, m, kind] == inf:
+                    total = table[:, prior] + extra
+                    better = total < now[cols, 0] - 1e-15
+                    now[cols, 0] = np.where(better, total, now[cols, 0])
+                    how[better, 0] = way * 3 + prior
+            for prior in range(3):
+                goes_on = (prior == 1) & (one_run[cols, prior] < cheap) if prior == 1 else np.zeros(high - low + 1, bool)
+                total = one[cols, prior] + np.where(goes_on, skip * GAP_SHARE, skip)
+                better = total < now[cols, 1] - 1e-15
+                now[cols, 1] = np.where(better, total, now[cols, 1])
+                run[cols, 1] = np.where(better, one_run[cols, prior] + 1 if prior == 1 else 1, run[cols, 1])
+                how[better, 1] = prior
+        # repeats: from the best of match and skip to the left, or the repeat to the left
+        entry = np.minimum(now[:, 0], now[:, 1])
+        kind = np.where(now[:, 0] <= now[:, 1], 0, 1)
+        before, length = inf, 0
+        for j in range(low + 1, high + 1):
+            anew = entry[j - 1] + repeat
+            longer = before + (repeat * GAP_SHARE if length < cheap else repeat)
+            # of two as dear the gap begins anew, and has its cheap steps before it
+            if longer < anew - 1e-15:
+                before, length, how[j - low, 2] = longer, length + 1, 2
+            else:
+                before, length, how[j - low, 2] = anew, 1, kind[j - 1]
+            now[j, 2], run[j, 2] = before, length
+        came[i] = how
+        best, runs = [*best[1:], now], [*runs[1:], run]
+    kind = int(np.argmin(best[-1][m]))
+    total = best[-1][m, kind]
+    if total == inf:
         raise ValueError("no path within the band")
-    path, cell = [], (n, m, kind)
-    while cell[:2] != (0, 0):
-        if cell[2] == 0:
-            path.append((cell[0] - 1, cell[1] - 1))
-        cell = came[cell]
-    return path[::-1], float(best[n, m, kind])
+    path, i, j = [], n, m
+    while (i, j) != (0, 0):
+        how = int(came[i][j - first[i], kind])
+        if kind == 0:
+            path.append((i - 1, j - 1))
+            way, kind = divmod(how, 3)
+            i, j = i - (2 if way == 3 else 1), j - (2 if way == 2 else 1)
+        elif kind == 1:
+            i, kind = i - 1, how
+        else:
+            j, kind = j - 1, how
+    return path[::-1], float(total)
+
+
+def align_coarse_to_fine(x: np.ndarray, y: np.ndarray, cost, scale: int = 4, reach: int = 12, most: int = 250_000, **options) -> tuple[list[tuple[int, int]], float]:
+    """``align`` of series too long for a whole table: ``cost`` of every ``scale``-th frame
+    first (again coarse to fine, where that is too long as well), then within ``reach`` of
+    that path; where a corridor holds no path it is widened."""
+    n, m = len(x), len(y)
+    if n * m <= most:
+        return align(cost(x, y), **options)
+    path, _ = align_coarse_to_fine(x[::scale], y[::scale], cost, scale, reach, most, **options)
+    while True:
+        try:
+            return align(cost(x, y), within=corridor(path, n, m, scale, reach), **options)
+        except ValueError:
+            if reach > m:
+                raise
+            reach *= 2
 
 
 def anchors(path: list[tuple[int, int]], onset: np.ndarray, step: float, least: float = 0.35, apart: float = 1.0) -> list[tuple[int, int]]:

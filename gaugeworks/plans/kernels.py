@@ -95,13 +95,13 @@ def harmonic_peaks(spark, sf_dir):
 
 @query("dtw_align")
 def dtw_align(spark, sf_dir):
-    """Each user's views aligned with the user's clicks, one task a pair of series."""
+    """Each user's views aligned with the user's clicks, whole, one task a pair of series."""
 
     def run(key, left, right):
-        a, b = (s.sort_values("n", kind="stable")["x"].to_numpy()[:60] for s in (left, right))
+        a, b = (s.sort_values("n", kind="stable")["x"].to_numpy() for s in (left, right))
         if not len(a) or not len(b):
             return pd.DataFrame(columns=["user_id", "i", "j", "total"])
-        path, total = K.align(np.minimum(np.abs(a[:, None] - b[None, :]), 1.0))
+        path, total = K.align_coarse_to_fine(a, b, lambda x, y: np.minimum(np.abs(x[:, None] - y[None, :]), 1.0))
         return pd.DataFrame({"user_id": key[0], "i": [p[0] for p in path], "j": [p[1] for p in path], "total": round(total, 9)})
 
     pick = lambda kind: samples(spark, sf_dir).filter(F.col("event_type") == kind).select("user_id", "n", "x").groupBy("user_id")
