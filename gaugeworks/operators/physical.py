@@ -190,7 +190,10 @@ def findings(checks: DataFrame) -> DataFrame:
     gravest first; ties by scope, case and kind."""
     from gaugeworks.operators.profiles import ranked
 
-    rows = checks.filter("availability = 'AVAILABLE'").withColumn("score", tidy(F.least(_raw_score() + 1e-9, F.lit(1.0)))).filter(F.col("score") >= REVIEW)
+    # least() passes over nulls, and a kind without a score is no finding
+    raw = F.col("raw")
+    rows = checks.filter("availability = 'AVAILABLE'").withColumn("raw", _raw_score()).filter(raw.isNotNull() & ~F.isnan(raw))
+    rows = rows.withColumn("score", tidy(F.least(raw + 1e-9, F.lit(1.0)))).drop("raw").filter(F.col("score") >= REVIEW)
     fault = F.col("kind").isin(*FAULTS)
     rows = rows.withColumn("class", F.when(fault, "FAULT").otherwise("GAP")).withColumn("code", F.when(fault, "numeric-fault").otherwise("physical-gap"))
     rows = rows.withColumn("severity", F.when(F.col("score") >= CRITICAL, "CRITICAL").when(F.col("score") >= WARNING, "WARNING").otherwise("INFO"))

@@ -176,3 +176,43 @@ def interval_join(points: DataFrame, spans: DataFrame, key: list[str], at: str,
     dealt = bounded.filter(high >= low).withColumn("_bucket", F.explode(F.sequence(low, high))).drop("_last")
     inside = (F.col(at) >= F.col(start)) & (F.col(end).isNull() | (F.col(at) < F.col(end)))
     return points.withColumn("_bucket", F.floor(F.col(at) / width)).join(dealt, [*key, "_bucket"]).filter(inside).drop("_bucket")
+
+
+def sliding_rms(df: DataFrame, key: list[str], hop: int, hops: int = 2, x: str = "x") -> DataFrame:
+    """(key, frame, rms, level_db) of windows of ``hops`` hops, one every ``hop`` samples;
+    only whole windows. Hops are summed first, so samples move once and as sums."""
+    parts = df.groupBy(*key, F.floor(F.col("n") / hop).alias("frame")).agg(F.sum(F.col(x) * F.col(x)).alias("s"), F.count(x).alias("c"))
+    w = W.partitionBy(*key).orderBy("frame").rangeBetween(0, hops - 1)
+    rows = parts.withColumn("power", F.sum("s").over(w) / F.lit(hop * hops)).withColumn("c", F.sum("c").over(w)).filter(F.col("c") == hop * hops)
+    return rows.select(*key, "frame", tidy(F.sqrt("power")).alias("rms"), tidy(power_db(F.col("power"))).alias("level_db"))
+
+
+#: Least pitch confidence for a tuning; for a glide, its least range in semitones, the step against its
+#: direction that is let pass, and the least share of steps in it.
+TUNING_CONFIDENCE, GLIDE_RANGE, GLIDE_SLIP, GLIDE_SHARE = 0.35, 0.5, 0.05, 0.65
+
+
+def tuning_offset(df: DataFrame, key: list[str], silence: float) -> DataFrame:
+    """(key, offset_cents, confidence): the circular mean, by pitch confidence, of how far
+    pitches (pitch_hz, confidence, level) lie from the nearest semitone."""
+    midi = 69 + 12 * F.log2(F.col("pitch_hz") / 440)
+    turn = 2 * F.pi() * (midi - F.floor(midi + 0.5))
+    usable = (F.col("pitch_hz") > 0) & (F.col("confidence") >= TUNING_CONFIDENCE) & (F.col("level") >= silence)
+    weight = F.col("confidence")
+    sums = df.filter(usable).groupBy(*key).agg(F.sum(weight * F.cos(turn)).alias("x"), F.sum(weight * F.sin(turn)).alias("y"), F.sum(weight).alias("w"))
+    length = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y"))
+    return sums.select(*key, tidy(100 * F.atan2("y", "x") / (2 * F.pi())).alias("offset_cents"), tidy(F.least(length / F.col("w"), F.lit(1.0))).alias("confidence"))
+
+
+def pitch_continuity(df: DataFrame, key: list[str], order: str) -> DataFrame:
+    """(key, points, confidence, glide): whether the confident pitches (midi, rising: the
+    next note is higher) between two notes move from one to the other: three or more, over
+    half a semitone or more, most steps in the direction."""
+    w = W.partitionBy(*key).orderBy(order)
+    change = F.round(F.col("midi") - F.lag("midi").over(w), 9)
+    directed = F.when(F.col("rising"), F.col("change") >= -GLIDE_SLIP).otherwise(F.col("change") <= GLIDE_SLIP)
+    rows = df.withColumn("change", change).withColumn("directed", F.when(F.col("change").isNotNull(), directed))
+    found = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("points"), (F.max("midi") - F.min("midi")).alias("range"), F.count(F.when(F.col("directed"), 1)).alias("steps"))
+    enough = (F.col("points") >= 3) & (F.round("range", 9) >= GLIDE_RANGE)
+    share = F.when(enough, F.col("steps") / F.when(F.col("points") > 1, F.col("points") - 1)).otherwise(0.0)
+    return found.select(*key, "points", tidy(share).alias("confidence"), (F.round(share, 9) >= GLIDE_SHARE).alias("glide"))

@@ -48,7 +48,17 @@ def oat_plan(spark, sf_dir):
     return X.one_at_a_time_plan(spark, LEVELS, HOME)
 
 
-@query("random_plan")
+_M = "18446744073709551616::UHUGEINT"
+_SPLITMIX = f"""WITH p AS (SELECT unnest(range(1, 1002)) AS point), d AS (SELECT point, k, CAST((42::UHUGEINT + greatest((point - 2) * 3 + k, 1)::UHUGEINT * {0x9E3779B97F4A7C15}::UHUGEINT) % {_M} AS UBIGINT) AS z
+        FROM p, (SELECT unnest([1, 2, 3]) AS k)),
+    a AS (SELECT point, k, CAST((xor(z, z >> 30)::UHUGEINT * {0xBF58476D1CE4E5B9}::UHUGEINT) % {_M} AS UBIGINT) AS z FROM d),
+    b AS (SELECT point, k, CAST((xor(z, z >> 27)::UHUGEINT * {0x94D049BB133111EB}::UHUGEINT) % {_M} AS UBIGINT) AS z FROM a),
+    u AS (SELECT point, k, CAST(xor(z, z >> 31) >> 11 AS DOUBLE) / 9007199254740992 AS u FROM b)
+    SELECT point, CASE WHEN point = 1 THEN 1.0 ELSE 2 * max(u) FILTER (k = 1) END AS gain, CASE WHEN point = 1 THEN 2.0 ELSE 1 + 7 * max(u) FILTER (k = 2) END AS size,
+           CASE WHEN point = 1 THEN 0.5 ELSE 0.5 + max(u) FILTER (k = 3) END AS tone FROM u GROUP BY point"""
+
+
+@query("random_plan", _SPLITMIX)
 def random_plan(spark, sf_dir):
     return X.random_plan(spark, {"gain": (0.0, 2.0), "size": (1.0, 8.0), "tone": (0.5, 1.5)}, HOME, seed=42, count=1000)
 

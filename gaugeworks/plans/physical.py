@@ -172,7 +172,7 @@ _FAULTS = "('dc_offset', 'dc_drift', 'clip_fraction', 'hard_bound_fraction', 're
 
 @query(
     "physical_findings",
-    f"""WITH {_CHECKS}, sc AS (SELECT *, round(least({_RULES} + 1e-9, 1), 6) + 0.0 AS score FROM (SELECT *, coalesce(model_value, reference_value) AS val FROM ck WHERE availability = 'AVAILABLE'))
+    f"""WITH {_CHECKS}, sc AS (SELECT *, CASE WHEN {_RULES} IS NOT NULL THEN round(least({_RULES} + 1e-9, 1), 6) + 0.0 END AS score FROM (SELECT *, coalesce(model_value, reference_value) AS val FROM ck WHERE availability = 'AVAILABLE'))
         SELECT scope, "case", kind, delta, CASE WHEN kind IN {_FAULTS} THEN 'FAULT' ELSE 'GAP' END AS class, CASE WHEN kind IN {_FAULTS} THEN 'numeric-fault' ELSE 'physical-gap' END AS code,
                CASE WHEN score >= 0.8 THEN 'CRITICAL' WHEN score >= 0.4 THEN 'WARNING' ELSE 'INFO' END AS severity, score, row_number() OVER (ORDER BY score DESC, scope, "case", kind) AS finding
         FROM sc WHERE score >= 0.2""",

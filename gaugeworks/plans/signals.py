@@ -340,3 +340,55 @@ def track_resample(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id", F.floor(F.expr(_US) / 21_600_000_000).alias("bucket")).agg(
         F.count(F.lit(1)).alias("points"), tidy(F.avg("value")).alias("energy"), tidy(F.max("value")).alias("onset"), (F.round((mean + 12) % 12, 4) % 12).alias("pitch_class")
     )
+
+
+@query(
+    "sliding_rms",
+    f"""WITH {_X}, k AS (SELECT user_id, max(n) + 1 AS of FROM x GROUP BY user_id), f AS (SELECT user_id, unnest(range(0, of // 5)) AS frame, of FROM k),
+        p AS (SELECT f.user_id, f.frame, sum(x.x ** 2) / 10 AS p, count(*) AS c FROM f JOIN x ON x.user_id = f.user_id AND x.n >= 5 * f.frame AND x.n < 5 * f.frame + 10 GROUP BY f.user_id, f.frame)
+        SELECT user_id, frame, round(sqrt(p), 6) + 0.0 AS rms, round({db('p')}, 6) + 0.0 AS level_db FROM p WHERE c = 10""",
+)
+def sliding_rms(spark, sf_dir):
+    """Windows of ten samples every five."""
+    return S.sliding_rms(samples(spark, sf_dir), KEY, 5)
+
+
+_PITCHES = "pf AS (SELECT user_id, n, n // 8 AS pair, 440 * pow(2, x / 2) AS pitch_hz, (event_id % 10) / 10 AS confidence, 20 * log10(greatest(abs(x), 1e-15)) AS level FROM x)"
+
+
+def pitches(spark, sf_dir):
+    """A sample's value, in half octaves about 440 Hz, stands for a frame's pitch."""
+    x = F.col("x")
+    return samples(spark, sf_dir).select(
+        "user_id",
+        "n",
+        F.floor(F.col("n") / 8).alias("pair"),
+        (440 * F.pow(F.lit(2.0), x / 2)).alias("pitch_hz"),
+        (F.col("event_id") % 10 / 10).alias("confidence"),
+        (20 * F.log10(F.greatest(F.abs(x), F.lit(1e-15)))).alias("level"),
+    )
+
+
+@query(
+    "tuning_offset",
+    f"""WITH {_X}, {_PITCHES}, c AS (SELECT user_id, confidence AS w, 12 * log2(pitch_hz / 440) - round(12 * log2(pitch_hz / 440)) AS apart FROM pf WHERE confidence >= 0.35 AND level >= -30),
+        s AS (SELECT user_id, sum(w * cos(2 * pi() * apart)) AS a, sum(w * sin(2 * pi() * apart)) AS b, sum(w) AS w FROM c GROUP BY user_id)
+        SELECT user_id, round(atan2(b, a) * 50 / pi(), 6) + 0.0 AS offset_cents, round(least(sqrt(a * a + b * b) / w, 1), 6) + 0.0 AS confidence FROM s""",
+)
+def tuning_offset(spark, sf_dir):
+    return S.tuning_offset(pitches(spark, sf_dir), KEY, -30.0)
+
+
+@query(
+    "pitch_continuity",
+    f"""WITH {_X}, {_PITCHES}, m AS (SELECT user_id, pair, pair % 2 = 0 AS rising, n, 69 + 12 * log2(pitch_hz / 440) AS midi FROM pf WHERE confidence >= 0.35),
+        d AS (SELECT *, round(midi - lag(midi) OVER (PARTITION BY user_id, pair ORDER BY n), 9) AS change FROM m),
+        g AS (SELECT user_id, pair, count(*) AS points, max(midi) - min(midi) AS span, count(*) FILTER (CASE WHEN rising THEN change + 0.05 >= 0 ELSE change - 0.05 <= 0 END) AS steps FROM d GROUP BY user_id, pair)
+        SELECT user_id, pair, points, CASE WHEN points >= 3 AND round(span, 9) >= 0.5 THEN round(steps / (points - 1), 6) ELSE 0.0 END AS confidence,
+               points >= 3 AND round(span, 9) >= 0.5 AND round(steps / nullif(points - 1, 0), 9) >= 0.65 AS glide FROM g""",
+)
+def pitch_continuity(spark, sf_dir):
+    """Eight frames of a user lie between two notes, of which every other second is higher."""
+    rows = pitches(spark, sf_dir).filter("confidence >= 0.35")
+    rows = rows.select("user_id", "pair", "n", (F.col("pair") % 2 == 0).alias("rising"), (69 + 12 * F.log2(F.col("pitch_hz") / 440)).alias("midi"))
+    return S.pitch_continuity(rows, ["user_id", "pair"], "n")

@@ -98,3 +98,54 @@ def test_combined_onset_is_bounded():
 def test_phase_onset_of_a_steady_sine_is_small():
     fr = K.frames(sine(8, 256, 2048), 256, 64)
     assert K.phase_onset(fr)[2:].max() < 0.2
+
+
+def test_block_filter_equals_the_recurrence():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 63, 64, 65, 1000):
+        x = rng.normal(size=n)
+        for b, a in (K.high_shelf(48000.0), K.high_pass(48000.0), K.high_shelf(8000.0, 3000.0)):
+            y, p, q, u, v = [], 0.0, 0.0, 0.0, 0.0
+            for k in x:
+                y.append((b[0] * k + b[1] * p + b[2] * q - a[1] * u - a[2] * v) / a[0])
+                p, q, u, v = k, p, y[-1], u
+            assert np.allclose(K._biquad(x, b, a), y, atol=1e-9)
+
+
+def test_alignment_against_every_path():
+    """The cheapest of all monotone paths, found by trying each."""
+    rng = np.random.default_rng(5)
+
+    def cheapest(cost, i, j, kind, run, cheap):
+        if (i, j) == cost.shape:
+            return 0.0
+        n, m = cost.shape
+        found = []
+        if i < n and j < m:
+            found.append(cost[i, j] + cheapest(cost, i + 1, j + 1, 0, 0, cheap))
+            if j + 1 < m:
+                found.append((cost[i, j] + cost[i, j + 1]) / 2 + 0.05 + cheapest(cost, i + 1, j + 2, 0, 0, cheap))
+            if i + 1 < n:
+                found.append((cost[i, j] + cost[i + 1, j]) / 2 + 0.05 + cheapest(cost, i + 2, j + 1, 0, 0, cheap))
+        for which, a, b, price in ((1, i + 1, j, 0.45), (2, i, j + 1, 0.45)):
+            if a <= n and b <= m:
+                share = 0.1 if kind == which and run < cheap else 1.0
+                found.append(price * share + cheapest(cost, a, b, which, run + 1 if kind == which else 1, cheap))
+        return min(found)
+
+    for _ in range(40):
+        n, m = rng.integers(1, 6, 2)
+        cost = rng.random((n, m))
+        path, total = K.align(cost)
+        assert abs(total - cheapest(cost, 0, 0, 0, 0, 8)) < 1e-9
+        assert all(a < c and b < d for (a, b), (c, d) in zip(path, path[1:]))
+
+
+def test_corridor_keeps_a_warped_path():
+    rng = np.random.default_rng(6)
+    x = np.cumsum(rng.normal(size=900)) * 0.1
+    warp = np.sort(np.concatenate([np.arange(900), rng.choice(900, 120)]))
+    cost = lambda a, b: np.minimum(np.abs(a[:, None] - b[None, :]), 1.0)
+    whole, total = K.align(cost(x, x[warp]))
+    path, coarse = K.align_coarse_to_fine(x, x[warp], cost, most=50_000)
+    assert coarse <= 1.15 * total + 1 and path[-1] == whole[-1]

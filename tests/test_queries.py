@@ -5,9 +5,10 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from gaugeworks.operators import fits, physical
+from gaugeworks.operators import experiments, fits, measures, physical
 from gaugeworks.operators import profiles as P
 from gaugeworks.plans.catalog import ORACLES, QUERIES
 
@@ -96,3 +97,41 @@ def test_dynamics_interval_and_stereo_in_closed_form(spark):
     assert {k: v for k, v in rows.items() if k[0] == "correction"} == {("correction", k): v for k, v in (("delay_samples", 96.0), ("balance_db", -2.0), ("width_ratio", 4.0), ("correlation", 0.25), ("polarity", -1.0))}
     assert rows["model", "polarity"] == -1.0 and rows["reference", "polarity"] == 1.0 and len(rows) == 15
     assert fits.stereo(spans.filter("span < 7"), 48000.0).count() == 0
+
+
+def test_measures_where_every_divisor_is_zero(spark):
+    """A silent item of one frame without a pitch: rows with a status, never an error."""
+    frame = (1, 0.0, 0.0, 0.0, -300.0, 0.0, 0.0, 0.0, None, 440.0, False, -300.0, -300.0, 0.0, 5, 5, 48000.0)
+    names = "item long, t double, x2 double, top double, level double, centroid double, flatness double, flux double, pitch double, target double, fault boolean, harmonic double, residual double, source_start double, start_sample long, end_sample long, rate double"
+    frames = spark.createDataFrame([frame], names)
+    bands = frames.selectExpr("item", "t", "0L AS band", "level", "residual")
+    partials = frames.selectExpr("item", "t", "1L AS partial", "CAST(NULL AS DOUBLE) AS cents", "CAST(NULL AS DOUBLE) AS level", "0.0D AS power")
+    rows = {(r["kind"], r["view"]): (r["value"], r["status"]) for r in measures.measure(frames, bands, partials, frames.select("item", "x2").filter("false")).collect()}
+    assert rows["rms_dbfs", "ABSOLUTE"] == (None, "BELOW_FLOOR") and rows["partial_presence_fraction", "ABSOLUTE"][0] is None
+    assert rows["duration_seconds", "ABSOLUTE"] == (0.0, "VALID") and rows["pre_note_residual_dbfs", "ABSOLUTE"] == (None, "NO_DATA")
+    assert {k for k, (v, s) in rows.items() if s == "VALID"} == {("duration_seconds", "ABSOLUTE"), ("attack_delay_seconds", "ABSOLUTE")}
+
+
+def test_findings_scores_by_kind(spark):
+    checks = [
+        ("a", "dc_offset", 0.0, -0.005, 0.005, "FAULT", "WARNING", 0.5),
+        ("b", "max_step_dbfs", -30.0, -6.0, 24.0, "FAULT", "WARNING", 0.5),
+        ("c", "body_mode_frequency_hz", 100.0, 101.3, 1.3, "GAP", "INFO", 0.22361),
+        ("d", "body_mode_frequency_hz", 100.0, 101.0, 1.0, None, None, None),
+        ("e", "element_distinctness_ratio", 0.1, 0.3, 0.2, "GAP", "CRITICAL", 0.8),
+        ("f", "render_lag_samples", 0.0, 40.0, 40.0, "GAP", "CRITICAL", 1.0),
+        ("g", "high_band_ratio", 0.0, 1.0, 1.0, None, None, None),
+        ("h", "clip_fraction", 0.0, 0.0001, 0.0001, None, None, None),
+    ]
+    rows = spark.createDataFrame([("s", c, k, r, m, d, "AVAILABLE") for c, k, r, m, d, *_ in checks], "scope string, case string, kind string, reference_value double, model_value double, delta double, availability string")
+    got = {r["case"]: (r["class"], r["severity"], round(r["score"], 5)) for r in physical.findings(rows).collect()}
+    assert got == {c: (cl, sev, score) for c, *_, cl, sev, score in checks if cl}
+
+
+def test_points_that_miss_a_case_or_replicate_have_no_mean(spark):
+    rows = [(1, "a", 1.0, 2.0), (1, "b", 3.0, 6.0), (2, "a", 1.0, 4.0), (3, "a", 1.0, 4.0), (3, "b", 3.0, None), (3, "b", 3.0, 1.0)]
+    obs = spark.createDataFrame(rows, "p int, case string, weight double, y double")
+    assert {r["p"]: r["mean_gap"] for r in experiments.candidates(obs, ["p"]).collect()} == {1: 5.0, 2: None, 3: None}
+    assert {r["p"]: r["mean_gap"] for r in experiments.candidates(obs, ["p"], replicates=2).collect()} == {1: None, 2: None, 3: None}
+    harm = {r["p"]: r["worst_harm"] for r in experiments.harm(obs, ["p"], F.col("p") == 1).collect()}
+    assert harm == {1: 0.0, 2: None, 3: None}
