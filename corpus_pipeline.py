@@ -1,7 +1,8 @@
 """The corpus pipeline: raw documents to packed training sequences.
 
 Each stage works on all rows that the one before it kept, is written as Parquet and read
-again. All but the last return the columns of documents.
+again. All but the last return the columns of documents, further ones of any name included;
+an empty table stays empty through all of them.
 """
 
 from __future__ import annotations
@@ -17,27 +18,33 @@ from gaugeworks.llm.packing import pack
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters and those far from every known language."""
+    """Drops documents without letters (null and empty texts among them) and those far from
+    every known language. Null languages and ids teach or name nothing but stay; repeated
+    rows are judged alike; an empty table, or one without a language, gives an empty result."""
     return identify(docs, train_model(docs), keep_only=True)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal normalised texts the one with the smallest doc_id stays."""
+    """Of equal normalised texts the one with the smallest doc_id stays; of repeated ids one
+    row, null ids only where all are null. Null texts equal empty ones."""
     return keep_first(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays."""
+    """Of each group of near-duplicates the document with the smallest doc_id stays; ties and
+    nulls as in exact_dedup. Texts without words stay."""
     return keep_near_first(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, in training order."""
+    """Whole documents as often as the mix takes them, in training order. Texts without words
+    are not taken; null sources are one source; ties of ids are broken by row number."""
     return mixed_documents(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per piece with its place in a training sequence."""
+    """A row per piece with its place in a training sequence; a null or empty text is one
+    piece, repeated rows are packed each for itself."""
     return pack(docs)
 
 
