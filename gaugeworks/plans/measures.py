@@ -236,7 +236,34 @@ def repeat_measures(spark, sf_dir):
     return M.repeats(frames(spark, sf_dir), ["user_id"])
 
 
-@query("vibrato_measures")
+#: Whole curves (-3), their halves (-2, -1) and windows of 8 (from 0), detrended, by their best lag.
+_CURVES = f"""WITH {_FRAMES},
+    curve AS (SELECT user_id, item, coalesce(list(1200 * log2(pitch / target) ORDER BY t) FILTER (pitch IS NOT NULL), []) AS v FROM fr GROUP BY user_id, item),
+    cut AS (SELECT item, -3 AS seg, v FROM curve UNION ALL SELECT item, -2, v[1 : len(v) // 2] FROM curve UNION ALL SELECT item, -1, v[len(v) // 2 + 1 : len(v)] FROM curve
+            UNION ALL SELECT item, k, v[k + 1 : k + 8] FROM curve, range(20) AS g(k) WHERE k + 8 <= len(v)),
+    points AS (SELECT item, seg, len(v) AS c, unnest(v) AS y, generate_subscripts(v, 1) - 1 AS i FROM cut WHERE len(v) >= 6),
+    line AS (SELECT item, seg, regr_slope(y, i) AS a, regr_intercept(y, i) AS b FROM points GROUP BY item, seg),
+    rest AS (SELECT item, seg, c, i, y - a * i - b AS y FROM points JOIN line USING (item, seg)),
+    lags AS (SELECT l.item, l.seg, k, sum(l.y * h.y) / sqrt(sum(l.y * l.y) * sum(h.y * h.y) + 1e-30) AS r
+             FROM rest l JOIN rest h USING (item, seg), range(3, 9) AS g(k) WHERE h.i = l.i + k AND k <= l.c // 2 GROUP BY l.item, l.seg, k),
+    best AS (SELECT item, seg, arg_max(k, (r, -k)) AS k, max(r) AS r FROM lags GROUP BY item, seg),
+    found AS (SELECT item, seg, 1 / (k * 0.04::DOUBLE) AS rate, sqrt(2 * p) AS depth, 1 - r AS left_over
+              FROM best JOIN (SELECT item, seg, avg(y * y) AS p FROM rest GROUP BY item, seg) USING (item, seg) WHERE r >= 0.25 AND p >= 1e-12),
+    whole AS (SELECT * FROM found WHERE seg = -3), one AS (SELECT * FROM found WHERE seg = -2), two AS (SELECT * FROM found WHERE seg = -1),
+    first_ AS (SELECT item, min(seg) AS k FROM found WHERE seg >= 0 GROUP BY item),
+    even AS (SELECT user_id, item, CASE WHEN len(v) >= 3 THEN list_transform(range(64), lambda i: v[CAST(floor(i * (len(v) - 1) / 63.0) AS INT) + 1]
+                 + (v[least(CAST(floor(i * (len(v) - 1) / 63.0) AS INT) + 2, len(v))] - v[CAST(floor(i * (len(v) - 1) / 63.0) AS INT) + 1])
+                 * (i * (len(v) - 1) / 63.0 - floor(i * (len(v) - 1) / 63.0))) END AS e FROM curve),
+    pair AS (SELECT item, e, last_value(e IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY item ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM even),
+    alike AS (SELECT item, corr(a, b) AS r FROM (SELECT item, unnest(e) AS a, unnest(prior) AS b FROM pair WHERE e IS NOT NULL AND prior IS NOT NULL) GROUP BY item HAVING var_pop(a) > 1e-18 AND var_pop(b) > 1e-18)
+    SELECT c.item, unnest(['vibrato_delay_seconds', 'vibrato_rate_hz', 'vibrato_depth_cents', 'vibrato_waveform_residual_ratio', 'vibrato_rate_drift_hz_per_second',
+                           'vibrato_depth_drift_cents_per_second', 'repeated_pitch_curve_similarity']) AS kind,
+           unnest([round(first_.k * 0.04::DOUBLE, 6), round(whole.rate, 6), round(whole.depth, 6), round(whole.left_over, 6), round((two.rate - one.rate) / (len(v) * 0.04::DOUBLE), 6),
+                   round((two.depth - one.depth) / (len(v) * 0.04::DOUBLE), 6), round(alike.r, 6)]) AS value
+    FROM curve c LEFT JOIN whole USING (item) LEFT JOIN one USING (item) LEFT JOIN two USING (item) LEFT JOIN first_ USING (item) LEFT JOIN alike USING (item)"""
+
+
+@query("vibrato_measures", _CURVES)
 def vibrato_measures(spark, sf_dir):
     """Delay, rate, depth, residual and drifts of each item's pitch curve; likeness of the
     curve to that of the prior item of the user."""
