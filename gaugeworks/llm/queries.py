@@ -100,6 +100,16 @@ ORACLES = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = min(doc_id) OVER w AS kept, text_sha256
         FROM t WINDOW w AS (PARTITION BY norm)""",
+    "op6_embedding_near_dedup": """
+        WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda c: CAST(c AS DOUBLE)) AS e FROM embeddings),
+        good AS (SELECT *, sqrt(list_dot_product(e, e)) AS norm FROM v
+                 WHERE label IS NOT NULL AND len(list_filter(e, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND list_dot_product(e, e) > 0),
+        links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b USING (label)
+                  WHERE a.vec_id <> b.vec_id AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98),
+        reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+        near AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+        SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+        FROM (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a) LEFT JOIN near USING (vec_id)""",
     "op10_source_mixing": r"""
         WITH d AS (SELECT doc_id, coalesce('s' || source, 'z') AS source, md5(CAST(doc_id AS VARCHAR)) AS key,
                           CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
