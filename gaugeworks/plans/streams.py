@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from gaugeworks.plans.registry import query, table
 from gaugeworks.streaming import blocks
 
@@ -14,7 +12,7 @@ _FACTS = """SELECT {start} AS window_start, event_type, count(*) AS n, min(value
 @query("stream_block_facts", _FACTS.format(start="time_bucket(INTERVAL 1 DAY, ts)", source="events"))
 def stream_block_facts(spark, sf_dir):
     stream = blocks.read_events(spark, sf_dir, "events.parquet")
-    return blocks.run_to_end(blocks.block_facts(stream, late="31 days"), f"blocks_{uuid.uuid4().hex}")
+    return blocks.run_to_end(blocks.block_facts(stream, late="31 days"), ["window_start", "event_type"])
 
 
 @query("sliding_block_facts", _FACTS.format(start="s", source="(SELECT *, time_bucket(INTERVAL 12 HOUR, ts) - INTERVAL (unnest([0, 12])) HOUR AS s FROM events)"))

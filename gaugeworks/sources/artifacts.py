@@ -63,16 +63,27 @@ def changed(before: DataFrame, after: DataFrame) -> DataFrame:
     return a.join(b, "path", "full").filter(~F.col("was").eqNullSafe(F.col("now")))
 
 
+def _shown(df: DataFrame, most: int) -> tuple[list, int]:
+    """(first rows, number of all rows), by rank where there is one, then by the columns in turn."""
+    order = [c for c, t in df.dtypes if c == "rank"] + [c for c, t in df.dtypes if c != "rank" and "map<" not in t]
+    return df.orderBy(*order).limit(most).collect(), df.count()
+
+
 def report_html(title: str, sections: dict[str, DataFrame], most: int = 200) -> str:
-    """A report page of small tables: each shows its first ``most`` rows."""
+    """A report page of tables: each shows its first ``most`` rows and how many there are; the
+    whole tables are in the saved set."""
     out = [f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1>"]
     for name, df in sections.items():
-        out.append(f"<h2>{html.escape(name)}</h2><table><tr>{''.join(f'<th>{html.escape(c)}</th>' for c in df.columns)}</tr>")
-        for row in df.limit(most).collect():
+        rows, total = _shown(df, most)
+        out.append(f"<h2>{html.escape(name)}</h2><p>{len(rows)} of {total} rows</p><table><tr>{''.join(f'<th>{html.escape(c)}</th>' for c in df.columns)}</tr>")
+        for row in rows:
             out.append("<tr>" + "".join(f"<td>{'' if v is None else html.escape(str(v))}</td>" for v in row) + "</tr>")
         out.append("</table>")
     return "".join(out) + "</body></html>"
 
 
 def report_json(title: str, sections: dict[str, DataFrame], most: int = 200) -> str:
-    return json.dumps({"title": title, **{name: [r.asDict(True) for r in df.limit(most).collect()] for name, df in sections.items()}}, default=str)
+    """As ``report_html``; ``total_rows`` says how many rows each section has in all."""
+    shown = {name: _shown(df, most) for name, df in sections.items()}
+    whole = {"title": title, "total_rows": {name: total for name, (_, total) in shown.items()}}
+    return json.dumps(whole | {name: [r.asDict(True) for r in rows] for name, (rows, _) in shown.items()}, default=str)

@@ -112,6 +112,64 @@ def read_manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.json(path, schema=schema, multiLine=True, mode="FAILFAST")
 
 
+def _ids(array: str, field: str = "id") -> str:
+    return f"transform(coalesce({array}, array()), e -> e.{field})"
+
+
+def _repeats(values: str) -> str:
+    return f"size(array_distinct({values})) < size({values})"
+
+
+def _any(array: str, test: str) -> str:
+    return f"exists(coalesce({array}, array()), e -> coalesce({test}, true))"
+
+
+_STREAMS = f"concat({_ids('stems')}, {_ids('probes')})"
+#: What breaks a manifest, by kind: the rule and when it is broken. A value that is missing breaks its rule.
+RULES = {
+    "run": {
+        "the clock rate must be positive": "coalesce(clock_rate_hz <= 0, true)",
+        "stem and probe ids must be unique": _repeats(_STREAMS),
+        "a side is reference or model": _any("stems", "e.side NOT IN ('reference', 'model')"),
+        "a role has one model stem": _repeats("transform(filter(coalesce(stems, array()), e -> e.side = 'model'), e -> e.role)"),
+        "rates and channels must be positive": _any("stems", "e.rate_hz <= 0 OR e.channels <= 0"),
+        "a link names a stem and a probe": _any("links", f"NOT array_contains({_ids('stems')}, e.stem) OR NOT array_contains({_ids('probes')}, e.probe)"),
+        "links must be unique": _repeats("coalesce(links, array())"),
+    },
+    "experiment": {
+        "input ids must be unique": _repeats(_ids("inputs")),
+        "parameter ids must be unique": _repeats(_ids("parameters")),
+        "case ids must be unique": _repeats(_ids("cases")),
+        "response ids must be unique": _repeats(_ids("responses")),
+        "a parameter's minimum is below its maximum": _any("parameters", "e.minimum >= e.maximum"),
+        "a baseline lies between minimum and maximum": _any("parameters", "e.baseline NOT BETWEEN e.minimum AND e.maximum"),
+        "levels lie between minimum and maximum": _any("parameters", "exists(coalesce(e.levels, array()), l -> l NOT BETWEEN e.minimum AND e.maximum)"),
+        "levels hold the baseline": _any("parameters", "size(coalesce(e.levels, array())) > 0 AND NOT array_contains(e.levels, e.baseline)"),
+        "a plan is a grid, one-at-a-time or random": "coalesce(plan.kind NOT IN ('grid', 'one-at-a-time', 'random'), true)",
+        "replicates must be positive": "coalesce(plan.replicates <= 0, true)",
+        "weights must be positive": _any("cases", "e.weight <= 0"),
+        "a split is fit or check": _any("cases", "e.split NOT IN ('fit', 'check')"),
+    },
+    "gap_report": {
+        "source ids must be unique": _repeats(_ids("sources")),
+        "a case label names a source": _any("case_labels", f"NOT array_contains({_ids('sources')}, e.source)"),
+        "a case has one label row": _repeats("transform(coalesce(case_labels, array()), e -> struct(e.source, e.case))"),
+        "an excerpt ends after its start": _any("excerpts", "e.end_sample <= e.start_sample OR e.start_sample < 0"),
+    },
+}
+
+
+def check_manifest(manifest: DataFrame, kind: str) -> DataFrame:
+    """``manifest`` if it keeps the rules of its kind; else the first broken one is named."""
+    rules = RULES[kind]
+    broken = manifest.select(*[F.expr(test).alias(f"r{k}") for k, test in enumerate(rules.values())]).collect()
+    for row in broken:
+        for rule, bad in zip(rules, row):
+            if bad:
+                raise InputError(rule)
+    return manifest
+
+
 def entries(manifest: DataFrame, array: str) -> DataFrame:
     """One row for each entry of a manifest's array."""
     return manifest.select(F.inline(array))

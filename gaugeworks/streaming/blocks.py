@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gaugeworks.functions.expr import amplitude_db, tidy
 
@@ -28,8 +32,30 @@ def read_events(spark: SparkSession, folder: str, names: str = "*.parquet", file
     return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", names).parquet(folder)
 
 
-def run_to_end(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Everything that is there now, as the table ``name`` in memory: for small results."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def _folder(spark: SparkSession) -> str:
+    """A new folder in ``spark.checkpoint.dir``; a temporary one only where that is unset and
+    the master is local."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="gw-stream-")
+    return f"{found.rstrip('/')}/gw-stream-{uuid.uuid4().hex}"
+
+
+def run_to_end(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """What ``stream`` has made of all that is there now: a row per ``keys``. Each batch writes
+    the rows that it changed to a folder of its own, so that a batch run again overwrites
+    itself; of a key's rows the one of the last batch counts. Without input it is empty."""
+    spark, path = stream.sparkSession, _folder(stream.sparkSession)
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+
+    put(spark.createDataFrame([], stream.schema), -1)
+    query = stream.writeStream.outputMode("update").option("checkpointLocation", f"{path}/state").foreachBatch(put).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    rest = [c for c in stream.columns if c not in keys]
+    written = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{path}/rows")
+    last = written.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("last"))
+    return last.select(*keys, *[F.col(f"last.{c}") for c in rest])

@@ -1,11 +1,13 @@
 """WAVE, CSV, JSON and binary inputs; saved sets."""
 
+import json
 import struct
 
 import numpy as np
 import pytest
 
 from gaugeworks.sources import artifacts, tables, wave
+from gaugeworks.streaming import blocks
 
 
 def header(tag, channels, rate, bits, data, extra=b"", riff=b"RIFF"):
@@ -119,3 +121,59 @@ def test_exports_and_provenance(spark, tmp_path):
     assert artifacts.changed(before, before).count() == 0
     page = artifacts.report_html("<t>", {"gaps": spark.createDataFrame([("a&b", None)], "k string, v double")})
     assert "a&amp;b" in page and "&lt;t&gt;" in page
+
+
+def test_reports_say_how_many_rows_there_are(spark):
+    rows = spark.createDataFrame([("b", 2), ("a", 1), ("c", 3)], "k string, rank long")
+    said = json.loads(artifacts.report_json("t", {"gaps": rows}, most=2))
+    assert said["total_rows"] == {"gaps": 3} and [r["k"] for r in said["gaps"]] == ["a", "b"]
+    assert "2 of 3 rows" in artifacts.report_html("t", {"gaps": rows}, most=2)
+
+
+STEM = {"id": "a", "side": "model", "role": "final", "rate_hz": 48000, "channels": 1}
+SIZE = {"id": "p", "minimum": 0, "maximum": 1, "baseline": 0, "levels": [0, 1]}
+PLAN = {"plan": {"kind": "grid", "replicates": 1}}
+
+
+@pytest.mark.parametrize(
+    ("kind", "schema", "manifest", "rule"),
+    [
+        ("run", tables.RUN_MANIFEST, {"clock_rate_hz": 48000, "stems": [STEM], "probes": [{"id": "p"}], "links": [{"stem": "a", "probe": "p", "feature": "rms"}]}, None),
+        ("run", tables.RUN_MANIFEST, {"clock_rate_hz": 0}, "clock rate"),
+        ("run", tables.RUN_MANIFEST, {"clock_rate_hz": 1, "stems": [STEM], "probes": [{"id": "a"}]}, "ids must be unique"),
+        ("run", tables.RUN_MANIFEST, {"clock_rate_hz": 1, "stems": [STEM, STEM | {"id": "b"}]}, "one model stem"),
+        ("run", tables.RUN_MANIFEST, {"clock_rate_hz": 1, "stems": [STEM | {"side": None}]}, "a side"),
+        ("run", tables.RUN_MANIFEST, {"clock_rate_hz": 1, "stems": [STEM], "links": [{"stem": "a", "probe": "p"}]}, "a link"),
+        ("experiment", tables.EXPERIMENT_MANIFEST, PLAN | {"parameters": [SIZE], "cases": [{"id": "c", "split": "fit", "weight": 1}]}, None),
+        ("experiment", tables.EXPERIMENT_MANIFEST, PLAN | {"parameters": [SIZE, SIZE]}, "parameter ids"),
+        ("experiment", tables.EXPERIMENT_MANIFEST, PLAN | {"parameters": [SIZE | {"baseline": 2}]}, "a baseline"),
+        ("experiment", tables.EXPERIMENT_MANIFEST, PLAN | {"parameters": [SIZE | {"levels": [0.5]}]}, "levels hold"),
+        ("experiment", tables.EXPERIMENT_MANIFEST, PLAN | {"cases": [{"id": "c", "split": "fit", "weight": 0}]}, "weights"),
+        ("experiment", tables.EXPERIMENT_MANIFEST, {"plan": {"kind": "grid"}}, "replicates"),
+        ("experiment", tables.EXPERIMENT_MANIFEST, {"plan": {"kind": "sweep", "replicates": 1}}, "a plan"),
+        ("gap_report", tables.GAP_MANIFEST, {"sources": [{"id": "s"}], "case_labels": [{"source": "s", "case": "c"}], "excerpts": [{"start_sample": 0, "end_sample": 1}]}, None),
+        ("gap_report", tables.GAP_MANIFEST, {"sources": [{"id": "s"}, {"id": "s"}]}, "source ids"),
+        ("gap_report", tables.GAP_MANIFEST, {"case_labels": [{"source": "s", "case": "c"}]}, "names a source"),
+        ("gap_report", tables.GAP_MANIFEST, {"excerpts": [{"start_sample": 5, "end_sample": 5}]}, "an excerpt"),
+    ],
+)
+def test_manifest_rules(spark, tmp_path, kind, schema, manifest, rule):
+    (tmp_path / "m.json").write_text(json.dumps(manifest))
+    read = tables.read_manifest(spark, str(tmp_path / "m.json"), schema)
+    if rule is None:
+        assert tables.check_manifest(read, kind).count() == 1
+    else:
+        with pytest.raises(tables.InputError, match=rule):
+            tables.check_manifest(read, kind)
+
+
+def test_a_stream_in_several_batches_equals_the_table(spark, tmp_path):
+    rows = spark.createDataFrame([(k, k % 3, "ab"[k % 2], float(k)) for k in range(40)], "event_id long, d int, event_type string, value double")
+    rows = rows.selectExpr("event_id", "timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, d, event_id) AS ts", "1L AS user_id", "event_type", "value", "'' AS props")
+    rows.repartition(5).write.parquet(str(tmp_path / "in"))
+    stream = blocks.block_facts(blocks.read_events(spark, str(tmp_path / "in"), files_per_batch=1), late="31 days")
+    got = blocks.run_to_end(stream, ["window_start", "event_type"])
+    want = blocks.block_facts(spark.read.parquet(str(tmp_path / "in")))
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    (tmp_path / "none").mkdir()
+    assert blocks.run_to_end(blocks.block_facts(blocks.read_events(spark, str(tmp_path / "none"))), ["window_start", "event_type"]).count() == 0
