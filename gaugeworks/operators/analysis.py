@@ -1,7 +1,8 @@
 """From sample blocks to facts, frame tracks, alignments and items: the audio stages.
 
-Each function takes and gives DataFrames. A (source, channel) is one series and one task:
-frames overlap block ends and the filters carry state.
+Each function takes and gives DataFrames. Facts and tracks are made a chunk of a series at a
+time, so a recording of any length spans many tasks: frames that overlap a chunk's end read
+its neighbours' samples, and the filters' states pass from chunk to chunk.
 """
 
 from __future__ import annotations
@@ -10,10 +11,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.expr import BAND_EDGES
+from gaugeworks.operators import chunks as C
 from gaugeworks.operators import kernels as K
 
 FACTS = "source_id string, channel int, frames long, peak double, rms double, dc double, crest_db double, true_peak double, integrated_lufs double"
@@ -46,35 +50,70 @@ def db(p) -> np.ndarray:
     return np.where(np.asarray(p) > 1e-30, 10 * np.log10(np.maximum(p, 1e-30)), -300.0)
 
 
-def _whole(rows: pd.DataFrame) -> np.ndarray:
-    return np.concatenate(rows.sort_values("block_id")["samples"].tolist())
-
-
-def integrated(x: np.ndarray, rate: float) -> float:
-    """Gated loudness of 400 ms blocks every 100 ms; NaN where all is under the gate."""
-    y = K.k_weighted(x, rate) ** 2
-    step = int(rate / 10 + 0.5)
-    n = len(y) // step
-    if n < 4:
-        return np.nan
-    p = y[: n * step].reshape(n, step).mean(1)
-    p = np.convolve(p, np.ones(4) / 4, "valid")
-    level = -0.691 + db(p)
-    loud = p[level >= -70]
-    if not len(loud):
-        return np.nan
-    gate = max(-70.0, -0.691 + float(db(loud.mean())) - 10)
-    return -0.691 + float(db(p[level >= gate].mean()))
-
-
-def facts(blocks: DataFrame) -> DataFrame:
-    def run(rows):
-        x, rate = _whole(rows), float(rows["rate"].iloc[0])
-        peak, rms = float(np.abs(x).max()), float(np.sqrt((x * x).mean()))
-        crest = float(db(peak**2) - db(rms**2))
-        return pd.DataFrame([(rows["source_id"].iloc[0], rows["channel"].iloc[0], len(x), peak, rms, float(x.mean()), crest, K.true_peak(x), integrated(x, rate))])
-
-    return blocks.groupBy("source_id", "channel").applyInPandas(run, FACTS)
+SERIES = ["source_id", "channel"]
+_PARTS = "source_id string, channel int, rate int, n long, peak double, total double, energy double, true_peak double, steps array<struct<step: long, n: int, power: double>>"
+
+
+def chunk_facts(blocks: DataFrame, size: int = C.SIZE) -> DataFrame:
+    """What each chunk adds to the facts of its series: extremes, sums, and the K-weighted
+    energy of each tenth of a second that it touches."""
+    pieces = C.chunks(blocks, SERIES, size, before=K.PEAK_REACH, after=K.PEAK_REACH, keep=["rate"])
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            weighted = C.arrays(batch.column("filtered"))
+            for r, x, y in zip(batch.drop_columns(["samples", "filtered"]).to_pylist(), C.arrays(batch.column("samples")), weighted):
+                part = C.own_part(x, r["first"], r["chunk"], size, r["own"])
+                own = x[part]
+                ahead, behind = part.start, len(x) - part.stop
+                top = K.true_peak(own, padded=np.pad(x, (K.PEAK_REACH - ahead, K.PEAK_REACH - behind)))
+                start, tenth = r["chunk"] * size, int(r["rate"] / 10 + 0.5)
+                step = np.arange(start, start + len(own)) // max(tenth, 1)
+                edge = np.flatnonzero(np.diff(step, prepend=step[0] - 1))
+                power, count = np.add.reduceat(y * y, edge), np.diff(edge, append=len(own))
+                steps = [{"step": int(k), "n": int(n), "power": float(p)} for k, n, p in zip(step[edge], count, power)]
+                rows.append((r["source_id"], r["channel"], r["rate"], len(own), float(np.abs(own).max()), float(own.sum()), float((own * own).sum()), top, steps))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(zip(*rows), _PART_TYPES)], names=_PART_NAMES)
+
+    return C.filtered(pieces, SERIES, size).mapInArrow(run, _PARTS)
+
+
+_PART_NAMES = ["source_id", "channel", "rate", "n", "peak", "total", "energy", "true_peak", "steps"]
+_PART_TYPES = [pa.string(), pa.int32(), pa.int32(), pa.int64(), *[pa.float64()] * 4, pa.list_(pa.struct([("step", pa.int64()), ("n", pa.int32()), ("power", pa.float64())]))]
+
+
+def gated_loudness(steps: DataFrame, key: list[str]) -> DataFrame:
+    """(key, integrated_lufs) of whole tenths of a second (key, step, power, the mean square):
+    400 ms every 100 ms, first those of -70 or more, then those within 10 of their mean."""
+    four = W.partitionBy(*key).orderBy("step").rowsBetween(-3, 0)
+    blocks = steps.select(*key, F.avg("power").over(four).alias("p"), F.count(F.lit(1)).over(four).alias("held")).filter("held = 4")
+    loud = blocks.select(*key, "p", level_db("p").alias("level")).filter("level >= -70")
+    gates = loud.groupBy(*key).agg(F.greatest(F.lit(-70.0), level_db(F.avg("p")) - 10).alias("gate"))
+    # a row of a tenth of a second each: of one series they may meet in a join that can be split
+    kept = loud.join(gates, key).filter(F.col("level") >= F.col("gate"))
+    return kept.groupBy(*key).agg(level_db(F.avg("p")).alias("integrated_lufs"))
+
+
+def level_db(p) -> F.Column:
+    p = F.col(p) if isinstance(p, str) else p
+    return F.when(p > 1e-30, 10 * F.log10(p)).otherwise(F.lit(-300.0)) - 0.691
+
+
+def facts(blocks: DataFrame, size: int = C.SIZE) -> DataFrame:
+    """Length, peak, level, offset, crest, true peak and gated loudness of each series of
+    blocks (source_id, channel, rate, start_frame, samples), a chunk to a task."""
+    parts = chunk_facts(blocks, size)
+    plain = lambda p: F.when(p > 1e-30, 10 * F.log10(p)).otherwise(F.lit(-300.0))
+    sums = parts.groupBy(*SERIES).agg(
+        F.sum("n").alias("frames"), F.max("peak").alias("peak"), F.sum("energy").alias("energy"), F.sum("total").alias("total"), F.max("true_peak").alias("true_peak")
+    )
+    mean = F.col("energy") / F.col("frames")
+    level = sums.select(*SERIES, "frames", "peak", F.sqrt(mean).alias("rms"), (F.col("total") / F.col("frames")).alias("dc"), (plain(F.col("peak") * F.col("peak")) - plain(mean)).alias("crest_db"), "true_peak")
+    tenth = F.floor(F.col("rate") / 10 + 0.5)
+    steps = parts.select(*SERIES, "rate", F.inline("steps")).groupBy(*SERIES, "step").agg(F.sum("n").alias("n"), F.sum("power").alias("power"), F.first("rate").alias("rate"))
+    whole = steps.filter(F.col("n") == tenth).select(*SERIES, "step", (F.col("power") / F.col("n")).alias("power"))
+    return level.join(gated_loudness(whole, SERIES), SERIES, "left").select(*[c.split()[0] for c in FACTS.split(", ")])
 
 
 def track(x: np.ndarray, rate: float, options: Options = Options()) -> dict[str, np.ndarray]:
@@ -121,14 +160,31 @@ def track(x: np.ndarray, rate: float, options: Options = Options()) -> dict[str,
     }
 
 
-def frame_tracks(blocks: DataFrame, options: Options = Options()) -> DataFrame:
-    def run(rows):
-        out = pd.DataFrame(track(_whole(rows), float(rows["rate"].iloc[0]), options))
-        out.insert(0, "channel", rows["channel"].iloc[0])
-        out.insert(0, "source_id", rows["source_id"].iloc[0])
-        return out
-
-    return blocks.groupBy("source_id", "channel").applyInPandas(run, TRACK)
+def frame_tracks(blocks: DataFrame, options: Options = Options(), size: int = C.SIZE) -> DataFrame:
+    """The frame track of each series, a chunk to a task. A frame belongs to the chunk in
+    which it begins; the two before a chunk's first are analysed once more, as rises and
+    phases compare with them."""
+    hop, size = options.hop, max(1, size // options.hop) * options.hop
+    pieces = C.chunks(blocks, SERIES, size, before=2 * hop, after=options.frame, keep=["rate"])
+    types = [pa.string(), pa.int32(), pa.int64(), *[pa.float64()] * 10, *[pa.list_(pa.float64())] * 2]
+    names = [c.split()[0] for c in TRACK.split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            for r, x in zip(batch.drop_columns(["samples"]).to_pylist(), C.arrays(batch.column("samples"))):
+                lead = (r["chunk"] * size - r["first"]) // hop
+                last = lead + -(-r["own"] // hop)
+                out = track(x[: (last - 1) * hop + options.frame], float(r["rate"]), options)
+                n = len(out["frame_index"]) - lead
+                if n <= 0:
+                    continue
+                ahead = r["first"] // hop
+                out["frame_index"] = out["frame_index"] + ahead
+                out["time_seconds"] = out["time_seconds"] + ahead * hop / r["rate"]
+                columns = [[r["source_id"]] * n, [r["channel"]] * n, *[list(out[c][lead:]) for c in names[2:]]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t, from_pandas=True) for c, t in zip(columns, types)], names=names)
+
+    return pieces.mapInArrow(run, TRACK)
 
 
 def score_track(score: pd.DataFrame, step: float) -> tuple[np.ndarray, np.ndarray]:

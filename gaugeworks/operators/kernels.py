@@ -81,11 +81,12 @@ def pitch(frame: np.ndarray, rate: float, low=PITCH_LOW, high=PITCH_HIGH) -> tup
 FILTER_BLOCK = 64
 
 
-def _biquad(x: np.ndarray, b: np.ndarray, a: np.ndarray) -> np.ndarray:
-    """A second-order section. Blocks are filtered together from rest, by their response to
-    impulses; what a block's two state values at its start add follows from their own
-    responses, and the states pass from block to block by a 2 by 2 matrix."""
-    b, a = b / a[0], a / a[0]
+def biquad(x: np.ndarray, b: np.ndarray, a: np.ndarray, state: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(output, state behind it) of a second-order section that starts in ``state``. Blocks
+    are filtered together from rest, by their response to impulses; what a block's two state
+    values at its start add follows from their own responses, and the states pass from block
+    to block by a 2 by 2 matrix."""
+    b, a = np.asarray(b, float) / a[0], np.asarray(a, float) / a[0]
     size, n = FILTER_BLOCK, len(x)
     blocks = np.pad(x, (0, -n % size)).reshape(-1, size)
     step = np.array([[-a[1], 1.0], [-a[2], 0.0]])
@@ -98,11 +99,14 @@ def _biquad(x: np.ndarray, b: np.ndarray, a: np.ndarray) -> np.ndarray:
     lower = np.subtract.outer(np.arange(size), np.arange(size))
     out = blocks @ np.where(lower >= 0, impulse[np.maximum(lower, 0)], 0.0).T
     pushed = blocks @ np.stack([free[size - 1 - k] @ gain for k in range(size)])
-    state, starts = np.zeros(2), np.zeros((len(blocks), 2))
+    now, starts = np.zeros(2) if state is None else np.asarray(state, float), np.zeros((len(blocks), 2))
     for k in range(len(blocks)):
-        starts[k] = state
-        state = free[size] @ state + pushed[k]
-    return (out + starts @ free[:size, 0, :].T).reshape(-1)[:n]
+        starts[k] = now
+        now = free[size] @ now + pushed[k]
+    if n % size:  # the last block's samples only, not what it was filled up with
+        rest = n % size
+        now = free[rest] @ starts[-1] + sum(free[rest - 1 - k] @ gain * blocks[-1, k] for k in range(rest))
+    return (out + starts @ free[:size, 0, :].T).reshape(-1)[:n], now
 
 
 def high_shelf(rate: float, hz=SHELF_HZ, db=SHELF_DB, slope=SHELF_SLOPE) -> tuple[np.ndarray, np.ndarray]:
@@ -120,19 +124,30 @@ def high_pass(rate: float, hz=HIGH_PASS_HZ, q=HIGH_PASS_Q) -> tuple[np.ndarray,
     return np.array([(1 + c) / 2, -(1 + c), (1 + c) / 2]), np.array([1 + alpha, -2 * c, 1 - alpha])
 
 
-def k_weighted(x: np.ndarray, rate: float) -> np.ndarray:
+def k_sections(rate: float) -> list[tuple[np.ndarray, np.ndarray]]:
     """At low rates the shelf moves down to stay within what the rate can hold."""
-    shelf = SHELF_HZ if SHELF_HZ < 0.45 * rate else 0.40 * rate
-    return _biquad(_biquad(np.asarray(x, float), *high_shelf(rate, shelf)), *high_pass(rate))
+    return [high_shelf(rate, SHELF_HZ if SHELF_HZ < 0.45 * rate else 0.40 * rate), high_pass(rate)]
+
+
+def k_weighted(x: np.ndarray, rate: float) -> np.ndarray:
+    x = np.asarray(x, float)
+    for b, a in k_sections(rate):
+        x, _ = biquad(x, b, a)
+    return x
+
+
+#: Samples to either side that the interpolation between two samples looks at.
+PEAK_REACH = 16
 
 
-def true_peak(x: np.ndarray, factor: int = 4, reach: int = 16) -> float:
-    """Largest magnitude among the samples and Lanczos values between them."""
+def true_peak(x: np.ndarray, factor: int = 4, reach: int = PEAK_REACH, padded: np.ndarray | None = None) -> float:
+    """Largest magnitude among the samples and Lanczos values between them, and just before
+    and behind them. ``padded`` has the ``reach`` samples before and behind, else silence."""
     x = np.asarray(x, float)
     if not len(x):
         return 0.0
     top = float(np.abs(x).max())
-    padded = np.pad(x, reach)
+    padded = np.pad(x, reach) if padded is None else padded
     k = np.arange(-reach + 1, reach + 1)
     for phase in range(1, factor):
         t = phase / factor - k
