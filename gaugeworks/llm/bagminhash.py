@@ -75,7 +75,8 @@ def shingles(texts: list, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     h = np.zeros(n, U)
     for k in range(width):
         h *= U(0xBF58476D1CE4E5B9)
-        h[: n - k] += np.where(doc[k:] == doc[: n - k], words[k:], U(0)) if k else words
+        m = max(n - k, 0)
+        h[:m] += np.where(doc[k:] == doc[:m], words[k:], U(0)) if k else words
         h = h ^ (h >> U(29))
     counts = np.bincount(doc, minlength=len(texts))
     place = np.arange(n) - np.repeat(np.concatenate([[0], np.cumsum(counts)[:-1]]), counts)

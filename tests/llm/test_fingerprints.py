@@ -64,6 +64,12 @@ def test_densification_keeps_filled_bins_and_draws_evenly():
     assert (fp.densify(np.full((2, 64), fp._NONE)) == fp._NONE).all()
 
 
+@pytest.mark.parametrize("words", range(8))
+def test_few_words_alone_and_among_others(words):
+    text = prose(words, words)
+    assert fp.hash_texts([text]) == fp.hash_texts([prose(99, 50), text, ""])[1:2]
+
+
 @pytest.mark.parametrize("bits", [1, 2, 4, 8])
 def test_packing(bits):
     codes = np.random.default_rng(bits).integers(0, 1 << bits, (3, 64))
