@@ -177,3 +177,70 @@ def test_a_stream_in_several_batches_equals_the_table(spark, tmp_path):
     assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
     (tmp_path / "none").mkdir()
     assert blocks.run_to_end(blocks.block_facts(blocks.read_events(spark, str(tmp_path / "none"))), ["window_start", "event_type"]).count() == 0
+
+
+@pytest.mark.parametrize("block,size", [(64, 100), (100, 64), (7, 7), (1000, 1 << 20), (33, 4000)])
+def test_ranges_give_the_blocks_of_the_whole(spark, tmp_path, block, size):
+    """Any cut into ranges gives each block once, equal to a decode of the whole file."""
+    r = np.random.default_rng(size)
+    files = {}
+    for name, (tag, bits), channels in (("a.wav", (1, 16), 1), ("b.wav", (1, 24), 3), ("c.wav", (3, 64), 2), ("d.wav", (1, 8), 2)):
+        n = 517
+        data = r.bytes(n * channels * bits // 8) if tag == 1 else r.normal(size=n * channels).astype("<f8").tobytes()
+        (tmp_path / name).write_bytes(header(tag, channels, 8000, bits, data, b"junk" + struct.pack("<I", 3) + b"abc\0"))
+        files[str(tmp_path / name)] = wave.decode(data, tag, bits)[0].reshape(-1, channels), wave.decode(data, tag, bits)[1].reshape(-1, channels)
+    (tmp_path / "_hidden").write_bytes(b"no wave")
+    rows = wave.read_wave(spark, str(tmp_path), block_frames=block, range_bytes=size).collect()
+    for name, (x, clipped) in files.items():
+        for c in range(x.shape[1]):
+            mine = sorted((r for r in rows if (r["source_id"], r["channel"]) == (name, c)), key=lambda r: r["block_id"])
+            assert [(r["block_id"], r["start_frame"]) for r in mine] == [(k, k * block) for k in range(-(-len(x) // block))]
+            assert np.array_equal(np.concatenate([r["samples"] for r in mine]), x[:, c]) and sum(r["clipped"] for r in mine) == clipped[:, c].sum()
+    assert len(rows) == sum(-(-len(x) // block) * x.shape[1] for x, _ in files.values())
+    assert wave.read_wave(spark, str(tmp_path / "a.*"), block_frames=1000).count() == 1
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_a_file_of_gigabytes_is_many_tasks(tmp_path, wide):
+    """A sparse file: only the ranges that are read are looked at, a block at a time."""
+    frames, align = (1_700_000_000 if wide else 1_000_000_000), 4
+    ds64 = b"ds64" + struct.pack("<IQQQI", 28, 0, frames * align, frames, 0)
+    head = header(1, 2, 48000, 16, b"", ds64 if wide else b"", b"RF64" if wide else b"RIFF")
+    head = head[:-4] + (b"\xff\xff\xff\xff" if wide else struct.pack("<I", frames * align))
+    path = tmp_path / "long.wav"
+    with open(path, "wb") as f:
+        f.write(head)
+        f.seek(len(head) + (frames - 1) * align)
+        f.write(struct.pack("<2h", 16384, -16384))
+    reader = wave.WaveReader({"path": str(path), "blockframes": "65536", "channels": "keep", "rangebytes": str(64 << 20)})
+    parts = reader.partitions()
+    assert len(parts) == -(-path.stat().st_size // (64 << 20)) and path.stat().st_size > 2**31
+    starts = [reader.read(p) for p in (parts[0], parts[-2], parts[-1])]
+    first = next(starts[0]).to_pylist()
+    assert [(r["channel"], r["block_id"]) for r in first] == [(0, 0), (1, 0)] and len(first[0]["samples"]) == 65536
+    blocks = [b for it in starts[1:] for b in (x.column("block_id")[0].as_py() for x in it)]
+    assert blocks == list(range(blocks[0], -(-frames // 65536)))
+    last = list(reader.read(parts[-1])) or list(reader.read(parts[-2]))
+    assert [r["samples"][-1] for r in last[-1].to_pylist()] == [0.5, -0.5] and last[-1].to_pylist()[0]["start_frame"] + len(last[-1].to_pylist()[0]["samples"]) == frames
+
+
+def test_malformed_files_are_refused_by_tasks(spark, tmp_path):
+    good = header(1, 1, 8000, 16, b"1234")
+    for k, bad in enumerate((b"", b"RIFX" + good[4:], good[:-2], header(1, 1, 8000, 16, b"123"), good[:20], header(7, 1, 8000, 8, b"1"))):
+        path = tmp_path / f"{k}.wav"
+        path.write_bytes(bad)
+        with pytest.raises(Exception, match="WaveError"):
+            wave.read_wave(spark, str(path)).collect()
+    nan = header(3, 1, 8000, 32, struct.pack("<2f", float("nan"), 2.0))
+    (tmp_path / "n.wav").write_bytes(nan)
+    row = wave.read_wave(spark, str(tmp_path / "n.wav")).first()
+    assert np.isnan(row["samples"][0]) and row["samples"][1] == 2.0 and row["clipped"] == 1
+
+
+def test_digests_of_files(spark, tmp_path):
+    import hashlib
+
+    for k, data in enumerate((b"", b"abc", b"x" * (3 << 20))):
+        (tmp_path / f"{k}.wav").write_bytes(data)
+    rows = wave.digests(spark, str(tmp_path)).orderBy("source_id").collect()
+    assert [(r["bytes"], r["sha256"]) for r in rows] == [(len(d), hashlib.sha256(d).hexdigest()) for d in (b"", b"abc", b"x" * (3 << 20))]
