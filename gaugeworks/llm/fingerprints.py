@@ -32,8 +32,9 @@ BINS, BITS = 512, 4
 #: Texts, and characters, that are hashed at a time.
 BATCH, CHARACTERS = 64, 1 << 20
 _NONE = np.uint64(2**64 - 1)
-#: Places of its order that an empty bin looks at in one step; the last reaches to its end.
-_STEPS = (8, 64)
+#: Places of its order that an empty bin has looked at after each step; the last reaches to
+#: its end. Places that are looked at together, in all bins.
+_STEPS, _LOOK = (8, 32, 128), 1 << 17
 
 
 @lru_cache(maxsize=4)
@@ -49,12 +50,17 @@ def densify(least: np.ndarray) -> np.ndarray:
     row, bin_ = np.nonzero(~filled & filled.any(1, keepdims=True))
     at = 0
     for to in (*(s for s in _STEPS if s < least.shape[1]), least.shape[1]):
-        source = orders[bin_, at:to]
-        found = filled[row[:, None], source]
-        hit = found.any(1)
-        first = source[np.arange(len(row)), found.argmax(1)]
-        out[row[hit], bin_[hit]] = least[row[hit], first[hit]]
-        row, bin_, at = row[~hit], bin_[~hit], to
+        rest, some = [], max(1, _LOOK // (to - at))
+        for k in range(0, len(row), some):
+            r, b = row[k : k + some], bin_[k : k + some]
+            source = orders[b, at:to]
+            found = filled[r[:, None], source]
+            hit = found.any(1)
+            first = source[np.arange(len(r)), found.argmax(1)]
+            out[r[hit], b[hit]] = least[r[hit], first[hit]]
+            rest.append(np.flatnonzero(~hit) + k)
+        left = np.concatenate(rest) if rest else np.zeros(0, np.int64)
+        row, bin_, at = row[left], bin_[left], to
     return out
 
 
