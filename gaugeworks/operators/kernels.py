@@ -215,87 +215,108 @@ def harmonics(power: np.ndarray, hz: float, step: float, partials: int = 12, cen
 
 def corridor(path: list[tuple[int, int]], n: int, m: int, scale: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
     """First and last column of each row of an (n + 1) by (m + 1) table that lie within
-    ``reach`` of a path found on every ``scale``-th frame."""
+    ``reach`` of a path found on means of ``scale`` frames."""
     rows = np.arange(n + 1)
-    ends = np.array([(0, 0), *[(i * scale, j * scale) for i, j in path], (n, m)], float)
-    ends = ends[np.concatenate([[True], np.diff(ends[:, 0]) > 0])]
+    ends = np.array([(0, 0), *[((i + 0.5) * scale, (j + 0.5) * scale) for i, j in path if (i + 0.5) * scale < n and (j + 0.5) * scale < m], (n, m)], float)
     middle = np.interp(rows, ends[:, 0], ends[:, 1])
-    return np.clip(np.floor(middle - reach), 0, m).astype(int), np.clip(np.ceil(middle + reach), 0, m).astype(int)
+    # where the path stands still in one series, all columns from before to behind it
+    low, high = np.minimum(middle, np.roll(middle, 1)), np.maximum(middle, np.roll(middle, -1))
+    low[0], high[-1] = 0, m
+    return np.clip(np.floor(low - reach), 0, m).astype(int), np.clip(np.ceil(high + reach), 0, m).astype(int)
+
+
+def _columns(table: np.ndarray, base: int, start: int, count: int, fill: float) -> np.ndarray:
+    """Columns ``start`` and on of a band whose first column is ``base``."""
+    out = np.full((count, *table.shape[1:]), fill, table.dtype)
+    a, b = max(start, base), min(start + count, base + len(table))
+    if a < b:
+        out[a - start : b - start] = table[a - base : b - base]
+    return out
 
 
 def align(
-    cost: np.ndarray, skip: float = 0.45, repeat: float = 0.45, band: int | None = None, step: float = 0.05, within: tuple[np.ndarray, np.ndarray] | None = None
+    cost, skip: float = 0.45, repeat: float = 0.45, band: int | None = None, step: float = 0.05, within: tuple[np.ndarray, np.ndarray] | None = None, shape: tuple[int, int] | None = None
 ) -> tuple[list[tuple[int, int]], float]:
-    """Cheapest monotone path through a cost matrix (reference by target): diagonal steps,
+    """Cheapest monotone path through a cost table (reference by target): diagonal steps,
     reference frames skipped, target frames repeated, and 1x2 and 2x1 steps at a little
     extra. For its first 0.4 s a gap that goes on costs a share of its first step, then the
     whole. ``band`` keeps the path near the diagonal, ``within`` (first and last column of
     each row) in a corridor. Raises if no path exists.
 
+    ``cost`` is a matrix, or a function (row, first column, end column) with ``shape``. Only
+    the corridor's cells are ever priced or kept: three bytes each, and three rows of sums.
     A row's cells are done together; only repeated target frames depend on the cell before
     in the row, and these are a plain scan over the band.
     """
-    n, m = cost.shape
+    n, m = shape or cost.shape
+    price_of = cost if callable(cost) else lambda i, a, b: cost[i, a:b]
     if within is None:
         at = np.arange(n + 1) * m // max(n, 1)
         within = (np.zeros(n + 1, int), np.full(n + 1, m)) if band is None else (np.maximum(0, at - band), np.minimum(m, at + band))
     first, last = within
     cheap = round(GAP_FREE / step)
     inf = math.inf
+
+    def prices(i: int, start: int, count: int) -> np.ndarray:
+        """What matching reference frame i - 1 with the frame before each column costs."""
+        out = np.full(count, inf)
+        a, b = max(start, 1), min(start + count, m + 1)
+        if i >= 1 and a < b:
+            out[a - start : b - start] = price_of(i - 1, a - 1, b - 1)
+        return out
+
     # how a cell was entered: 0 match, 1 skip, 2 repeat; only the last rows' costs are kept
-    best = [np.full((m + 1, 3), inf) for _ in range(3)]
-    runs = [np.zeros((m + 1, 3), np.int32) for _ in range(3)]
-    came = [np.zeros((0, 3), np.int8)] * (n + 1)
-    price = np.vstack([np.full((1, m + 1), inf), np.hstack([np.full((n, 1), inf), cost])])
+    best = [(np.zeros((0, 3)), 0)] * 2
+    runs = (np.zeros((0, 3), np.int32), 0)
+    came = []
     for i in range(n + 1):
         low, high = int(first[i]), int(last[i])
-        now, run = np.full((m + 1, 3), inf), np.zeros((m + 1, 3), np.int32)
-        how = np.zeros((high - low + 1, 3), np.int8)
+        width = high - low + 1
+        now, run = np.full((width, 3), inf), np.zeros((width, 3), np.int32)
+        how = np.zeros((width, 3), np.int8)
         if i == 0 and low == 0:
             now[0, 0] = 0.0
-        cols = slice(low, high + 1)
         if i:
-            one, one_run = best[-1], runs[-1]
-
-            def shifted(table, k):
-                return table[low - k : high + 1 - k] if low >= k else np.concatenate([np.full((k - low, 3), inf), table[: high + 1 - k]])
-
-            here, left = price[i, cols], np.concatenate([[inf], price[i]])[cols]
-            ways = [(shifted(one, 1), here, 1)]
+            here = prices(i, low - 1, width + 1)
+            here, left = here[1:], here[:-1]
+            ways = [(_columns(*best[1], low - 1, width, inf), here, 1)]
             if m > 1:
-                ways.append((shifted(one, 2), (here + left) / 2 + DIAGONAL_EXTRA, 2))
+                ways.append((_columns(*best[1], low - 2, width, inf), (here + left) / 2 + DIAGONAL_EXTRA, 2))
             if i > 1:
-                ways.append((shifted(best[-2], 1), (here + price[i - 1, cols]) / 2 + DIAGONAL_EXTRA, 3))
+                ways.append((_columns(*best[0], low - 1, width, inf), (here + prices(i - 1, low, width)) / 2 + DIAGONAL_EXTRA, 3))
             for table, extra, way in ways:
                 for prior in range(3):
                     total = table[:, prior] + extra
-                    better = total < now[cols, 0] - 1e-15
-                    now[cols, 0] = np.where(better, total, now[cols, 0])
+                    better = total < now[:, 0] - 1e-15
+                    now[better, 0] = total[better]
                     how[better, 0] = way * 3 + prior
+            one, one_run = _columns(*best[1], low, width, inf), _columns(*runs, low, width, 0)
             for prior in range(3):
-                goes_on = (prior == 1) & (one_run[cols, prior] < cheap) if prior == 1 else np.zeros(high - low + 1, bool)
-                total = one[cols, prior] + np.where(goes_on, skip * GAP_SHARE, skip)
-                better = total < now[cols, 1] - 1e-15
-                now[cols, 1] = np.where(better, total, now[cols, 1])
-                run[cols, 1] = np.where(better, one_run[cols, prior] + 1 if prior == 1 else 1, run[cols, 1])
+                goes_on = one_run[:, prior] < cheap if prior == 1 else False
+                total = one[:, prior] + np.where(goes_on, skip * GAP_SHARE, skip)
+                better = total < now[:, 1] - 1e-15
+                now[better, 1] = total[better]
+                run[better, 1] = one_run[better, prior] + 1 if prior == 1 else 1
                 how[better, 1] = prior
         # repeats: from the best of match and skip to the left, or the repeat to the left
-        entry = np.minimum(now[:, 0], now[:, 1])
-        kind = np.where(now[:, 0] <= now[:, 1], 0, 1)
-        before, length = inf, 0
-        for j in range(low + 1, high + 1):
-            anew = entry[j - 1] + repeat
-            longer = before + (repeat * GAP_SHARE if length < cheap else repeat)
+        anew = (np.minimum(now[:, 0], now[:, 1]) + repeat).tolist()
+        kind = np.where(now[:, 0] <= now[:, 1], 0, 1).tolist()
+        sums, lengths, ways = [inf] * width, [0] * width, [0] * width
+        before, length, share = inf, 0, repeat * GAP_SHARE
+        for j in range(1, width):
+            longer = before + (share if length < cheap else repeat)
             # of two as dear the gap begins anew, and has its cheap steps before it
-            if longer < anew - 1e-15:
-                before, length, how[j - low, 2] = longer, length + 1, 2
+            if longer < anew[j - 1] - 1e-15:
+                before, length, ways[j] = longer, length + 1, 2
             else:
-                before, length, how[j - low, 2] = anew, 1, kind[j - 1]
-            now[j, 2], run[j, 2] = before, length
-        came[i] = how
-        best, runs = [*best[1:], now], [*runs[1:], run]
-    kind = int(np.argmin(best[-1][m]))
-    total = best[-1][m, kind]
+                before, length, ways[j] = anew[j - 1], 1, kind[j - 1]
+            sums[j], lengths[j] = before, length
+        now[:, 2], run[:, 2], how[:, 2] = sums, lengths, ways
+        came.append(how)
+        best, runs = [best[1], (now, low)], (run, low)
+    end = best[1][0][m - int(first[n])] if first[n] <= m <= last[n] else np.full(3, inf)
+    kind = int(np.argmin(end))
+    total = end[kind]
     if total == inf:
         raise ValueError("no path within the band")
     path, i, j = [], n, m
@@ -312,21 +333,71 @@ def align(
     return path[::-1], float(total)
 
 
-def align_coarse_to_fine(x: np.ndarray, y: np.ndarray, cost, scale: int = 4, reach: int = 12, most: int = 250_000, **options) -> tuple[list[tuple[int, int]], float]:
-    """``align`` of series too long for a whole table: ``cost`` of every ``scale``-th frame
-    first (again coarse to fine, where that is too long as well), then within ``reach`` of
-    that path; where a corridor holds no path it is widened."""
+#: Frames that are averaged at a time from level to level, and half the corridor's width.
+SCALE, REACH = 4, 16
+#: What a wider corridor must save to be taken for better.
+GAIN = 1e-9
+
+
+def coarser(x: np.ndarray, scale: int) -> np.ndarray:
+    """Means of ``scale`` frames, the last of what is left: no frequency folds over, as it
+    would if frames were left out."""
+    starts = np.arange(0, len(x), scale)
+    counts = np.diff(np.append(starts, len(x)))
+    return np.add.reduceat(x, starts, axis=0) / counts.reshape(-1, *[1] * (x.ndim - 1))
+
+
+def touches(path: list[tuple[int, int]], within: tuple[np.ndarray, np.ndarray], m: int) -> bool:
+    """Whether a path runs along its corridor's edge, other than the table's own."""
+    at = np.array([(i + 1, j + 1) for i, j in path]).reshape(-1, 2)
+    low, high = within[0][at[:, 0]], within[1][at[:, 0]]
+    return bool((((at[:, 1] <= low) & (low > 0)) | ((at[:, 1] >= high) & (high < m))).any())
+
+
+def align_coarse_to_fine(x: np.ndarray, y: np.ndarray, cost, scale: int = SCALE, reach: int = REACH, **options) -> tuple[list[tuple[int, int]], float]:
+    """The cheapest path between two series of frames, by one method at every length.
+
+    Means of ``scale`` frames are aligned first, in the same way, down to series no longer
+    than ``reach``, whose table is a corridor by itself. Each level looks within ``reach`` of
+    the path of the coarser one; the corridor is widened, twice as far each time, until its
+    path keeps off the edge and widening makes it no cheaper. ``cost(x, y)`` prices all pairs
+    of some frames; it is only asked for a row of the corridor at a time.
+    """
     n, m = len(x), len(y)
-    if n * m <= most:
-        return align(cost(x, y), **options)
-    path, _ = align_coarse_to_fine(x[::scale], y[::scale], cost, scale, reach, most, **options)
+    row = lambda i, a, b: cost(x[i : i + 1], y[a:b])[0]
+    if min(n, m) <= reach:
+        return align(row, shape=(n, m), **options)
+    path, _ = align_coarse_to_fine(coarser(x, scale), coarser(y, scale), cost, scale, reach, **options)
+    rough, found, wide = path, None, reach
     while True:
+        within = corridor(rough, n, m, scale, wide)
+        whole = bool((within[0] == 0).all() and (within[1] == m).all())
         try:
-            return align(cost(x, y), within=corridor(path, n, m, scale, reach), **options)
+            new = align(row, within=within, shape=(n, m), **options)
         except ValueError:
-            if reach > m:
+            if whole:
                 raise
-            reach *= 2
+            new = None
+        if new and (whole or (found and new[1] >= found[1] - GAIN and not touches(new[0], within, m))):
+            return new if not found or new[1] < found[1] else found
+        found, wide = (new if new and (not found or new[1] < found[1]) else found), wide * 2
+
+
+def align_locked(x: np.ndarray, y: np.ndarray, cost, locked: list[tuple[int, int]], **options) -> tuple[list[tuple[int, int]], float]:
+    """``align_coarse_to_fine`` with matches that must hold, strictly rising in both series.
+    A locked match is a step of its own, so the stretches between are alone."""
+    path, total, i, j = [], 0.0, 0, 0
+    for a, b in [*locked, (len(x), len(y))]:
+        if a < i or b < j:
+            raise ValueError("locked matches must rise in both series")
+        found, price = align_coarse_to_fine(x[i:a], y[j:b], cost, **options)
+        path += [(i + p, j + q) for p, q in found]
+        total += price
+        if a < len(x):
+            path.append((a, b))
+            total += float(cost(x[a : a + 1], y[b : b + 1])[0, 0])
+        i, j = a + 1, b + 1
+    return path, total
 
 
 def anchors(path: list[tuple[int, int]], onset: np.ndarray, step: float, least: float = 0.35, apart: float = 1.0) -> list[tuple[int, int]]:

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from gaugeworks.operators import kernels as K
+from gaugeworks.operators.alignment import align_pairs
 from gaugeworks.plans.registry import query, table
 from gaugeworks.plans.signals import _X, samples
 
@@ -154,16 +155,29 @@ def harmonic_peaks(spark, sf_dir):
     return rows.mapInPandas(run, "vec_id long, partial long, hz double, cents double, power double")
 
 
+def _distance(x, y):
+    return np.minimum(np.abs(x[:, None] - y[None, :]), 1.0)
+
+
+def _views_and_clicks(spark, sf_dir):
+    pick = lambda kind: samples(spark, sf_dir).filter(F.col("event_type") == kind).select("user_id", "n", F.col("x").alias("frame"), "us")
+    return pick("view"), pick("click")
+
+
 @query("dtw_align")
 def dtw_align(spark, sf_dir):
     """Each user's views aligned with the user's clicks, whole, one task a pair of series."""
-
-    def run(key, left, right):
-        a, b = (s.sort_values("n", kind="stable")["x"].to_numpy() for s in (left, right))
-        if not len(a) or not len(b):
-            return pd.DataFrame(columns=["user_id", "i", "j", "total"])
-        path, total = K.align_coarse_to_fine(a, b, lambda x, y: np.minimum(np.abs(x[:, None] - y[None, :]), 1.0))
-        return pd.DataFrame({"user_id": key[0], "i": [p[0] for p in path], "j": [p[1] for p in path], "total": round(total, 9)})
-
-    pick = lambda kind: samples(spark, sf_dir).filter(F.col("event_type") == kind).select("user_id", "n", "x").groupBy("user_id")
-    return pick("view").cogroup(pick("click")).applyInPandas(run, "user_id long, i long, j long, total double")
+    views, clicks = (s.drop("us") for s in _views_and_clicks(spark, sf_dir))
+    out = align_pairs(views.join(clicks.select("user_id").distinct(), "user_id", "left_semi"), clicks.join(views.select("user_id").distinct(), "user_id", "left_semi"), ["user_id"], _distance)
+    return out.select("user_id", "i", "j", F.round("total", 9).alias("total"))
+
+
+@query("dtw_anchored")
+def dtw_anchored(spark, sf_dir):
+    """As dtw_align, but a click that is the first of its day must match that day's first view."""
+    views, clicks = _views_and_clicks(spark, sf_dir)
+    day = F.floor(F.col("us") / 86_400_000_000)
+    first = lambda s, name: s.groupBy("user_id", day.alias("day")).agg(F.min("n").alias(name))
+    anchors = first(views, "i").join(first(clicks, "j"), ["user_id", "day"]).select("user_id", "i", "j")
+    out = align_pairs(views.drop("us"), clicks.drop("us"), ["user_id"], _distance, anchors)
+    return out.select("user_id", "segment", "i", "j", F.round("total", 9).alias("total"))

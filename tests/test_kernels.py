@@ -139,13 +139,3 @@ def test_alignment_against_every_path():
         path, total = K.align(cost)
         assert abs(total - cheapest(cost, 0, 0, 0, 0, 8)) < 1e-9
         assert all(a < c and b < d for (a, b), (c, d) in zip(path, path[1:]))
-
-
-def test_corridor_keeps_a_warped_path():
-    rng = np.random.default_rng(6)
-    x = np.cumsum(rng.normal(size=900)) * 0.1
-    warp = np.sort(np.concatenate([np.arange(900), rng.choice(900, 120)]))
-    cost = lambda a, b: np.minimum(np.abs(a[:, None] - b[None, :]), 1.0)
-    whole, total = K.align(cost(x, x[warp]))
-    path, coarse = K.align_coarse_to_fine(x, x[warp], cost, most=50_000)
-    assert coarse <= 1.15 * total + 1 and path[-1] == whole[-1]
