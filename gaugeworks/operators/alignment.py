@@ -57,7 +57,8 @@ def align_pairs(left: DataFrame, right: DataFrame, key: list[str], cost, anchors
     def run(group, a, b):
         a, b = (s.sort_values("n", kind="stable") for s in (a, b))
         x, y = (np.array(s["frame"].tolist(), float) for s in (a, b))
-        x, y = x.reshape(len(a), *y.shape[1:]), y.reshape(len(b), *x.shape[1:])
+        deep = x.shape[1:] or y.shape[1:]  # no frames tell nothing of their width
+        x, y = x.reshape(len(a), *deep), y.reshape(len(b), *deep)
         rows, columns = a["n"].to_numpy(), b["n"].to_numpy()
         ended = len(a) and len(b) and a["lock"].iloc[-1] == rows[-1] and b["lock"].iloc[-1] == columns[-1]
         path, total = K.align_locked(x, y, cost, [(len(a) - 1, len(b) - 1)] if ended else [], **options)
