@@ -7,15 +7,19 @@ import pandas as pd
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gaugeworks.operators import harmonics as H
 from gaugeworks.operators import kernels as K
 from gaugeworks.operators import measures as M
-from gaugeworks.plans.registry import query
+from gaugeworks.plans.harmonics import TRACKED, _db, tracked
+from gaugeworks.plans.registry import query, table
 from gaugeworks.plans.signals import _X, samples
 
-_FRAMES = f"""{_X},
+#: An event's frame has the spectrum of an embedding: those follow each other by id.
+_FRAMES = f"""{TRACKED}, {_X},
     fr AS (SELECT user_id * 100000 + n // 20 AS item, user_id, n AS m, t, x * x AS x2, abs(x) AS top, 10 * log10(greatest(x * x, 1e-30)) AS level, 500 + abs(x) * 1000 AS centroid,
-           (event_id % 10) / 10.0::DOUBLE AS flatness, abs(x) / 2 AS flux, CASE WHEN event_id % 5 <> 0 THEN 440 * pow(2.0::DOUBLE, (event_id % 7) / 120.0) END AS pitch, 440.0::DOUBLE AS target,
-           event_id % 11 = 0 AS fault, 10 * log10(greatest(x * x, 1e-30)) - 1 AS harmonic, 10 * log10(greatest(x * x, 1e-30)) - 6 - event_id % 4 AS residual, t - 0.25 AS source_start, us, event_id FROM x),
+           (event_id % 10) / 10.0::DOUBLE AS flatness, abs(x) / 2 AS flux, CASE WHEN sure >= 0.3 THEN hv.pitch END AS pitch, target,
+           coalesce(fault, false) AS fault, {_db("harmonic")} AS harmonic, {_db("hv.residual")} AS residual, t - 0.25 AS source_start, us, event_id, vec_id
+           FROM x LEFT JOIN hv ON hv.vec_id = x.event_id % (SELECT count(*) FROM embeddings)),
     fs AS (SELECT *, min(us) OVER (PARTITION BY item) AS start_sample, max(us) OVER (PARTITION BY item) + 900000000 AS end_sample, max(residual) OVER (PARTITION BY item) AS loudest FROM fr),
     p1 AS (SELECT *, row_number() OVER w - 1 AS n, row_number() OVER (PARTITION BY item ORDER BY t DESC) - 1 AS k, round(1200 * log2(pitch / target), 6) AS cents,
            coalesce(round(abs(level - lag(level) OVER w), 9) <= 0.35 AND round(abs(centroid - lag(centroid) OVER w), 9) <= 20, false) AS steady FROM fs WINDOW w AS (PARTITION BY item ORDER BY t)),
@@ -26,9 +30,9 @@ _FRAMES = f"""{_X},
     ab AS (SELECT item, x2, (max(t) OVER i - min(t) OVER i) / 16 AS width, t - min(t) OVER i AS dt FROM fr WINDOW i AS (PARTITION BY item)),
     ac AS (SELECT item, CASE WHEN width > 0 THEN least(floor(round(dt / width, 6)), 15) ELSE 0 END AS b, round(sqrt(avg(x2)), 9) AS v, max(width) AS width FROM ab GROUP BY 1, 2),
     at_ AS (SELECT *, round(v / nullif(max(v) OVER (PARTITION BY item), 0), 9) AS rel FROM ac),
-    bd AS (SELECT fr.item, t, event_id % 10 AS band, level, residual, rms FROM fr JOIN facts USING (item)),
-    pt AS (SELECT fr.item, t, 1 + event_id % 12 AS partial, (event_id % 9) - 4.0::DOUBLE AS cents, CASE WHEN event_id % 3 > 0 THEN level END AS level, x2 AS power, f.rms, f.pitch_frames, f.item_start
-           FROM fr JOIN facts f USING (item)),
+    bd AS (SELECT fr.item, t, band, {_db("hb.power")} AS level, {_db("hb.residual")} AS residual, rms FROM fr JOIN facts USING (item) JOIN hb USING (vec_id)),
+    pt AS (SELECT fr.item, t, o AS partial, cents, {_db("power")} AS level, power, f.rms, f.pitch_frames, f.item_start
+           FROM fr JOIN facts f USING (item) JOIN hp USING (vec_id)),
     pb AS (SELECT *, min(t) FILTER (level IS NOT NULL) OVER (PARTITION BY item, partial) AS born FROM pt)"""
 
 
@@ -181,6 +185,10 @@ def frames(spark, sf_dir):
     db = 10 * F.log10(F.greatest(x * x, F.lit(1e-30)))
     rows = samples(spark, sf_dir)
     item = W.partitionBy("user_id", F.floor(F.col("n") / 20))
+    # each embedding is tracked once; an event's frame has the spectrum of one
+    spectra = tracked(spark, sf_dir).withColumnRenamed("vec_id", "spectrum")
+    count = table(spark, sf_dir, "embeddings").agg(F.count(F.lit(1)).alias("spectra"))
+    rows = rows.crossJoin(F.broadcast(count)).withColumn("spectrum", F.when(F.col("spectra") > 0, i % F.col("spectra"))).join(spectra, "spectrum", "left")
     rows = rows.withColumn("start_sample", F.min("us").over(item)).withColumn("end_sample", F.max("us").over(item) + 900_000_000)
     return rows.select(
         (F.col("user_id") * 100000 + F.floor(F.col("n") / 20)).alias("item"),
@@ -197,21 +205,25 @@ def frames(spark, sf_dir):
         (500 + F.abs(x) * 1000).alias("centroid"),
         ((i % 10) / 10).alias("flatness"),
         (F.abs(x) / 2).alias("flux"),
-        F.when(i % 5 != 0, 440 * F.pow(F.lit(2.0), (i % 7) / 120)).alias("pitch"),
-        F.lit(440.0).alias("target"),
-        (i % 11 == 0).alias("fault"),
-        (db - 1).alias("harmonic"),
-        (db - 6 - i % 4).alias("residual"),
+        F.when(F.col("valid"), F.col("pitch_hz")).alias("pitch"),
+        F.col("expected_hz").alias("target"),
+        F.coalesce("octave_fault", F.lit(False)).alias("fault"),
+        H.level(F.col("harmonic_power")).alias("harmonic"),
+        H.level(F.col("residual_power")).alias("residual"),
         (F.col("t") - 0.25).alias("source_start"),
         (i % 13 == 0).alias("accented"),
+        "partials",
+        "band_power",
+        "residual_band",
     )
 
 
 def catalog(spark, sf_dir):
     rows = frames(spark, sf_dir)
-    i = F.col("event_id")
-    bands = rows.select("item", "t", (i % 10).alias("band"), "level", "residual")
-    partials = rows.select("item", "t", (1 + i % 12).alias("partial"), (i % 9 - 4.0).alias("cents"), F.when(i % 3 > 0, F.col("level")).alias("level"), F.col("x2").alias("power"))
+    both = F.inline(F.transform("band_power", lambda v, b: F.struct(b.alias("band"), H.level(v).alias("level"), H.level(F.get("residual_band", b)).alias("residual"))))
+    bands = rows.select("item", "t", both)
+    partials = rows.select("item", "t", F.inline("partials")).select("item", "t", "partial", "cents", H.level(F.col("power")).alias("level"), "power")
+    rows = rows.drop("partials", "band_power", "residual_band")
     # the three frames before an item are its context
     context = rows.filter("m % 20 >= 17").select((F.col("item") + 1).alias("item"), "x2")
     return M.measure(rows, bands, partials, context)
