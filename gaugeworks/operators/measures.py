@@ -111,7 +111,7 @@ def prepare(frames: DataFrame) -> DataFrame:
     """Adds what a frame's neighbours and its item tell about it."""
     item, w = W.partitionBy("item"), W.partitionBy("item").orderBy("t")
     rows = frames.withColumn("n", F.row_number().over(w) - 1).withColumn("k", F.row_number().over(item.orderBy(F.desc("t"))) - 1)
-    rows = rows.withColumn("cents", F.round(1200 * F.log2(F.col("pitch") / F.col("target")), 6))
+    rows = rows.withColumn("cents", F.round(1200 * F.log2(F.col("pitch") / F.col("target")), 9))
     step = lambda c, most: F.round(F.abs(F.col(c) - F.lag(c).over(w)), 9) <= most
     rows = rows.withColumn("steady", step("level", STEADY_DB) & step("centroid", STEADY_HZ))
     near = F.round(F.abs(F.col("cents") - F.avg("cents").over(item)), 6) <= CALM_CENTS

@@ -17,11 +17,11 @@ from gaugeworks.plans.signals import _X, samples
 #: An event's frame has the spectrum of an embedding: those follow each other by id.
 _FRAMES = f"""{TRACKED}, {_X},
     fr AS (SELECT user_id * 100000 + n // 20 AS item, user_id, n AS m, t, x * x AS x2, abs(x) AS top, 10 * log10(greatest(x * x, 1e-30)) AS level, 500 + abs(x) * 1000 AS centroid,
-           (event_id % 10) / 10.0::DOUBLE AS flatness, abs(x) / 2 AS flux, CASE WHEN sure >= 0.3 THEN hv.pitch END AS pitch, target,
-           coalesce(fault, false) AS fault, {_db("harmonic")} AS harmonic, {_db("hv.residual")} AS residual, t - 0.25 AS source_start, us, event_id, vec_id
+           (event_id % 10) / 10.0::DOUBLE AS flatness, abs(x) / 2 AS flux, CASE WHEN sure >= 0.3 THEN round(hv.pitch, 9) END AS pitch, target,
+           coalesce(fault, false) AS fault, round({_db("harmonic")}, 9) AS harmonic, round({_db("hv.residual")}, 9) AS residual, t - 0.25 AS source_start, us, event_id, vec_id
            FROM x LEFT JOIN hv ON hv.vec_id = x.event_id % (SELECT count(*) FROM embeddings)),
     fs AS (SELECT *, min(us) OVER (PARTITION BY item) AS start_sample, max(us) OVER (PARTITION BY item) + 900000000 AS end_sample, max(residual) OVER (PARTITION BY item) AS loudest FROM fr),
-    p1 AS (SELECT *, row_number() OVER w - 1 AS n, row_number() OVER (PARTITION BY item ORDER BY t DESC) - 1 AS k, round(1200 * log2(pitch / target), 6) AS cents,
+    p1 AS (SELECT *, row_number() OVER w - 1 AS n, row_number() OVER (PARTITION BY item ORDER BY t DESC) - 1 AS k, round(1200 * log2(pitch / target), 9) AS cents,
            coalesce(round(abs(level - lag(level) OVER w), 9) <= 0.35 AND round(abs(centroid - lag(centroid) OVER w), 9) <= 20, false) AS steady FROM fs WINDOW w AS (PARTITION BY item ORDER BY t)),
     p2 AS (SELECT *, round(abs(cents - avg(cents) OVER (PARTITION BY item)), 6) <= 15 AS near, first_value(cents IGNORE NULLS) OVER w AS c0, last_value(cents IGNORE NULLS) OVER w AS c1
            FROM p1 WINDOW w AS (PARTITION BY item ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
@@ -30,8 +30,8 @@ _FRAMES = f"""{TRACKED}, {_X},
     ab AS (SELECT item, x2, (max(t) OVER i - min(t) OVER i) / 16 AS width, t - min(t) OVER i AS dt FROM fr WINDOW i AS (PARTITION BY item)),
     ac AS (SELECT item, CASE WHEN width > 0 THEN least(floor(round(dt / width, 6)), 15) ELSE 0 END AS b, round(sqrt(avg(x2)), 9) AS v, max(width) AS width FROM ab GROUP BY 1, 2),
     at_ AS (SELECT *, round(v / nullif(max(v) OVER (PARTITION BY item), 0), 9) AS rel FROM ac),
-    bd AS (SELECT fr.item, t, band, {_db("hb.power")} AS level, {_db("hb.residual")} AS residual, rms FROM fr JOIN facts USING (item) JOIN hb USING (vec_id)),
-    pt AS (SELECT fr.item, t, o AS partial, cents, {_db("power")} AS level, power, f.rms, f.pitch_frames, f.item_start
+    bd AS (SELECT fr.item, t, band, round({_db("hb.power")}, 9) AS level, round({_db("hb.residual")}, 9) AS residual, rms FROM fr JOIN facts USING (item) JOIN hb USING (vec_id)),
+    pt AS (SELECT fr.item, t, o AS partial, round(cents, 9) AS cents, round({_db("power")}, 9) AS level, round(power, 12) AS power, f.rms, f.pitch_frames, f.item_start
            FROM fr JOIN facts f USING (item) JOIN hp USING (vec_id)),
     pb AS (SELECT *, min(t) FILTER (level IS NOT NULL) OVER (PARTITION BY item, partial) AS born FROM pt)"""
 
@@ -205,11 +205,11 @@ def frames(spark, sf_dir):
         (500 + F.abs(x) * 1000).alias("centroid"),
         ((i % 10) / 10).alias("flatness"),
         (F.abs(x) / 2).alias("flux"),
-        F.when(F.col("valid"), F.col("pitch_hz")).alias("pitch"),
+        F.when(F.col("valid"), F.round("pitch_hz", 9)).alias("pitch"),
         F.col("expected_hz").alias("target"),
         F.coalesce("octave_fault", F.lit(False)).alias("fault"),
-        H.level(F.col("harmonic_power")).alias("harmonic"),
-        H.level(F.col("residual_power")).alias("residual"),
+        F.round(H.level(F.col("harmonic_power")), 9).alias("harmonic"),
+        F.round(H.level(F.col("residual_power")), 9).alias("residual"),
         (F.col("t") - 0.25).alias("source_start"),
         (i % 13 == 0).alias("accented"),
         "partials",
@@ -220,9 +220,9 @@ def frames(spark, sf_dir):
 
 def catalog(spark, sf_dir):
     rows = frames(spark, sf_dir)
-    both = F.inline(F.transform("band_power", lambda v, b: F.struct(b.alias("band"), H.level(v).alias("level"), H.level(F.get("residual_band", b)).alias("residual"))))
+    both = F.inline(F.transform("band_power", lambda v, b: F.struct(b.alias("band"), F.round(H.level(v), 9).alias("level"), F.round(H.level(F.get("residual_band", b)), 9).alias("residual"))))
     bands = rows.select("item", "t", both)
-    partials = rows.select("item", "t", F.inline("partials")).select("item", "t", "partial", "cents", H.level(F.col("power")).alias("level"), "power")
+    partials = rows.select("item", "t", F.inline("partials")).select("item", "t", "partial", F.round("cents", 9).alias("cents"), F.round(H.level(F.col("power")), 9).alias("level"), F.round("power", 12).alias("power"))
     rows = rows.drop("partials", "band_power", "residual_band")
     # the three frames before an item are its context
     context = rows.filter("m % 20 >= 17").select((F.col("item") + 1).alias("item"), "x2")
