@@ -10,8 +10,11 @@ from gaugeworks.functions.expr import tidy
 from gaugeworks.operators import analysis as A
 from gaugeworks.operators import chunks as C
 from gaugeworks.plans.registry import query, table
+from gaugeworks.streaming.blocks import appended
+from gaugeworks.streaming.frames import facts_of_parts, frame_stream, part_stream
 
 RATE, VECTORS, WIDTH = 480, 32, 64
+_FRAMES = A.Options(frame=128, hop=32)
 #: Samples that a chunk owns: several a recording, so that all pass their states on.
 SIZE = 512
 
@@ -89,11 +92,39 @@ _TRACK = f"""WITH {_X}, lasts AS (SELECT source, count(*) AS c FROM x GROUP BY s
 @query("recording_track", _TRACK)
 def recording_track(spark, sf_dir):
     """The frame track: frames of 128 samples every 32, read over the ends of chunks."""
-    out = A.frame_tracks(blocks(spark, sf_dir), A.Options(frame=128, hop=32), SIZE)
+    return _shown(A.frame_tracks(blocks(spark, sf_dir), _FRAMES, SIZE))
+
+
+def _shown(out):
     names = ["time_seconds", "rms_dbfs", "pitch_hz", "pitch_confidence", "centroid_hz", "spread_hz", "flatness", "flux", "onset_strength"]
     return out.select("source_id", "frame_index", *[tidy(F.col(c)).alias(c) for c in names])
 
 
+def _stream(spark, sf_dir):
+    """The same blocks as they come in; ids run on from 0, as a stream numbers nothing."""
+    table_ = spark.readStream.schema("vec_id long, embedding array<float>, label int").parquet(f"{sf_dir}/embeddings.parquet*")
+    return table_.select(
+        F.floor(F.col("vec_id") / VECTORS).cast("string").alias("source_id"),
+        F.lit(0).alias("channel"),
+        F.lit(RATE).alias("rate"),
+        (F.col("vec_id") % VECTORS * WIDTH).cast("long").alias("start_frame"),
+        F.col("embedding").cast("array<double>").alias("samples"),
+    )
+
+
+@query("stream_recording_facts", f"SELECT source_id, frames, peak, rms, dc, crest_db, integrated_lufs FROM ({_FACTS})")
+def stream_recording_facts(spark, sf_dir):
+    """The facts of a stream of blocks, from what each batch added."""
+    out = facts_of_parts(appended(part_stream(_stream(spark, sf_dir))))
+    return out.select("source_id", "frames", *[(F.round(c, 9 if c in ("peak", "rms", "dc") else 6) + F.lit(0.0)).alias(c) for c in ("peak", "rms", "dc", "crest_db", "integrated_lufs")])
+
+
+@query("stream_recording_track", _TRACK)
+def stream_recording_track(spark, sf_dir):
+    """The frame track of a stream of blocks."""
+    return _shown(appended(frame_stream(_stream(spark, sf_dir), _FRAMES)))
+
+
 #: A short room: an exponential decay with two echoes.
 TAPS = np.exp(-np.arange(100) / 15) * (np.arange(100) % 33 == 0)
 

@@ -59,3 +59,13 @@ def run_to_end(stream: DataFrame, keys: list[str]) -> DataFrame:
     written = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{path}/rows")
     last = written.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("last"))
     return last.select(*keys, *[F.col(f"last.{c}") for c in rest])
+
+
+def appended(stream: DataFrame) -> DataFrame:
+    """What ``stream`` has given, once all that is there now has been read: rows that are final
+    when they come are appended to files in the shared folder. Without input it is empty."""
+    spark, path = stream.sparkSession, _folder(stream.sparkSession)
+    spark.createDataFrame([], stream.schema).write.parquet(f"{path}/none")
+    query = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/none", *([f"{path}/rows"] if query.lastProgress else []))
