@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from gaugeworks.functions.expr import tidy
 from gaugeworks.operators import analysis as A
 from gaugeworks.operators import chunks as C
+from gaugeworks.operators import delays as D
 from gaugeworks.plans.registry import query, table
 from gaugeworks.streaming.blocks import appended
 from gaugeworks.streaming.frames import facts_of_parts, frame_stream, part_stream
@@ -140,3 +141,19 @@ def recording_convolution(spark, sf_dir):
     wet = C.convolved(blocks(spark, sf_dir), A.SERIES, TAPS, SIZE)
     peak, energy = F.array_max(F.transform("samples", F.abs)), F.aggregate("samples", F.lit(0.0), lambda a, v: a + v * v)
     return wet.select("source_id", "chunk", F.size("samples").cast("long").alias("own"), F.round(peak, 9).alias("peak"), F.round(energy, 6).alias("energy"))
+
+
+@query(
+    "span_delays",
+    f"""WITH {_X}, own AS (SELECT source, count(*) AS length FROM x GROUP BY source),
+    anchors AS (SELECT source, k * length // least(300, length) AS n FROM own, range(300) AS r(k) WHERE k < least(300, length) AND source % 2 = 0),
+    pairs AS (SELECT a.source // 2 AS span, lag, l.x AS l, r.x AS r FROM anchors a JOIN x l USING (source, n), range(-20, 21) AS g(lag) JOIN x r ON r.source = a.source + 1 AND r.n = a.n + lag),
+    found AS (SELECT span, lag, count(*) AS pairs, corr(l, r) AS c FROM pairs GROUP BY span, lag HAVING count(*) >= 64 AND var_pop(l) > 0 AND var_pop(r) > 0)
+    SELECT span, lag, round(c, 9) AS correlation, pairs FROM found QUALIFY row_number() OVER (PARTITION BY span ORDER BY round(abs(c), 12) DESC, abs(lag), lag) = 1""",
+)
+def span_delays(spark, sf_dir):
+    """Delay between a recording and the next, at 300 anchors and lags up to 20."""
+    rows = blocks(spark, sf_dir).withColumn("source", F.col("source_id").cast("long"))
+    side = lambda k: rows.filter(F.col("source") % 2 == k).select(F.floor(F.col("source") / 2).alias("span"), "start_frame", "samples")
+    out = D.delays(side(0), side(1), ["span"], 20, 300, SIZE)
+    return out.select("span", F.col("lag").cast("long").alias("lag"), F.round("correlation", 9).alias("correlation"), "pairs")
