@@ -52,21 +52,33 @@ BREAK = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words of class, id and role names of parts that are not the article.
 PARTS = frozenset(
-    "ad ads adbox advert adverts advertisement banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies consent disqus "
+    "ad ads adbox advert adverts advertisement alert alerts banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies consent disqus "
     "footer gdpr header masthead menu modal nav navbar navigation newsletter notice notification pagination popup promo promoted promotion related "
-    "replies reply search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split()
+    "replies reply respond responses search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split()
 )
 #: Words that may stand beside these in such a name, and in names of the heads of articles.
 BESIDE = frozenset(
     "all area articles bar block blocks body bottom box btn button buttons column container content count desktop entries entry feed fixed floating form global "
     "grid group holder icon icons inline inner item items js large left link links list main media mobile module news outer overlay page panel policy post posts "
-    "primary right row secondary section side signup site slot small sticky stories story text thread title top unit up web widgets wrap wrapper".split()
+    "primary reader readers right row secondary section side signup site slot small sticky stories story text thread title top unit up user users visitor visitors web widgets wrap wrapper".split()
 )
 HEADED = frozenset("article post entry story content news blog page section title".split())
 LENGTH_LOW, LENGTH_HIGH, STOP_LOW, STOP_HIGH, LINKS = 70, 200, 0.15, 0.30, 0.33
 #: A page's share of stop words below which its language is none of theirs, and the letters that a wide one counts as.
 STOP_KNOWN, WIDE = 0.20, 3
 
+#: What a heading over readers' comments says, in the stop words' languages, and
+#: what stands in its part if they are comments: boxes for writing, names of writers.
+_TALK = re.compile(
+    r"(?:\d+\s+)?(?:(?:reader|user|all|latest|recent|leave|post|add|write|join)s?\s+(?:(?:an?|the|your)\s+)?)?"
+    r"(?:comments?|repl(?:y|ies)|responses?|discussion|kommentare?r?|commentaires?|comentarios?|comentários?|commenti|reacties)"
+    r"(?:\s*\(?\d+\)?)?(?:\s+(?:on|to)\s.{1,200})?\s*[:.!]?",
+    re.I | re.S,
+)
+_TALKERS = re.compile(r"comment|repl(?:y|ies)|respon[ds]|avatar|author", re.I)
+#: How a line of rights begins.
+_RIGHTS = re.compile(r"\s*(?:©|\(c\)\s|copyright\s+(?:©|\(c\)|\d{4}))", re.I)
+
 _TOKEN = re.compile(
     r"(?P<text>[^<]++)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<more>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
@@ -142,7 +154,8 @@ def _tokens(page: str):
 
     while at < len(page):
         if at > last:
-            yield page[at:], "", ""
+            # a tag that never ends is none, and no text
+            yield re.split(r"<[/!?a-zA-Z]", page[at:], maxsplit=1)[0], "", ""
             return
         if page.startswith("<!--", at):
             end = -1 if "-->" in gone else page.find("-->", at + 2)
@@ -186,6 +199,8 @@ def blocks(page: str) -> list[Block]:
     sizes: Counter = Counter()  # characters without links directly in each of these
     articles: list[list] = []  # [size, named part around it] of each article
     held: set[int] = set()  # named parts that hold the page's article after all
+    # under a heading that names comments: how deep, its level, its block, whether they are
+    talk: list = []
 
     def close():
         nonlocal linked
@@ -208,6 +223,25 @@ def blocks(page: str) -> list[Block]:
             article[0] = sizes[article[1]] - article[0]
         return name
 
+    def settle_talk():
+        """Of a part under such a heading nothing is the article, if readers write there."""
+        if talk and talk[3]:
+            for b in out[talk[2] :]:
+                b.framed = True
+        talk.clear()
+
+    def headed(level):
+        """A heading has ended: it may open readers' comments, or end them."""
+        here = out[-1] if out and out[-1].heading else None
+        if here and _TALK.fullmatch(here.text):
+            if not talk or level <= talk[1]:
+                settle_talk()
+                talk.extend((len(stack), level, len(out) - 1, False))
+        elif talk and level <= talk[1]:
+            last = [out.pop()] if here else []
+            settle_talk()
+            out.extend(last)
+
     def hold(part):
         while part and part not in held:
             held.add(part)
@@ -230,10 +264,16 @@ def blocks(page: str) -> list[Block]:
         if tag != name:
             while opened[name] and leave() != name:
                 pass
+            if talk and len(stack) < talk[0]:
+                settle_talk()
+            if len(name) == 2 and name[0] == "h" and name[1] in "123456":
+                headed(int(name[1]))
         elif name not in VOID and not more.endswith("/"):
             # an open p ends where the next begins; li, dt, dd, td, th, tr and option likewise
             if name in ("p", "li", "dt", "dd", "td", "th", "tr", "option") and stack and stack[-1][0] == name:
                 leave()
+            if talk and (name in ("article", "form") or _TALKERS.search(more)):
+                talk[3] = True
             why = _outside(name, more, main)
             f, n = int(why == "frame"), int(why == "part")
             if n:
@@ -253,6 +293,7 @@ def blocks(page: str) -> list[Block]:
             opened[name] += 1
             stack.append((name, f, a, l, h, n, article))
     close()
+    settle_talk()
     while stack:
         leave()
     # a named part also holds the page's article if an article in it has more text than stands free
@@ -286,8 +327,9 @@ def judge(block: Block, has_main: bool, known: bool = True) -> str:
     size = _size(block.text)
     density = block.links / len(block.text)
     if density > LINKS:
-        return "short" if block.main and size < LENGTH_LOW and density < 0.9 else "bad"
-    if "©" in block.text and size < LENGTH_HIGH and not block.main:
+        # inside an article only what is links and nothing else is a menu
+        return "short" if block.main and density < 0.9 else "bad"
+    if size < LENGTH_HIGH and _RIGHTS.match(block.text):
         return "bad"
     if size < LENGTH_LOW or block.heading:
         return "bad" if density > 0 and not block.main else "short"
@@ -299,7 +341,7 @@ def judge(block: Block, has_main: bool, known: bool = True) -> str:
         return "good" if size > LENGTH_HIGH or block.main else "near"
     if share >= STOP_LOW:
         return "near"
-    return "short" if block.main else "bad"
+    return "short" if block.main or size <= LENGTH_HIGH else "bad"
 
 
 def _known(found: list[Block], has_main: bool) -> bool:
@@ -344,6 +386,9 @@ def extract(page: str) -> str:
             final[k] = min(sides, key=lambda s: (abs(s[1] - k), s[0] == "bad"))[0]
             if len(sides) == 2 and sides[0][0] == sides[1][0]:
                 final[k] = sides[0][0]
+    if "good" not in final:
+        # a page of short blocks alone has no neighbour to go by
+        final = ["good" if label in ("short", "near") else "bad" for label in labels]
     return "\n\n".join(b.text for b, label in zip(found, final) if label == "good")
 
 

@@ -633,6 +633,8 @@ def test_html_second_pass_against_brute_force():
                 good = label == "good"
             if good:
                 want.append(b.text)
+        # a page without a good block keeps its undecided ones
+        want = want or [b.text for b, label in zip(found, first) if label in ("near", "short")]
         assert html_text.extract(page) == "\n\n".join(want)
 
 
@@ -684,3 +686,48 @@ def test_empty_pages_and_vectors(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert url_filter.judge_urls(pages).count() == 0 and html_text.extract_text(pages).count() == 0
     assert near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+LONG = "The ferry to the island was late again that morning, and the people on the quay had begun to talk of the old bridge that was never built. "
+COMMENT = "I was on that ferry as well and it was not late at all, so I do not know what the writer of this is on about, to be honest with you."
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        # an article keeps its paragraphs with many links, a page its short ones
+        (f"<article><p>{LONG * 2}</p><p>See <a>the harbour board of the island and its plans</a>, <a>the council</a> and others on this.</p><p>{LONG}</p></article>", "See the harbour board"),
+        ("<body><p>Hello there, this is short.</p></body>", "Hello there, this is short."),
+        ("<body><nav><a>Home</a></nav><p>Hello there, this is short.</p></body>", "Hello there, this is short."),
+        (f"<body><p>{LONG * 2}</p><p>He asked why the sign © of the maker was on the hull of the boat, and no one on the quay knew the answer.</p><p>{LONG * 2}</p></body>", "He asked why the sign ©"),
+        (f"<body><p>{LONG * 2}</p><table><tr><td>Northern Harbour, Pier 7, Gangway 12, Berth 4, Platform 9, Gate 22, Deck 3</td></tr></table><p>{LONG * 2}</p></body>", "Northern Harbour"),
+        # a section of an article may be about comments
+        (f"<article><h2>Comments</h2><p>{LONG * 2}</p></article>", "The ferry to the island"),
+    ],
+)
+def test_html_keeps_all_of_the_article(page, want):
+    assert want in html_text.extract(page)
+
+
+@pytest.mark.parametrize(
+    "rest",
+    [
+        f"<h2>Comments</h2><article class='c-item'><p>{COMMENT}</p></article><article class='c-item'><p>{COMMENT}</p></article>",
+        f"<h3>12 comments</h3><ol><li class='by-author'><p>{COMMENT}</p></li></ol>",
+        f"<section><h2>Leave a reply</h2><form><p>{COMMENT}</p></form><p>{COMMENT}</p></section>",
+        f"<div class='reader-comments'><p>{COMMENT}</p></div>",
+        f"<div id='respond'><p>{COMMENT}</p></div>",
+        f"<div class='alert'><p>{COMMENT}</p></div>",
+        "<div class='copy'>© 2024 The Island Ferry Company and its owners. All rights reserved.</div>",
+    ],
+)
+@pytest.mark.parametrize("tag", ["main", "article", "div"])
+def test_html_drops_comments_and_notices(tag, rest):
+    text = html_text.extract(f"<body><{tag}><p>{LONG * 2}</p>{rest}</{tag}></body>")
+    assert text == (LONG * 2).strip()
+
+
+def test_html_goes_on_behind_comments():
+    page = f"<main><p>{LONG * 2}</p><h2>Comments</h2><article><p>{COMMENT}</p></article><h2>The bridge</h2><p>{LONG * 3}</p></main>"
+    text = html_text.extract(page)
+    assert COMMENT not in text and "The bridge" in text and text.count("The ferry") == 5
