@@ -4,7 +4,8 @@ Pieces of one length are interchangeable, so the problem is the histogram of len
 most ``capacity`` numbers, whatever the corpus. An individual is a plan, a map from a bin's
 contents (its lengths) to the number of such bins. Crossover injects whole well-filled bins
 of one plan into another, removes the bins that would use a piece twice, and best-fits the
-displaced pieces. Islands evolve in separate tasks from their own seeds; between rounds
+displaced pieces; mutation empties the bins with room and fills bins up from their pieces
+by sums of lengths. Islands evolve in separate tasks from their own seeds; between rounds
 each receives its neighbour's elite. The best plan is then dealt to the pieces: a piece's
 rank among those of its length gives its bin and place.
 """
@@ -26,7 +27,12 @@ from pyspark.sql import types as T
 from gaugeworks.llm.common import column, partitions, settle
 
 CAPACITY, EOS = 1024, 2
-ISLANDS, ROUNDS, GENERATIONS, POPULATION = 6, 3, 8, 6
+ISLANDS, ROUNDS, GENERATIONS, POPULATION = 6, 3, 4, 6
+#: A generation's work is about the square of the number of lengths: fewer get more generations,
+#: up to ``LONGEST``, for about the same work.
+WORK, LONGEST = 4_000_000, 40
+#: Rounds in which no island finds a better plan, after which the search ends.
+STALLED = 2
 
 
 def vocabulary(path: str | None) -> str:
@@ -138,6 +144,53 @@ def crossover(a: dict, b: dict, hist: dict[int, int], capacity: int, rng: random
     return best_fit({s: n for s, n in left.items() if n}, child, capacity)
 
 
+def filling(left: dict[int, int], room: int) -> list[int]:
+    """Lengths of pieces in ``left`` that fill ``room`` as far as any do, long ones first."""
+    sizes = sorted((s for s, n in left.items() if n > 0 and s <= room), reverse=True)
+    mask = (1 << (room + 1)) - 1
+    reach = [1]  # reach[-k]: bit r where the k - 1 shortest lengths fill r
+    for size in reversed(sizes):
+        sums, more, step = reach[-1], min(left[size], room // size), 1
+        while more > 0:  # counts by doubling, what is left at last
+            step = min(step, more)
+            sums |= (sums << (size * step)) & mask
+            more, step = more - step, step * 2
+        reach.append(sums)
+    rest, out = reach[-1].bit_length() - 1, []
+    for k, size in enumerate(sizes):
+        below = reach[len(sizes) - k - 1]
+        n = min(left[size], rest // size)
+        while n and not below >> (rest - n * size) & 1:
+            n -= 1
+        out += [size] * n
+        rest -= n * size
+    return out
+
+
+def refilled(plan: dict, hist: dict[int, int], capacity: int, rng: random.Random) -> dict:
+    """Mutation: the bins with room, and some full ones, are emptied; each of their pieces,
+    about the longest first, is put with others that fill its bin as far as any do, alike
+    bins together; what may then remain is best-fitted."""
+    left, kept, keep = dict(hist), {}, rng.choice((0.0, 0.5, 0.8, 0.9))
+    for bin_, n in sorted(plan.items()):
+        if sum(bin_) == capacity and rng.random() < keep:
+            kept[bin_] = _take(left, bin_, n)
+    # how far the order is blurred, and the share of lengths that a bin does without if it can
+    blur, shy = rng.choice((0, capacity // 64, capacity // 8)), rng.choice((0.0, 0.3, 0.6))
+    order = sorted((s for s, n in left.items() if n > 0), key=lambda s: (-(s + rng.randint(0, blur)), s))
+    for size in order:
+        while left[size] > 0:
+            left[size] -= 1
+            some = {s: n for s, n in left.items() if rng.random() >= shy} if shy else left
+            rest = filling(some, capacity - size)
+            if shy and sum(rest) + size < capacity:
+                rest = filling(left, capacity - size)
+            bin_ = tuple(sorted((size, *rest), reverse=True))
+            left[size] += 1
+            kept[bin_] = kept.get(bin_, 0) + _take(left, bin_, left[size])
+    return best_fit({s: n for s, n in left.items() if n}, kept, capacity)
+
+
 def matched(hist: dict[int, int], capacity: int, rng: random.Random) -> dict:
     """A first plan: exact partners of two or three in a random order, then best fit."""
     left, plan = dict(hist), {}
@@ -151,23 +204,39 @@ def matched(hist: dict[int, int], capacity: int, rng: random.Random) -> dict:
     return best_fit({s: n for s, n in left.items() if n}, plan, capacity)
 
 
+def least_bins(hist: dict[int, int], capacity: int) -> int:
+    """No plan has fewer bins. For any ``k`` up to half a bin, pieces above ``capacity - k``
+    stand alone among those of ``k`` and more, other pieces above half a bin have one each,
+    and what the rest need beyond the room in those takes further bins."""
+    long = sorted((s for s in hist if 2 * s > capacity), reverse=True)
+    best = -(-sum(s * n for s, n in hist.items()) // capacity)
+    count = sum(hist[s] for s in long)
+    for k in {s for s in hist if 2 * s <= capacity} | {capacity - s + 1 for s in long}:
+        if 2 * k <= capacity:
+            room = sum(hist[s] * (capacity - s) for s in long if s <= capacity - k)
+            rest = sum(s * n for s, n in hist.items() if k <= s and 2 * s <= capacity)
+            best = max(best, count + max(0, -(-(rest - room) // capacity)))
+    return best
+
+
 def fitness(plan: dict, capacity: int) -> tuple:
     """Fewer bins first; then fill gathered in few bins rather than spread."""
     return sum(plan.values()), -sum(n * sum(bin_) ** 2 for bin_, n in plan.items())
 
 
-def evolve(hist: dict[int, int], start: list[dict], seed: int, capacity=CAPACITY, generations=GENERATIONS) -> dict:
+def evolve(hist: dict[int, int], start: list[dict], seed: int, capacity=CAPACITY, generations: int | None = None) -> dict:
     rng = random.Random(seed)
-    bound = -(-sum(s * n for s, n in hist.items()) // capacity)
+    bound = least_bins(hist, capacity)
+    hist = dict(sorted(hist.items()))
     people = [*start, best_fit(hist, {}, capacity)]
     while len(people) < POPULATION:
         people.append(matched(hist, capacity, rng))
-    for _ in range(generations):
+    for _ in range(generations or max(GENERATIONS, min(LONGEST, WORK // max(len(hist), 1) ** 2))):
         people.sort(key=lambda p: fitness(p, capacity))
         if sum(people[0].values()) <= bound:
             break
         parents = people[: POPULATION // 2]
-        children = [crossover(*rng.sample(parents, 2), hist, capacity, rng) for _ in range(POPULATION)]
+        children = [refilled(crossover(*rng.sample(parents, 2), hist, capacity, rng), hist, capacity, rng) for _ in range(POPULATION)]
         people = sorted([*parents, *children], key=lambda p: fitness(p, capacity))[:POPULATION]
     return min(people, key=lambda p: fitness(p, capacity))
 
@@ -185,8 +254,9 @@ def plan_on_islands(spark, hist: dict[int, int], capacity=CAPACITY, islands=ISLA
     by the number of lengths, so the driver may hand the elites on."""
     if not hist:
         return {}
-    bound = -(-sum(s * n for s, n in hist.items()) // capacity)
+    hist, bound = dict(sorted(hist.items())), least_bins(hist, capacity)
     elites: list[dict] = []
+    best, since = None, 0
     for turn in range(rounds):
         came = {k: [_dump(elites[k]), _dump(elites[k - 1])] if elites else [] for k in range(islands)}
 
@@ -198,7 +268,9 @@ def plan_on_islands(spark, hist: dict[int, int], capacity=CAPACITY, islands=ISLA
 
         rows = spark.range(0, islands, 1, islands).mapInArrow(live, "island long, plan string").collect()
         elites = [_load(r["plan"]) for r in sorted(rows, key=lambda r: r["island"])]
-        if min(sum(p.values()) for p in elites) <= bound:
+        now = min(fitness(p, capacity) for p in elites)
+        best, since = (now, 0) if best is None or now < best else (best, since + 1)
+        if now[0] <= bound or since == STALLED:
             break
     return min(elites, key=lambda p: fitness(p, capacity))
 
