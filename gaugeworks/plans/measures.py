@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gaugeworks.functions.shared import written
 from gaugeworks.operators import harmonics as H
 from gaugeworks.operators import kernels as K
 from gaugeworks.operators import measures as M
@@ -219,7 +220,8 @@ def frames(spark, sf_dir):
 
 
 def catalog(spark, sf_dir):
-    rows = frames(spark, sf_dir)
+    # frames are made once: the catalogue reads them for each of its sources
+    rows = written(frames(spark, sf_dir))
     both = F.inline(F.transform("band_power", lambda v, b: F.struct(b.alias("band"), F.round(H.level(v), 9).alias("level"), F.round(H.level(F.get("residual_band", b)), 9).alias("residual"))))
     bands = rows.select("item", "t", both)
     partials = rows.select("item", "t", F.inline("partials")).select("item", "t", "partial", F.round("cents", 9).alias("cents"), F.round(H.level(F.col("power")), 9).alias("level"), F.round("power", 12).alias("power"))

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugeworks.functions.expr import amplitude_db, tidy
+from gaugeworks.functions.shared import folder
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -32,22 +30,11 @@ def read_events(spark: SparkSession, folder: str, names: str = "*.parquet", file
     return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", names).parquet(folder)
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder in ``spark.checkpoint.dir``; a temporary one only where that is unset and
-    the master is local."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="gw-stream-")
-    return f"{found.rstrip('/')}/gw-stream-{uuid.uuid4().hex}"
-
-
 def run_to_end(stream: DataFrame, keys: list[str]) -> DataFrame:
     """What ``stream`` has made of all that is there now: a row per ``keys``. Each batch writes
     the rows that it changed to a folder of its own, so that a batch run again overwrites
     itself; of a key's rows the one of the last batch counts. Without input it is empty."""
-    spark, path = stream.sparkSession, _folder(stream.sparkSession)
+    spark, path = stream.sparkSession, folder(stream.sparkSession, "stream")
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
@@ -64,7 +51,7 @@ def run_to_end(stream: DataFrame, keys: list[str]) -> DataFrame:
 def appended(stream: DataFrame) -> DataFrame:
     """What ``stream`` has given, once all that is there now has been read: rows that are final
     when they come are appended to files in the shared folder. Without input it is empty."""
-    spark, path = stream.sparkSession, _folder(stream.sparkSession)
+    spark, path = stream.sparkSession, folder(stream.sparkSession, "stream")
     spark.createDataFrame([], stream.schema).write.parquet(f"{path}/none")
     query = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
