@@ -46,7 +46,7 @@ def gap_report(spark):
 
 
 def checks(spark):
-    rows = [("scan", "a", "peak_dbfs", -3.0, -9.0, -6.0, "AVAILABLE"), ("scan", "a", "clipped_fraction", 0.0, None, None, "UNAVAILABLE"), ("scan", "b", "clipped_fraction", 0.0, 0.5, 0.5, "AVAILABLE")]
+    rows = [("scan", "a", "shared_gain_db", -3.0, -9.0, -6.0, "AVAILABLE"), ("scan", "a", "clipped_fraction", 0.0, None, None, "UNAVAILABLE"), ("scan", "b", "clip_fraction", 0.0, 0.5, 0.5, "AVAILABLE")]
     table = spark.createDataFrame(rows, C.CONTRACTS["physical"]["check"].schema)
     found = physical.findings(table)
     return {"check": table, "finding": found.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in C.CONTRACTS["physical"]["finding"].schema.fields])}
