@@ -15,6 +15,12 @@ BAND_EDGES = (60.0, 120.0, 250.0, 500.0, 1000.0, 2000.0, 4000.0, 8000.0, 16000.0
 CHANNEL_WEIGHTS = {"lfe": 0.0, "left_surround": 1.41, "right_surround": 1.41}
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """Rounded by the number as it is stored, half away from zero, as SQL does: ``F.round`` goes
+    by its shortest decimal text, and takes 0.285, stored a little below, for a half."""
+    return F.round(x * 10.0**digits) / 10.0**digits
+
+
 def tidy(x: Column, digits: int = 6) -> Column:
     """Rounded, with negative zero made positive: what results show."""
     return F.round(x, digits) + F.lit(0.0)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import expr as E
@@ -28,9 +29,10 @@ def db(p: str) -> str:
 def samples(spark, sf_dir):
     """(user_id, event_id, event_type, n, x, t, us): x in hundredths about the mean, t in hours."""
     events = table(spark, sf_dir, "events").withColumn("us", F.expr(_US))
-    mean = events.groupBy(*KEY).agg(F.round(F.avg("value"), 3).alias("m"), F.min("us").alias("t0"))
-    rows = events.select("user_id", "event_id", "event_type", "value", "us", "ts").join(mean, KEY)
-    rows = rows.withColumn("x", F.round((F.col("value") - F.col("m")) / 100, 6)).withColumn("t", (F.col("us") - F.col("t0")) / 3.6e9)
+    # the mean is rounded, often at a half, so its last bits count: values are added in their order
+    whole = W.partitionBy(*KEY).orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    rows = events.select("user_id", "event_id", "event_type", "value", "us", "ts", E.rounded(F.avg("value").over(whole), 3).alias("m"), F.min("us").over(whole).alias("t0"))
+    rows = rows.withColumn("x", E.rounded((F.col("value") - F.col("m")) / 100, 6)).withColumn("t", (F.col("us") - F.col("t0")) / 3.6e9)
     return S.numbered(rows, KEY, ["ts", "event_id"]).drop("m", "t0", "value", "ts")
 
 
@@ -146,8 +148,6 @@ def interval_overlap(spark, sf_dir):
                WHEN next_start > e THEN 'gap' ELSE 'overlap' END AS role, round((next_start - e) / 1e6, 6) + 0.0 AS gap_seconds FROM n WHERE next_id IS NOT NULL""",
 )
 def transition_roles(spark, sf_dir):
-    from pyspark.sql import Window as W
-
     w = W.partitionBy("user_id").orderBy("start", "event_id")
     rows = _spans(spark, sf_dir).withColumn("next_start", F.lead("start").over(w)).withColumn("next_id", F.lead("event_id").over(w)).filter("next_id is not null")
     gap = F.col("next_start") - F.col("end")
@@ -227,8 +227,6 @@ def lag_link(spark, sf_dir):
         SELECT user_id, lag, pairs, correlation, score FROM s QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY score DESC, abs(lag), lag DESC) = 1""",
 )
 def delay_estimate(spark, sf_dir):
-    from pyspark.sql import Window as W
-
     w = W.partitionBy("user_id").orderBy("n")
     rows = samples(spark, sf_dir).select("user_id", "n", F.col("x").alias("a"), (F.lag("x", 2).over(w) + F.col("x") * 0.1).alias("b"))
     total = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("total"))
@@ -298,8 +296,6 @@ def stereo_facts(spark, sf_dir):
 )
 def rise_times(spark, sf_dir):
     """First crossings of 10, 50 and 90 per cent of each item's largest value."""
-    from pyspark.sql import Window as W
-
     item = F.floor(F.col("n") / 20)
     rows = samples(spark, sf_dir).select("user_id", item.alias("item"), (F.col("n") % 20).alias("k"), F.abs("x").alias("v"))
     top = F.max("v").over(W.partitionBy("user_id", "item"))
@@ -318,8 +314,6 @@ def rise_times(spark, sf_dir):
 )
 def settle_time(spark, sf_dir):
     """Time of the first of three points in a row that stay near the mean."""
-    from pyspark.sql import Window as W
-
     w = W.partitionBy("user_id").orderBy("n")
     calm = F.abs(F.round(F.col("x") - F.avg("x").over(W.partitionBy("user_id")), 6)) <= 0.15
     rows = samples(spark, sf_dir).withColumn("calm", calm)
