@@ -117,7 +117,7 @@ def activity_blocks(spark, sf_dir):
         SELECT user_id, stuck_fraction, max_step_db, dc_drift, return_level_db, repeated_block_fraction FROM f LEFT JOIN s USING (user_id)""",
 )
 def change_scan(spark, sf_dir):
-    return S.change_scan(samples(spark, sf_dir).withColumn("x", F.round("x", 1)), KEY, 2)
+    return S.change_scan(samples(spark, sf_dir).withColumn("x", E.rounded(F.col("x"), 1)), KEY, 2)
 
 
 def _spans(spark, sf_dir):

@@ -23,32 +23,51 @@ def differs(spark, folder, name, digits=5):
     return set(map(show, want.fetchall())) ^ {show([r[c] for c in columns]) for r in got.collect()}
 
 
-@pytest.fixture(scope="module")
-def halves(tmp_path_factory):
-    """Users whose mean lies at half a thousandth, a value just 5 above it, in two files."""
-    rng, rows, at = random.Random(7), [], 0
-    for user in range(60):
-        cents = [rng.randrange(1, 10000) for _ in range(78)] + [5500]
-        cents.append(400004 - sum(cents))
-        rng.shuffle(cents)
-        rows += [(user, k, c / 100) for k, c in enumerate(cents)]
-    rows.sort(key=lambda r: r[1])
-    folder = tmp_path_factory.mktemp("halves")
+def events(folder, rows, files):
+    """Rows (user, value), a second apart, in so many files."""
     (folder / "events.parquet").mkdir()
-    for part in range(2):
-        some = rows[part * 2400 : part * 2400 + 2400]
-        ids = [part * 2400 + k for k in range(len(some))]
-        kind = ["view", "click", "error"]
+    each = -(-len(rows) // files)
+    for part in range(files):
+        ids = range(part * each, min(len(rows), (part + 1) * each))
         table = {
             "event_id": pa.array(ids, pa.int64()),
             "ts": pa.array([1704067200000000 + 1000000 * i for i in ids], pa.timestamp("us")),
-            "user_id": pa.array([r[0] for r in some], pa.int64()),
-            "event_type": [kind[i % 3] for i in ids],
-            "value": [r[2] for r in some],
+            "user_id": pa.array([rows[i][0] for i in ids], pa.int64()),
+            "event_type": [("view", "click", "purchase", "error")[i % 4] for i in ids],
+            "value": [rows[i][1] for i in ids],
         }
         pq.write_table(pa.table(table), folder / "events.parquet" / f"{part}.parquet")
     return folder
 
 
+@pytest.fixture(scope="module")
+def halves(tmp_path_factory):
+    """Users whose mean lies at half a thousandth, a value just 5 above it, in two files."""
+    rng, rows = random.Random(7), []
+    for user in range(60):
+        cents = [rng.randrange(1, 10000) for _ in range(78)] + [5500]
+        cents.append(400004 - sum(cents))
+        rng.shuffle(cents)
+        rows += [(k, user, c / 100) for k, c in enumerate(cents)]
+    return events(tmp_path_factory.mktemp("halves"), [r[1:] for r in sorted(rows)], 2)
+
+
+@pytest.fixture(scope="module")
+def thousandths(tmp_path_factory):
+    """Users whose samples are odd numbers of thousandths about a mean of 50, and 16 vectors."""
+    rng, folder = random.Random(3), tmp_path_factory.mktemp("thousandths")
+    apart = [k + 0.5 for k in range(40)]
+    rows = [(user, 50 + sign * a) for user in range(5) for a in rng.sample(apart, 40) for sign in (1, -1)]
+    rng.shuffle(rows)
+    vectors = [[rng.gauss(0, 1) for _ in range(64)] for _ in range(16)]
+    table = {"vec_id": pa.array(range(16), pa.int64()), "embedding": pa.array(vectors, pa.list_(pa.float32())), "label": pa.array([k % 2 for k in range(16)], pa.int32())}
+    pq.write_table(pa.table(table), folder / "embeddings.parquet")
+    return events(folder, rows, 1)
+
+
 def test_slopes_about_means_at_a_half(spark, halves):
     assert not differs(spark, halves, "level_slopes")
+
+
+def test_change_scan_of_values_at_a_half(spark, halves):
+    assert not differs(spark, halves, "change_scan")
