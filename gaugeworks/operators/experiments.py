@@ -132,12 +132,13 @@ def monotonicity(points: DataFrame, parameter: str) -> DataFrame:
 
 
 def main_effect(points: DataFrame, parameter: str) -> DataFrame:
-    """Share of the variance of mean_gap that lies between the parameter's levels."""
+    """Share of the variance of mean_gap that lies between the parameter's levels; no points
+    and no share where no point has a mean."""
     level = points.groupBy(parameter).agg(F.sum("mean_gap").alias("s"), F.sum(F.col("mean_gap") * F.col("mean_gap")).alias("ss"), F.count("mean_gap").alias("n"))
     row = level.agg(F.sum("s").alias("s"), F.sum("ss").alias("ss"), F.sum("n").alias("n"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("b"))
     total = F.col("ss") - F.col("s") * F.col("s") / F.col("n")
     between = F.col("b") - F.col("s") * F.col("s") / F.col("n")
-    return row.select(F.lit(parameter).alias("parameter"), F.col("n").alias("points"), tidy(F.when(total > 1e-12, between / total)).alias("effect"))
+    return row.select(F.lit(parameter).alias("parameter"), F.when(F.col("n") > 0, F.col("n")).alias("points"), tidy(F.when(total > 1e-12, between / total)).alias("effect"))
 
 
 def interaction(points: DataFrame, left: str, right: str) -> DataFrame:

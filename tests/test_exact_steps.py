@@ -7,6 +7,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from gaugeworks.operators import experiments
 from gaugeworks.plans.catalog import ORACLES, QUERIES
 
 
@@ -71,3 +72,8 @@ def test_slopes_about_means_at_a_half(spark, halves):
 
 def test_change_scan_of_values_at_a_half(spark, halves):
     assert not differs(spark, halves, "change_scan")
+
+
+def test_main_effect_without_a_mean_has_no_points(spark):
+    points = spark.createDataFrame([(1, None), (1, None), (2, None)], "size int, mean_gap double")
+    assert [(r["points"], r["effect"]) for r in experiments.main_effect(points, "size").collect()] == [(None, None)]
