@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gaugeworks.functions import expr as E
 from gaugeworks.operators import items as I
 from gaugeworks.operators import physical as P
 from gaugeworks.operators import series as S
@@ -95,7 +96,7 @@ _CHECKS = f"""{_SCAN}, {_BINS}, {_ROLES}, ck AS ({_compare(_SCAN_SAID, 's1', 'sc
 def sides(spark, sf_dir):
     rows = samples(spark, sf_dir).filter(F.col("event_type").isin("view", "click"))
     side = F.when(F.col("event_type") == "view", "reference").otherwise("model")
-    rows = rows.select(side.alias("side"), F.col("user_id").cast("string").alias("case"), F.round("x", 2).alias("x"), F.col("n").alias("_n"))
+    rows = rows.select(side.alias("side"), F.col("user_id").cast("string").alias("case"), E.rounded(F.col("x"), 2).alias("x"), F.col("n").alias("_n"))
     rows = rows.withColumn("n", F.row_number().over(W.partitionBy("side", "case").orderBy("_n")) - 1)
     w = W.partitionBy("side", "case").orderBy("n")
     same = (F.col("x") == F.lag("x", 2).over(w)) & (F.lag("x").over(w) == F.lag("x", 3).over(w))
@@ -121,7 +122,7 @@ def roles(spark, sf_dir):
     side = F.when(F.col("event_type").isin("view", "click"), "reference").otherwise("model")
     role = F.when(F.col("event_type").isin("view", "purchase"), "baseline").otherwise("variant")
     n = F.row_number().over(W.partitionBy("user_id", "event_type").orderBy("n")) - 1
-    return rows.select(side.alias("side"), F.col("user_id").cast("string").alias("case"), role.alias("role"), n.cast("long").alias("n"), F.round("x", 2).alias("x"))
+    return rows.select(side.alias("side"), F.col("user_id").cast("string").alias("case"), role.alias("role"), n.cast("long").alias("n"), E.rounded(F.col("x"), 2).alias("x"))
 
 
 def render(spark, sf_dir):

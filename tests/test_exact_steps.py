@@ -77,3 +77,7 @@ def test_change_scan_of_values_at_a_half(spark, halves):
 def test_main_effect_without_a_mean_has_no_points(spark):
     points = spark.createDataFrame([(1, None), (1, None), (2, None)], "size int, mean_gap double")
     assert [(r["points"], r["effect"]) for r in experiments.main_effect(points, "size").collect()] == [(None, None)]
+
+
+def test_physical_checks_of_odd_thousandths(spark, thousandths):
+    assert not differs(spark, thousandths, "physical_checks")
