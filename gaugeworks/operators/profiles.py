@@ -82,11 +82,37 @@ def distributions(obs: DataFrame, keys: list[str]) -> DataFrame:
     return obs.groupBy(*keys).agg(*facts()).join(quantiles(counts, keys), keys, "left").select(*keys, *STATISTICS)
 
 
+def selector_facts(obs: DataFrame, keys: list[str], labels: list[str]) -> DataFrame:
+    """``facts`` of the group ALL and each label's groups. Rows are read once, by all labels
+    together; only these parts, far fewer, are dealt to the groups and put together there."""
+    v = F.col("value")
+    held = F.sum(F.when(v.isNotNull(), F.col("confidence")).otherwise(0.0)).alias("held")
+    parts = obs.groupBy(*labels, *keys).agg(F.count(F.lit(1)).alias("total"), F.count(v).alias("valid"), F.min(v).alias("low"), F.max(v).alias("high"), F.avg(v).alias("m"), F.var_pop(v).alias("s"), held)
+    groups = ["selector", "group_value", *keys]
+    of = [F.struct(F.lit(c).alias("selector"), g.cast("string").alias("group_value")) for c, g in (("ALL", F.lit("")), *((c, F.col(c)) for c in labels))]
+    parts = parts.select("*", F.inline(F.array(*of))).filter((F.col("selector") == "ALL") | (F.col("group_value") != ""))
+    whole = W.partitionBy(*groups)
+    valid = F.sum("valid").over(whole)
+    parts = parts.withColumn("mean", F.sum(F.col("valid") * F.col("m")).over(whole) / F.when(valid > 0, valid))
+    apart = F.col("valid") * (F.col("s") + (F.col("m") - F.col("mean")) ** 2)
+    return parts.groupBy(*groups).agg(
+        F.sum("total").alias("total_count"),
+        F.sum("valid").alias("valid_count"),
+        (F.sum("total") - F.sum("valid")).alias("missing_count"),
+        F.min("low").alias("minimum"),
+        F.max("high").alias("maximum"),
+        F.max("mean").alias("mean"),
+        F.sqrt(F.sum(apart) / F.when(F.sum("valid") > 0, F.sum("valid"))).alias("population_sd"),
+        (F.sum("held") / F.sum("total")).alias("confidence"),
+    )
+
+
 def selector_distributions(obs: DataFrame, keys: list[str], labels: list[str]) -> DataFrame:
     """The same for the group ALL and each label's groups."""
     groups = ["selector", "group_value", *keys]
-    counts = by_selector(obs, [*keys, "value"], labels, F.count(F.lit(1)).alias("n"))
-    return by_selector(obs, keys, labels, *facts()).join(quantiles(counts, groups), groups, "left").select(*groups, *STATISTICS)
+    values = obs.groupBy(*labels, *keys, "value").agg(F.count(F.lit(1)).alias("c"))
+    counts = by_selector(values, [*keys, "value"], labels, F.sum("c").alias("n"))
+    return selector_facts(obs, keys, labels).join(quantiles(counts, groups), groups, "left").select(*groups, *STATISTICS)
 
 
 def gaps(reference: DataFrame, model: DataFrame, keys: list[str]) -> DataFrame:

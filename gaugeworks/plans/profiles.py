@@ -51,8 +51,9 @@ LABELS = ["p_brand", "p_type"]
 def observations(spark, sf_dir):
     """(side, p_brand, p_type, line, kind, value, confidence); no discount counts as missing."""
     items = table(spark, sf_dir, "lineitem").filter(F.col("l_returnflag").isin("A", "R"))
-    items = items.select("l_partkey", F.col("l_returnflag").alias("side"), F.col("l_linenumber").alias("line"), (1 - F.col("l_tax")).alias("confidence"), *KINDS)
-    labelled = items.join(table(spark, sf_dir, "part").select("p_partkey", *LABELS), F.col("l_partkey") == F.col("p_partkey"))
+    items = items.select("l_partkey", F.col("l_returnflag").alias("side"), F.col("l_linenumber").alias("line"), *KINDS)
+    # what is computed comes behind the join, so that all that read it share one exchange
+    labelled = items.join(table(spark, sf_dir, "part").select("p_partkey", *LABELS), F.col("l_partkey") == F.col("p_partkey")).withColumn("confidence", 1 - F.col("l_tax"))
     long = P.unpivot(labelled, ["side", *LABELS, "line", "confidence"], KINDS)
     return long.withColumn("value", F.when((F.col("kind") == "l_discount") & (F.col("value") == 0), None).otherwise(F.col("value")))
 
