@@ -128,8 +128,11 @@ def all_cases(spark, sf_dir):
         F.when(cover < 1, 1).otherwise(0).alias("flags"),
         F.when(pooled > 0, pooled).alias("pooled"),
     )
-    mean = lambda side: F.avg(F.when(F.col("side") == side, F.col("value")))
-    lines = P.by_selector(profiles.observations(spark, sf_dir), ["kind", "line"], profiles.LABELS, mean("A").alias("a"), mean("R").alias("b"))
+    # sums by all labels at once, and of these the selectors' groups
+    parts = profiles.observations(spark, sf_dir).groupBy("side", "kind", "line", *profiles.LABELS).agg(F.sum("value").alias("s"), F.count("value").alias("n"))
+    total = lambda c, side: F.sum(F.when((F.col("side") == side) & (F.col("n") > 0), F.col(c)))
+    mean = lambda side: total("s", side) / total("n", side)
+    lines = P.by_selector(parts, ["kind", "line"], profiles.LABELS, mean("A").alias("a"), mean("R").alias("b"))
     lines = lines.withColumn("case_id", F.concat(F.lit("c"), F.col("line").cast("string"))).drop("line")
     facts = run_facts(spark, sf_dir)
     name = F.when(F.col("kind") == "rms_dbfs", "level").when(F.col("kind") == "crest_db", "crest").otherwise(F.concat(F.lit("band:"), F.col("idx").cast("string")))
