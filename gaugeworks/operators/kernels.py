@@ -166,7 +166,8 @@ def vibrato(cents: np.ndarray, step: float) -> tuple[float, float, float]:
     if n < 4:
         return (math.nan,) * 3
     t = np.arange(n)
-    y = cents - np.polyval(np.polyfit(t, cents, 1), t)
+    from_middle, level = t - (n - 1) / 2, float(cents.mean())
+    y = cents - level - float(from_middle @ (cents - level)) * 12 / (n * (n * n - 1.0)) * from_middle
     power = float((y * y).mean())
     a, b = max(1, math.ceil(1 / (VIBRATO_HIGH * step))), min(n // 2, int(1 / (VIBRATO_LOW * step)))
     if power < 1e-12 or b < a:

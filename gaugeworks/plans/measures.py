@@ -290,14 +290,15 @@ def vibrato_measures(spark, sf_dir):
             half = len(cents) // 2
             first, second = K.vibrato(cents[:half], 0.04), K.vibrato(cents[half:], 0.04)
             span = max(len(cents) * 0.04, 1e-9)
-            windows = [k for k in range(0, max(len(cents) - 7, 0)) if not np.isnan(K.vibrato(cents[k : k + 8], 0.04)[0])]
+            # windows behind the first that has a vibrato are not looked at
+            window = next((k for k in range(0, max(len(cents) - 7, 0)) if not np.isnan(K.vibrato(cents[k : k + 8], 0.04)[0])), None)
             curve = K.resample(cents, 64) if len(cents) >= 3 else None
             alike = np.nan
             if curve is not None and prior is not None and curve.std() > 0 and prior.std() > 0:
                 alike = float(np.corrcoef(curve, prior)[0, 1])
             prior = curve if curve is not None else prior
             values = {
-                "vibrato_delay_seconds": windows[0] * 0.04 if windows else np.nan,
+                "vibrato_delay_seconds": window * 0.04 if window is not None else np.nan,
                 "vibrato_rate_hz": rate,
                 "vibrato_depth_cents": depth,
                 "vibrato_waveform_residual_ratio": rest,
