@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,14 +25,16 @@ def kept_anchors(anchors: DataFrame, key: list[str]) -> DataFrame:
 
 
 def _stretches(rows: DataFrame, anchors: DataFrame, key: list[str], at: str) -> DataFrame:
-    """``rows`` (key, n, ...) with ``segment``: how many anchors lie before n. An anchored frame
-    is the last of its segment."""
+    """``rows`` (key, n, ...) with ``segment``: how many anchors lie before n, and ``locked``:
+    whether one lies on n. An anchored frame is the last of its segment."""
     rest = [c for c in rows.columns if c not in (*key, "n")]
     marks = anchors.select(*key, F.col(at).alias("n"), F.lit(1).alias("mark"), *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rest])
     both = rows.withColumn("mark", F.lit(0)).select(*key, "n", "mark", *rest).unionByName(marks.select(*key, "n", "mark", *rest))
     # a mark sorts behind the frame it is on
-    passed = F.coalesce(F.sum("mark").over(W.partitionBy(*key).orderBy("n", "mark").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return both.withColumn("segment", passed.cast("int")).filter("mark = 0").drop("mark")
+    w = W.partitionBy(*key).orderBy("n", "mark")
+    passed = F.coalesce(F.sum("mark").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    locked = F.coalesce((F.lead("mark").over(w) == 1) & (F.lead("n").over(w) == F.col("n")), F.lit(False))
+    return both.withColumns({"segment": passed.cast("int"), "locked": locked}).filter("mark = 0").drop("mark")
 
 
 def align_pairs(left: DataFrame, right: DataFrame, key: list[str], cost, anchors: DataFrame | None = None, **options) -> DataFrame:
@@ -42,30 +47,40 @@ def align_pairs(left: DataFrame, right: DataFrame, key: list[str], cost, anchors
     its end included; a pair's is their sum. A segment without frames on one side has no
     matches and no rows but for its anchor's. Nulls in n or frame are refused by the kernel.
     """
-    locked = kept_anchors(anchors, key) if anchors is not None else None
-    if locked is not None:
+    if anchors is not None:
+        locked = kept_anchors(anchors, key)
         sides = [_stretches(s, locked, key, at) for s, at in ((left, "i"), (right, "j"))]
     else:
-        sides = [s.withColumn("segment", F.lit(0)) for s in (left, right)]
-    ends = locked if locked is not None else left.select(*key).limit(0).withColumns({"segment": F.lit(0), "i": F.lit(0), "j": F.lit(0)})
+        sides = [s.withColumns({"segment": F.lit(0), "locked": F.lit(False)}) for s in (left, right)]
     by = [*key, "segment"]
-    # the anchor's own frames are known by their numbers, which ride along
-    sides = [s.join(ends.select(*by, F.col(at).alias("lock")), by, "left") for s, at in zip(sides, ("i", "j"))]
     schema = T.StructType([*[left.schema[c] for c in key], *T.StructType.fromDDL("segment int, i long, j long, total double").fields])
-    names = schema.names
+    deep = isinstance(left.schema["frame"].dataType, T.ArrayType)
+    frame = F.col("frame").cast("array<double>" if deep else "double").alias("frame")
+    # a segment is a row: many short ones meet in a batch, where a group each would cost more than its path
+    one, two = (s.select(*by, F.struct("n", frame, "locked").alias("at"), F.lit(k).alias("side")) for k, s in enumerate(sides))
+    of = lambda k, name: F.sort_array(F.collect_list(F.when(F.col("side") == k, F.col("at")))).alias(name)
+    held = one.unionByName(two).groupBy(*by).agg(of(0, "left"), of(1, "right")).filter("size(left) > 0 and size(right) > 0")
+
+    def series(column):
+        """(numbers, frames, whether the last is locked) of each row."""
+        numbers, frames, locked = (pc.struct_field(column.values, c) for c in ("n", "frame", "locked"))
+        if numbers.null_count:
+            raise ValueError("a frame without its number")
+        numbers, locked = numbers.to_numpy(zero_copy_only=False), locked.to_numpy(zero_copy_only=False)
+        frames = frames if deep else frames.to_numpy(zero_copy_only=False)
+        for a, b in pairwise(column.offsets.to_pylist()):
+            yield numbers[a:b], np.array(frames[a:b].to_pylist(), float) if deep else frames[a:b], bool(locked[b - 1])
 
-    def run(group, a, b):
-        a, b = (s.sort_values("n", kind="stable") for s in (a, b))
-        x, y = (np.array(s["frame"].tolist(), float) for s in (a, b))
-        deep = x.shape[1:] or y.shape[1:]  # no frames tell nothing of their width
-        x, y = x.reshape(len(a), *deep), y.reshape(len(b), *deep)
-        rows, columns = a["n"].to_numpy(), b["n"].to_numpy()
-        ended = len(a) and len(b) and a["lock"].iloc[-1] == rows[-1] and b["lock"].iloc[-1] == columns[-1]
-        path, total = K.align_locked(x, y, cost, [(len(a) - 1, len(b) - 1)] if ended else [], **options)
-        out = pd.DataFrame({"i": [rows[i] for i, _ in path], "j": [columns[j] for _, j in path]}, dtype="int64")
-        out["total"] = total
-        for name, value in zip(by[::-1], group[::-1]):
-            out.insert(0, name, value)
-        return out[names]
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b = (list(series(batch.column(c))) for c in ("left", "right"))
+            found = K.align_many([(x, y, p and q) for (_, x, p), (_, y, q) in zip(a, b)], cost, **options)
+            paths = [np.array(path, int).reshape(-1, 2) for path, _ in found]
+            of = pa.array(np.repeat(np.arange(len(found)), [len(p) for p in paths]))
+            i, j = (np.concatenate([s[0][p[:, k]] for s, p in zip(sides, paths)]) for k, sides in ((0, a), (1, b)))
+            total = pa.array([total for _, total in found], pa.float64()).take(of)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(of) for c in by], pa.array(i, pa.int64()), pa.array(j, pa.int64()), total], names=schema.names)
 
-    return sides[0].groupBy(*by).cogroup(sides[1].groupBy(*by)).applyInPandas(run, schema)
+    return held.mapInArrow(run, schema)

@@ -320,9 +320,14 @@ def align(
     total = end[kind]
     if total == inf:
         raise ValueError("no path within the band")
+    return _walked(lambda i, j, kind: int(came[i][j - first[i], kind]), n, m, kind), float(total)
+
+
+def _walked(came, n: int, m: int, kind: int) -> list[tuple[int, int]]:
+    """The path back from a table's end; ``came(i, j, kind)`` is how a cell was entered."""
     path, i, j = [], n, m
     while (i, j) != (0, 0):
-        how = int(came[i][j - first[i], kind])
+        how = came(i, j, kind)
         if kind == 0:
             path.append((i - 1, j - 1))
             way, kind = divmod(how, 3)
@@ -331,7 +336,63 @@ def align(
             i, kind = i - 1, how
         else:
             j, kind = j - 1, how
-    return path[::-1], float(total)
+    return path[::-1]
+
+
+def align_tables(cost: np.ndarray, skip: float = 0.45, repeat: float = 0.45, step: float = 0.05) -> list[tuple[list[tuple[int, int]], float]]:
+    """``align`` of many whole tables of one shape (tables, n, m), a row of all at a time: the
+    same sums and choices in the same order."""
+    many, n, m = cost.shape
+    cheap, inf = round(GAP_FREE / step), math.inf
+
+    def back(table: np.ndarray, by: int) -> np.ndarray:
+        out = np.full(table.shape, inf)
+        out[:, by:] = table[:, : table.shape[1] - by]
+        return out
+
+    price = np.full((many, n + 1, m + 1), inf)
+    price[:, 1:, 1:] = cost
+    best = [np.full((many, m + 1, 3), inf)] * 2
+    runs = np.zeros((many, m + 1, 3), np.int32)
+    came = []
+    for i in range(n + 1):
+        now, run, how = np.full((many, m + 1, 3), inf), np.zeros((many, m + 1, 3), np.int32), np.zeros((many, m + 1, 3), np.int8)
+        if i == 0:
+            now[:, 0, 0] = 0.0
+        else:
+            here = price[:, i]
+            ways = [(back(best[1], 1), here, 1)]
+            if m > 1:
+                ways.append((back(best[1], 2), (here + back(here, 1)) / 2 + DIAGONAL_EXTRA, 2))
+            if i > 1:
+                ways.append((back(best[0], 1), (here + price[:, i - 1]) / 2 + DIAGONAL_EXTRA, 3))
+            for table, extra, way in ways:
+                for prior in range(3):
+                    total = table[:, :, prior] + extra
+                    better = total < now[:, :, 0] - 1e-15
+                    now[better, 0] = total[better]
+                    how[better, 0] = way * 3 + prior
+            for prior in range(3):
+                goes_on = runs[:, :, prior] < cheap if prior == 1 else False
+                total = best[1][:, :, prior] + np.where(goes_on, skip * GAP_SHARE, skip)
+                better = total < now[:, :, 1] - 1e-15
+                now[better, 1] = total[better]
+                run[better, 1] = runs[better, prior] + 1 if prior == 1 else 1
+                how[better, 1] = prior
+        anew, kind = np.minimum(now[:, :, 0], now[:, :, 1]) + repeat, np.where(now[:, :, 0] <= now[:, :, 1], 0, 1)
+        before, length = np.full(many, inf), np.zeros(many, np.int32)
+        for j in range(1, m + 1):
+            longer = before + np.where(length < cheap, repeat * GAP_SHARE, repeat)
+            goes_on = longer < anew[:, j - 1] - 1e-15
+            before, length = np.where(goes_on, longer, anew[:, j - 1]), np.where(goes_on, length + 1, 1)
+            now[:, j, 2], run[:, j, 2], how[:, j, 2] = before, length, np.where(goes_on, 2, kind[:, j - 1])
+        came.append(how)
+        best, runs = [best[1], now], run
+    end = best[1][:, m]
+    if np.isinf(end.min(1)).any():
+        raise ValueError("no path within the band")
+    steps = np.stack(came, 1)
+    return [(_walked(steps[k].item, n, m, kind), float(end[k, kind])) for k, kind in enumerate(end.argmin(1).tolist())]
 
 
 #: Frames that are averaged at a time from level to level, and half the corridor's width.
@@ -401,6 +462,30 @@ def align_locked(x: np.ndarray, y: np.ndarray, cost, locked: list[tuple[int, int
     return path, total
 
 
+#: Cells of a table up to which tables of one shape are done together, and cells of all these.
+FEW, TOGETHER = 1 << 10, 1 << 18
+
+
+def align_many(pairs: list[tuple[np.ndarray, np.ndarray, bool]], cost, reach: int = REACH, **options) -> list[tuple[list[tuple[int, int]], float]]:
+    """``align_locked`` of many pairs (x, y, whether their last frames must match). Short ones,
+    whose table is a corridor by itself, are done together by their shape."""
+    out, short = [None] * len(pairs), {}
+    for k, (x, y, ended) in enumerate(pairs):
+        n, m = len(x) - ended, len(y) - ended
+        if min(n, m) <= reach and n * m <= FEW and max(n, m) <= FEW and set(options) <= {"skip", "repeat", "step"}:
+            short.setdefault((n, m), []).append(k)
+        else:
+            out[k] = align_locked(x, y, cost, [(n, m)] if ended else [], reach=reach, **options)
+    for (n, m), places in short.items():
+        most = max(1, TOGETHER // ((n + 1) * (m + 1)))
+        for some in (places[k : k + most] for k in range(0, len(places), most)):
+            price = np.stack([cost(pairs[k][0][:n], pairs[k][1][:m]) if n and m else np.zeros((n, m)) for k in some])
+            for k, (path, total) in zip(some, align_tables(price, **options)):
+                x, y, ended = pairs[k]
+                out[k] = (path + [(n, m)], total + float(cost(x[n:], y[m:])[0, 0])) if ended else (path, total)
+    return out
+
+
 def anchors(path: list[tuple[int, int]], onset: np.ndarray, step: float, least: float = 0.35, apart: float = 1.0) -> list[tuple[int, int]]:
     """The path's ends and its landmarks: onsets, or a second after the last one kept."""
     kept: list = []

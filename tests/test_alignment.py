@@ -84,6 +84,17 @@ def test_locked_matches_hold_and_cost_least():
         K.align_locked(np.zeros(4), np.zeros(4), cost, [(2, 1), (1, 2)])
 
 
+def test_short_segments_are_aligned_together(monkeypatch):
+    """As one by one, to the last bit; only longer pairs are aligned alone."""
+    r = np.random.default_rng(5)
+    shapes = [(n, m) for n in range(6) for m in range(6) for _ in range(4)] + [(16, 40), (40, 12), (30, 30)]
+    pairs = [(r.normal(size=n).round(1), r.normal(size=m).round(1), bool(n and m and k % 2)) for k, (n, m) in enumerate(shapes)]
+    alone = [K.align_locked(x, y, cost, [(len(x) - 1, len(y) - 1)] if ended else []) for x, y, ended in pairs]
+    seen, whole = [], K.align_locked
+    monkeypatch.setattr(K, "align_locked", lambda x, y, *a, **b: seen.append((len(x), len(y))) or whole(x, y, *a, **b))
+    assert K.align_many(pairs, cost) == alone and seen == [(30, 30)]
+
+
 def test_anchors_that_do_not_rise_are_left_out(spark):
     rows = [("a", 3, 5), ("a", 3, 4), ("a", 1, 1), ("a", 5, 4), ("a", 6, 9), ("a", 7, 9), ("a", None, 2), ("b", 0, 0)]
     kept = L.kept_anchors(spark.createDataFrame(rows, "k string, i long, j long"), ["k"]).collect()
