@@ -80,38 +80,60 @@ ATTACK_KINDS = (
 )
 BAND_KINDS = (
     ("band_level_dbfs", "dBFS", True, "signal", "avg(level)"),
-    ("band_balance_db", "dB", False, "signal", "avg(level) - max(rms)"),
+    ("band_balance_db", "dB", False, "signal", "avg(level)"),
     ("band_slope_db_per_second", "dB/s", False, "signal", "regr_slope(level, t)"),
     ("band_modulation_spread_db", "dB", False, "signal", "CASE WHEN count(level) >= 2 THEN stddev_pop(level) END"),
     ("residual_band_level_dbfs", "dBFS", True, "signal", "avg(residual)"),
-    ("residual_band_balance_db", "dB", False, "signal", "avg(residual) - max(rms)"),
+    ("residual_band_balance_db", "dB", False, "signal", "avg(residual)"),
 )
 PARTIAL_KINDS = (
     ("partial_frequency_error_cents", "cents", False, "pitch", "avg(cents)"),
     ("partial_level_dbfs", "dBFS", True, "pitch", "avg(level)"),
-    ("partial_balance_db", "dB", False, "pitch", "avg(level) - max(rms)"),
-    ("partial_presence_fraction", "ratio", False, "pitch", "count(level) * 1.0e0 / nullif(max(pitch_frames), 0)"),
-    ("partial_birth_seconds", "s", False, "pitch", "min(t) FILTER (WHERE level IS NOT NULL) - max(item_start)"),
-    ("partial_loss_seconds", "s", False, "pitch", "max(t) FILTER (WHERE level IS NOT NULL) - max(item_start)"),
+    ("partial_balance_db", "dB", False, "pitch", "avg(level)"),
+    ("partial_presence_fraction", "ratio", False, "pitch", "count(level) * 1.0e0"),
+    ("partial_birth_seconds", "s", False, "pitch", "min(t) FILTER (WHERE level IS NOT NULL)"),
+    ("partial_loss_seconds", "s", False, "pitch", "max(t) FILTER (WHERE level IS NOT NULL)"),
     ("partial_level_slope_db_per_second", "dB/s", False, "pitch", "regr_slope(level, t)"),
 )
+#: Kinds whose aggregate is then set against a fact of its item.
+AGAINST = {
+    "band_balance_db": "band_balance_db - rms",
+    "residual_band_balance_db": "residual_band_balance_db - rms",
+    "partial_balance_db": "partial_balance_db - rms",
+    "partial_presence_fraction": "partial_presence_fraction / nullif(pitch_frames, 0)",
+    "partial_birth_seconds": "partial_birth_seconds - item_start",
+    "partial_loss_seconds": "partial_loss_seconds - item_start",
+}
+#: What each partial adds to the kinds of all of an item's.
+PARTIAL_SUMS = (
+    ("born", "min(t) FILTER (WHERE level IS NOT NULL)"),
+    ("power_", "sum(power)"),
+    ("bend", "sum(2 * (pow(2.0e0, cents / 1200) - 1) / (partial * partial)) FILTER (WHERE partial > 1)"),
+    ("bends", "count(cents) FILTER (WHERE partial > 1)"),
+)
 HARMONIC_KINDS = (
-    ("inharmonicity_b", "ratio", False, "pitch", "avg(2 * (pow(2.0e0, cents / 1200) - 1) / (partial * partial)) FILTER (WHERE partial > 1)"),
-    ("odd_even_balance_db", "dB", False, "pitch", "10 * log10(greatest(sum(power) FILTER (WHERE partial % 2 = 1), 1e-30) / greatest(sum(power) FILTER (WHERE partial % 2 = 0), 1e-30))"),
-    ("harmonic_centroid", "ratio", False, "pitch", "sum(power * partial) / nullif(sum(power), 0)"),
-    ("partial_onset_spread_seconds", "s", False, "pitch", "CASE WHEN count(DISTINCT partial) >= 2 THEN max(born) - min(born) END"),
+    ("inharmonicity_b", "ratio", False, "pitch", "sum(bend) / nullif(sum(bends), 0)"),
+    ("odd_even_balance_db", "dB", False, "pitch", "10 * log10(greatest(sum(power_) FILTER (WHERE partial % 2 = 1), 1e-30) / greatest(sum(power_) FILTER (WHERE partial % 2 = 0), 1e-30))"),
+    ("harmonic_centroid", "ratio", False, "pitch", "sum(power_ * partial) / nullif(sum(power_), 0)"),
+    ("partial_onset_spread_seconds", "s", False, "pitch", "CASE WHEN count(*) >= 2 THEN max(born) - min(born) END"),
 )
+#: What every row of an item must know of it.
+FACTS = (("rms", f"round({_RMS}, 9)"), ("frames", "count(*)"), ("pitch_frames", "count(cents)"), ("item_start", "min(t)"))
 #: Attack bins, least pitch frames, pitch coverage below which a flag is set.
 ATTACK_BINS, LEAST_PITCH, COVERAGE, INCOMPLETE = 16, 3, 0.70, 1
 #: What is steady, and how near the mean three calm points in a row are.
 STEADY_DB, STEADY_HZ, CALM_CENTS = 0.35, 20.0, 15.0
 
 
+def _cents() -> F.Column:
+    return F.round(1200 * F.log2(F.col("pitch") / F.col("target")), 9)
+
+
 def prepare(frames: DataFrame) -> DataFrame:
     """Adds what a frame's neighbours and its item tell about it."""
     item, w = W.partitionBy("item"), W.partitionBy("item").orderBy("t")
     rows = frames.withColumn("n", F.row_number().over(w) - 1).withColumn("k", F.row_number().over(item.orderBy(F.desc("t"))) - 1)
-    rows = rows.withColumn("cents", F.round(1200 * F.log2(F.col("pitch") / F.col("target")), 9))
+    rows = rows.withColumn("cents", _cents())
     step = lambda c, most: F.round(F.abs(F.col(c) - F.lag(c).over(w)), 9) <= most
     rows = rows.withColumn("steady", step("level", STEADY_DB) & step("centroid", STEADY_HZ))
     near = F.round(F.abs(F.col("cents") - F.avg("cents").over(item)), 6) <= CALM_CENTS
@@ -122,11 +144,21 @@ def prepare(frames: DataFrame) -> DataFrame:
     return rows.withColumn("glide", F.round((F.col("cents") - first) / F.when(last != first, last - first), 6))
 
 
-def _long(df: DataFrame, keys: list[str], kinds: tuple, index: F.Column) -> DataFrame:
-    """One aggregation for all kinds, then a row for each."""
-    wide = df.groupBy(*keys).agg(*[F.expr(text).cast("double").alias(name) for name, _, _, _, text in kinds])
-    long = wide.unpivot(keys, [k[0] for k in kinds], "kind", "value")
-    return long.select("item", "kind", index.cast("long").alias("index"), tidy(F.col("value")).alias("value"))
+def _wide(df: DataFrame, keys: list[str], kinds: tuple, more: tuple = ()) -> DataFrame:
+    """One aggregation for all kinds; ``more`` (name, expression) ride along."""
+    return df.groupBy(*keys).agg(*[F.expr(k[-1]).cast("double").alias(k[0]) for k in kinds], *[(F.expr(e) if isinstance(e, str) else e).alias(name) for name, e in more])
+
+
+_OF_ITEM = ["item", "rms", "frames", "pitch_frames"]
+
+
+def _value(kind: str) -> F.Column:
+    return tidy(F.expr(AGAINST.get(kind, kind)).cast("double"))
+
+
+def _rows(kinds: tuple, index: F.Column) -> list[F.Column]:
+    """A row for each kind of a wide row."""
+    return [F.struct(F.lit(k[0]).alias("kind"), index.cast("long").alias("index"), _value(k[0]).alias("value")) for k in kinds]
 
 
 def attack_bins(frames: DataFrame) -> DataFrame:
@@ -146,25 +178,30 @@ def measure(frames: DataFrame, bands: DataFrame, partials: DataFrame, context: D
     A level kind has a second row, LEVEL_RELATIVE, against the median level of all items.
     """
     rows = prepare(frames)
-    facts = rows.groupBy("item").agg(
-        F.round(10 * F.log10(F.greatest(F.avg("x2"), F.lit(1e-30))), 9).alias("rms"), F.count(F.lit(1)).alias("frames"), F.count("cents").alias("pitch_frames"), F.min("t").alias("item_start")
-    )
-    there = partials.join(facts, "item")
-    born = F.min(F.when(F.col("level").isNotNull(), F.col("t"))).over(W.partitionBy("item", "partial"))
+    facts = frames.withColumn("cents", _cents()).groupBy("item").agg(*[F.expr(text).alias(name) for name, text in FACTS])
     none = F.lit(0)
-    found = _long(rows, ["item"], FRAME_KINDS, none)
-    found = found.unionByName(_long(attack_bins(frames), ["item"], ATTACK_KINDS, none))
+    long = lambda df, kinds, index: df.select(*_OF_ITEM, F.inline(F.array(*_rows(kinds, index))))
+    # what is long is never moved: facts meet aggregates, and these become rows where they lie
+    found = long(_wide(rows, ["item"], FRAME_KINDS, FACTS), FRAME_KINDS, none)
+    found = found.unionByName(long(_wide(attack_bins(frames), ["item"], ATTACK_KINDS).join(facts, "item"), ATTACK_KINDS, none))
     # an item with nothing before it has its row as well
-    before = facts.select("item").join(context.select("item", "x2"), "item", "left")
-    before = before.groupBy("item").agg(F.expr(f"CASE WHEN count(x2) > 0 THEN {_RMS} END").alias("value"))
-    found = found.unionByName(before.select("item", F.lit(CONTEXT_KINDS[0][0]).alias("kind"), none.cast("long").alias("index"), tidy(F.col("value")).alias("value")))
-    found = found.unionByName(_long(bands.join(facts, "item"), ["item", "band"], BAND_KINDS, F.col("band")))
-    found = found.unionByName(_long(there, ["item", "partial"], PARTIAL_KINDS, F.col("partial")))
-    found = found.unionByName(_long(there.withColumn("born", born), ["item"], HARMONIC_KINDS, none))
-    births = found.filter("kind = 'partial_birth_seconds' and value is not null")
-    order = F.row_number().over(W.partitionBy("item").orderBy("value", "index"))
-    found = found.unionByName(births.select("item", F.lit("partial_onset_order").alias("kind"), "index", order.cast("double").alias("value")))
-    return _finish(found, facts, floor_db)
+    before = context.groupBy("item").agg(F.expr(f"CASE WHEN count(x2) > 0 THEN {_RMS} END").alias(CONTEXT_KINDS[0][0]))
+    found = found.unionByName(long(facts.join(before, "item", "left"), CONTEXT_KINDS, none))
+    found = found.unionByName(long(_wide(bands, ["item", "band"], BAND_KINDS).join(facts, "item"), BAND_KINDS, F.col("band")))
+    return _finish(found.unionByName(_of_partials(partials, facts)), facts, floor_db)
+
+
+def _of_partials(partials: DataFrame, facts: DataFrame) -> DataFrame:
+    """The kinds of each partial, the order of their births, and the kinds of all of an item's."""
+    there = _wide(partials, ["item", "partial"], PARTIAL_KINDS, PARTIAL_SUMS).join(facts, "item")
+    birth = _value("partial_birth_seconds")
+    part = F.struct(birth.isNull().alias("never"), birth.alias("birth"), F.col("partial").cast("long").alias("partial"), *[_value(k[0]).alias(k[0]) for k in PARTIAL_KINDS])
+    # with the item's facts as keys: an item's rows lie together already
+    there = _wide(there, _OF_ITEM, HARMONIC_KINDS, (("parts", F.sort_array(F.collect_list(part))),))
+    row = lambda kind, index, value: F.struct(F.lit(kind).alias("kind"), index.alias("index"), value.alias("value"))
+    order = lambda p, k: F.when(~p["never"], row("partial_onset_order", p["partial"], (k + 1).cast("double")))
+    each = F.transform("parts", lambda p, k: F.array(*[row(name, p["partial"], p[name]) for name, *_ in PARTIAL_KINDS], order(p, k)))
+    return there.select(*_OF_ITEM, F.inline(F.filter(F.concat(F.array(*_rows(HARMONIC_KINDS, F.lit(0))), F.flatten(each)), lambda r: r.isNotNull())))
 
 
 def _finish(found: DataFrame, facts: DataFrame, floor_db: float) -> DataFrame:
@@ -172,7 +209,7 @@ def _finish(found: DataFrame, facts: DataFrame, floor_db: float) -> DataFrame:
     every = [*FRAME_KINDS, *CONTEXT_KINDS, *ATTACK_KINDS, *BAND_KINDS, *PARTIAL_KINDS, *HARMONIC_KINDS, ("partial_onset_order", "rank", False, "pitch", "")]
     catalog = spark.createDataFrame([k[:4] for k in every], "kind string, unit string, is_level boolean, needs string")
     middle = facts.agg(F.percentile("rms", 0.5).alias("middle"))
-    rows = found.join(F.broadcast(catalog), "kind").join(facts, "item").crossJoin(F.broadcast(middle))
+    rows = found.filter("item is not null").join(F.broadcast(catalog), "kind").crossJoin(F.broadcast(middle))
     quiet = F.col("rms") <= floor_db
     status = (
         F.when((F.col("needs") != "any") & quiet, "BELOW_FLOOR")

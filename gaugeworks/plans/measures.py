@@ -184,15 +184,16 @@ _ORACLE = f"""WITH {_FRAMES},
 def frames(spark, sf_dir):
     i, x = F.col("event_id"), F.col("x")
     db = 10 * F.log10(F.greatest(x * x, F.lit(1e-30)))
-    rows = samples(spark, sf_dir)
-    item = W.partitionBy("user_id", F.floor(F.col("n") / 20))
+    rows = samples(spark, sf_dir).withColumn("item", F.col("user_id") * 100000 + F.floor(F.col("n") / 20))
+    # an item's ends are found while its user's events lie together, before the spectra come to them
+    item = W.partitionBy("user_id", "item")
+    rows = rows.withColumns({"start_sample": F.min("us").over(item), "end_sample": F.max("us").over(item) + 900_000_000})
     # each embedding is tracked once; an event's frame has the spectrum of one
     spectra = tracked(spark, sf_dir).withColumnRenamed("vec_id", "spectrum")
     count = table(spark, sf_dir, "embeddings").agg(F.count(F.lit(1)).alias("spectra"))
     rows = rows.crossJoin(F.broadcast(count)).withColumn("spectrum", F.when(F.col("spectra") > 0, i % F.col("spectra"))).join(spectra, "spectrum", "left")
-    rows = rows.withColumn("start_sample", F.min("us").over(item)).withColumn("end_sample", F.max("us").over(item) + 900_000_000)
     return rows.select(
-        (F.col("user_id") * 100000 + F.floor(F.col("n") / 20)).alias("item"),
+        "item",
         "user_id",
         "event_id",
         F.col("n").alias("m"),
@@ -220,8 +221,10 @@ def frames(spark, sf_dir):
 
 
 def catalog(spark, sf_dir):
-    # frames are made once: the catalogue reads them for each of its sources
-    rows = written(frames(spark, sf_dir))
+    # frames are made once, an item's together: the catalogue reads them for each of its sources
+    # and sums them up by item before anything moves
+    parts = F.transform("partials", lambda p: p.dropFields("hz"))
+    rows = written(frames(spark, sf_dir).withColumn("partials", parts).repartition("item"))
     both = F.inline(F.transform("band_power", lambda v, b: F.struct(b.alias("band"), F.round(H.level(v), 9).alias("level"), F.round(H.level(F.get("residual_band", b)), 9).alias("residual"))))
     bands = rows.select("item", "t", both)
     partials = rows.select("item", "t", F.inline("partials")).select("item", "t", "partial", F.round("cents", 9).alias("cents"), F.round(H.level(F.col("power")), 9).alias("level"), F.round("power", 12).alias("power"))
