@@ -1,4 +1,4 @@
-"""Alignment of pairs of series with locked anchors: the stretches between are tasks of their own."""
+"""Alignment of pairs of series with locked anchors: the stretches between are rows of their own."""
 
 from __future__ import annotations
 
@@ -42,7 +42,7 @@ def align_pairs(left: DataFrame, right: DataFrame, key: list[str], cost, anchors
     (key, n, frame), frame a number or an array, from the first frames to the last.
 
     ``cost(x, y)`` prices all pairs of frames of two arrays. ``anchors`` (key, i, j) must
-    match: they cut a pair into segments, each aligned in a task of its own, within the
+    match: they cut a pair into segments, each a row that any task aligns, within the
     corridors of ``kernels.align_coarse_to_fine``. ``total`` is the segment's, the match at
     its end included; a pair's is their sum. A segment without frames on one side has no
     matches and no rows but for its anchor's. Nulls in n or frame are refused by the kernel.

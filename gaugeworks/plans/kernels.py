@@ -166,7 +166,7 @@ def _views_and_clicks(spark, sf_dir):
 
 @query("dtw_align")
 def dtw_align(spark, sf_dir):
-    """Each user's views aligned with the user's clicks, whole, one task a pair of series."""
+    """Each user's views aligned with the user's clicks, whole, a row a pair of series."""
     views, clicks = (s.drop("us") for s in _views_and_clicks(spark, sf_dir))
     out = align_pairs(views.join(clicks.select("user_id").distinct(), "user_id", "left_semi"), clicks.join(views.select("user_id").distinct(), "user_id", "left_semi"), ["user_id"], _distance)
     return out.select("user_id", "i", "j", F.round("total", 9).alias("total"))
