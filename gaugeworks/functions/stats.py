@@ -21,8 +21,9 @@ def correlation(a: str, b: str) -> Column:
     """Pearson's r over rows that have both; null where either is constant."""
     both = F.col(a).isNotNull() & F.col(b).isNotNull()
     x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
-    spread = F.round(F.stddev_pop(x) * F.stddev_pop(y), 12)
-    return F.covar_pop(x, y) / F.when(spread != 0, spread)
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    # rounded, it only tells constants: as a divisor it would move the last digits of quiet series
+    return F.covar_pop(x, y) / F.when(F.round(spread, 12) != 0, spread)
 
 
 def saturate(x: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gaugeworks.functions.expr import amplitude_db, loudness, power_db, tidy
+from gaugeworks.functions.expr import amplitude_db, loudness, power_db, rounded, tidy
 from gaugeworks.functions.stats import correlation
 
 
@@ -144,7 +144,7 @@ def lagged_correlation(df: DataFrame, key: list[str], reach: int, a: str = "a",
 
 def best_lag(lags: DataFrame, key: list[str], total: str, least: int = 3) -> DataFrame:
     """The lag of the largest abs(correlation) times overlap; ties: smaller, then positive."""
-    score = tidy(F.abs("correlation") * F.col("pairs") / F.col(total))
+    score = rounded(F.abs("correlation") * F.col("pairs") / F.col(total), 6)
     w = W.partitionBy(*key).orderBy(F.desc("score"), F.abs("lag"), F.desc("lag"))
     usable = lags.filter((F.col("pairs") >= least) & F.col("correlation").isNotNull() & ~F.isnan("correlation")).withColumn("score", score)
     return usable.withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k")
